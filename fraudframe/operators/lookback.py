@@ -41,10 +41,8 @@ from pyspark.sql import functions as F
 
 from fraudframe.functions.columns import (
     MICROS_PER_DAY,
-    array_mean,
     array_median,
-    array_stddev_samp,
-    consecutive_gaps,
+    drop_first,
     epoch_micros,
     safe_div,
 )
@@ -145,124 +143,206 @@ def _days(us_diff: Column) -> Column:
 
 
 # ---------------------------------------------------------------------------
-# profiles: each returns {feature name: Column} evaluated over window ``w``
+# profiles.  Each returns three stages evaluated one after the other:
+#   1. window aggregates (each frame aggregate exactly once, named),
+#   2. per-row intermediates from those columns (array medians, gaps),
+#   3. the features, plain arithmetic on stage 1-2 columns.
+# Naming every window aggregate matters: an ``.over()`` used in several
+# expressions would otherwise be evaluated once per use.
 # ---------------------------------------------------------------------------
 
-def _canonical(spec: LookbackSpec, w, split: bool) -> dict[str, Column]:
-    v = F.col(_V).cast("double")
-    us = F.col(_US)
+def _c(name: str) -> Column:
+    return F.col(name)
+
+
+def _bucket_stage(w, max_k: int) -> dict[str, Column]:
+    return {f"__b{i}": b for i, b in enumerate(_bucket_counts(w, max_k))}
+
+
+def _bucket_intermediates(k: int) -> dict[str, Column]:
+    total = sum((_c(f"__b{i}") for i in range(1, k)), _c("__b0"))
+    return {f"__avgnr{k}": total.cast("double") / k,
+            f"__mednr{k}": array_median(F.array(*[_c(f"__b{i}") for i in range(k)]))}
+
+
+# Window-0 columns shared by the profiles (same partitioning and order as
+# the main window, so Spark adds no exchange and no sort for them):
+#   __gp  gap to the previous row of the entity in us, -1 for the first row
+#         (the sentinel is always the first element of any frame holding it)
+#   __day calendar Julian day number of the row
+_GP = "__gp"
+_DAY = "__day"
+
+
+def _window0(w) -> dict[str, Column]:
+    us = _c(_US)
+    return {_GP: F.coalesce(us - F.lag(us).over(w), F.lit(-1).cast("bigint"))}
+
+
+def _canonical(spec: LookbackSpec, w, split: bool):
+    v = _c(_V).cast("double")
+    us = _c(_US)
     max_k = max(spec.intervals)
     prior = _frame(w, None, -1)
-    newest_prior = F.max(us).over(prior)
-    if split:
-        newest_prior = F.coalesce(newest_prior, F.col(_PREV))
-    has_prior = newest_prior.isNotNull()
-    g = F.coalesce(_days(us - newest_prior), F.lit(0.0))
-    buckets = _bucket_counts(w, max_k)
-    n_today = (buckets[0] + 1).cast("double")
+    s1: dict[str, Column] = {"__newest": F.max(us).over(prior), **_bucket_stage(w, max_k)}
+    for k in spec.intervals:
+        fk = _frame(w, -k * D + 1, -1)
+        s1[f"__n{k}"] = F.count(us).over(fk)
+        s1[f"__lo{k}"] = F.min(us).over(fk)
+        s1[f"__hi{k}"] = F.max(us).over(fk)
+        s1[f"__avg{k}"] = F.coalesce(F.avg(v).over(fk), F.lit(0.0))
+        s1[f"__med{k}"] = F.coalesce(F.percentile(v, F.lit(0.5)).over(fk), F.lit(0.0))
+        s1[f"__dev{k}"] = F.coalesce(F.stddev_samp(v).over(fk), F.lit(0.0))
+        # gaps between neighbours inside the frame: each row's gap to its
+        # predecessor, minus the frame's first row (whose predecessor is outside)
+        s1[f"__gl{k}"] = F.collect_list(_c(_GP)).over(fk)
+    newest = F.coalesce(_c("__newest"), _c(_PREV)) if split else _c("__newest")
+    s2: dict[str, Column] = {
+        "__has_prior": newest.isNotNull(),
+        "__g": F.coalesce(_days(us - newest), F.lit(0.0)),
+    }
+    for k in spec.intervals:
+        n = _c(f"__n{k}")
+        s2[f"__avggap{k}"] = F.when(n >= 2, _days(_c(f"__hi{k}") - _c(f"__lo{k}")) / (n - 1)).otherwise(F.lit(0.0))
+        s2[f"__sgaps{k}"] = F.sort_array(drop_first(_c(f"__gl{k}")))
+        s2.update(_bucket_intermediates(k))
+    s2b = {f"__medgap{k}": array_median(_c(f"__sgaps{k}"), is_sorted=True) / F.lit(float(D))
+           for k in spec.intervals}
+    n_today = (_c("__b0") + 1).cast("double")
     names = feature_names(spec.value, spec.intervals)
-    out: dict[str, Column] = {}
+    s3: dict[str, Column] = {}
     i = 0
     for k in spec.intervals:
-        fk = _frame(w, -k * D + 1, -1)
-        avg = F.coalesce(F.avg(v).over(fk), F.lit(0.0))
-        med = F.coalesce(F.percentile(v, F.lit(0.5)).over(fk), F.lit(0.0))
-        dev = F.coalesce(F.stddev_samp(v).over(fk), F.lit(0.0))
-        gaps = consecutive_gaps(F.array_sort(F.collect_list(us).over(fk)))
-        avg_nr = F.aggregate(F.array(*buckets[:k]), F.lit(0).cast("bigint"), lambda a, x: a + x).cast("double") / k
-        med_nr = array_median(F.array(*buckets[:k]))
-        avg_gap = _days(F.aggregate(gaps, F.lit(0).cast("bigint"), lambda a, x: a + x)) / F.greatest(F.size(gaps), F.lit(1))
-        med_gap = _days(F.lit(1)) * array_median(gaps)
+        avg, med, dev = _c(f"__avg{k}"), _c(f"__med{k}"), _c(f"__dev{k}")
         cols = [
             safe_div(v, avg), v - avg, safe_div(v, med), v - med,
             safe_div(v - avg, dev), v - avg - dev,
-            *_count_features(n_today, avg_nr, med_nr),
-            *_gap_features(avg_gap, med_gap, g),
+            *_count_features(n_today, _c(f"__avgnr{k}"), _c(f"__mednr{k}")),
+            *_gap_features(_c(f"__avggap{k}"), _c(f"__medgap{k}"), _c("__g")),
         ]
         for c in cols:
-            out[names[i]] = F.when(has_prior, c).otherwise(F.lit(0.0))
+            s3[names[i]] = F.when(_c("__has_prior"), c).otherwise(F.lit(0.0))
             i += 1
-    return out
+    return s1, s2, s2b, s3
 
 
-def _serve(spec: LookbackSpec, w) -> dict[str, Column]:
-    v = F.col(_V).cast("double")
-    us = F.col(_US)
-    n_today = (F.count(us).over(_frame(w, -D + 1, -1)) + 1).cast("double")
+def _serve(spec: LookbackSpec, w):
+    """History of the last k days plus the current row ("combined")."""
+    v = _c(_V).cast("double")
+    us = _c(_US)
+    s1: dict[str, Column] = {"__day_n": F.count(us).over(_frame(w, -D + 1, -1))}
+    for k in spec.intervals:
+        fk = _frame(w, -k * D + 1, -1)
+        s1[f"__h{k}"] = F.count(us).over(fk)
+        s1[f"__lo{k}"] = F.min(us).over(fk)
+        s1[f"__hi{k}"] = F.max(us).over(fk)
+        s1[f"__ha{k}"] = F.avg(v).over(fk)
+        s1[f"__hd{k}"] = F.stddev_samp(v).over(fk)
+        s1[f"__vl{k}"] = F.collect_list(v).over(fk)
+        s1[f"__gl{k}"] = F.collect_list(_c(_GP)).over(fk)
+        s1[f"__dl{k}"] = F.collect_list(_c(_DAY)).over(fk)
+    s2: dict[str, Column] = {}
+    for k in spec.intervals:
+        h = _c(f"__h{k}")
+        n = h + 1
+        ha = F.coalesce(_c(f"__ha{k}"), F.lit(0.0))
+        mean = (ha * h + v) / n
+        # one Welford step: the frame's moments plus the current value
+        m2 = F.coalesce(_c(f"__hd{k}"), F.lit(0.0)) ** 2 * F.greatest(h - 1, F.lit(0)) + (v - ha) * (v - mean)
+        days = F.concat(_c(f"__dl{k}"), F.array(_c(_DAY)))  # ascending: the frame is in time order
+        s2[f"__avg{k}"] = mean
+        s2[f"__dev{k}"] = F.when(n >= 2, F.sqrt(F.greatest(m2, F.lit(0.0)) / (n - 1))).otherwise(F.lit(0.0))
+        s2[f"__svals{k}"] = F.sort_array(F.concat(_c(f"__vl{k}"), F.array(v)))
+        s2[f"__sgaps{k}"] = F.sort_array(F.concat(drop_first(_c(f"__gl{k}")), F.array(us - _c(f"__hi{k}"))))
+        s2[f"__days{k}"] = days
+        s2[f"__g{k}"] = _days(us - _c(f"__hi{k}"))
+        s2[f"__avggap{k}"] = _days(us - _c(f"__lo{k}")) / F.greatest(h, F.lit(1))
+        s2[f"__avgnr{k}"] = n.cast("double") / k
+    s2b: dict[str, Column] = {}
+    for k in spec.intervals:
+        days = _c(f"__days{k}")
+        m = F.size(days)
+        distinct = F.array_distinct(days)
+        # rows per calendar day of a sorted array: distance between first positions
+        per_day = F.transform(distinct, lambda d, j: F.coalesce(
+            F.array_position(days, F.try_element_at(distinct, j + 2)), m + 1) - F.array_position(days, d))
+        s2b[f"__med{k}"] = array_median(_c(f"__svals{k}"), is_sorted=True)
+        s2b[f"__medgap{k}"] = array_median(_c(f"__sgaps{k}"), is_sorted=True) / F.lit(float(D))
+        s2b[f"__mednr{k}"] = array_median(per_day)
+    n_today = (_c("__day_n") + 1).cast("double")
     names = feature_names(spec.value, spec.intervals)
-    out: dict[str, Column] = {}
+    s3: dict[str, Column] = {}
     i = 0
-    half_day = D // 2
     for k in spec.intervals:
-        fk = _frame(w, -k * D + 1, -1)
-        hist_n = F.count(us).over(fk)
-        vals = F.concat(F.collect_list(v).over(fk), F.array(v))
-        times = F.concat(F.array_sort(F.collect_list(us).over(fk)), F.array(us))
-        avg = array_mean(vals)
-        med = array_median(vals)
-        dev = array_stddev_samp(vals, avg)
-        # calendar Julian day number: int(jd) with jd = us/D + 2440587.5
-        days = F.transform(times, lambda u: F.floor((u + F.lit(half_day)) / F.lit(D)))
-        per_day = F.transform(F.array_distinct(days), lambda d: F.size(F.filter(days, lambda x: x == d)))
-        avg_nr = F.size(times).cast("double") / k
-        med_nr = array_median(per_day)
-        gaps = consecutive_gaps(times)
-        g = _days(us - F.try_element_at(times, F.lit(-2)))
-        avg_gap = _days(F.try_element_at(times, F.lit(-1)) - F.try_element_at(times, F.lit(1))) / F.greatest(F.size(gaps), F.lit(1))
-        med_gap = _days(F.lit(1)) * array_median(gaps)
+        avg, med, dev = _c(f"__avg{k}"), _c(f"__med{k}"), _c(f"__dev{k}")
         cols = [
             safe_div(v, avg), v - avg, safe_div(v, med), v - med,
             safe_div(v - avg, dev), v - avg - dev,
-            *_count_features(n_today, avg_nr, med_nr),
-            *_gap_features(avg_gap, med_gap, g),
+            *_count_features(n_today, _c(f"__avgnr{k}"), _c(f"__mednr{k}")),
+            *_gap_features(_c(f"__avggap{k}"), _c(f"__medgap{k}"), _c(f"__g{k}")),
         ]
         for c in cols:
-            out[names[i]] = F.when(hist_n > 0, c).otherwise(F.lit(0.0))
+            s3[names[i]] = F.when(_c(f"__h{k}") > 0, c).otherwise(F.lit(0.0))
             i += 1
-    return out
+    return s1, s2, s2b, s3
 
 
-def _train(spec: LookbackSpec, w) -> dict[str, Column]:
-    """Columns of the original batch trainer; expects ``__lb_lag`` (previous
-    us of the entity) to be computed by an earlier window over ``w``."""
-    us = F.col(_US)
-    lag = F.col("__lb_lag")
+def _train(spec: LookbackSpec, w):
+    """Columns of the original batch trainer."""
+    us = _c(_US)
+    gp = _c(_GP)
     # equal timestamps keep one value (the first of the tie in window order)
-    v_one = F.when(lag.isNull() | (lag != us), F.col(_V)).cast("double")
+    v_one = F.when(gp != 0, _c(_V)).cast("double")
     prior = _frame(w, None, -1)
-    n_prior = F.count(us).over(prior)
-    newest = F.max(us).over(prior)
-    oldest = F.min(us).over(prior)
-    first_v = F.first(F.col(_V)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # the "current" value the trainer used: the oldest prior value, own value without history
-    v = F.when(n_prior > 0, first_v.cast("double")).otherwise(F.col(_V).cast("double"))
-    g = F.coalesce(_days(us - newest), F.lit(0.0))
-    avg_gap = F.when(n_prior >= 2, _days(newest - oldest) / (n_prior - 1)).otherwise(F.lit(0.0))
-    med_gap = F.coalesce(
-        _days(F.lit(1)) * F.percentile(F.col("__lb_gap"), F.lit(0.5)).over(prior), F.lit(0.0))
     max_k = max(spec.intervals)
-    buckets = _bucket_counts(w, max_k)
-    n_today = (buckets[0] + 1).cast("double")
+    s1: dict[str, Column] = {
+        "__n_prior": F.count(us).over(prior),
+        "__newest": F.max(us).over(prior),
+        "__oldest": F.min(us).over(prior),
+        "__first_v": F.first(_c(_V)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+        "__medgap_all": F.percentile(F.when(gp >= 0, gp), F.lit(0.5)).over(prior),
+        **_bucket_stage(w, max_k),
+    }
+    for k in spec.intervals:
+        fk = _frame(w, -k * D + 1, -1)
+        s1[f"__avg{k}"] = F.coalesce(F.avg(v_one).over(fk), F.lit(0.0))
+        s1[f"__med{k}"] = F.coalesce(F.percentile(v_one, F.lit(0.5)).over(fk), F.lit(0.0))
+        s1[f"__dev{k}"] = F.coalesce(F.stddev_samp(v_one).over(fk), F.lit(0.0))
+    n_prior = _c("__n_prior")
+    s2: dict[str, Column] = {
+        # the "current" value the trainer used: the oldest prior value, own value without history
+        "__cur": F.when(n_prior > 0, _c("__first_v").cast("double")).otherwise(_c(_V).cast("double")),
+        "__g": F.coalesce(_days(us - _c("__newest")), F.lit(0.0)),
+        "__avggap": F.when(n_prior >= 2, _days(_c("__newest") - _c("__oldest")) / (n_prior - 1)).otherwise(F.lit(0.0)),
+        "__medgap": F.coalesce(_c("__medgap_all") / F.lit(float(D)), F.lit(0.0)),
+    }
+    for k in spec.intervals:
+        s2.update(_bucket_intermediates(k))
+    n_today = (_c("__b0") + 1).cast("double")
+    v = _c("__cur")
     names = feature_names(spec.value, spec.intervals)
-    out: dict[str, Column] = {}
+    s3: dict[str, Column] = {}
     i = 0
     for k in spec.intervals:
-        fk = _frame(w, -k * D + 1, -1)
-        avg = F.coalesce(F.avg(v_one).over(fk), F.lit(0.0))
-        med = F.coalesce(F.percentile(v_one, F.lit(0.5)).over(fk), F.lit(0.0))
-        dev = F.coalesce(F.stddev_samp(v_one).over(fk), F.lit(0.0))
-        avg_nr = F.aggregate(F.array(*buckets[:k]), F.lit(0).cast("bigint"), lambda a, x: a + x).cast("double") / k
-        med_nr = array_median(F.array(*buckets[:k]))
+        avg, med, dev = _c(f"__avg{k}"), _c(f"__med{k}"), _c(f"__dev{k}")
         cols = [
             safe_div(v, avg), v - avg, safe_div(v, med), v - med,
             safe_div(v, dev), v - dev,
-            *_count_features(n_today, avg_nr, med_nr),
-            *_gap_features(avg_gap, med_gap, g),
+            *_count_features(n_today, _c(f"__avgnr{k}"), _c(f"__mednr{k}")),
+            *_gap_features(_c("__avggap"), _c("__medgap"), _c("__g")),
         ]
         for c in cols:
-            out[names[i]] = c
+            s3[names[i]] = c
             i += 1
-    return out
+    return s1, s2, s3
+
+
+def _apply(df: DataFrame, stages, keep: list[str], names: list[str], tail: list[str], extra: list[str]) -> DataFrame:
+    """Add the stages as columns, then project the final selection."""
+    *inner, last = stages
+    for st in inner:
+        df = df.withColumns(st)
+    return df.select(*keep, *[last[n].alias(n) for n in names], *tail, *extra)
 
 
 # ---------------------------------------------------------------------------
@@ -350,22 +430,22 @@ def add_lookback_features(df: DataFrame, spec: LookbackSpec, skew: SkewPolicy |
 
     if spec.profile == "train":
         w = Window.partitionBy(spec.entity).orderBy(_US)
-        base = (base.withColumn("__lb_lag", F.lag(_US).over(w))
-                .withColumn("__lb_rn", F.row_number().over(w)))
-        base = base.withColumn("__lb_gap", F.col(_US) - F.col("__lb_lag"))
-        feats = _train(spec, w)
-        out = base.select(*keep, *[feats[n].alias(n) for n in names], *tail, "__lb_rn")
+        base = base.withColumns({**_window0(w), "__lb_rn": F.row_number().over(w)})
+        out = _apply(base, _train(spec, w), keep, names, tail, ["__lb_rn"])
         # the trainer drops the oldest row of every entity (and so single-row entities)
         return out.filter(F.col("__lb_rn") > 1).drop("__lb_rn")
 
+    half_day = D // 2
+    base = base.withColumn(_DAY, F.floor((F.col(_US) + F.lit(half_day)) / F.lit(D)))
+    make = _canonical if spec.profile == "canonical" else _serve
     plan = _split_plan(base, spec.entity, context_us, skew) if skew.enabled else None
     if plan is None:
         w = Window.partitionBy(spec.entity).orderBy(_US)
-        feats = _canonical(spec, w, split=False) if spec.profile == "canonical" else _serve(spec, w)
-        return base.select(*keep, *[feats[n].alias(n) for n in names], *tail)
+        return _apply(base.withColumns(_window0(w)), make(spec, w, False) if make is _canonical
+                      else make(spec, w), keep, names, tail, [])
 
     rows = _with_chunks(base, spec.entity, context_us, plan, with_prev=spec.profile == "canonical")
     w = Window.partitionBy(spec.entity, _CHUNK).orderBy(_US)
-    feats = _canonical(spec, w, split=True) if spec.profile == "canonical" else _serve(spec, w)
-    out = rows.select(*keep, *[feats[n].alias(n) for n in names], *tail, _CTX)
+    stages = make(spec, w, True) if make is _canonical else make(spec, w)
+    out = _apply(rows.withColumns(_window0(w)), stages, keep, names, tail, [_CTX])
     return out.filter(~F.col(_CTX)).drop(_CTX)
