@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, TimestampNTZType, TimestampType, DateType
+from pyspark.sql.types import DataType, DateType, IntegerType, LongType, TimestampType
 
 MICROS_PER_DAY = 86_400_000_000
 # Julian day number of 1970-01-01 00:00:00 (fixed astronomical constant).
@@ -19,6 +19,8 @@ def epoch_micros(col: Column | str, dtype: DataType | None = None) -> Column:
     result never depends on the session time zone (no DST shifts).
     """
     c = F.col(col) if isinstance(col, str) else col
+    if isinstance(dtype, (LongType, IntegerType)):
+        return c.cast("bigint")  # already epoch microseconds
     if isinstance(dtype, TimestampType):
         return F.unix_micros(c)
     if isinstance(dtype, DateType):

@@ -2,7 +2,7 @@
 generated tables, and most have an equivalent DuckDB SQL text (the oracle).
 
 Column names of a query and of its SQL are equal; doubles are rounded to
-9 decimals on both sides so that summation order does not matter.
+6 decimals on both sides so that summation order does not matter.
 """
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ from fraudframe.sources.testdata import EVENT_TRANSACTIONS_SQL, event_transactio
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
-DIGITS = 9
+DIGITS = 6
 
 
 def register(name: str, sql: str | None = None):
@@ -69,3 +69,127 @@ register("lookback_train", _lookback_oracle(lookback_sql.train_sql, (3, 7)))(
     _lookback_query("train", (3, 7)))
 register("lookback_serve", _lookback_oracle(lookback_sql.serve_sql, (3, 7)))(
     _lookback_query("serve", (3, 7)))
+
+
+# --------------------------------------------------------------------------
+# A, B: scans and profiling
+# --------------------------------------------------------------------------
+
+from fraudframe.operators.encode import dense_index, encode, split_bad_rows  # noqa: E402
+from fraudframe.operators.profile import label_candidates, profile_frame  # noqa: E402
+from fraudframe.plans.spec import EncodingPlan  # noqa: E402
+from fraudframe.sources.tables import page  # noqa: E402
+from fraudframe.sources.testdata import table  # noqa: E402
+
+_TX_COLS = [("id", "int"), ("card_number", "varchar"), ("ts", "datetime"), ("amount", "float"),
+            ("vendor_code", "varchar"), ("event_type", "varchar"), ("fraud", "int")]
+
+
+def _profile_sql(src: str, cols, key: str | None) -> str:
+    parts = []
+    for i, (c, t) in enumerate(cols):
+        if t in ("int", "float"):
+            ones, zeros = f"count_if({c} = 1)", f"count_if({c} = 0)"
+        elif t == "varchar":
+            ones, zeros = f"count_if({c} = '1')", f"count_if({c} = '0')"
+        else:
+            ones, zeros = "0", "0"
+        if t == "varchar":
+            dig = f"count_if(NOT coalesce(regexp_full_match({c}, '[0-9]+'), false)) = 0"
+            s = f"regexp_replace({c}, '^0+(.)', '\\1')"
+            big = (f"count_if(coalesce(regexp_full_match({c}, '[0-9]+'), false) AND (length({s}) > 10 OR "
+                   f"(length({s}) = 10 AND {s} > '2147483647'))) = 0")
+            fits = f"({dig}) AND ({big})"
+        else:
+            dig, fits = "false", "false"
+        keyc = (f"count(DISTINCT {c}) = count(*) AND count_if({c} IS NULL) = 0" if c == key else "false")
+        parts.append(
+            f"SELECT {i} AS position, '{c}' AS name, '{t}' AS type, count(*) AS n_rows, "
+            f"count_if({c} IS NULL) AS n_null, {ones} AS ones, {zeros} AS zeros, {dig} AS all_digits, "
+            f"{fits} AS fits_int, {keyc} AS is_key FROM ({src}) s")
+    u = " UNION ALL ".join(parts)
+    return (f"SELECT position, name, type, n_rows, n_null, ones, zeros, "
+            f"(ones + zeros = n_rows AND ones > 0 AND zeros > 0) AS is_label_candidate, all_digits, fits_int, "
+            f"concat_ws(',', CASE WHEN all_digits THEN 'float' END, CASE WHEN fits_int THEN 'int' END) AS applicable, "
+            f"is_key FROM ({u}) p")
+
+
+@register("profile_columns", _profile_sql(EVENT_TRANSACTIONS_SQL, _TX_COLS, "id"))
+def q_profile_columns(spark, sf_dir):
+    p = profile_frame(event_transactions(spark, sf_dir), "id")
+    return p.withColumn("applicable", F.concat_ws(",", "applicable"))
+
+
+_LABELS_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS name, count_if({c} = 1) AS fraud_number, count_if({c} = 0) AS no_fraud_number, "
+    f"count(*) AS n FROM labels" for c in ("doc_id", "quality", "toxic"))
+
+
+@register("label_candidates", f"SELECT name, fraud_number, no_fraud_number FROM ({_LABELS_SQL}) s "
+                              f"WHERE fraud_number + no_fraud_number = n AND fraud_number > 0 AND no_fraud_number > 0")
+def q_label_candidates(spark, sf_dir):
+    return label_candidates(profile_frame(table(spark, sf_dir, "labels")))
+
+
+@register("page_scan", f"SELECT id, card_number, strftime(ts, '%Y-%m-%d %H:%M:%S:%f') AS ts, amount "
+                       f"FROM ({EVENT_TRANSACTIONS_SQL}) t ORDER BY id LIMIT 50 OFFSET 100")
+def q_page_scan(spark, sf_dir):
+    tx = event_transactions(spark, sf_dir).select("id", "card_number", "ts", "amount")
+    return page(tx, "id", limit=50, offset=100)
+
+
+# --------------------------------------------------------------------------
+# C: encoding
+# --------------------------------------------------------------------------
+
+EVENTS_PLAN = EncodingPlan(
+    "events", "ts",
+    {"card_number": "float", "ts": "julian", "vendor_code": "int", "event_type": "label_encoder",
+     "fraud": "fraud_type"},
+    entity="card_number", key="id")
+
+_JD = "(epoch_us(ts) / CAST(86400000000 AS DOUBLE) + 2440587.5)"
+
+
+@register("encode_events", f"""
+SELECT id, card_number AS _entity, epoch_us(ts) AS _us, CAST(card_number AS DOUBLE) AS card_number,
+       {_JD} AS ts, amount, CAST(CAST(vendor_code AS BIGINT) AS DOUBLE) AS vendor_code,
+       CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS DOUBLE) AS event_type, CAST(fraud AS DOUBLE) AS fraud
+FROM ({EVENT_TRANSACTIONS_SQL}) t""")
+def q_encode_events(spark, sf_dir):
+    out, _ = encode(event_transactions(spark, sf_dir), EVENTS_PLAN)
+    return out
+
+
+@register("label_dictionary", f"SELECT card_number, dense_rank() OVER (ORDER BY card_number) - 1 AS code "
+                              f"FROM (SELECT DISTINCT card_number FROM ({EVENT_TRANSACTIONS_SQL}) t) d")
+def q_label_dictionary(spark, sf_dir):
+    return dense_index(event_transactions(spark, sf_dir), "card_number")
+
+
+@register("julian_date", f"SELECT event_id, {_JD} AS julian "
+                         f"FROM events")
+def q_julian_date(spark, sf_dir):
+    from fraudframe.functions.columns import epoch_micros, julian_date
+    ev = table(spark, sf_dir, "events")
+    return ev.select("event_id", julian_date(epoch_micros("ts", ev.schema["ts"].dataType)).alias("julian"))
+
+
+_CONTRACT = {"card_number": "int", "ts": "datetime", "amount": "float", "vendor_code": "int",
+             "event_type": "varchar"}
+
+
+@register("reject_bad_rows", f"""
+SELECT reason AS reject_reason, count(*) AS n FROM (
+  SELECT coalesce(
+    CASE WHEN card_number IS NULL THEN 'card_number: missing'
+         WHEN TRY_CAST(card_number AS BIGINT) IS NULL THEN 'card_number: not int' END,
+    CASE WHEN ts IS NULL THEN 'ts: missing' END,
+    CASE WHEN amount IS NULL THEN 'amount: missing' END,
+    CASE WHEN vendor_code IS NULL THEN 'vendor_code: missing'
+         WHEN TRY_CAST(vendor_code AS BIGINT) IS NULL THEN 'vendor_code: not int' END,
+    CASE WHEN event_type IS NULL THEN 'event_type: missing' END) AS reason
+  FROM ({EVENT_TRANSACTIONS_SQL}) t) r GROUP BY reason""")
+def q_reject_bad_rows(spark, sf_dir):
+    checked = split_bad_rows(event_transactions(spark, sf_dir), _CONTRACT)
+    return checked.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))
