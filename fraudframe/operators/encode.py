@@ -18,10 +18,11 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fraudframe.functions.columns import epoch_micros, julian_date
+from fraudframe.functions.ranking import index_sorted
 from fraudframe.operators.profile import TableProfile, type_category
 from fraudframe.plans.spec import FLOAT, FRAUD_TYPE, INT, JULIAN, LABEL_ENCODER, OMIT, EncodingPlan
 
@@ -46,24 +47,10 @@ def encoded_field_names(columns: list[str], encoding: dict[str, str], key: str |
 
 
 def dense_index(values: DataFrame, col: str, code: str = "code") -> DataFrame:
-    """Distinct values of ``col`` with codes 0..n-1 in ascending order.
-
-    A distributed zip-with-index: range-partitioned sort, per-partition row
-    counts (one small row per partition), their running offsets broadcast
-    back.  No single task sees all values.
-    """
+    """Distinct values of ``col`` with codes 0..n-1 in ascending order
+    (distributed: see ``functions.ranking.index_sorted``)."""
     distinct = values.select(col).distinct().filter(F.col(col).isNotNull())
-    ordered = (distinct.orderBy(col)
-               .withColumn("__pid", F.spark_partition_id())
-               .withColumn("__mid", F.monotonically_increasing_id()))
-    # rows are numbered inside a partition: mid = (pid << 33) + position
-    ordered = ordered.withColumn("__pos", F.col("__mid").bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = ordered.groupBy("__pid").agg(F.count(F.lit(1)).alias("__cnt"))
-    w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__pid", F.coalesce(F.sum("__cnt").over(w), F.lit(0)).alias("__off"))
-    # one row per partition of the sort: bounded by the partition count
-    return (ordered.join(F.broadcast(offsets), "__pid")
-            .select(col, (F.col("__off") + F.col("__pos")).cast("bigint").alias(code)))
+    return index_sorted(distinct, [col], code)
 
 
 @dataclass

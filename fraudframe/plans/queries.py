@@ -193,3 +193,84 @@ SELECT reason AS reject_reason, count(*) AS n FROM (
 def q_reject_bad_rows(spark, sf_dir):
     checked = split_bad_rows(event_transactions(spark, sf_dir), _CONTRACT)
     return checked.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --------------------------------------------------------------------------
+# I: metrics of a rule-based prediction (amount above the card's 3-day mean)
+# --------------------------------------------------------------------------
+
+from fraudframe.operators.metrics import binary_metrics, metrics_sql  # noqa: E402
+from fraudframe.operators.scale import scale  # noqa: E402
+
+
+def _rule_predictions(spark, sf_dir) -> DataFrame:
+    tx = event_transactions(spark, sf_dir).select("id", "card_number", "ts", "amount", "fraud")
+    spec = LookbackSpec("card_number", "ts", "amount", (3,), label="fraud")
+    f = add_lookback_features(tx, spec)
+    return f.select("fraud", (F.col("amount_current_minus_average_3") > 0).cast("int").alias("prediction"))
+
+
+_RULE_SQL = (f"SELECT l.fraud, CAST(f.amount_current_minus_average_3 > 0 AS INTEGER) AS prediction "
+             f"FROM ({lookback_sql.canonical_sql(_LB_SRC, 'amount', (3,), None)}) f "
+             f"JOIN ({EVENT_TRANSACTIONS_SQL}) l ON f.id = l.id")
+
+
+def _metrics_query(convention):
+    def run(spark, sf_dir):
+        m = binary_metrics(_rule_predictions(spark, sf_dir), "fraud", "prediction", convention)
+        return m.select(*[F.round(c, DIGITS).alias(c) for c in m.columns])
+    return run
+
+
+def _metrics_oracle(convention):
+    sql = metrics_sql(_RULE_SQL, "fraud", "prediction", convention)
+    from fraudframe.operators.metrics import METRIC_COLUMNS
+    return f"SELECT {', '.join(f'round({c}, {DIGITS}) AS {c}' for c in METRIC_COLUMNS)} FROM ({sql}) m"
+
+
+register("metrics_standard", _metrics_oracle("standard"))(_metrics_query("standard"))
+register("metrics_reference", _metrics_oracle("reference"))(_metrics_query("reference"))
+
+
+# --------------------------------------------------------------------------
+# F: scalers over two event columns (amount, vendor code as a number)
+# --------------------------------------------------------------------------
+
+_SC_SRC = f"SELECT id, amount AS x1, CAST(vendor_code AS DOUBLE) AS x2 FROM ({EVENT_TRANSACTIONS_SQL}) t"
+
+
+def _scale_frame(spark, sf_dir) -> DataFrame:
+    tx = event_transactions(spark, sf_dir)
+    return tx.select("id", F.col("amount").alias("x1"), F.col("vendor_code").cast("double").alias("x2"))
+
+
+def _scale_query(kind):
+    def run(spark, sf_dir):
+        out = scale(_scale_frame(spark, sf_dir), ["x1", "x2"], kind)
+        return out.select("id", *[F.round(c, DIGITS).alias(c) for c in ("x1", "x2")])
+    return run
+
+
+def _scale_sql(center: str, spread: str) -> str:
+    def one(c):
+        cen, spr = center.format(c=c), spread.format(c=c)
+        return (f"round((s.{c} - a.{c}_c) / (CASE WHEN a.{c}_s = 0 OR a.{c}_s IS NULL THEN 1 ELSE a.{c}_s END), "
+                f"{DIGITS}) AS {c}"), f"{cen} AS {c}_c, {spr} AS {c}_s"
+    sel, agg = zip(*(one(c) for c in ("x1", "x2")))
+    return (f"SELECT s.id, {', '.join(sel)} FROM ({_SC_SRC}) s, "
+            f"(SELECT {', '.join(agg)} FROM ({_SC_SRC}) t) a")
+
+
+for _kind, _c, _s in (
+        ("standard", "avg({c})", "stddev_pop({c})"),
+        ("min_max", "min({c})", "max({c}) - min({c})"),
+        ("max_abs", "0.0", "max(abs({c}))"),
+        ("robust", "quantile_cont({c}, 0.5)", "quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)")):
+    register(f"scale_{_kind}", _scale_sql(_c, _s))(_scale_query(_kind))
+
+register("normalize_l2", f"""
+SELECT id, round(x1 / n, {DIGITS}) AS x1, round(x2 / n, {DIGITS}) AS x2
+FROM (SELECT id, x1, x2, CASE WHEN sqrt(x1 * x1 + x2 * x2) = 0 THEN 1 ELSE sqrt(x1 * x1 + x2 * x2) END AS n
+      FROM ({_SC_SRC}) s) t""")(_scale_query("normalizer"))
+register("scale_quantile_uniform")(_scale_query("quantile_uniform"))
+register("scale_quantile_normal")(_scale_query("quantile_normal"))
