@@ -274,3 +274,111 @@ FROM (SELECT id, x1, x2, CASE WHEN sqrt(x1 * x1 + x2 * x2) = 0 THEN 1 ELSE sqrt(
       FROM ({_SC_SRC}) s) t""")(_scale_query("normalizer"))
 register("scale_quantile_uniform")(_scale_query("quantile_uniform"))
 register("scale_quantile_normal")(_scale_query("quantile_normal"))
+
+
+# --------------------------------------------------------------------------
+# E: split and resampling (exact counts), H3: k nearest neighbours
+# --------------------------------------------------------------------------
+
+from fraudframe.operators import knn as _knn  # noqa: E402
+from fraudframe.operators.resample import over_sample, split_train_test, under_sample  # noqa: E402
+
+_TX = f"({EVENT_TRANSACTIONS_SQL}) t"
+
+
+@register("split_counts", f"""
+SELECT is_test, n FROM (
+  SELECT true AS is_test, CAST(ceil(count(*) * 0.25) AS BIGINT) AS n FROM {_TX}
+  UNION ALL SELECT false AS is_test, count(*) - CAST(ceil(count(*) * 0.25) AS BIGINT) AS n FROM {_TX}) s""")
+def q_split_counts(spark, sf_dir):
+    s = split_train_test(event_transactions(spark, sf_dir), "id", 0.25, 0)
+    return s.groupBy("is_test").agg(F.count(F.lit(1)).alias("n"))
+
+
+_CLASS_N = f"(SELECT count_if(fraud = 1) AS n1, count_if(fraud = 0) AS n0 FROM {_TX}) c"
+
+
+@register("under_sample_counts", f"""
+SELECT fraud, n FROM (SELECT 1 AS fraud, n1 AS n FROM {_CLASS_N}
+                      UNION ALL SELECT 0 AS fraud, CAST(floor(n1 / 0.5) AS BIGINT) AS n FROM {_CLASS_N}) s""")
+def q_under_sample_counts(spark, sf_dir):
+    u = under_sample(event_transactions(spark, sf_dir), "fraud", "id")
+    return u.groupBy("fraud").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("over_sample_counts", f"""
+SELECT fraud, n FROM (SELECT 0 AS fraud, n0 AS n FROM {_CLASS_N}
+                      UNION ALL SELECT 1 AS fraud, CAST(floor(0.5 * n0) AS BIGINT) AS n FROM {_CLASS_N}) s""")
+def q_over_sample_counts(spark, sf_dir):
+    o = over_sample(event_transactions(spark, sf_dir), "fraud", "id")
+    return o.groupBy("fraud").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("knn_topk", """
+SELECT q_vec_id, r_vec_id, nn_rank FROM (
+  SELECT a.vec_id AS q_vec_id, b.vec_id AS r_vec_id,
+         row_number() OVER (PARTITION BY a.vec_id ORDER BY
+           list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), b.vec_id) AS nn_rank
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) r
+WHERE nn_rank <= 5""")
+def q_knn_topk(spark, sf_dir):
+    emb = table(spark, sf_dir, "embeddings")
+    return _knn.knn(emb, emb, 5, "vec_id", "vec_id", "embedding", exclude_same_id=True) \
+        .select("q_vec_id", "r_vec_id", "nn_rank")
+
+
+def _embedding_frame(spark, sf_dir, dims: int = 64):
+    emb = table(spark, sf_dir, "embeddings")
+    return emb.select("vec_id", (F.col("label") == 0).cast("int").alias("y"),
+                      *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(dims)])
+
+
+@register("smote_enn_counts")
+def q_smote_enn_counts(spark, sf_dir):
+    df = _embedding_frame(spark, sf_dir)
+    out = _knn.smote_enn(df, "vec_id", "y", [f"e{i}" for i in range(64)])
+    return out.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --------------------------------------------------------------------------
+# G, H: full fit jobs (rows-only checks): one metrics row per model
+# --------------------------------------------------------------------------
+
+from fraudframe.plans.fit_job import fit_job  # noqa: E402
+from fraudframe.plans.spec import MODELS, FeatureParams, TrainJob  # noqa: E402
+from fraudframe.operators.select import fit_selector  # noqa: E402
+
+FIT_PLAN = EncodingPlan(
+    "events", "ts",
+    {"card_number": "float", "ts": "julian", "vendor_code": "int", "event_type": "omit", "fraud": "fraud_type"},
+    FeatureParams("amount", (3, 7)), entity="card_number", key="id")
+
+
+def _fit_query(model: int, selector: int = 2, scaler: int = 1, sampler: int = 1):
+    def run(spark, sf_dir):
+        b = fit_job(event_transactions(spark, sf_dir), FIT_PLAN,
+                    TrainJob("events-plan", model=model, selector=selector, scaler=scaler, sampler=sampler))
+        return b.metrics.select(F.lit(MODELS[model]).alias("model"), "*")
+    return run
+
+
+for _code in MODELS:
+    register(f"fit_{MODELS[_code]}")(_fit_query(_code))
+register("fit_smote_enn_logistic")(_fit_query(1, sampler=3))
+
+
+def _selector_query(kind: str):
+    def run(spark, sf_dir):
+        from pyspark.ml.feature import VectorAssembler
+        df = _embedding_frame(spark, sf_dir)
+        cols = [f"e{i}" for i in range(64)]
+        a = VectorAssembler(inputCols=cols, outputCol="features").transform(df)
+        m = fit_selector(kind, a, "vec_id", "y")
+        from pyspark.ml.functions import vector_to_array
+        return m.transform(a).select("vec_id", vector_to_array("features").alias("selected"))
+    return run
+
+
+register("select_pca95")(_selector_query("pca_95"))
+register("select_svd2")(_selector_query("truncated_svd_2"))
+register("select_rfecv")(_selector_query("rfecv_random_forest"))
