@@ -382,3 +382,55 @@ def _selector_query(kind: str):
 register("select_pca95")(_selector_query("pca_95"))
 register("select_svd2")(_selector_query("truncated_svd_2"))
 register("select_rfecv")(_selector_query("rfecv_random_forest"))
+
+
+# --------------------------------------------------------------------------
+# J: streaming.  The events table is replayed in four time slices, one per
+# micro-batch, through the keyed look-back state; the oracle is the batch SQL.
+# --------------------------------------------------------------------------
+
+import os  # noqa: E402
+
+from fraudframe.sources.replay import scratch_dir, write_time_slices  # noqa: E402
+from fraudframe.streaming.lookback_state import stream_lookback  # noqa: E402
+
+
+def _replayed_events(spark, sf_dir, name):
+    tx = event_transactions(spark, sf_dir).select("id", "card_number", "ts", "amount", "fraud")
+    base = scratch_dir(spark, name)
+    write_time_slices(tx, "ts", os.path.join(base, "src"), 4)
+    src = spark.readStream.schema(tx.schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(base, "src"))
+    return tx, src, base
+
+
+@register("stream_lookback", _lookback_oracle(lookback_sql.canonical_sql, (3, 7)))
+def q_stream_lookback(spark, sf_dir):
+    _, src, base = _replayed_events(spark, sf_dir, "stream-lookback")
+    spec = LookbackSpec("card_number", "ts", "amount", (3, 7), label="fraud")
+    q = (stream_lookback(src, spec, "id").writeStream.format("parquet")
+         .option("path", os.path.join(base, "out")).option("checkpointLocation", os.path.join(base, "ck"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return _rounded(spark.read.parquet(os.path.join(base, "out")), ["id"], feature_names("amount", (3, 7)))
+
+
+@register("stream_score_all_models")
+def q_stream_score(spark, sf_dir):
+    """Fit two models on the first three quarters of time, then score the
+    replayed stream with both (long form: one row per event and model)."""
+    from fraudframe.streaming.score import ModelRegistry, start_scoring
+    tx = event_transactions(spark, sf_dir)
+    raw_stream_tx, src, base = None, None, scratch_dir(spark, "stream-score")
+    write_time_slices(tx, "ts", os.path.join(base, "src"), 4)
+    src = spark.readStream.schema(tx.schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(base, "src"))
+    reg = ModelRegistry()
+    for code in (1, 5):
+        b = fit_job(tx, FIT_PLAN, TrainJob("events-plan", model=code, selector=2, scaler=1, sampler=1))
+        reg.register(MODELS[code], b)
+    any_bundle = next(iter(reg.models.values()))
+    q = start_scoring(src, any_bundle.encoder, any_bundle.lookback, reg, os.path.join(base, "out"),
+                      os.path.join(base, "ck"), contract=_CONTRACT)
+    q.awaitTermination()
+    return spark.read.parquet(os.path.join(base, "out")).select(
+        "id", "model_id", "prediction", F.round("positive_probability", DIGITS).alias("positive_probability"),
+        F.round("negative_probability", DIGITS).alias("negative_probability"))
