@@ -434,3 +434,20 @@ def q_stream_score(spark, sf_dir):
     return spark.read.parquet(os.path.join(base, "out")).select(
         "id", "model_id", "prediction", F.round("positive_probability", DIGITS).alias("positive_probability"),
         F.round("negative_probability", DIGITS).alias("negative_probability"))
+
+
+# --------------------------------------------------------------------------
+# K: runs, estimators, metrics and the leaderboard (rows-only)
+# --------------------------------------------------------------------------
+
+@register("leaderboard")
+def q_leaderboard(spark, sf_dir):
+    from fraudframe.plans.store import Store
+    st = Store(spark, scratch_dir(spark, "store"))
+    pid = st.save_plan(FIT_PLAN)
+    tx = event_transactions(spark, sf_dir)
+    for code in (1, 4, 5):
+        job = TrainJob(pid, model=code, selector=2, scaler=1, sampler=1)
+        jid = st.save_job(job)
+        st.save_estimator(jid, fit_job(tx, FIT_PLAN, job))
+    return st.leaderboard().select("model", *[F.round(c, DIGITS).alias(c) for c in ("MCC", "f1", "accuracy")])
