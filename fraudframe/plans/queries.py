@@ -451,3 +451,27 @@ def q_leaderboard(spark, sf_dir):
         jid = st.save_job(job)
         st.save_estimator(jid, fit_job(tx, FIT_PLAN, job))
     return st.leaderboard().select("model", *[F.round(c, DIGITS).alias(c) for c in ("MCC", "f1", "accuracy")])
+
+
+# --------------------------------------------------------------------------
+# D on the second transaction table: orders by customer, whole-day times
+# (tied customer/date groups, single-row customers), 30-day interval
+# --------------------------------------------------------------------------
+
+from fraudframe.sources.testdata import ORDER_TRANSACTIONS_SQL, order_transactions  # noqa: E402
+
+_ORD_SRC = f"SELECT id, card_number AS card, epoch_us(ts) AS us, amount AS v FROM ({ORDER_TRANSACTIONS_SQL}) t"
+
+
+def _orders_query(profile):
+    def run(spark, sf_dir):
+        tx = order_transactions(spark, sf_dir).select("id", "card_number", "ts", "amount")
+        spec = LookbackSpec("card_number", "ts", "amount", (30,), profile=profile)
+        return _rounded(add_lookback_features(tx, spec), ["id"], feature_names("amount", (30,)))
+    return run
+
+
+register("lookback_orders_canonical", lookback_sql.canonical_sql(_ORD_SRC, "amount", (30,), DIGITS))(
+    _orders_query("canonical"))
+register("lookback_orders_serve", lookback_sql.serve_sql(_ORD_SRC, "amount", (30,), DIGITS))(
+    _orders_query("serve"))

@@ -93,8 +93,88 @@ def features_for(us_all: np.ndarray, v_all: np.ndarray, newest_before: int | Non
     return out
 
 
+def _window_matrix(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Rows i = values[lo[i]:hi[i]], NaN-padded to the widest window."""
+    width = int((hi - lo).max()) if len(lo) else 0
+    if width <= 0:
+        return np.full((len(lo), 1), np.nan)
+    idx = lo[:, None] + np.arange(width)[None, :]
+    inside = idx < hi[:, None]
+    return np.where(inside, values[np.clip(idx, 0, max(len(values) - 1, 0))] if len(values) else np.nan, np.nan)
+
+
+def _nan_stats(m: np.ndarray):
+    n = (~np.isnan(m)).sum(1)
+    with np.errstate(all="ignore"):
+        import warnings
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", RuntimeWarning)
+            mean = np.where(n > 0, np.nanmean(m, 1), 0.0)
+            med = np.where(n > 0, np.nanmedian(m, 1), 0.0)
+            dev = np.where(n >= 2, np.nanstd(m, 1, ddof=1), 0.0)
+    return n, np.nan_to_num(mean), np.nan_to_num(med), np.nan_to_num(dev)
+
+
+def _sdiv(a, b):
+    b = np.asarray(b, dtype=float)
+    with np.errstate(all="ignore"):
+        return np.where(b != 0, np.asarray(a, dtype=float) / np.where(b != 0, b, 1.0), 0.0)
+
+
+def features_block(all_us: np.ndarray, all_v: np.ndarray, newest_state: int | None, t: np.ndarray,
+                   v: np.ndarray, intervals, profile: str) -> np.ndarray:
+    """Vectorised ``features_for`` for many rows of one entity: ``all_us``
+    (sorted) holds the kept history and the rows themselves."""
+    n = len(t)
+    hi = np.searchsorted(all_us, t, side="left")
+    prev = np.where(hi > 0, all_us[np.maximum(hi - 1, 0)], np.iinfo(np.int64).min)
+    if newest_state is not None:
+        prev = np.where(newest_state < t, np.maximum(prev, newest_state), prev)
+    has_prior = prev > np.iinfo(np.int64).min
+    n_today = 1 + hi - np.searchsorted(all_us, t - D, side="right")
+    gp = np.diff(all_us).astype(float) / D if len(all_us) > 1 else np.zeros(0)
+    cols = []
+    for k in intervals:
+        lo = np.searchsorted(all_us, t - k * D, side="right")
+        if profile == "canonical":
+            _, a, m, s = _nan_stats(_window_matrix(all_v, lo, hi))
+            buckets = np.stack([np.searchsorted(all_us, t - i * D, side="left") -
+                                np.searchsorted(all_us, t - (i + 1) * D, side="right") for i in range(k)], 1)
+            an, mn = buckets.mean(1), np.median(buckets, 1)
+            g = np.where(has_prior, (t - prev) / D, 0.0)
+            cnt = hi - lo
+            ag = np.where(cnt >= 2, (all_us[np.maximum(hi - 1, 0)] - all_us[np.minimum(lo, len(all_us) - 1)])
+                          / D / np.maximum(cnt - 1, 1), 0.0)
+            _, _, mg, _ = _nan_stats(_window_matrix(gp, lo, np.maximum(hi - 1, lo)))
+            block = [_sdiv(v, a), v - a, _sdiv(v, m), v - m, _sdiv(v - a, s), v - a - s,
+                     _sdiv(n_today, an), n_today - an, _sdiv(n_today, mn), n_today - mn,
+                     _sdiv(ag, g), ag - g, _sdiv(mg, g), mg - g]
+            cols += [np.where(has_prior, c, 0.0) for c in block]
+        else:
+            wv = _window_matrix(all_v, lo, hi)
+            cnt = hi - lo
+            vals = np.concatenate([wv, v[:, None]], 1)
+            _, a, m, s = _nan_stats(vals)
+            newest_k = all_us[np.maximum(hi - 1, 0)] if len(all_us) else t
+            g = (t - newest_k) / D
+            ag = (t - all_us[np.minimum(lo, len(all_us) - 1)]) / D / np.maximum(cnt, 1)
+            wg = _window_matrix(gp, lo, np.maximum(hi - 1, lo))
+            _, _, mg, _ = _nan_stats(np.concatenate([wg, g[:, None]], 1))
+            avg_nr = (cnt + 1) / k
+            mn = np.empty(n)
+            for i in range(n):
+                days = (np.append(all_us[lo[i]:hi[i]], t[i]) + D // 2) // D
+                mn[i] = float(np.median(np.unique(days, return_counts=True)[1]))
+            block = [_sdiv(v, a), v - a, _sdiv(v, m), v - m, _sdiv(v - a, s), v - a - s,
+                     _sdiv(n_today, avg_nr), n_today - avg_nr, _sdiv(n_today, mn), n_today - mn,
+                     _sdiv(ag, g), ag - g, _sdiv(mg, g), mg - g]
+            cols += [np.where(cnt > 0, c, 0.0) for c in block]
+    return np.stack(cols, 1) if cols else np.zeros((n, 0))
+
+
 def _state_fn(spec: LookbackSpec, key_col: str, keep_us: int, out_cols: list[str]):
     intervals, profile = spec.intervals, spec.profile
+    names = feature_names(spec.value, intervals)
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -113,23 +193,13 @@ def _state_fn(spec: LookbackSpec, key_col: str, keep_us: int, out_cols: list[str
             v_h = np.asarray(v_s, dtype=float)
         else:
             us_h, v_h, newest = np.zeros(0, np.int64), np.zeros(0, float), None
-        batch = batch.sort_values("__us", kind="stable").reset_index(drop=True)
         b_us = batch["__us"].to_numpy(np.int64)
         b_v = batch["__v"].to_numpy(float)
         all_us = np.concatenate([us_h, b_us])
         all_v = np.concatenate([v_h, b_v])
         order = np.argsort(all_us, kind="stable")
         all_us, all_v = all_us[order], all_v[order]
-        rows = []
-        for i in range(len(batch)):
-            t = int(b_us[i])
-            hi = int(np.searchsorted(all_us, t, side="left"))
-            prior_us, prior_v = all_us[:hi], all_v[:hi]
-            nb = int(prior_us[-1]) if hi else None
-            if newest is not None and newest < t:
-                nb = max(nb, newest) if nb is not None else newest
-            rows.append(features_for(prior_us, prior_v, nb, t, float(b_v[i]), intervals, profile))
-        feats = pd.DataFrame(rows, columns=feature_names(spec.value, intervals))
+        feats = pd.DataFrame(features_block(all_us, all_v, newest, b_us, b_v, intervals, profile), columns=names)
         out = pd.concat([batch.drop(columns=["__us", "__v"]), feats], axis=1)
         # history kept: everything newer than (newest - max(K) days - lateness)
         top = int(all_us[-1])

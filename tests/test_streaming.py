@@ -46,3 +46,21 @@ def test_stream_equals_batch_edge_rows(spark):
     spec = LookbackSpec("card", "ts", "amount", (1, 3), label="fraud")
     out = _run_stream(spark, df, spec, "id", 5)
     _compare(out, add_lookback_features(df, spec), feature_names("amount", (1, 3)), "id")
+
+
+@pytest.mark.parametrize("profile", ["canonical", "serve"])
+def test_block_matches_row_formulas(profile):
+    import numpy as np
+    from fraudframe.streaming.lookback_state import features_block, features_for
+    rng = np.random.default_rng(3)
+    D = 86_400_000_000
+    us = np.sort(rng.integers(0, 9 * D, 60))
+    us[10] = us[11]  # a tie
+    v = rng.normal(50, 10, 60).round(2)
+    t, tv = us[30:], v[30:]
+    block = features_block(us, v, None, t, tv, (1, 3), profile)
+    for i in range(len(t)):
+        hi = int(np.searchsorted(us, t[i], side="left"))
+        nb = int(us[hi - 1]) if hi else None
+        row = features_for(us[:hi], v[:hi], nb, int(t[i]), float(tv[i]), (1, 3), profile)
+        assert np.allclose(block[i], row, rtol=1e-9, atol=1e-9), (i, block[i], row)
