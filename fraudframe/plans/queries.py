@@ -381,7 +381,19 @@ def _selector_query(kind: str):
 
 register("select_pca95")(_selector_query("pca_95"))
 register("select_svd2")(_selector_query("truncated_svd_2"))
-register("select_rfecv")(_selector_query("rfecv_random_forest"))
+@register("select_rfecv")
+def q_select_rfecv(spark, sf_dir):
+    """Recursive elimination (5 folds, step 1, 100 trees) over the four
+    encoded event columns; returns the kept columns of every row."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    enc, _ = encode(event_transactions(spark, sf_dir), EncodingPlan(
+        "events", "ts", {"card_number": "float", "ts": "julian", "vendor_code": "int", "event_type": "omit",
+                         "fraud": "fraud_type"}, entity="card_number", key="id"))
+    cols = ["card_number", "ts", "amount", "vendor_code"]
+    a = VectorAssembler(inputCols=cols, outputCol="features").transform(enc.withColumn("fraud", F.col("fraud").cast("int")))
+    m = fit_selector("rfecv_random_forest", a, "id", "fraud")
+    return m.transform(a).select("id", vector_to_array("features").alias("selected"))
 
 
 # --------------------------------------------------------------------------
