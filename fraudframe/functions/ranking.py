@@ -1,10 +1,24 @@
-"""Distributed row numbering of a sorted DataFrame and exact quantiles.
+"""Distributed, deterministic ranking and exact quantiles.
 
-``index_sorted`` is a zip-with-index in DataFrame form: after a global
-(range-partitioned) sort, every partition holds a contiguous key range;
-rows are numbered inside a partition with ``monotonically_increasing_id``
-and shifted by the running row count of the earlier partitions (one small
-row per partition, broadcast).  No single task sees all rows.
+``index_sorted`` numbers rows 0..n-1 in a total order without a single
+global partition and without depending on a range exchange being computed
+the same way twice:
+
+1. bucket boundaries: a seeded sample of the first order column, sorted by
+   Spark, cut into at most ``MAX_BUCKETS`` pieces (driver: one value per
+   bucket);
+2. each row's bucket is a native binary CASE tree over the boundaries
+   (monotone in the order, so buckets are ordered ranges);
+3. per-bucket row counts (one small row per bucket) give offsets;
+4. rank = offset of the bucket + ``row_number()`` inside the bucket.
+
+Every step is a deterministic function of the data, so a recomputed stage
+(lost executor) yields the same ranks.  Callers order by a seeded hash or by
+distinct values, so a bucket never holds a long run of equal first keys.
+
+``exact_quantiles`` works on value counts (map-side combined, so a value
+repeated in a third of the rows is one row) with prefix sums over the
+sorted distinct values.
 """
 from __future__ import annotations
 
@@ -13,38 +27,107 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_POS_MASK = (1 << 33) - 1
+MAX_BUCKETS = 4096
+ROWS_PER_BUCKET = 1_000_000
+SAMPLE_PER_BUCKET = 40
+SEED = 17
+
+
+def _col(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def _boundaries(df: DataFrame, c: Column, n: int, buckets: int) -> list:
+    if buckets <= 1 or n == 0:
+        return []
+    frac = min(1.0, SAMPLE_PER_BUCKET * buckets / n)
+    sample = [r[0] for r in df.select(c.alias("__s")).filter(F.col("__s").isNotNull())
+              .sample(False, frac, SEED).orderBy("__s").collect()]
+    if not sample:
+        return []
+    step = len(sample) / buckets
+    out: list = []
+    for i in range(1, buckets):
+        v = sample[min(int(i * step), len(sample) - 1)]
+        if not out or v != out[-1]:
+            out.append(v)
+    return out
+
+
+def count_at_most(c: Column, bounds: list) -> Column:
+    """Number of ``bounds`` (ascending) that are <= c, as a binary CASE tree."""
+    def rec(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(c >= F.lit(bounds[mid]), rec(mid + 1, hi)).otherwise(rec(lo, mid))
+    return rec(0, len(bounds))
+
+
+def count_below(c: Column, bounds: list) -> Column:
+    """Number of ``bounds`` (ascending) that are < c."""
+    def rec(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(c > F.lit(bounds[mid]), rec(mid + 1, hi)).otherwise(rec(lo, mid))
+    return rec(0, len(bounds))
 
 
 def index_sorted(df: DataFrame, order: list[Column | str], name: str = "rank") -> DataFrame:
-    """Add a 0-based ``name`` column following ``order`` (ties broken by the
-    sort's own order)."""
-    ordered = (df.orderBy(*order)
-               .withColumn("__pid", F.spark_partition_id())
-               .withColumn("__pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_POS_MASK))))
-    counts = ordered.groupBy("__pid").agg(F.count(F.lit(1)).alias("__cnt"))
-    w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__pid", F.coalesce(F.sum("__cnt").over(w), F.lit(0)).alias("__off"))
-    # offsets has one row per sort partition: bounded by the partition count
-    return (ordered.join(F.broadcast(offsets), "__pid")
-            .withColumn(name, (F.col("__off") + F.col("__pos")).cast("bigint"))
-            .drop("__pid", "__pos", "__off"))
+    """Add a 0-based ``name`` column following ``order``; give a total order
+    (e.g. end with a unique key) for ranks that never change."""
+    n = df.count()
+    buckets = max(1, min(MAX_BUCKETS, math.ceil(n / ROWS_PER_BUCKET)))
+    c0 = _col(order[0])
+    bounds = _boundaries(df, c0, n, buckets)
+    tagged = df.withColumn("__bk", count_at_most(c0, bounds))
+    counts = sorted((r[0], r[1]) for r in tagged.groupBy("__bk").count().collect())
+    offsets, run = [], 0
+    for b, cnt in counts:
+        offsets.append((b, run))
+        run += cnt
+    spark = df.sparkSession
+    # one row per bucket: at most MAX_BUCKETS + 1 rows
+    off = spark.createDataFrame(offsets, "__bk int, __off long")
+    w = Window.partitionBy("__bk").orderBy(*order)
+    return (tagged.join(F.broadcast(off), "__bk")
+            .withColumn(name, (F.col("__off") + F.row_number().over(w) - 1).cast("bigint"))
+            .drop("__bk", "__off"))
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> list[float | None]:
     """Linear-interpolation quantiles (numpy's default) of the non-NULL
-    values of ``col``: one sort, then only the <= 2*len(probs) rows at the
-    needed ranks are brought to the driver."""
-    vals = df.select(F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull())
-    n = vals.count()
+    values of ``col``; only the values at the <= 2*len(probs) needed ranks
+    reach the driver."""
+    vc = (df.select(F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull())
+          .groupBy("x").agg(F.count(F.lit(1)).alias("c")))
+    n = vc.agg(F.sum("c")).first()[0] or 0
     if n == 0:
         return [None] * len(probs)
     pos = [(n - 1) * p for p in probs]
     need = sorted({int(math.floor(h)) for h in pos} | {int(math.ceil(h)) for h in pos})
-    ranked = index_sorted(vals, ["x"], "__r")
-    got = {r["__r"]: r["x"] for r in ranked.filter(F.col("__r").isin(need)).collect()}
+    # rows strictly before each distinct value: prefix sums in value order
+    nd = vc.count()
+    buckets = max(1, min(MAX_BUCKETS, math.ceil(nd / ROWS_PER_BUCKET)))
+    bounds = _boundaries(vc, F.col("x"), nd, buckets)
+    tagged = vc.withColumn("__bk", count_at_most(F.col("x"), bounds))
+    sums = sorted((r[0], r[1]) for r in tagged.groupBy("__bk").agg(F.sum("c")).collect())
+    offsets, run = [], 0
+    for b, s in sums:
+        offsets.append((b, run))
+        run += s
+    off = df.sparkSession.createDataFrame(offsets, "__bk int, __off long")
+    w = Window.partitionBy("__bk").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("__off") + F.coalesce(F.sum("c").over(w), F.lit(0))
+    ranked = tagged.join(F.broadcast(off), "__bk").withColumn("__cb", before)
+    lo = count_below(F.col("__cb"), need)
+    hi = count_below(F.col("__cb") + F.col("c"), need)
+    hits = (ranked.withColumn("__lo", lo).withColumn("__hi", hi).filter(F.col("__hi") > F.col("__lo"))
+            .select("x", F.explode(F.sequence("__lo", F.col("__hi") - 1)).alias("__i")).collect())
+    got = {need[r["__i"]]: r["x"] for r in hits}
     out = []
     for h in pos:
-        lo, hi = int(math.floor(h)), int(math.ceil(h))
-        out.append(got[lo] + (got[hi] - got[lo]) * (h - lo))
+        a, b = int(math.floor(h)), int(math.ceil(h))
+        out.append(got[a] + (got[b] - got[a]) * (h - a))
     return out

@@ -76,10 +76,11 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, q_id: str, r_id: str, vec:
     cells = sorted(stats)
     counts = np.array([stats[c][0] for c in cells], dtype=float)
     radius = np.array([stats[c][1] for c in cells], dtype=float)
-    nsub = {c: max(1, math.ceil(stats[c][0] / BLOCK)) for c in cells}
-    Ra = Ra.withColumn("__sub", F.pmod(F.xxhash64("__rid", F.lit(seed + 1)),
-                                       F.element_at(F.create_map(*[x for c in cells for x in (F.lit(c), F.lit(nsub[c]))]),
-                                                    F.col("__cell"))))
+    # cells: one row per pivot (<= MAX_PIVOTS), with its number of blocks
+    cells_df = spark.createDataFrame([(int(c), max(1, math.ceil(stats[c][0] / BLOCK))) for c in cells],
+                                     "__cell long, __nsub long")
+    Ra = (Ra.join(F.broadcast(cells_df), "__cell")
+          .withColumn("__sub", F.pmod(F.xxhash64("__rid", F.lit(seed + 1)), F.col("__nsub"))).drop("__nsub"))
     need = k + (1 if exclude_same_id else 0)
     bc = spark.sparkContext.broadcast((pivots, np.array(cells), counts, radius))
 
@@ -106,18 +107,17 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, q_id: str, r_id: str, vec:
                                 "__cell": np.concatenate(out_c).astype("int64")})
 
     Qc = Q.mapInPandas(candidates, T.StructType(Q.schema.fields + [T.StructField("__cell", T.LongType())]))
-    subs = spark.createDataFrame([(c, s) for c in cells for s in range(nsub[c])], "__cell long, __sub long")
-    # (cell, block) table: one row per block, bounded by rows / BLOCK + cells
+    subs = cells_df.select("__cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__nsub") - 1)).alias("__sub"))
     Qb = Qc.join(F.broadcast(subs), "__cell")
-    per_block = {(r[0], r[1]): r[2] for r in Qb.groupBy("__cell", "__sub").count().collect()}
-    chunks = spark.createDataFrame(
-        [(c, s, q) for (c, s), n in per_block.items() for q in range(max(1, math.ceil(n / QBLOCK)))],
-        "__cell long, __sub long, __qc long")
-    nq = {key: max(1, math.ceil(n / QBLOCK)) for key, n in per_block.items()}
-    nq_map = F.create_map(*[x for (c, s), v in nq.items() for x in (F.lit(f"{c}:{s}"), F.lit(v))])
-    Qb = Qb.withColumn("__qc", F.pmod(F.xxhash64("__qid", F.lit(seed + 2)),
-                                      F.element_at(nq_map, F.concat_ws(":", "__cell", "__sub"))))
-    Rb = Ra.join(F.broadcast(chunks), ["__cell", "__sub"])
+    # queries per block, cut into chunks of at most QBLOCK; these tables have
+    # one row per block (grows with rows / BLOCK): Spark picks the join kind
+    blocks = (Qb.groupBy("__cell", "__sub").agg(F.count(F.lit(1)).alias("__n"))
+              .withColumn("__nq", F.ceil(F.col("__n") / F.lit(QBLOCK)).cast("long")).drop("__n"))
+    Qb = (Qb.join(blocks, ["__cell", "__sub"])
+          .withColumn("__qc", F.pmod(F.xxhash64("__qid", F.lit(seed + 2)), F.col("__nq"))).drop("__nq"))
+    chunks = blocks.select("__cell", "__sub",
+                           F.explode(F.sequence(F.lit(0).cast("long"), F.col("__nq") - 1)).alias("__qc"))
+    Rb = Ra.join(chunks, ["__cell", "__sub"])
     carry_schema = "".join(f", {f.simpleString().replace(':', ' ', 1)}" for f in R.select(*carry).schema.fields)
 
     def local_topk(rk, qk):
