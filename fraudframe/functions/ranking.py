@@ -74,10 +74,11 @@ def count_below(c: Column, bounds: list) -> Column:
     return rec(0, len(bounds))
 
 
-def index_sorted(df: DataFrame, order: list[Column | str], name: str = "rank") -> DataFrame:
+def index_sorted(df: DataFrame, order: list[Column | str], name: str = "rank", n: int | None = None) -> DataFrame:
     """Add a 0-based ``name`` column following ``order``; give a total order
-    (e.g. end with a unique key) for ranks that never change."""
-    n = df.count()
+    (e.g. end with a unique key) for ranks that never change.  ``n``: the row
+    count when the caller knows it."""
+    n = df.count() if n is None else n
     buckets = max(1, min(MAX_BUCKETS, math.ceil(n / ROWS_PER_BUCKET)))
     c0 = _col(order[0])
     bounds = _boundaries(df, c0, n, buckets)

@@ -139,8 +139,12 @@ class EncoderModel:
 
 
 def fit_encoder(df: DataFrame, plan: EncodingPlan) -> EncoderModel:
+    from fraudframe.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
     types = {f.name: type_category(f.dataType) for f in df.schema.fields}
-    dicts = {c: dense_index(df, c) for c, e in plan.encoding.items() if e == LABEL_ENCODER}
+    # a dictionary is a fitted artifact: computed once (one distinct over the
+    # table), stored in the checkpoint folder, then counted and joined cheaply
+    dicts = {c: dense_index(df, c).checkpoint() for c, e in plan.encoding.items() if e == LABEL_ENCODER}
     return EncoderModel(plan, list(df.columns), types, dicts)
 
 

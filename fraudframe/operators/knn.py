@@ -183,6 +183,8 @@ class KNNClassifier:
 
     def fit(self, df: DataFrame) -> KNNModel:
         from pyspark.ml.functions import vector_to_array
+        from fraudframe.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
         train = (df.select(F.monotonically_increasing_id().alias("__tid"),
                            vector_to_array(F.col(self.features)).alias("__f"),
                            F.col(self.label).alias("__y"))
@@ -245,5 +247,7 @@ def edited_nearest_neighbours(df: DataFrame, key: str, label: str, cols: list[st
 
 
 def smote_enn(df: DataFrame, key: str, label: str, cols: list[str], ratio: float = 0.5, seed: int = 0) -> DataFrame:
+    from fraudframe.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
     over = smote(df, key, label, cols, ratio, seed=seed).checkpoint()
     return edited_nearest_neighbours(over, key, label, cols, seed=seed)

@@ -37,7 +37,7 @@ def split_train_test(df: DataFrame, key: str, test_size: float = 0.25, seed: int
         raise ValueError("test_size must be strictly between 0 and 1")
     n = df.count()
     n_test = math.ceil(n * test_size)
-    ranked = index_sorted(df.withColumn("__h", _hash(key, seed)), ["__h", key], "__r")
+    ranked = index_sorted(df.withColumn("__h", _hash(key, seed)), ["__h", key], "__r", n=n)
     return ranked.withColumn("is_test", F.col("__r") < n_test).drop("__h", "__r")
 
 
@@ -59,7 +59,7 @@ def under_sample(df: DataFrame, label: str, key: str, ratio: float = SAMPLING_RA
         raise RatioAlreadyReached(f"minority/majority is already {counts[mino] / counts[majo]:.3f} > {ratio}")
     keep = int(counts[mino] / ratio)
     maj = df.filter(F.col(label) == majo).withColumn("__h", _hash(key, seed))
-    kept = index_sorted(maj, ["__h", key], "__r").filter(F.col("__r") < keep).drop("__h", "__r")
+    kept = index_sorted(maj, ["__h", key], "__r", n=counts[majo]).filter(F.col("__r") < keep).drop("__h", "__r")
     return df.filter(F.col(label) == mino).unionByName(kept)
 
 
@@ -74,7 +74,7 @@ def over_sample(df: DataFrame, label: str, key: str, ratio: float = SAMPLING_RAT
         return df
     spark = df.sparkSession
     minority = index_sorted(df.filter(F.col(label) == mino).withColumn("__h", _hash(key, seed)),
-                            ["__h", key], "__r").drop("__h")
+                            ["__h", key], "__r", n=n_min).drop("__h")
     draws = spark.range(extra).select(
         F.pmod(F.xxhash64(F.col("id"), F.lit(seed + 1)), F.lit(n_min)).alias("__r"))
     # equi-join on the drawn index; both sides grow with the data, so Spark

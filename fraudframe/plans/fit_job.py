@@ -12,6 +12,7 @@ import json
 import os
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from fraudframe.operators.metrics import binary_metrics
 from fraudframe.operators.resample import over_sample, split_train_test, under_sample
 from fraudframe.operators.scale import ScalerModel, fit_scaler
 from fraudframe.operators.select import SelectorModel, fit_selector
+from fraudframe.session import ensure_checkpoint_dir
 from fraudframe.plans.spec import MODELS, SAMPLERS, SCALERS, SELECTORS, EncodingPlan, TrainJob
 
 
@@ -76,6 +78,7 @@ def model_features(columns: list[str], label: str, drop: tuple[str, ...] = ()) -
 
 def fit_job(raw: DataFrame, plan: EncodingPlan, job: TrainJob, rfecv_args: dict | None = None) -> FittedBundle:
     job.validate()
+    ensure_checkpoint_dir(raw.sparkSession)
     label = plan.label
     if label is None:
         raise ValueError("plan has no single fraud_type column")
@@ -88,9 +91,10 @@ def fit_job(raw: DataFrame, plan: EncodingPlan, job: TrainJob, rfecv_args: dict
                             label=label, profile=plan.profile)
         data = add_lookback_features(encoded, spec)
     key = plan.key or ENTITY
-    data = data.withColumn(label, F.col(label).cast("int"))
-    # cut the lineage once: split, resampling and every fit read this table
-    data = split_train_test(data, key, job.test_size, job.seed).checkpoint()
+    # cut the lineage once: the feature table is computed one time and every
+    # later pass (split ranks, resampling, scaler, selector, model) reads it
+    data = data.withColumn(label, F.col(label).cast("int")).checkpoint()
+    data = split_train_test(data, key, job.test_size, job.seed).persist(StorageLevel.MEMORY_AND_DISK)
     train, test = data.filter(~F.col("is_test")).drop("is_test"), data.filter("is_test").drop("is_test")
     sampler = SAMPLERS[job.sampler]
     if sampler == "random_under_sampler":
