@@ -157,13 +157,17 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, q_id: str, r_id: str, vec:
 # ---------------------------------------------------------------------------
 
 class KNNModel:
-    def __init__(self, train: DataFrame, k: int, label: str, features: str):
-        self.train, self.k, self.label, self.features = train, k, label, features
+    def __init__(self, train: DataFrame, k: int, label: str, features: str, key: str | None = None):
+        self.train, self.k, self.label, self.features, self.key = train, k, label, features, key
 
     def transform(self, df: DataFrame, key: str | None = None) -> DataFrame:
+        """Scores rows identified by a unique ``key`` column (the model's key
+        by default): the rows are read twice, so the id must be stable."""
         from pyspark.ml.functions import array_to_vector, vector_to_array
-        key = key or "__row"
-        q = df if key in df.columns else df.withColumn(key, F.monotonically_increasing_id())
+        key = key or self.key
+        if key is None or key not in df.columns:
+            raise ValueError("kNN scoring needs a unique key column in the rows")
+        q = df
         q = q.withColumn("__f", vector_to_array(F.col(self.features)))
         nn = knn(q, self.train, self.k, key, "__tid", "__f", carry=["__y"])
         qk = key if key != "__tid" else "q_" + key

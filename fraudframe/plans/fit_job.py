@@ -56,20 +56,86 @@ class FittedBundle:
         return with_probabilities(self.model.transform(self.features(feature_rows)))
 
     def save(self, path: str) -> None:
-        """Model with its ML writer, the rest as a JSON sidecar."""
+        """Encoder dictionaries and Spark ML stages with their writers; the
+        kNN training set as parquet; everything else in a JSON sidecar."""
+        import numpy as np
+        spark = _session()
         self.encoder.save(os.path.join(path, "encoder"))
+        model_kind = type(self.model).__name__
+        extra: dict = {}
         if hasattr(self.model, "write"):
             self.model.write().overwrite().save(os.path.join(path, "model"))
+        elif model_kind == "LinearDiscriminantModel":
+            extra["lda"] = {"weights": list(map(float, self.model.weights)), "bias": self.model.bias}
+        elif model_kind == "KNNModel":
+            self.model.train.write.mode("overwrite").parquet(os.path.join(path, "knn_train"))
+            extra["knn"] = {"k": self.model.k, "label": self.model.label, "features": self.model.features,
+                            "key": self.model.key}
+        sel = self.selector
+        if sel.kind == "pca_95":
+            for i, st in enumerate(sel.stages):
+                st.write().overwrite().save(os.path.join(path, f"selector_{i}"))
+        extra["selector"] = {"kind": sel.kind, "n_out": sel.n_out, "indices": sel.indices,
+                             "matrix": None if sel.matrix is None else np.asarray(sel.matrix).tolist()}
         meta = {"plan": json.loads(self.plan.to_json()), "job": json.loads(self.job.to_json()),
-                "feature_columns": self.feature_columns, "scaler": {"kind": self.scaler.kind,
-                                                                    "params": self.scaler.params},
-                "selector": self.selector.kind, "info": self.info}
-        spark = self.encoder.dictionaries and next(iter(self.encoder.dictionaries.values())).sparkSession
-        from pyspark.sql import SparkSession
-        spark = spark or SparkSession.getActiveSession()
+                "feature_columns": self.feature_columns, "model_kind": model_kind,
+                "scaler": {"kind": self.scaler.kind, "columns": self.scaler.columns,
+                           "params": {c: list(v) for c, v in self.scaler.params.items()}},
+                "lookback": None if self.lookback is None else {
+                    "entity": self.lookback.entity, "time": self.lookback.time, "value": self.lookback.value,
+                    "intervals": list(self.lookback.intervals), "label": self.lookback.label,
+                    "profile": self.lookback.profile},
+                "info": self.info, **extra}
         spark.createDataFrame([(json.dumps(meta, default=str),)], "meta string").coalesce(1) \
             .write.mode("overwrite").text(os.path.join(path, "bundle"))
 
+    @staticmethod
+    def load(spark, path: str) -> "FittedBundle":
+        import numpy as np
+        from pyspark.ml.feature import PCAModel, StandardScalerModel, VectorSlicer
+        from fraudframe.operators.classify import LinearDiscriminantModel
+        from fraudframe.operators.knn import KNNModel
+        from fraudframe.plans.spec import FeatureParams
+        meta = json.loads(spark.read.text(os.path.join(path, "bundle")).first()[0])
+        p, j = meta["plan"], meta["job"]
+        plan = EncodingPlan(p["table"], p["time_base"], p["encoding"], FeatureParams.from_dict(p["features"]),
+                            p["entity"], p["key"], p.get("profile", "canonical"))
+        job = TrainJob(**j)
+        encoder = EncoderModel.load(spark, os.path.join(path, "encoder"))
+        lb = meta["lookback"]
+        spec = None if lb is None else LookbackSpec(lb["entity"], lb["time"], lb["value"], tuple(lb["intervals"]),
+                                                    lb["label"], lb["profile"])
+        sc = meta["scaler"]
+        scaler = ScalerModel(sc["kind"], sc["columns"], {c: tuple(v) for c, v in sc["params"].items()})
+        sm = meta["selector"]
+        if sm["kind"] == "pca_95":
+            stages = [StandardScalerModel.load(os.path.join(path, "selector_0")),
+                      PCAModel.load(os.path.join(path, "selector_1")),
+                      VectorSlicer.load(os.path.join(path, "selector_2"))]
+            selector = SelectorModel("pca_95", stages, n_out=sm["n_out"])
+        elif sm["kind"] == "truncated_svd_2":
+            selector = SelectorModel(sm["kind"], matrix=np.asarray(sm["matrix"]), n_out=sm["n_out"])
+        else:
+            slicer = VectorSlicer(inputCol="__raw", outputCol="features", indices=sm["indices"])
+            selector = SelectorModel(sm["kind"], [slicer], indices=sm["indices"], n_out=sm["n_out"])
+        kind = meta["model_kind"]
+        if kind == "LinearDiscriminantModel":
+            model = LinearDiscriminantModel(np.asarray(meta["lda"]["weights"]), meta["lda"]["bias"])
+        elif kind == "KNNModel":
+            kn = meta["knn"]
+            model = KNNModel(spark.read.parquet(os.path.join(path, "knn_train")), kn["k"], kn["label"],
+                             kn["features"], kn.get("key"))
+        else:
+            import pyspark.ml.classification as C
+            model = getattr(C, kind).load(os.path.join(path, "model"))
+        return FittedBundle(plan, job, encoder, spec, meta["feature_columns"], scaler, selector, model,
+                            info=meta["info"])
+
+
+def _session():
+    from pyspark.sql import SparkSession
+    return SparkSession.getActiveSession()
+
 
 def model_features(columns: list[str], label: str, drop: tuple[str, ...] = ()) -> list[str]:
     skip = {label, ENTITY, US, *drop}
@@ -112,6 +178,8 @@ def fit_job(raw: DataFrame, plan: EncodingPlan, job: TrainJob, rfecv_args: dict
     selected = selector.transform(assembled).select(key, label, "features")
     n = selected.count()
     model = make_classifier(job.model, n, job.seed, label=label).fit(selected)
+    if hasattr(model, "key"):
+        model.key = key
     bundle = FittedBundle(plan, job, encoder, spec, feats, scaler, selector, model,
                           info={"model": MODELS[job.model], "train_rows": n, "selected": selector.n_out})
     scored = bundle.score(test)

@@ -37,3 +37,23 @@ def test_store_roundtrip(spark):
     board = st.leaderboard().collect()
     assert len(board) == 1 and board[0]["estimator_id"] == eid
     assert st.metrics(eid).count() == 1 and st.estimators(jid).count() == 1
+
+
+@pytest.mark.parametrize("model,selector", [(1, 2), (2, 3), (3, 2), (4, 3)])
+def test_bundle_save_load_scores_the_same(spark, model, selector):
+    import os
+    from pyspark.sql import functions as F
+    from fraudframe.operators.lookback import add_lookback_features
+    from fraudframe.plans.fit_job import FittedBundle
+    raw = event_transactions(spark, SF001)
+    b = fit_job(raw, PLAN, TrainJob("p", model=model, selector=selector))
+    path = os.path.join(scratch_dir(spark, "bundle"), "b")
+    b.save(path)
+    b2 = FittedBundle.load(spark, path)
+    rows = add_lookback_features(b.encoder.transform(raw), b.lookback)
+    s1 = {r["id"]: (r["prediction"], round(r["positive_probability"], 9))
+          for r in b.score(rows).select("id", "prediction", "positive_probability").collect()}
+    rows2 = add_lookback_features(b2.encoder.transform(raw), b2.lookback)
+    s2 = {r["id"]: (r["prediction"], round(r["positive_probability"], 9))
+          for r in b2.score(rows2).select("id", "prediction", "positive_probability").collect()}
+    assert s1 == s2
