@@ -19,15 +19,11 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def write_time_slices(df: DataFrame, time_col: str, path: str, slices: int) -> list[int]:
-    """Write ``slices`` consecutive time ranges of ``df``; returns row counts."""
+def write_time_slices(df: DataFrame, time_col: str, path: str, slices: int) -> None:
+    """Write ``slices`` consecutive time ranges of ``df``, one file each, in order."""
     us = epoch_micros(time_col, df.schema[time_col].dataType)
     lo, hi = df.agg(F.min(us), F.max(us)).first()
     width = max(1, -(-(hi - lo + 1) // slices))
     tagged = df.withColumn("__slice", F.floor((us - F.lit(lo)) / F.lit(width)))
-    counts = []
     for i in range(slices):
-        part = tagged.filter(F.col("__slice") == i).drop("__slice")
-        part.coalesce(1).write.mode("append").parquet(path)
-        counts.append(part.count())
-    return counts
+        tagged.filter(F.col("__slice") == i).drop("__slice").coalesce(1).write.mode("append").parquet(path)
