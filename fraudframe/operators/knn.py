@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 BLOCK = 2048
 QBLOCK = 2048
 MAX_PIVOTS = 4096
+MAX_BROADCAST_BLOCKS = 1_000_000
 
 
 def _vec(df: DataFrame, cols: list[str] | str) -> DataFrame:
@@ -108,7 +109,9 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, q_id: str, r_id: str, vec:
 
     Qc = Q.mapInPandas(candidates, T.StructType(Q.schema.fields + [T.StructField("__cell", T.LongType())]))
     subs = cells_df.select("__cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__nsub") - 1)).alias("__sub"))
-    Qb = Qc.join(F.broadcast(subs), "__cell")
+    # one row per block (rows / BLOCK + cells): broadcast while that is small
+    n_blocks = sum(max(1, math.ceil(stats[c][0] / BLOCK)) for c in cells)
+    Qb = Qc.join(F.broadcast(subs) if n_blocks <= MAX_BROADCAST_BLOCKS else subs, "__cell")
     # queries per block, cut into chunks of at most QBLOCK; these tables have
     # one row per block (grows with rows / BLOCK): Spark picks the join kind
     blocks = (Qb.groupBy("__cell", "__sub").agg(F.count(F.lit(1)).alias("__n"))

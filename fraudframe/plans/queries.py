@@ -487,3 +487,26 @@ register("lookback_orders_canonical", lookback_sql.canonical_sql(_ORD_SRC, "amou
     _orders_query("canonical"))
 register("lookback_orders_serve", lookback_sql.serve_sql(_ORD_SRC, "amount", (30,), DIGITS))(
     _orders_query("serve"))
+
+
+# --------------------------------------------------------------------------
+# D with a hot entity: every third event moved to one card (a third of all
+# rows).  rows_per_task is set low so that this small table already takes
+# the time-chunk path a 100 TB table would take; results do not depend on it.
+# --------------------------------------------------------------------------
+
+from fraudframe.operators.lookback import SkewPolicy  # noqa: E402
+
+_HOT_SRC = ("SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END AS card, "
+            "epoch_us(ts) AS us, value AS v FROM events")
+
+
+@register("lookback_hot_card", lookback_sql.canonical_sql(_HOT_SRC, "value", (3, 7), DIGITS))
+def q_lookback_hot_card(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    df = ev.select(F.col("event_id").alias("id"),
+                   F.when(F.col("event_id") % 3 == 0, F.lit(-1)).otherwise(F.col("user_id")).alias("user_id"),
+                   "ts", "value")
+    spec = LookbackSpec("user_id", "ts", "value", (3, 7))
+    out = add_lookback_features(df, spec, skew=SkewPolicy(rows_per_task=1000))
+    return _rounded(out, ["id"], feature_names("value", (3, 7)))

@@ -116,3 +116,24 @@ def test_property_random_tables(spark, rows, profile, split):
     spec = LookbackSpec("card", "ts", "amount", (1, 2), profile=profile)
     skew = SkewPolicy(rows_per_task=3) if split and profile != "train" else None
     _check(spark, df, spec, skew=skew)
+
+
+def test_hot_card_is_split_and_exact(spark):
+    """A third of all rows on one card: chunks stay near rows_per_task and
+    the features equal the brute force."""
+    from fraudframe.operators import lookback as L
+    from tests.conftest import SF01
+    ev = spark.read.parquet(f"{SF01}/events.parquet")
+    df = ev.select(F.col("event_id").alias("id"),
+                   F.when(F.col("event_id") % 3 == 0, F.lit(-1)).otherwise(F.col("user_id")).alias("user_id"),
+                   "ts", "value")
+    policy = SkewPolicy(rows_per_task=400)
+    spec = LookbackSpec("user_id", "ts", "value", (1, 3))
+    base = df.withColumn(L._US, epoch_micros("ts", df.schema["ts"].dataType)).withColumn(L._V, F.col("value"))
+    plan = L._split_plan(base, "user_id", 3 * L.D, policy)
+    assert plan is not None and [r["user_id"] for r in plan.collect()] == [-1]
+    chunks = L._with_chunks(base, "user_id", 3 * L.D, plan, with_prev=True)
+    sizes = [r["count"] for r in chunks.groupBy("user_id", L._CHUNK).count().collect()]
+    hot_rows = df.filter("user_id = -1").count()
+    assert max(sizes) < 3 * 400 and len(sizes) > hot_rows // 400
+    _check(spark, df, spec, skew=policy)
