@@ -42,7 +42,7 @@ def _gap_feats(avg_gap: str, med_gap: str, g: str) -> list[str]:
     return [_div(avg_gap, g), f"{avg_gap} - {g}", _div(med_gap, g), f"{med_gap} - {g}"]
 
 
-def canonical_sql(src: str, value: str, intervals, round_to: int | None = 9) -> str:
+def canonical_sql(src: str, value: str, intervals, round_to: int | None = 20) -> str:
     max_k = max(intervals)
     stats = [
         f"count(*) {_w('UNBOUNDED PRECEDING', '1 PRECEDING')} AS n_prior",
@@ -75,7 +75,7 @@ def canonical_sql(src: str, value: str, intervals, round_to: int | None = 9) ->
             f"SELECT id, {', '.join(sel)} FROM s")
 
 
-def serve_sql(src: str, value: str, intervals, round_to: int | None = 9) -> str:
+def serve_sql(src: str, value: str, intervals, round_to: int | None = 20) -> str:
     stats = [f"count(*) {_w(_prec(D - 1), '1 PRECEDING')} AS day_n"]
     for k in intervals:
         f = _w(_prec(k * D - 1), "1 PRECEDING")
@@ -108,7 +108,7 @@ def serve_sql(src: str, value: str, intervals, round_to: int | None = 9) -> str:
             f"SELECT id, {', '.join(sel)} FROM s")
 
 
-def train_sql(src: str, value: str, intervals, round_to: int | None = 9) -> str:
+def train_sql(src: str, value: str, intervals, round_to: int | None = 20) -> str:
     """Trainer profile; assumes no two rows of an entity share a timestamp
     (true for ``events``), where the tie rules of both engines agree."""
     max_k = max(intervals)
@@ -146,5 +146,13 @@ def train_sql(src: str, value: str, intervals, round_to: int | None = 9) -> str:
             f"SELECT id, {', '.join(sel)} FROM s WHERE rn > 1")
 
 
-def _round(expr: str, digits: int | None) -> str:
-    return expr if digits is None else f"round({expr}, {digits})"
+def _round(expr: str, bits: int | None) -> str:
+    """Snap to a binary grid of 2**-bits: exact IEEE steps, so identical
+    inputs give identical outputs in every engine (decimal rounding of a
+    double is not: engines disagree on decimal ties such as x.xxxxxx5)."""
+    return expr if bits is None else snap_sql(expr, bits)
+
+
+def snap_sql(expr: str, bits: int = 20) -> str:
+    scale = float(1 << bits)
+    return f"(floor(({expr}) * CAST({scale} AS DOUBLE) + 0.5) / CAST({scale} AS DOUBLE))"

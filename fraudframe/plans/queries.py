@@ -1,8 +1,10 @@
 """Registered queries: each is ``(spark, sf_dir) -> DataFrame`` over the
 generated tables, and most have an equivalent DuckDB SQL text (the oracle).
 
-Column names of a query and of its SQL are equal; doubles are rounded to
-6 decimals on both sides so that summation order does not matter.
+Column names of a query and of its SQL are equal; computed doubles are
+snapped to a binary grid of 2**-20 (about 1e-6) on both sides, so that
+summation order does not matter and no engine-specific decimal rounding is
+involved.
 """
 from __future__ import annotations
 
@@ -18,7 +20,17 @@ from fraudframe.sources.testdata import EVENT_TRANSACTIONS_SQL, event_transactio
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
-DIGITS = 6
+DIGITS = 20  # bits of the binary snapping grid
+
+
+def snap(c) -> "F.Column":
+    scale = float(1 << DIGITS)
+    col = F.col(c) if isinstance(c, str) else c
+    return F.floor(col * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
+
+
+def snap_sql(expr: str) -> str:
+    return lookback_sql.snap_sql(expr, DIGITS)
 
 
 def register(name: str, sql: str | None = None):
@@ -31,7 +43,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _rounded(df: DataFrame, keep: list[str], cols: list[str]) -> DataFrame:
-    return df.select(*keep, *[F.round(F.col(c), DIGITS).alias(c) for c in cols])
+    return df.select(*keep, *[snap(c).alias(c) for c in cols])
 
 
 # --------------------------------------------------------------------------
@@ -218,14 +230,14 @@ _RULE_SQL = (f"SELECT l.fraud, CAST(f.amount_current_minus_average_3 > 0 AS INTE
 def _metrics_query(convention):
     def run(spark, sf_dir):
         m = binary_metrics(_rule_predictions(spark, sf_dir), "fraud", "prediction", convention)
-        return m.select(*[F.round(c, DIGITS).alias(c) for c in m.columns])
+        return m.select(*[snap(c).alias(c) for c in m.columns])
     return run
 
 
 def _metrics_oracle(convention):
     sql = metrics_sql(_RULE_SQL, "fraud", "prediction", convention)
     from fraudframe.operators.metrics import METRIC_COLUMNS
-    return f"SELECT {', '.join(f'round({c}, {DIGITS}) AS {c}' for c in METRIC_COLUMNS)} FROM ({sql}) m"
+    return f"SELECT {', '.join(f'{snap_sql(c)} AS {c}' for c in METRIC_COLUMNS)} FROM ({sql}) m"
 
 
 register("metrics_standard", _metrics_oracle("standard"))(_metrics_query("standard"))
@@ -247,15 +259,15 @@ def _scale_frame(spark, sf_dir) -> DataFrame:
 def _scale_query(kind):
     def run(spark, sf_dir):
         out = scale(_scale_frame(spark, sf_dir), ["x1", "x2"], kind)
-        return out.select("id", *[F.round(c, DIGITS).alias(c) for c in ("x1", "x2")])
+        return out.select("id", *[snap(c).alias(c) for c in ("x1", "x2")])
     return run
 
 
 def _scale_sql(center: str, spread: str) -> str:
     def one(c):
         cen, spr = center.format(c=c), spread.format(c=c)
-        return (f"round((s.{c} - a.{c}_c) / (CASE WHEN a.{c}_s = 0 OR a.{c}_s IS NULL THEN 1 ELSE a.{c}_s END), "
-                f"{DIGITS}) AS {c}"), f"{cen} AS {c}_c, {spr} AS {c}_s"
+        expr = f"(s.{c} - a.{c}_c) / (CASE WHEN a.{c}_s = 0 OR a.{c}_s IS NULL THEN 1 ELSE a.{c}_s END)"
+        return f"{snap_sql(expr)} AS {c}", f"{cen} AS {c}_c, {spr} AS {c}_s"
     sel, agg = zip(*(one(c) for c in ("x1", "x2")))
     return (f"SELECT s.id, {', '.join(sel)} FROM ({_SC_SRC}) s, "
             f"(SELECT {', '.join(agg)} FROM ({_SC_SRC}) t) a")
@@ -269,7 +281,7 @@ for _kind, _c, _s in (
     register(f"scale_{_kind}", _scale_sql(_c, _s))(_scale_query(_kind))
 
 register("normalize_l2", f"""
-SELECT id, round(x1 / n, {DIGITS}) AS x1, round(x2 / n, {DIGITS}) AS x2
+SELECT id, {snap_sql("x1 / n")} AS x1, {snap_sql("x2 / n")} AS x2
 FROM (SELECT id, x1, x2, CASE WHEN sqrt(x1 * x1 + x2 * x2) = 0 THEN 1 ELSE sqrt(x1 * x1 + x2 * x2) END AS n
       FROM ({_SC_SRC}) s) t""")(_scale_query("normalizer"))
 register("scale_quantile_uniform")(_scale_query("quantile_uniform"))
@@ -444,8 +456,8 @@ def q_stream_score(spark, sf_dir):
                       os.path.join(base, "ck"), contract=_CONTRACT)
     q.awaitTermination()
     return spark.read.parquet(os.path.join(base, "out")).select(
-        "id", "model_id", "prediction", F.round("positive_probability", DIGITS).alias("positive_probability"),
-        F.round("negative_probability", DIGITS).alias("negative_probability"))
+        "id", "model_id", "prediction", snap("positive_probability").alias("positive_probability"),
+        snap("negative_probability").alias("negative_probability"))
 
 
 # --------------------------------------------------------------------------
@@ -462,7 +474,7 @@ def q_leaderboard(spark, sf_dir):
         job = TrainJob(pid, model=code, selector=2, scaler=1, sampler=1)
         jid = st.save_job(job)
         st.save_estimator(jid, fit_job(tx, FIT_PLAN, job))
-    return st.leaderboard().select("model", *[F.round(c, DIGITS).alias(c) for c in ("MCC", "f1", "accuracy")])
+    return st.leaderboard().select("model", *[snap(c).alias(c) for c in ("MCC", "f1", "accuracy")])
 
 
 # --------------------------------------------------------------------------
