@@ -88,10 +88,11 @@ def index_sorted(df: DataFrame, order: list[Column | str], name: str = "rank", n
     for b, cnt in counts:
         offsets.append((b, run))
         run += cnt
-    spark = df.sparkSession
-    # one row per bucket: at most MAX_BUCKETS + 1 rows
-    off = spark.createDataFrame(offsets, "__bk int, __off long")
     w = Window.partitionBy("__bk").orderBy(*order)
+    if not bounds:  # one bucket (at most ROWS_PER_BUCKET rows): offset 0, no join
+        return tagged.withColumn(name, (F.row_number().over(w) - 1).cast("bigint")).drop("__bk")
+    # one row per bucket: at most MAX_BUCKETS + 1 rows
+    off = df.sparkSession.createDataFrame(offsets, "__bk int, __off long")
     return (tagged.join(F.broadcast(off), "__bk")
             .withColumn(name, (F.col("__off") + F.row_number().over(w) - 1).cast("bigint"))
             .drop("__bk", "__off"))
@@ -118,10 +119,13 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> list[float |
     for b, s in sums:
         offsets.append((b, run))
         run += s
-    off = df.sparkSession.createDataFrame(offsets, "__bk int, __off long")
     w = Window.partitionBy("__bk").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("__off") + F.coalesce(F.sum("c").over(w), F.lit(0))
-    ranked = tagged.join(F.broadcast(off), "__bk").withColumn("__cb", before)
+    if bounds:
+        off = df.sparkSession.createDataFrame(offsets, "__bk int, __off long")
+        tagged = tagged.join(F.broadcast(off), "__bk")
+    else:  # one bucket: offset 0, no join
+        tagged = tagged.withColumn("__off", F.lit(0).cast("long"))
+    ranked = tagged.withColumn("__cb", F.col("__off") + F.coalesce(F.sum("c").over(w), F.lit(0)))
     lo = count_below(F.col("__cb"), need)
     hi = count_below(F.col("__cb") + F.col("c"), need)
     hits = (ranked.withColumn("__lo", lo).withColumn("__hi", hi).filter(F.col("__hi") > F.col("__lo"))
