@@ -355,28 +355,23 @@ def _split_plan(base: DataFrame, entity: str, context_us: int, policy: SkewPolic
     Returns None when no entity exceeds ``rows_per_task``.  The list is
     bounded by ``max_split_entities`` before it is broadcast.
     """
-    stats = (base.groupBy(entity)
+    stats = (base.select(entity, _US).groupBy(entity)
              .agg(F.count(F.lit(1)).alias("__n"), F.min(_US).alias("__lo"), F.max(_US).alias("__hi")))
+    span = F.col("__hi") - F.col("__lo") + 1
     threshold = policy.rows_per_task
-    hot = stats.filter(F.col("__n") > threshold).persist()
-    try:
-        n_hot = hot.count()
-        while n_hot > policy.max_split_entities:
-            threshold *= 4
-            hot.unpersist()
-            hot = stats.filter(F.col("__n") > threshold).persist()
-            n_hot = hot.count()
-        if n_hot == 0:
-            return None
-        span = F.col("__hi") - F.col("__lo") + 1
+    while True:
+        # one job: per-entity counts (map-side combined), only hot rows come
+        # back, at most max_split_entities + 1 of them
         chunk = F.greatest(F.lit(context_us), F.ceil(span * F.lit(policy.rows_per_task) / F.col("__n")).cast("bigint"))
-        plan = hot.select(entity, F.col("__lo").alias("__lb_lo"), chunk.alias("__lb_len"))
-        # materialise the small plan so later broadcasts do not re-run the aggregate
-        rows = plan.collect()
-    finally:
-        hot.unpersist()
-    spark = base.sparkSession
-    return spark.createDataFrame(rows, plan.schema)
+        plan = (stats.filter(F.col("__n") > threshold)
+                .select(entity, F.col("__lo").alias("__lb_lo"), chunk.alias("__lb_len")))
+        rows = plan.limit(policy.max_split_entities + 1).collect()
+        if len(rows) <= policy.max_split_entities:
+            break
+        threshold *= 4
+    if not rows:
+        return None
+    return base.sparkSession.createDataFrame(rows, plan.schema)
 
 
 def _with_chunks(base: DataFrame, entity: str, context_us: int, plan: DataFrame, with_prev: bool) -> DataFrame:
