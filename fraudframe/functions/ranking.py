@@ -104,21 +104,21 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> list[float |
     reach the driver."""
     vc = (df.select(F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull())
           .groupBy("x").agg(F.count(F.lit(1)).alias("c")))
-    n = vc.agg(F.sum("c")).first()[0] or 0
+    tot = vc.agg(F.sum("c"), F.count(F.lit(1))).first()
+    n, nd = (tot[0] or 0), tot[1]
     if n == 0:
         return [None] * len(probs)
     pos = [(n - 1) * p for p in probs]
     need = sorted({int(math.floor(h)) for h in pos} | {int(math.ceil(h)) for h in pos})
     # rows strictly before each distinct value: prefix sums in value order
-    nd = vc.count()
     buckets = max(1, min(MAX_BUCKETS, math.ceil(nd / ROWS_PER_BUCKET)))
     bounds = _boundaries(vc, F.col("x"), nd, buckets)
     tagged = vc.withColumn("__bk", count_at_most(F.col("x"), bounds))
-    sums = sorted((r[0], r[1]) for r in tagged.groupBy("__bk").agg(F.sum("c")).collect())
     offsets, run = [], 0
-    for b, s in sums:
-        offsets.append((b, run))
-        run += s
+    if bounds:
+        for b, s in sorted((r[0], r[1]) for r in tagged.groupBy("__bk").agg(F.sum("c")).collect()):
+            offsets.append((b, run))
+            run += s
     w = Window.partitionBy("__bk").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
     if bounds:
         off = df.sparkSession.createDataFrame(offsets, "__bk int, __off long")
