@@ -25,9 +25,11 @@ from fraudframe.functions.columns import epoch_micros
 from fraudframe.operators.lookback import LookbackSpec, feature_names
 
 D = 86_400_000_000
+# history as raw little-endian int64 / float64 bytes: no per-element
+# conversion when the state is read and written
 STATE_SCHEMA = T.StructType([
-    T.StructField("us", T.ArrayType(T.LongType())),
-    T.StructField("v", T.ArrayType(T.DoubleType())),
+    T.StructField("us", T.BinaryType()),
+    T.StructField("v", T.BinaryType()),
     T.StructField("newest", T.LongType()),
 ])
 
@@ -214,7 +216,7 @@ def _state_fn(spec: LookbackSpec, key_col: str, keep_us: int, out_cols: list[str
             # canonical gap to the previous row still needs the newest time,
             # so only that one number stays.
             if profile == "canonical":
-                state.update(([], [], state.get[2]))
+                state.update((b"", b"", state.get[2]))
             else:
                 state.remove()
             return
@@ -222,8 +224,8 @@ def _state_fn(spec: LookbackSpec, key_col: str, keep_us: int, out_cols: list[str
         batch = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
         if state.exists:
             us_s, v_s, newest = state.get
-            us_h = np.asarray(us_s, dtype=np.int64)
-            v_h = np.asarray(v_s, dtype=float)
+            us_h = np.frombuffer(us_s, dtype="<i8")
+            v_h = np.frombuffer(v_s, dtype="<f8")
         else:
             us_h, v_h, newest = np.zeros(0, np.int64), np.zeros(0, float), None
         b_us = batch["__us"].to_numpy(np.int64)
@@ -239,7 +241,7 @@ def _state_fn(spec: LookbackSpec, key_col: str, keep_us: int, out_cols: list[str
         top = int(all_us[-1])
         newest = top if newest is None else max(newest, top)
         keep = all_us > newest - keep_us
-        state.update((all_us[keep].tolist(), all_v[keep].tolist(), newest))
+        state.update((all_us[keep].astype("<i8").tobytes(), all_v[keep].astype("<f8").tobytes(), newest))
         state.setTimeoutTimestamp(newest // 1000 + keep_us // 1000 + 1)
         yield out
 
