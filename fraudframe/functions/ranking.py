@@ -55,7 +55,8 @@ def _boundaries(df: DataFrame, c: Column, n: int, buckets: int) -> list:
 
 
 def count_at_most(c: Column, bounds: list) -> Column:
-    """Number of ``bounds`` (ascending) that are <= c, as a binary CASE tree."""
+    """Number of ``bounds`` (ascending) that are <= c, as a binary CASE tree
+    (depth log2(len); used for at most MAX_BUCKETS - 1 bounds)."""
     def rec(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
@@ -64,16 +65,6 @@ def count_at_most(c: Column, bounds: list) -> Column:
     return rec(0, len(bounds))
 
 
-def count_below(c: Column, bounds: list) -> Column:
-    """Number of ``bounds`` (ascending) that are < c."""
-    def rec(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(c > F.lit(bounds[mid]), rec(mid + 1, hi)).otherwise(rec(lo, mid))
-    return rec(0, len(bounds))
-
-
 def index_sorted(df: DataFrame, order: list[Column | str], name: str = "rank", n: int | None = None) -> DataFrame:
     """Add a 0-based ``name`` column following ``order``; give a total order
     (e.g. end with a unique key) for ranks that never change.  ``n``: the row
@@ -126,10 +117,18 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> list[float |
     else:  # one bucket: offset 0, no join
         tagged = tagged.withColumn("__off", F.lit(0).cast("long"))
     ranked = tagged.withColumn("__cb", F.col("__off") + F.coalesce(F.sum("c").over(w), F.lit(0)))
-    lo = count_below(F.col("__cb"), need)
-    hi = count_below(F.col("__cb") + F.col("c"), need)
-    hits = (ranked.withColumn("__lo", lo).withColumn("__hi", hi).filter(F.col("__hi") > F.col("__lo"))
-            .select("x", F.explode(F.sequence("__lo", F.col("__hi") - 1)).alias("__i")).collect())
+    # which distinct value holds each needed rank: key ranks by rank // step,
+    # explode each value's rank range [cb, cb + c) over the keys it spans
+    # (at most n / step + distinct values rows), equi-join the small target list
+    step = max(1, math.ceil(n / MAX_BUCKETS))
+    targets = df.sparkSession.createDataFrame([(i, r, r // step) for i, r in enumerate(need)],
+                                              "__i int, __r long, __key long")
+    spans = ranked.select("x", "c", "__cb", F.explode(F.sequence(
+        F.floor(F.col("__cb") / step).cast("long"),
+        F.floor((F.col("__cb") + F.col("c") - 1) / step).cast("long"))).alias("__key"))
+    hits = (spans.join(F.broadcast(targets), "__key")
+            .filter((F.col("__r") >= F.col("__cb")) & (F.col("__r") < F.col("__cb") + F.col("c")))
+            .select("x", "__i").collect())
     got = {need[r["__i"]]: r["x"] for r in hits}
     out = []
     for h in pos:
