@@ -522,3 +522,52 @@ def q_lookback_hot_card(spark, sf_dir):
     spec = LookbackSpec("user_id", "ts", "value", (3, 7))
     out = add_lookback_features(df, spec, skew=SkewPolicy(rows_per_task=1000))
     return _rounded(out, ["id"], feature_names("value", (3, 7)))
+
+
+# --------------------------------------------------------------------------
+# Build-plan slices: the count features (7-10), the gap features (11-14),
+# numeric-text suitability of the text columns, and the serve profile on
+# the hot card (time-chunk path).
+# --------------------------------------------------------------------------
+
+def _slice_names(intervals, lo, hi):
+    names = feature_names("amount", intervals)
+    return [n for i, n in enumerate(names) if lo <= i % 14 < hi]
+
+
+def _slice_query(lo, hi):
+    cols = _slice_names((3, 7), lo, hi)
+
+    def run(spark, sf_dir):
+        tx = event_transactions(spark, sf_dir).select("id", "card_number", "ts", "amount")
+        out = add_lookback_features(tx, LookbackSpec("card_number", "ts", "amount", (3, 7)))
+        return _rounded(out, ["id"], cols)
+    return run
+
+
+def _slice_oracle(lo, hi):
+    sql = lookback_sql.canonical_sql(_LB_SRC, "amount", (3, 7), DIGITS)
+    return f"SELECT id, {', '.join(_slice_names((3, 7), lo, hi))} FROM ({sql}) q"
+
+
+register("daily_bucket_counts", _slice_oracle(6, 10))(_slice_query(6, 10))
+register("gap_features", _slice_oracle(10, 14))(_slice_query(10, 14))
+
+
+@register("numeric_string_fit", f"""
+SELECT name, all_digits, fits_int FROM ({_profile_sql(EVENT_TRANSACTIONS_SQL, _TX_COLS, "id")}) p
+WHERE type = 'varchar'""")
+def q_numeric_string_fit(spark, sf_dir):
+    p = profile_frame(event_transactions(spark, sf_dir), "id")
+    return p.filter(F.col("type") == "varchar").select("name", "all_digits", "fits_int")
+
+
+@register("lookback_hot_card_serve", lookback_sql.serve_sql(_HOT_SRC, "value", (3, 7), DIGITS))
+def q_lookback_hot_card_serve(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    df = ev.select(F.col("event_id").alias("id"),
+                   F.when(F.col("event_id") % 3 == 0, F.lit(-1)).otherwise(F.col("user_id")).alias("user_id"),
+                   "ts", "value")
+    spec = LookbackSpec("user_id", "ts", "value", (3, 7), profile="serve")
+    out = add_lookback_features(df, spec, skew=SkewPolicy(rows_per_task=1000))
+    return _rounded(out, ["id"], feature_names("value", (3, 7)))
