@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import langid, packing, topk
+from . import langid, neardup, packing, topk
 
 
 def _t(spark, sf_dir, name):
@@ -18,13 +18,17 @@ def op2_language_id(spark, sf_dir):
     return langid.predictions(_t(spark, sf_dir, "documents"))
 
 
+def op7_near_duplicates(spark, sf_dir):
+    return neardup.near_duplicates(_t(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark, sf_dir):
     import public_tokenizers
 
     return packing.pieces(_t(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_language_id, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_language_id, op7_near_duplicates, op10_packing)}
 
 _TOPK = """
 WITH v AS (
