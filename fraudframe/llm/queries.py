@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import langid, neardup, packing, topk
+from . import langid, neardup, packing, pii, shards, topk
 
 
 def _t(spark, sf_dir, name):
@@ -18,6 +18,14 @@ def op2_language_id(spark, sf_dir):
     return langid.predictions(_t(spark, sf_dir, "documents"))
 
 
+def op4_virtual_slots(spark, sf_dir):
+    return shards.assign(_t(spark, sf_dir, "documents"))
+
+
+def op5_personal_data(spark, sf_dir):
+    return pii.report(_t(spark, sf_dir, "documents"))
+
+
 def op7_near_duplicates(spark, sf_dir):
     return neardup.near_duplicates(_t(spark, sf_dir, "documents"))
 
@@ -28,7 +36,7 @@ def op10_packing(spark, sf_dir):
     return packing.pieces(_t(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_language_id, op7_near_duplicates, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_language_id, op4_virtual_slots, op5_personal_data, op7_near_duplicates, op10_packing)}
 
 _TOPK = """
 WITH v AS (
