@@ -3,13 +3,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import langid, neardup, packing, pii, shards, topk
+from . import decontam, langid, neardup, packing, pii, shards, tokencount, topk
 
 
 def _t(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary():
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_exact_topk(spark, sf_dir):
     return topk.top_k(_t(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -30,13 +36,20 @@ def op7_near_duplicates(spark, sf_dir):
     return neardup.near_duplicates(_t(spark, sf_dir, "documents"))
 
 
-def op10_packing(spark, sf_dir):
-    import public_tokenizers
+def op8_token_counts(spark, sf_dir):
+    return tokencount.count_tokens(_t(spark, sf_dir, "documents"), _vocabulary())
+
+
+def op9_decontamination(spark, sf_dir):
+    return decontam.contaminated(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
 
-    return packing.pieces(_t(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+def op10_packing(spark, sf_dir):
+    return packing.pieces(_t(spark, sf_dir, "documents"), _vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_language_id, op4_virtual_slots, op5_personal_data, op7_near_duplicates, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_language_id, op4_virtual_slots, op5_personal_data, op7_near_duplicates, op8_token_counts,
+                                      op9_decontamination, op10_packing)}
 
 _TOPK = """
 WITH v AS (
