@@ -156,15 +156,22 @@ class Benchmark:
                 yield d, item["id"], len(covered) / item["windows"], len(covered), slots, verbatim
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text",
-                 item_id: str = "item_id", window: int = WINDOW, coverage: float = COVERAGE, min_tokens: int = MIN_TOKENS,
-                 block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document and item it holds."""
-    spark = docs.sparkSession
+def _blocks(benchmark: DataFrame, item_text: str, item_id: str, window: int, min_tokens: int, block_bytes: int):
+    """Yields the benchmark in blocks of about block_bytes, broadcast."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")).filter(
         "id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
+    for b in range(blocks):
+        part = items.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id").collect()
+        yield spark.sparkContext.broadcast(vars(Benchmark([r["id"] for r in part], [r["text"] for r in part], window, min_tokens)))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text",
+                 item_id: str = "item_id", window: int = WINDOW, coverage: float = COVERAGE, min_tokens: int = MIN_TOKENS,
+                 block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per document and item it holds."""
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id is not null")
 
     def search(shared):
@@ -183,11 +190,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
         return run
 
     out = None
-    for b in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id").collect()
-        shared = spark.sparkContext.broadcast(vars(Benchmark([r["id"] for r in part], [r["text"] for r in part], window, min_tokens)))
+    for shared in _blocks(benchmark, item_text, item_id, window, min_tokens, block_bytes):
         found = source.mapInArrow(search(shared), SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out.groupBy("doc_id", "item_id").agg(
         F.max("coverage").alias("coverage"), F.max("n_windows").alias("n_windows"), F.max("n_slots").alias("n_slots"),
         F.max("verbatim").alias("verbatim"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id",
+          window: int = WINDOW, coverage: float = COVERAGE, min_tokens: int = MIN_TOKENS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no item; one pass a block, no shuffle."""
+    schema, place = docs.schema, docs.columns.index(text)
+
+    def search(shared):
+        def run(batches):
+            block = Benchmark.of(shared.value)
+            for batch in batches:
+                keep = np.ones(len(batch), bool)
+                for lo, _, raw, offsets in bw.text_slices(batch.column(place).cast(pa.string())):
+                    for row in block.search(raw, offsets, coverage):
+                        keep[lo + row[0]] = False
+                yield batch.filter(pa.array(keep))
+
+        return run
+
+    for shared in _blocks(benchmark, item_text, item_id, window, min_tokens, block_bytes):
+        docs = docs.mapInArrow(search(shared), schema)
+    return docs

@@ -19,10 +19,10 @@ from __future__ import annotations
 
 import re
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SAMPLES, PIECE, DICT_BYTES, BLOCK, LEVEL = 160, 700, 1 << 17, 4096, 3
 MIN_MARGIN, FULL_MARGIN, UNKNOWN = 0.0005, 0.1, "und"
@@ -30,7 +30,6 @@ MIN_MARGIN, FULL_MARGIN, UNKNOWN = 0.0005, 0.1, "und"
 SECOND_LOOK = 0.03
 #: Languages whose dictionaries fit one broadcast; the most frequent are learnt.
 MAX_LANGUAGES = 200
-SCHEMA = "doc_id long, lang_pred string, score double, accepted boolean"
 
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -67,10 +66,9 @@ def dictionaries(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id
     return {k: v[:dict_bytes] for k, v in sorted(out.items()) if len(v) >= 8}
 
 
-def identify(docs: DataFrame, models: dict[str, bytes], text: str = "text", doc_id: str = "doc_id", block: int = BLOCK,
-             min_margin: float = MIN_MARGIN, full_margin: float = FULL_MARGIN, keep: list[str] = ()) -> DataFrame:
-    """doc_id, lang_pred, score, accepted, and the columns named in keep."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+def _judged(rows: DataFrame, models: dict[str, bytes], text: str, block: int, min_margin: float, full_margin: float) -> DataFrame:
+    """rows (one struct column, row) with lang_pred, score and accepted."""
+    shared = rows.sparkSession.sparkContext.broadcast(models)
 
     def run(batches):
         import zstandard as z
@@ -105,25 +103,31 @@ def identify(docs: DataFrame, models: dict[str, bytes], text: str = "text", doc_
             return names[best], min(1.0, margin / full_margin), margin >= min_margin
 
         for batch in batches:
+            texts = batch.column(0).field(text)
             for lo in range(0, len(batch), 512):
-                part = batch.slice(lo, 512)
-                found = [judge(x) for x in part.column(1).to_pylist()]
+                found = [judge(x) for x in texts.slice(lo, 512).to_pylist()]
                 lang, score, ok = zip(*found)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ok, pa.bool_()),
-                     *[part.column(i) for i in range(1, part.num_columns) if keep]],
-                    [f.name for f in out_fields])
-
-    cols = [F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")]
-    if keep:
-        cols = [cols[0], F.col(text).cast("string").alias("_text")] + [F.col(c) for c in keep]
-    source = docs.select(*cols)
-    extra = [f for f in source.schema.fields[1:] if keep]
-    from pyspark.sql import types as T
-
-    out_fields = [*T._parse_datatype_string(SCHEMA).fields, *extra]
-    result = source.mapInArrow(run, T.StructType(out_fields))
-    return result.drop("_text") if keep else result
+                    [batch.column(0).slice(lo, 512), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ok, pa.bool_())],
+                    ["row", "lang_pred", "score", "accepted"])
+
+    fields = [rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
+              T.StructField("accepted", T.BooleanType())]
+    return rows.mapInArrow(run, T.StructType(fields))
+
+
+def identify(docs: DataFrame, models: dict[str, bytes], text: str = "text", doc_id: str = "doc_id", block: int = BLOCK,
+             min_margin: float = MIN_MARGIN, full_margin: float = FULL_MARGIN) -> DataFrame:
+    """doc_id, lang_pred, score, accepted."""
+    rows = docs.select(F.struct(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).alias("row"))
+    return _judged(rows, models, "text", block, min_margin, full_margin).select("row.doc_id", "lang_pred", "score", "accepted")
+
+
+def accepted(docs: DataFrame, models: dict[str, bytes], text: str = "text", block: int = BLOCK, min_margin: float = MIN_MARGIN,
+             full_margin: float = FULL_MARGIN) -> DataFrame:
+    """The rows of docs, with all their columns, that are not rejected."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return _judged(rows, models, text, block, min_margin, full_margin).filter("accepted").select("row.*")
 
 
 def predictions(docs: DataFrame) -> DataFrame:
