@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, langid, neardup, packing, pii, shards, tokencount, topk
+from . import decontam, langid, maxent, neardup, packing, pii, shards, tokencount, topk
 
 
 def _t(spark, sf_dir, name):
@@ -32,6 +32,10 @@ def op5_personal_data(spark, sf_dir):
     return pii.report(_t(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark, sf_dir):
+    return maxent.log_probabilities(_t(spark, sf_dir, "documents"))
+
+
 def op7_near_duplicates(spark, sf_dir):
     return neardup.near_duplicates(_t(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_packing(spark, sf_dir):
     return packing.pieces(_t(spark, sf_dir, "documents"), _vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_language_id, op4_virtual_slots, op5_personal_data, op7_near_duplicates, op8_token_counts,
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_language_id, op4_virtual_slots, op5_personal_data, op6_lm_scoring, op7_near_duplicates, op8_token_counts,
                                       op9_decontamination, op10_packing)}
 
 _TOPK = """
