@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, langid, maxent, neardup, packing, pii, shards, tokencount, topk
+from . import decontam, langid, maxent, neardup, packing, pii, shards, tokencount, topk, toxicity
 
 
 def _t(spark, sf_dir, name):
@@ -24,6 +24,10 @@ def op2_language_id(spark, sf_dir):
     return langid.predictions(_t(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark, sf_dir):
+    return toxicity.predictions(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"))
+
+
 def op4_virtual_slots(spark, sf_dir):
     return shards.assign(_t(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_packing(spark, sf_dir):
     return packing.pieces(_t(spark, sf_dir, "documents"), _vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_language_id, op4_virtual_slots, op5_personal_data, op6_lm_scoring, op7_near_duplicates, op8_token_counts,
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_language_id, op3_toxicity, op4_virtual_slots, op5_personal_data, op6_lm_scoring, op7_near_duplicates, op8_token_counts,
                                       op9_decontamination, op10_packing)}
 
 _TOPK = """
