@@ -9,12 +9,12 @@ the ``slots`` rounds).  Signatures are cut into ``bands`` bands of ``slots / ban
 slots; two documents of similarity 0.8 share none with probability 5e-6.
 
 Documents with equal sets are one class before banding, so copies cost nothing later.
-In every bucket the smallest class is the first hub; classes are compared with hubs,
-not with each other.  Pairs are confirmed on full sets, linked pairs are contracted
-to components, and buckets that still hold several components get further hubs until
-every pair of different components in a bucket has been compared.  A pair whose
-whole signatures agree in fewer than ``agree`` of the slots is not worth the text:
-at similarity 0.8 that is more than six standard deviations off.
+In every bucket one class is the first hub, the one whose buckets are the largest in
+all; classes are compared with hubs, not with each other.  Pairs are confirmed on full sets (a pair whose signatures agree
+in fewer than ``agree`` of the slots is not worth the text: at similarity 0.8 that is
+4.6 standard deviations off or more) and linked pairs contracted to components.  What
+is left are buckets that hold several components; their classes are compared in tiles of
+bounded size, whole sets at once as a matrix product, which returns links and no pairs.
 
 Returned: doc_id, n_shingles, component_id, kept.  Null or empty texts and texts of
 white space have no shingles, are their own component and are kept.  A null doc_id is
@@ -33,11 +33,11 @@ from . import bytewords as bw
 from .components import components
 from .storage import Scratch
 
-SLOTS, BANDS, AGREE = 240, 40, 0.6
+SLOTS, BANDS, AGREE = 240, 40, 0.68
 #: Levels that are tried on all documents of a slice, before the small ones go on alone.
 SHARED_LEVELS = 6
-#: Buckets of up to so many classes have all their pairs of different components compared at once.
-SMALL_BUCKET = 24
+#: Most classes that are compared in one tile.
+TILE = 256
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, marks binary"
 _SALT = 0xA0761D6478BD642F
 
@@ -175,6 +175,100 @@ def _alike(agree: float):
     return run
 
 
+def _tile_links(percent: int):
+    """Links between the components of each tile (rows tile_a, tile_b, tile_c, rep, root, shingles, sorted
+    by tile).  A tile's sets are compared at once as a matrix over the shingles that two of them share;
+    of the links found, those that join components not yet joined are returned."""
+    def links(rep: np.ndarray, root: np.ndarray, sets: list[np.ndarray]):
+        rep, first = np.unique(rep, return_index=True)
+        root, sets = root[first], [sets[i] for i in first]
+        if (root == root[0]).all():
+            return
+        size = np.array([len(x) for x in sets])
+        row, value = np.repeat(np.arange(len(sets)), size), np.concatenate(sets)
+        names, place, times = np.unique(value, return_inverse=True, return_counts=True)
+        column = np.cumsum(times > 1) - 1
+        has = times[place] > 1
+        shared = np.zeros((len(sets), int(column[-1]) + 1), np.float32)
+        shared[row[has], column[place[has]]] = 1
+        common = (shared @ shared.T).astype(np.int64)
+        alike = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+        parent: dict[int, int] = {}
+
+        def find(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for i, j in zip(*np.nonzero(np.triu(alike & (root[:, None] != root[None, :]), 1))):
+            x, y = find(int(root[i])), find(int(root[j]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                yield int(rep[i]), int(rep[j])
+
+    def run(batches):
+        tile, held = None, ([], [], [])
+
+        def close():
+            found = list(links(np.array(held[0]), np.array(held[1]), held[2])) if held[0] else []
+            if found:
+                x, y = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            cols = [batch.column(i).to_pylist() for i in range(6)]
+            for a, b, c, rep, root, shingles in zip(*cols):
+                if (a, b, c) != tile:
+                    yield from close()
+                    tile, held = (a, b, c), ([], [], [])
+                held[0].append(rep)
+                held[1].append(root)
+                held[2].append(np.frombuffer(shingles, np.uint64))
+        yield from close()
+
+    return run
+
+
+def _sets(k: int):
+    """(rep, shingles) with the distinct shingles of each text."""
+    def run(batches):
+        for batch in batches:
+            for lo, hi, raw, offsets in bw.text_slices(batch.column(1)):
+                row, h = bw.distinct_pairs(*bw.shingles(bw.split_words(raw, offsets), k))
+                cut = np.searchsorted(row, np.arange(hi - lo + 1))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), pa.array([h[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())],
+                    ["rep", "shingles"])
+
+    return run
+
+
+def _compare(rest: DataFrame, texts: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
+    """Links between the components of open buckets (rows key, rep, root, low, size).
+
+    Buckets of up to TILE classes are tiles; equal ones are compared once.  Larger ones that
+    share classes are put together, their classes dealt to blocks of about TILE / 2 and
+    every two blocks compared, so no task holds more than a tile at a time.
+    """
+    lists = rest.filter(F.col("size") <= TILE).groupBy("key").agg(
+        F.sort_array(F.collect_list(F.struct("rep", "root"))).alias("all"))
+    small = lists.groupBy(F.xxhash64("all").alias("a"), F.xxhash64("all", F.lit(1)).alias("b")).agg(F.first("all").alias("all"))
+    small = small.select("a", "b", F.lit(-1).alias("c"), F.explode("all").alias("x")).select("a", "b", "c", "x.rep", "x.root")
+    large = rest.filter(F.col("size") > TILE)
+    if not large.isEmpty():
+        group = components(large.select(F.col("low").alias("a"), F.col("rep").alias("b")), scratch)
+        dealt = large.select("rep", "root").distinct().join(group.select(F.col("node").alias("rep"), F.col("root").alias("a")), "rep")
+        blocks = dealt.groupBy("a").agg(F.ceil(F.count("*") / (TILE // 2)).cast("long").alias("blocks"))
+        dealt = dealt.join(blocks, "a").select("a", "rep", "root", F.pmod(F.xxhash64("rep"), "blocks").alias("own"),
+                                               F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+        small = small.unionByName(dealt.select("a", F.least("own", "other").alias("b"), F.greatest("own", "other").cast("int").alias("c"), "rep", "root"))
+    rows = scratch.keep(small, "tile-rows")
+    own = texts.join(rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text")
+    sets = own.mapInArrow(_sets(k), "rep long, shingles binary")
+    tiles = rows.join(sets, "rep").select("a", "b", "c", "rep", "root", "shingles").repartition("a", "b", "c").sortWithinPartitions("a", "b", "c")
+    return tiles.mapInArrow(_tile_links(percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 2, percent: int = 80,
                     slots: int = SLOTS, bands: int = BANDS, agree: float = AGREE) -> DataFrame:
     spark = docs.sparkSession
@@ -190,13 +284,21 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                         & (F.col("set_a") == F.col("_set_a")) & (F.col("set_b") == F.col("_set_b")), "left_semi")
     marked = marked.select(F.col("doc_id").alias("rep"), "bands", "marks")
     rows = marked.select("rep", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top"), F.count("*").alias("size")).filter(
-        F.col("hub") < F.col("top"))
+    shared = rows.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("top"), F.count("*").alias("size")).filter(
+        F.col("low") < F.col("top"))
     # members of buckets that hold at least two classes
-    members = scratch.keep(rows.join(shared, "key").select("key", "rep", "hub", "size"), "members")
-    marks = marked.join(members.select("rep").distinct(), "rep", "left_semi")
+    placed = scratch.keep(rows.join(shared, "key").select("key", "rep", "size"), "placed")
+    # a text shares more buckets with its copies than they with each other, so the class
+    # whose buckets are largest in all is a bucket's hub
+    fame = placed.groupBy("rep").agg(F.sum("size").alias("fame"))
+    ranked = placed.join(fame, "rep").select("key", "rep", "size", F.struct("fame", (-F.col("rep")).alias("rep")).alias("rank"))
+    ranked = scratch.keep(ranked, "ranked")
+    hubs_of = ranked.groupBy("key").agg(F.max("rank").alias("best")).select("key", (-F.col("best.rep")).alias("hub"), F.col("best.fame").alias("fame"))
+    members = scratch.keep(ranked.join(hubs_of, "key").select("key", "rep", "hub", "fame", "size"), "members")
+    marks = marked.join(fame.select("rep"), "rep", "left_semi")
     marks = scratch.keep(marks.dropDuplicates(["rep"]).select("rep", "marks"), "marks")
-    texts = source.join(marks.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    # the candidates' texts, written once; merged by sort at every size
+    texts = scratch.keep(source.hint("merge").join(marks.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "texts")
 
     def one_text(pairs: DataFrame, side: str) -> DataFrame:
         return pairs.join(texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}")), side)
@@ -216,39 +318,26 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         return pairs.join(x, "a", "left").join(y, "b", "left").filter(
             F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
-    stars = scratch.keep(members.filter(F.col("rep") != F.col("hub")).select(
-        F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    # first each class with its smallest hub only: most groups of copies merge by that
-    first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    stars = scratch.keep(members.filter(F.col("rep") != F.col("hub")).groupBy(F.col("hub").alias("a"), F.col("rep").alias("b")).agg(
+        F.max("fame").alias("fame"), F.count("*").alias("times")), "stars")
+    # first each class with one hub, the one it meets most often: most groups of copies merge by that
+    first = stars.groupBy("b").agg(F.max(F.struct("times", "fame", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
     links = confirm(first, "first")
     roots = components(links, scratch)
-    more = scratch.keep(apart(stars.join(first, ["a", "b"], "left_anti"), roots), "more")
+    more = scratch.keep(apart(stars.select("a", "b").join(first, ["a", "b"], "left_anti"), roots), "more")
     if not more.isEmpty():
         links = links.unionByName(confirm(more, "more"))
         roots = components(links, scratch)
-    # buckets in which several components are left, apart from pairs with the hub, which are done
-    rest = members.filter("rep <> hub and size > 2").select("key", "rep")
-    done = 0
-    while True:
-        named = rest.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select(
-            "key", "rep", F.coalesce("root", "rep").alias("root"))
-        named = scratch.keep(named, "rest")
-        open_ = named.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("left"), F.min("root").alias("lo"),
-                                         F.max("root").alias("hi")).filter("lo < hi").select("key", "hub", "left")
-        open_ = scratch.keep(open_, "open")
-        if open_.isEmpty():
-            break
-        small = named.join(open_.filter(F.col("left") <= SMALL_BUCKET), "key").select("key", "rep", "root")
-        other = small.select("key", F.col("rep").alias("b"), F.col("root").alias("root_b"))
-        pairs = small.withColumnRenamed("rep", "a").join(other, "key").filter("a < b and root <> root_b").select("a", "b")
-        large = named.join(open_.filter(F.col("left") > SMALL_BUCKET), "key")
-        hubs = large.filter("rep = hub").select("key", F.col("root").alias("root_hub"))
-        spokes = large.filter("rep <> hub").join(hubs, "key").filter("root <> root_hub").select(
-            F.col("hub").alias("a"), F.col("rep").alias("b"))
-        links = links.unionByName(confirm(scratch.keep(pairs.unionByName(spokes).distinct(), "pairs"), f"round{done}"))
-        roots = components(links, scratch)
-        rest = large.filter("rep <> hub").select("key", "rep")
-        done += 1
+    # buckets in which several components are left
+    named = members.filter("size > 2").select("key", "rep").join(
+        roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+    open_ = named.groupBy("key").agg(F.min("rep").alias("low"), F.count("*").alias("size"), F.min("root").alias("lo"),
+                                     F.max("root").alias("hi")).filter("lo < hi").select("key", "low", "size")
+    rest = scratch.keep(named.join(open_, "key"), "open")
+    if not rest.isEmpty():
+        new = scratch.keep(_compare(rest, texts, scratch, k, percent), "tiles")
+        if not new.isEmpty():
+            roots = components(links.unionByName(new), scratch)
     labels = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select(
         *fp, F.coalesce("root", "rep").alias("root"))
     found = signed.select("doc_id", *fp).join(labels, fp, "left")
