@@ -128,22 +128,21 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, q_id: str, r_id: str, vec:
             return pd.DataFrame({"__qid": [], "__rid": [], "dist": [], **{c: [] for c in carry}})
         X, Y = _mat(qk["__vec"]), _mat(rk["__vec"])
         d2 = (X * X).sum(1)[:, None] + (Y * Y).sum(1)[None, :] - 2 * X @ Y.T
-        d = np.sqrt(np.maximum(d2, 0.0))
-        # exact distances for the kept pairs (the expansion above can lose digits)
         rid = rk["__rid"].to_numpy()
         qid = qk["__qid"].to_numpy()
         if exclude_same_id:
-            d = np.where(qid[:, None] == rid[None, :], np.inf, d)
-        m = min(need, d.shape[1])
-        part = np.argpartition(d, m - 1, axis=1)[:, :m] if m < d.shape[1] else np.tile(np.arange(d.shape[1]), (len(X), 1))
-        qi = np.repeat(np.arange(len(X)), part.shape[1])
-        ri = part.ravel()
-        exact = np.sqrt(((X[qi] - Y[ri]) ** 2).sum(1))
-        keep = np.isfinite(d[qi, ri])
-        out = {"__qid": qid[qi][keep], "__rid": rid[ri][keep], "dist": exact[keep]}
+            d2 = np.where(qid[:, None] == rid[None, :], np.inf, d2)
+        m = min(need, d2.shape[1])
+        # everything within rounding of the k-th distance stays, so ties are cut
+        # by the exact distance and the id below
+        kth = np.partition(d2, m - 1, axis=1)[:, m - 1:m]
+        slack = 1e-12 * ((X * X).sum(1).max() + (Y * Y).sum(1).max())
+        qi, ri = np.nonzero((d2 <= kth + slack) & np.isfinite(d2))
+        out = {"__qid": qid[qi], "__rid": rid[ri], "dist": np.sqrt(((X[qi] - Y[ri]) ** 2).sum(1))}
         for c in carry:
-            out[c] = rk[c].to_numpy()[ri][keep]
-        return pd.DataFrame(out)
+            out[c] = rk[c].to_numpy()[ri]
+        out = pd.DataFrame(out).sort_values(["__qid", "dist", "__rid"], kind="stable")
+        return out[out.groupby("__qid").cumcount() < need]
 
     q_type = Q.schema["__qid"].dataType.simpleString()
     r_type = R.schema["__rid"].dataType.simpleString()

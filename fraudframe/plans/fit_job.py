@@ -159,7 +159,8 @@ def fit_job(raw: DataFrame, plan: EncodingPlan, job: TrainJob, rfecv_args: dict
     key = plan.key or ENTITY
     # cut the lineage once: the feature table is computed one time and every
     # later pass (split ranks, resampling, scaler, selector, model) reads it
-    data = data.withColumn(label, F.col(label).cast("int")).checkpoint()
+    # rows without a label (appended by scoring) are history only
+    data = data.withColumn(label, F.col(label).cast("int")).filter(F.col(label).isNotNull()).checkpoint()
     data = split_train_test(data, key, job.test_size, job.seed).persist(StorageLevel.MEMORY_AND_DISK)
     train, test = data.filter(~F.col("is_test")).drop("is_test"), data.filter("is_test").drop("is_test")
     sampler = SAMPLERS[job.sampler]

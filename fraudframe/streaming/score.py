@@ -1,6 +1,6 @@
 """Scoring new transactions with every registered model (survey J1, J2, J6).
 
-raw stream -> contract check (rejects go to their own sink) -> encode with
+raw stream -> contract check (rejects go to their own sink, ``start_rejects``) -> encode with
 the stored dictionaries (stream-static join) -> keyed look-back state ->
 ``foreachBatch``: every registered model scores the micro-batch, results are
 written long form (one row per transaction and model) under the batch id,
@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,24 +61,40 @@ def score_map(long_scores: DataFrame, key: str) -> DataFrame:
 
 def start_scoring(raw_stream: DataFrame, encoder: EncoderModel, spec: LookbackSpec, registry: ModelRegistry,
                   out_path: str, checkpoint: str, contract: dict[str, str] | None = None,
-                  lateness: str = "1 day", trigger: dict | None = None):
-    """Start the scoring query; returns the ``StreamingQuery``."""
+                  lateness: str = "1 day", trigger: dict | None = None, handle_unseen: str = "keep"):
+    """Start the scoring query; returns the ``StreamingQuery``.  Rows that fail
+    the contract are not scored; ``start_rejects`` writes them with the reason."""
     key = encoder.plan.key
     checked = split_bad_rows(raw_stream, contract) if contract else raw_stream.withColumn(
         "reject_reason", F.lit(None).cast("string"))
     good = checked.filter(F.col("reject_reason").isNull()).drop("reject_reason")
-    encoded = encoder.transform(good, handle_unseen="keep", require_label=False)
+    encoded = encoder.transform(good, handle_unseen=handle_unseen, require_label=False)
     feats = stream_lookback(encoded, spec, key, lateness=lateness)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        scored = score_all(batch, registry, key)
-        scored.write.mode("overwrite").parquet(os.path.join(out_path, f"batch_id={batch_id}"))
+        # every model reads the batch: without this the state would be run once a model
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            scored = score_all(batch, registry, key)
+            scored.write.mode("overwrite").parquet(os.path.join(out_path, f"batch_id={batch_id}"))
+        finally:
+            batch.unpersist()
 
     w = feats.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"availableNow": True}))
     return w.start()
 
 
+def start_rejects(raw_stream: DataFrame, contract: dict[str, str], out_path: str, checkpoint: str,
+                  trigger: dict | None = None):
+    """Start the query that appends every row failing the contract, with its
+    ``reject_reason`` (the field's name and what is wrong), to a parquet table."""
+    bad = split_bad_rows(raw_stream, contract).filter(F.col("reject_reason").isNotNull())
+    w = (bad.writeStream.format("parquet").option("path", out_path)
+         .option("checkpointLocation", checkpoint).outputMode("append"))
+    return w.trigger(**(trigger or {"availableNow": True})).start()
+
+
 def stream_source(spark, path: str, schema, files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
@@ -89,5 +106,5 @@ def feature_sink(feats: DataFrame, out_path: str, checkpoint: str, trigger: dict
     return w.trigger(**(trigger or {"availableNow": True})).start()
 
 
-__all__ = ["ModelRegistry", "score_all", "score_map", "start_scoring", "stream_source", "feature_sink",
+__all__ = ["ModelRegistry", "score_all", "score_map", "start_scoring", "start_rejects", "stream_source", "feature_sink",
            "ENTITY", "US"]

@@ -68,3 +68,14 @@ def test_smote_enn(spark):
     assert over.filter(F.col("vec_id") < 0).count() == int(0.5 * max(n0, n1)) - min(n0, n1)
     cleaned = K.smote_enn(emb, "vec_id", "y", cols)
     assert 0 < cleaned.count() <= over.count()
+
+
+@pytest.mark.parametrize("block", [2048, 5])
+def test_knn_ties_go_to_the_lowest_id(spark, block, monkeypatch):
+    monkeypatch.setattr(K, "BLOCK", block)
+    monkeypatch.setattr(K, "QBLOCK", block)
+    df = spark.createDataFrame([(i, [1.0, 2.0, 3.0]) for i in range(12)], "id long, vec array<double>")
+    got = {}
+    for r in K.knn(df, df, 3, "id", "id", "vec", exclude_same_id=True).collect():
+        got.setdefault(r["q_id"], []).append((r["nn_rank"], r["r_id"]))
+    assert {q: [i for _, i in sorted(v)] for q, v in got.items()} == {q: [i for i in range(12) if i != q][:3] for q in range(12)}

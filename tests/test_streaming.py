@@ -90,3 +90,15 @@ def test_late_record_sees_its_window(spark):
     got = spark.read.parquet(os.path.join(base, "out")).filter(F.col("id") == late_id)
     want = add_lookback_features(df, spec).filter(F.col("id") == late_id)
     _compare(got, want, names, "id")
+
+
+def test_rejects_are_written_with_their_reason(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from fraudframe.streaming.score import start_rejects
+    src = str(tmp_path / "in")
+    spark.createDataFrame([(1, "5"), (2, "x"), (3, None)], "id long, amount string").write.parquet(src)
+    stream = spark.readStream.schema("id long, amount string").parquet(src)
+    start_rejects(stream, {"amount": "int"}, str(tmp_path / "bad"), str(tmp_path / "ck")).awaitTermination()
+    bad = {r["id"]: r["reject_reason"] for r in spark.read.parquet(str(tmp_path / "bad")).collect()}
+    assert 1 not in bad and 2 in bad and all("amount" in x for x in bad.values())
