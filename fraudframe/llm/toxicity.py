@@ -143,16 +143,19 @@ def fit(positive: list[bytes], negative: list[bytes], weight: np.ndarray, landma
     example, positive ones first."""
     columns = _columns(positive)
     near = _features(positive, columns)
-    far = np.concatenate([_features(negative[lo:lo + 500], columns) for lo in range(0, len(negative), 500)])
     chosen: list[int] = []
     for i in range(len(positive)):  # strongest first, unlike those before
         if len(chosen) < landmarks and (not chosen or float((near[chosen] @ near[i]).max()) < ALIKE):
             chosen.append(i)
-    close = np.argsort(-(far @ near[chosen].T).max(axis=1), kind="stable")[:landmarks]  # clean units most like them
-    base = np.concatenate([near[chosen], far[close]])
+
+    def against(units: np.ndarray) -> np.ndarray:  # a part at a time: the features are wide
+        return np.concatenate([_features(negative[lo:lo + 250], columns) @ units.T for lo in range(0, len(negative), 250)])
+
+    close = np.argsort(-against(near[chosen]).max(axis=1), kind="stable")[:landmarks]  # clean units most like them
+    base = np.concatenate([near[chosen], _features([negative[i] for i in close], columns)])
     values, vectors = np.linalg.eigh((base @ base.T).astype(np.float64))
     root = vectors / np.sqrt(np.maximum(values, 1e-6))
-    x = (np.concatenate([near, far]) @ base.T).astype(np.float64) @ root
+    x = np.concatenate([near @ base.T, against(base)]).astype(np.float64) @ root
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
     c = cost * weight
