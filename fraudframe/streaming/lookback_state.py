@@ -1,18 +1,20 @@
 """Look-back features of arriving transactions with keyed state (survey J3-J5).
 
 ``stream_lookback`` groups a streaming DataFrame by entity and keeps, per
-entity, the (microseconds, value) history newer than ``max(K)`` days (plus
-allowed lateness) and the newest time ever seen.  Each micro-batch's rows
-get the same 14 features per interval as the batch operator computes
+entity, the (microseconds, value) history newer than the watermark less
+``max(K)`` days and the newest time of what was trimmed.  Each micro-batch's
+rows get the same 14 features per interval as the batch operator computes
 (``canonical`` or ``serve`` profile), then join the history.  The history
 is trimmed on every update; an event-time timeout empties it when an
 entity has been idle for longer than it can matter (the canonical profile
 keeps one number, the newest time, for the gap to the previous row).
+``write_seed`` prepares a stored history that fills the state at the start.
 """
 from __future__ import annotations
 
 import statistics
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -30,7 +32,7 @@ D = 86_400_000_000
 STATE_SCHEMA = T.StructType([
     T.StructField("us", T.BinaryType()),
     T.StructField("v", T.BinaryType()),
-    T.StructField("newest", T.LongType()),
+    T.StructField("before", T.LongType()),
 ])
 
 
@@ -206,9 +208,10 @@ def features_block(all_us: np.ndarray, all_v: np.ndarray, newest_state: int | No
     return np.stack(cols, 1) if cols else np.zeros((n, 0))
 
 
-def _state_fn(spec: LookbackSpec, key_col: str, keep_us: int, out_cols: list[str]):
+def _state_fn(spec: LookbackSpec, out_cols: list[str]):
     intervals, profile = spec.intervals, spec.profile
     names = feature_names(spec.value, intervals)
+    reach = max(intervals) * D
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -216,64 +219,89 @@ def _state_fn(spec: LookbackSpec, key_col: str, keep_us: int, out_cols: list[str
             # canonical gap to the previous row still needs the newest time,
             # so only that one number stays.
             if profile == "canonical":
-                state.update((b"", b"", state.get[2]))
+                us_s, _, before = state.get
+                state.update((b"", b"", int(np.frombuffer(us_s, dtype="<i8")[-1]) if us_s else before))
             else:
                 state.remove()
             return
         parts = list(pdfs)
         batch = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
         if state.exists:
-            us_s, v_s, newest = state.get
+            us_s, v_s, before = state.get
             us_h = np.frombuffer(us_s, dtype="<i8")
             v_h = np.frombuffer(v_s, dtype="<f8")
         else:
-            us_h, v_h, newest = np.zeros(0, np.int64), np.zeros(0, float), None
-        b_us = batch["__us"].to_numpy(np.int64)
-        b_v = batch["__v"].to_numpy(float)
-        all_us = np.concatenate([us_h, b_us])
-        all_v = np.concatenate([v_h, b_v])
+            us_h, v_h, before = np.zeros(0, np.int64), np.zeros(0, float), None
+        all_us = np.concatenate([us_h, batch["__us"].to_numpy(np.int64)])
+        all_v = np.concatenate([v_h, batch["__v"].to_numpy(float)])
         order = np.argsort(all_us, kind="stable")
         all_us, all_v = all_us[order], all_v[order]
-        feats = features_block(all_us, all_v, newest, b_us, b_v, intervals, profile)
-        fpos = {nm: i for i, nm in enumerate(names)}
-        out = pd.DataFrame({c: (feats[:, fpos[c]] if c in fpos else batch[c].to_numpy()) for c in out_cols})
-        # history kept: everything newer than (newest - max(K) days - lateness)
-        top = int(all_us[-1])
-        newest = top if newest is None else max(newest, top)
-        keep = all_us > newest - keep_us
-        state.update((all_us[keep].astype("<i8").tobytes(), all_v[keep].astype("<f8").tobytes(), newest))
-        state.setTimeoutTimestamp(newest // 1000 + keep_us // 1000 + 1)
-        yield out
+        live = batch[~batch["__seed"].to_numpy(bool)]
+        if len(live):
+            feats = features_block(all_us, all_v, before, live["__us"].to_numpy(np.int64), live["__v"].to_numpy(float),
+                                   intervals, profile)
+            fpos = {nm: i for i, nm in enumerate(names)}
+            yield pd.DataFrame({c: (feats[:, fpos[c]] if c in fpos else live[c].to_numpy()) for c in out_cols})
+        # no later batch accepts a row older than this batch's watermark, so
+        # nothing at or before watermark - max(K) days is in a window again
+        mark = state.getCurrentWatermarkMs()
+        keep = all_us > mark * 1000 - reach
+        if not keep.all():
+            gone = int(all_us[~keep][-1])
+            before = gone if before is None else max(before, gone)
+        state.update((all_us[keep].astype("<i8").tobytes(), all_v[keep].astype("<f8").tobytes(), before))
+        state.setTimeoutTimestamp(max((int(all_us[-1]) + reach) // 1000, mark) + 1)
 
     return fn
 
 
+def write_seed(history: DataFrame, spec: LookbackSpec, path: str, lateness: str = "1 day") -> None:
+    """Write what a stream needs of the stored ``history`` to ``path``: the
+    rows that a window of a new row can reach, and the newest time of every
+    entity that has none.  Rows without a time are left out.  One map-side
+    combined aggregate per entity; the history itself is not shuffled."""
+    rows = history.select(spec.entity, epoch_micros(spec.time, history.schema[spec.time].dataType).alias("__us"),
+                          F.col(spec.value).cast("double").alias("__v")).filter(F.col("__us").isNotNull())
+    oldest = F.unix_micros(F.timestamp_micros(F.max("__us")) - F.expr(f"INTERVAL {lateness}"))
+    oldest = rows.agg(oldest.alias("t")).first()["t"] or 0
+    cut = oldest - (max(spec.intervals) + 1) * D  # a day more than needed
+    idle = (rows.groupBy(spec.entity).agg(F.max("__us").alias("__us")).filter(F.col("__us") <= cut)
+            .withColumn("__v", F.lit(None).cast("double")))
+    rows.filter(F.col("__us") > cut).unionByName(idle).write.mode("overwrite").parquet(path)
+
+
 def stream_lookback(stream: DataFrame, spec: LookbackSpec, key_col: str, lateness: str = "1 day",
-                    lateness_days: int = 1) -> DataFrame:
+                    seed: str | None = None) -> DataFrame:
     """Streaming DataFrame of input rows with their look-back features.
 
-    ``lateness`` is the watermark delay on the event time; the history keeps
-    ``max(K) + lateness_days`` days so that a row arriving that late still
-    sees its whole window."""
+    ``lateness`` is the watermark delay on the event time.  The history kept
+    follows the watermark, so every row that the engine accepts sees its whole
+    window; rows older than the watermark are dropped by the engine and counted
+    in ``numRowsDroppedByWatermark`` of the query's progress.  ``seed`` is a
+    folder of ``write_seed``: its rows fill the state in the first micro-batch
+    and are not returned; they must not come again in the stream."""
     if spec.profile == "train":
         raise ValueError("the train profile needs every earlier row; stream with canonical or serve")
     if spec.label and spec.label not in stream.columns:  # new records carry no label
-        from dataclasses import replace
         spec = replace(spec, label=None)
     dtype = stream.schema[spec.time].dataType
     event_ts = "__event_ts"
     df = (stream.withColumn("__us", epoch_micros(spec.time, dtype))
           .withColumn("__v", F.col(spec.value).cast("double"))
-          .withColumn(event_ts, F.timestamp_micros(F.col("__us")))
-          .withWatermark(event_ts, lateness))
+          .withColumn("__seed", F.lit(False)))
+    if seed is not None:
+        spark = stream.sparkSession
+        entity = stream.schema[spec.entity].dataType
+        past = spark.readStream.schema(spark.read.parquet(seed).schema).parquet(seed).withColumn("__seed", F.lit(True))
+        past = past.withColumn(spec.entity, F.col(spec.entity).cast(entity))
+        df = df.unionByName(past, allowMissingColumns=True)
+    df = df.withColumn(event_ts, F.timestamp_micros(F.col("__us"))).withWatermark(event_ts, lateness)
     keep_cols = [c for c in stream.columns if c != spec.label] + ([spec.label] if spec.label else [])
     names = feature_names(spec.value, spec.intervals)
     out_fields = [stream.schema[c] for c in keep_cols if c != spec.label] + \
         [T.StructField(n, T.DoubleType()) for n in names] + \
         ([stream.schema[spec.label]] if spec.label else [])
     out_schema = T.StructType(out_fields)
-    out_cols = [f.name for f in out_fields]
-    keep_us = (max(spec.intervals) + lateness_days) * D
-    fn = _state_fn(spec, key_col, keep_us, out_cols)
+    fn = _state_fn(spec, [f.name for f in out_fields])
     return df.groupBy(spec.entity).applyInPandasWithState(
         fn, out_schema, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)

@@ -92,6 +92,66 @@ def test_late_record_sees_its_window(spark):
     _compare(got, want, names, "id")
 
 
+def _stream_parts(spark, parts, spec, **options):
+    base = scratch_dir(spark, "test-parts")
+    src_dir = os.path.join(base, "src")
+    for part in parts:
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(src_dir)
+    src = spark.readStream.schema(spark.createDataFrame([], SCHEMA).schema).option("maxFilesPerTrigger", 1).parquet(src_dir)
+    q = (stream_lookback(src, spec, "id", **options).writeStream.format("parquet")
+         .option("path", os.path.join(base, "out")).option("checkpointLocation", os.path.join(base, "ck"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(os.path.join(base, "out"))
+
+
+def test_history_follows_the_watermark(spark):
+    """Rows within a long lateness see their whole window, also when it lies
+    far behind the entity's newest row and its previous row farther still."""
+    from datetime import datetime, timedelta
+    t0 = datetime(2024, 5, 1)
+    rows = [(i, "c", t0 + timedelta(hours=5 * i), float(i % 7 + 1), 0) for i in range(40)]
+    rows += [(100, "d", t0 - timedelta(days=40), 3.0, 0), (101, "d", t0 + timedelta(days=7), 5.0, 0),
+             (102, "d", t0 + timedelta(days=4), 4.0, 0)]
+    parts = [[r for r in rows if r[0] < 30 and r[0] != 10 or r[0] == 100], [r for r in rows if 30 <= r[0] < 35 or r[0] == 101],
+             [r for r in rows if 35 <= r[0] < 40 or r[0] in (10, 102)]]
+    spec = LookbackSpec("card", "ts", "amount", (3,), label="fraud")
+    got = _stream_parts(spark, parts, spec, lateness="6 days")
+    late = F.col("id").isin(10, 35, 39, 102)
+    want = add_lookback_features(spark.createDataFrame(rows, SCHEMA), spec)
+    _compare(got.filter(late), want.filter(late), feature_names("amount", (3,)), "id")
+
+
+@pytest.mark.parametrize("profile", ["canonical", "serve"])
+def test_seeded_stream_goes_on_from_the_stored_history(spark, profile):
+    from datetime import datetime, timedelta
+
+    from fraudframe.streaming.lookback_state import write_seed
+    t0 = datetime(2024, 5, 1)
+    rows = [(i, "ce"[i % 2], t0 + timedelta(hours=7 * i), float(i % 5 + 1), 0) for i in range(60)]
+    rows += [(100, "d", t0 - timedelta(days=40), 3.0, 0), (101, "d", t0 + timedelta(days=15), 5.0, 0)]
+    spec = LookbackSpec("card", "ts", "amount", (1, 3), label="fraud", profile=profile)
+    old = [r for r in rows if r[0] < 40 or r[0] == 100]
+    new = [r for r in rows if r not in old]
+    seed = os.path.join(scratch_dir(spark, "test-seed"), "seed")
+    write_seed(spark.createDataFrame(old, SCHEMA), spec, seed)
+    assert spark.read.parquet(seed).count() < len(old)
+    got = _stream_parts(spark, [new[:8], new[8:]], spec, seed=seed)
+    want = add_lookback_features(spark.createDataFrame(rows, SCHEMA), spec).filter(F.col("id").isin([r[0] for r in new]))
+    _compare(got, want, feature_names("amount", (1, 3)), "id")
+
+
+def test_models_are_grouped_by_their_steps():
+    from types import SimpleNamespace
+
+    from fraudframe.streaming.score import ModelRegistry
+    enc = object()
+    a, b = (LookbackSpec("card", "ts", "amount", k) for k in ((3,), (7,)))
+    reg = ModelRegistry({"m1": SimpleNamespace(encoder=enc, lookback=a), "m2": SimpleNamespace(encoder=enc, lookback=b),
+                         "m3": SimpleNamespace(encoder=enc, lookback=a), "m4": SimpleNamespace(encoder=object(), lookback=a)})
+    assert [g.ids() for g in reg.by_steps()] == [["m1", "m3"], ["m2"], ["m4"]]
+
+
 def test_rejects_are_written_with_their_reason(spark, tmp_path):
     from pyspark.sql import functions as F
 
