@@ -1,5 +1,6 @@
 """Table profiling (survey 2.B): row count, key check, binary label
-candidates and numeric-text suitability, all from ONE aggregate pass.
+candidates and numeric-text suitability from one aggregate pass, and the key
+check from a second pass over the key column.
 
 The per-column result is a DataFrame (one row per column, built by
 ``stack`` inside Spark); ``TableProfile`` is its small driver-side form used
@@ -57,7 +58,8 @@ def _digit_checks(c: Column, cat: str) -> tuple[Column, Column]:
 def profile_frame(df: DataFrame, id_col: str | None = None) -> DataFrame:
     """One row per column: position, name, type, n_rows, n_null, ones, zeros,
     is_label_candidate, all_digits, fits_int, applicable (extra encodings),
-    is_key (``id_col`` and unique).  One scan of ``df``."""
+    is_key (``id_col`` and unique).  One scan of ``df`` without a shuffle of its
+    rows; the key is tested on its own column alone."""
     aggs: list[Column] = [F.count(F.lit(1)).alias("__n")]
     cats = []
     for i, f in enumerate(df.schema.fields):
@@ -68,16 +70,20 @@ def profile_frame(df: DataFrame, id_col: str | None = None) -> DataFrame:
         dig, fits = _digit_checks(c, cat)
         aggs += [ones.alias(f"__o{i}"), zeros.alias(f"__z{i}"), F.count_if(c.isNull()).alias(f"__u{i}"),
                  dig.alias(f"__d{i}"), fits.alias(f"__f{i}")]
-    if id_col:
-        aggs.append(F.count_distinct(F.col(f"`{id_col}`")).alias("__idn"))
     one = df.agg(*aggs)
+    if id_col:
+        ids = df.select(F.col(f"`{id_col}`").alias("__id")).filter(F.col("__id").isNotNull())
+        repeated = ids.groupBy("__id").agg(F.count(F.lit(1)).alias("__m")).filter("__m > 1").agg(
+            F.count(F.lit(1)).alias("__repeated"))
+        # one row with one row
+        one = one.withColumn("__one", F.lit(1)).join(repeated.withColumn("__one", F.lit(1)), "__one")
     n = len(df.schema.fields)
     names = [f.name.replace("'", "''") for f in df.schema.fields]
     stack = ", ".join(
         f"{i}, '{names[i]}', '{cats[i]}', __o{i}, __z{i}, __u{i}, __d{i}, __f{i}" for i in range(n))
-    idn = "__idn" if id_col else "CAST(NULL AS BIGINT)"
+    repeats = "__repeated" if id_col else "CAST(NULL AS BIGINT)"
     rows = one.selectExpr(
-        "__n AS n_rows", f"{idn} AS __idn",
+        "__n AS n_rows", f"{repeats} AS __repeated",
         f"stack({n}, {stack}) AS (position, name, type, ones, zeros, n_null, all_digits, fits_int)")
     cand = (F.col("ones") + F.col("zeros") == F.col("n_rows")) & (F.col("ones") > 0) & (F.col("zeros") > 0)
     applicable = F.filter(F.array(F.when(F.col("all_digits"), F.lit("float")), F.when(F.col("fits_int"), F.lit("int"))),
@@ -86,7 +92,7 @@ def profile_frame(df: DataFrame, id_col: str | None = None) -> DataFrame:
     return rows.select(
         "position", "name", "type", "n_rows", "n_null", "ones", "zeros",
         cand.alias("is_label_candidate"), "all_digits", "fits_int", applicable.alias("applicable"),
-        (key & (F.col("__idn") == F.col("n_rows") - F.col("n_null")) & (F.col("n_null") == 0)).alias("is_key"),
+        (key & (F.col("__repeated") == 0) & (F.col("n_null") == 0)).alias("is_key"),
     )
 
 
