@@ -38,6 +38,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from fraudframe.functions.columns import (
     MICROS_PER_DAY,
@@ -60,7 +61,12 @@ _PREV = "__lb_prev_us"
 @dataclass(frozen=True)
 class LookbackSpec:
     """What to compute: entity (card) column, time column, chosen value
-    column, interval list in days, optional label column kept last."""
+    column, interval list in days, optional label column kept last.
+
+    ``tie`` (a unique key) orders an entity's rows of equal time, which the
+    ``train`` profile needs; without it they are ordered by value, then by a
+    hash of all plain columns.
+    """
 
     entity: str
     time: str
@@ -68,6 +74,7 @@ class LookbackSpec:
     intervals: tuple[int, ...]
     label: str | None = None
     profile: str = "canonical"
+    tie: str | None = None
 
     def __post_init__(self):
         if not self.intervals:
@@ -291,7 +298,7 @@ def _train(spec: LookbackSpec, w):
     """Columns of the original batch trainer."""
     us = _c(_US)
     gp = _c(_GP)
-    # equal timestamps keep one value (the first of the tie in window order)
+    # equal timestamps keep one value (the first of the tie in row order)
     v_one = F.when(gp != 0, _c(_V)).cast("double")
     prior = _frame(w, None, -1)
     max_k = max(spec.intervals)
@@ -299,7 +306,6 @@ def _train(spec: LookbackSpec, w):
         "__n_prior": F.count(us).over(prior),
         "__newest": F.max(us).over(prior),
         "__oldest": F.min(us).over(prior),
-        "__first_v": F.first(_c(_V)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
         "__medgap_all": F.percentile(F.when(gp >= 0, gp), F.lit(0.5)).over(prior),
         **_bucket_stage(w, max_k),
     }
@@ -424,8 +430,14 @@ def add_lookback_features(df: DataFrame, spec: LookbackSpec, skew: SkewPolicy |
     context_us = max(spec.intervals) * D
 
     if spec.profile == "train":
+        # rows in one total order, so ties don't follow the input's order; the
+        # frames by time below reuse that sort
+        plain = [f.name for f in df.schema.fields if isinstance(f.dataType, AtomicType)]
+        tie = [F.col(spec.tie)] if spec.tie else [F.col(_V), F.xxhash64(*plain)]
+        rows_w = Window.partitionBy(spec.entity).orderBy(_US, *tie)
+        base = base.withColumns({**_window0(rows_w), "__lb_rn": F.row_number().over(rows_w), "__first_v": F.first(_V).over(
+            rows_w.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
         w = Window.partitionBy(spec.entity).orderBy(_US)
-        base = base.withColumns({**_window0(w), "__lb_rn": F.row_number().over(w)})
         out = _apply(base, _train(spec, w), keep, names, tail, ["__lb_rn"])
         # the trainer drops the oldest row of every entity (and so single-row entities)
         return out.filter(F.col("__lb_rn") > 1).drop("__lb_rn")

@@ -84,7 +84,7 @@ class FittedBundle:
                 "lookback": None if self.lookback is None else {
                     "entity": self.lookback.entity, "time": self.lookback.time, "value": self.lookback.value,
                     "intervals": list(self.lookback.intervals), "label": self.lookback.label,
-                    "profile": self.lookback.profile},
+                    "profile": self.lookback.profile, "tie": self.lookback.tie},
                 "info": self.info, **extra}
         spark.createDataFrame([(json.dumps(meta, default=str),)], "meta string").coalesce(1) \
             .write.mode("overwrite").text(os.path.join(path, "bundle"))
@@ -104,7 +104,7 @@ class FittedBundle:
         encoder = EncoderModel.load(spark, os.path.join(path, "encoder"))
         lb = meta["lookback"]
         spec = None if lb is None else LookbackSpec(lb["entity"], lb["time"], lb["value"], tuple(lb["intervals"]),
-                                                    lb["label"], lb["profile"])
+                                                    lb["label"], lb["profile"], lb.get("tie"))
         sc = meta["scaler"]
         scaler = ScalerModel(sc["kind"], sc["columns"], {c: tuple(v) for c, v in sc["params"].items()})
         sm = meta["selector"]
@@ -154,7 +154,7 @@ def fit_job(raw: DataFrame, plan: EncodingPlan, job: TrainJob, rfecv_args: dict
     data = encoded
     if plan.features is not None:
         spec = LookbackSpec(ENTITY, US, plan.features.chosen_feature_field, tuple(plan.features.intervals),
-                            label=label, profile=plan.profile)
+                            label=label, profile=plan.profile, tie=plan.key)
         data = add_lookback_features(encoded, spec)
     key = plan.key or ENTITY
     # cut the lineage once: the feature table is computed one time and every

@@ -109,24 +109,24 @@ def serve_sql(src: str, value: str, intervals, round_to: int | None = 20) -> str
 
 
 def train_sql(src: str, value: str, intervals, round_to: int | None = 20) -> str:
-    """Trainer profile; assumes no two rows of an entity share a timestamp
-    (true for ``events``), where the tie rules of both engines agree."""
+    """Trainer profile; rows of one entity and time are ordered by id, and one
+    value (the first) stands for them."""
     max_k = max(intervals)
     stats = [
         f"count(*) {_w('UNBOUNDED PRECEDING', '1 PRECEDING')} AS n_prior",
         f"max(us) {_w('UNBOUNDED PRECEDING', '1 PRECEDING')} AS last_us",
         f"min(us) {_w('UNBOUNDED PRECEDING', '1 PRECEDING')} AS first_us",
-        f"first_value(v) OVER (PARTITION BY card ORDER BY us) AS first_v",
+        f"first_value(v) OVER (PARTITION BY card ORDER BY us, id) AS first_v",
         f"quantile_cont(gap, 0.5) {_w('UNBOUNDED PRECEDING', '1 PRECEDING')} AS med_gap_all",
-        "row_number() OVER (PARTITION BY card ORDER BY us) AS rn",
+        "row_number() OVER (PARTITION BY card ORDER BY us, id) AS rn",
         *_bucket_cols(max_k),
     ]
     for k in intervals:
         f = _w(_prec(k * D - 1), "1 PRECEDING")
         stats += [
-            f"COALESCE(avg(v) {f}, 0.0) AS avg{k}",
-            f"COALESCE(quantile_cont(v, 0.5) {f}, 0.0) AS med{k}",
-            f"COALESCE(stddev_samp(v) {f}, 0.0) AS dev{k}",
+            f"COALESCE(avg(v_one) {f}, 0.0) AS avg{k}",
+            f"COALESCE(quantile_cont(v_one, 0.5) {f}, 0.0) AS med{k}",
+            f"COALESCE(stddev_samp(v_one) {f}, 0.0) AS dev{k}",
         ]
     names = feature_names(value, intervals)
     sel, i = [], 0
@@ -141,8 +141,9 @@ def train_sql(src: str, value: str, intervals, round_to: int | None = 20) -> str
         for c in cols:
             sel.append(f"{_round(c, round_to)} AS {names[i]}")
             i += 1
-    return (f"WITH g AS (SELECT *, us - lag(us) OVER (PARTITION BY card ORDER BY us) AS gap FROM ({src}) src),\n"
-            f"s AS (SELECT *, {', '.join(stats)} FROM g)\n"
+    return (f"WITH g AS (SELECT *, us - lag(us) OVER (PARTITION BY card ORDER BY us, id) AS gap FROM ({src}) src),\n"
+            f"s AS (SELECT *, {', '.join(stats)} FROM "
+            f"(SELECT *, CASE WHEN gap IS NULL OR gap <> 0 THEN v END AS v_one FROM g) o)\n"
             f"SELECT id, {', '.join(sel)} FROM s WHERE rn > 1")
 
 

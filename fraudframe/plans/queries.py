@@ -440,11 +440,11 @@ def q_stream_lookback(spark, sf_dir):
 
 @register("stream_score_all_models")
 def q_stream_score(spark, sf_dir):
-    """Fit two models on the first three quarters of time, then score the
-    replayed stream with both (long form: one row per event and model)."""
+    """Fit two models on all rows, then score the replayed stream with both
+    (long form: one row per event and model)."""
     from fraudframe.streaming.score import ModelRegistry, start_scoring
     tx = event_transactions(spark, sf_dir)
-    raw_stream_tx, src, base = None, None, scratch_dir(spark, "stream-score")
+    base = scratch_dir(spark, "stream-score")
     write_time_slices(tx, "ts", os.path.join(base, "src"), 4)
     src = spark.readStream.schema(tx.schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(base, "src"))
     reg = ModelRegistry()
@@ -490,7 +490,7 @@ _ORD_SRC = f"SELECT id, card_number AS card, epoch_us(ts) AS us, amount AS v FRO
 def _orders_query(profile):
     def run(spark, sf_dir):
         tx = order_transactions(spark, sf_dir).select("id", "card_number", "ts", "amount")
-        spec = LookbackSpec("card_number", "ts", "amount", (30,), profile=profile)
+        spec = LookbackSpec("card_number", "ts", "amount", (30,), profile=profile, tie="id")
         return _rounded(add_lookback_features(tx, spec), ["id"], feature_names("amount", (30,)))
     return run
 
@@ -499,6 +499,8 @@ register("lookback_orders_canonical", lookback_sql.canonical_sql(_ORD_SRC, "amou
     _orders_query("canonical"))
 register("lookback_orders_serve", lookback_sql.serve_sql(_ORD_SRC, "amount", (30,), DIGITS))(
     _orders_query("serve"))
+register("lookback_orders_train", lookback_sql.train_sql(_ORD_SRC, "amount", (30,), DIGITS))(
+    _orders_query("train"))
 
 
 # --------------------------------------------------------------------------

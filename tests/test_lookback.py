@@ -1,4 +1,5 @@
 import math
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ def _close(a, b):
 
 
 def _check(spark, df, spec, skew=None):
+    spec = replace(spec, tie="id")  # the restatement takes tied rows in id order
     out = add_lookback_features(df, spec, skew=skew)
     names = feature_names(spec.value, spec.intervals)
     got = {r["id"]: [r[n] for n in names] for r in out.select("id", *names).collect()}
@@ -137,3 +139,17 @@ def test_hot_card_is_split_and_exact(spark):
     hot_rows = df.filter("user_id = -1").count()
     assert max(sizes) < 3 * 400 and len(sizes) > hot_rows // 400
     _check(spark, df, spec, skew=policy)
+
+
+@pytest.mark.parametrize("tie", [None, "id"])
+def test_train_ties_do_not_follow_the_input_order(spark, tie):
+    from datetime import datetime, timedelta
+    t0 = datetime(2024, 5, 1)
+    rows = [(1, "c", t0, 10.0, 0), (2, "c", t0, 50.0, 1), (3, "c", t0 + timedelta(days=1), 7.0, 0),
+            (4, "c", t0 + timedelta(days=1), 7.5, 0), (5, "c", t0 + timedelta(days=2), 9.0, 0)]
+    spec = LookbackSpec("card", "ts", "amount", (3,), label="fraud", profile="train", tie=tie)
+    names = feature_names("amount", (3,))
+    outs = [{r["id"]: [r[n] for n in names] for r in add_lookback_features(
+        spark.createDataFrame(part, SCHEMA).coalesce(1), spec).collect()} for part in (rows, rows[::-1])]
+    assert outs[0] == outs[1]
+    assert sorted(outs[0]) == [2, 3, 4, 5]
