@@ -27,6 +27,7 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LogisticRegression, NaiveBayes, RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,38 +85,29 @@ class LinearDiscriminantModel:
 
 
 class LinearDiscriminant:
-    """Two-class LDA: class means, priors and the pooled covariance come from
-    one aggregate over the data (sums and cross-products per class, d(d+1)
-    numbers per class); the d x d solve runs on the driver."""
+    """Two-class LDA: class means from one vector summary, then the pooled
+    covariance of the vectors less their class's mean (so large offsets don't
+    cancel), both computed by Spark; the d x d solve runs on the driver."""
 
     def __init__(self, label: str = "label", features: str = "features"):
         self.label, self.features = label, features
 
     def fit(self, df: DataFrame) -> LinearDiscriminantModel:
-        d = len(df.select(self.features).first()[0])
-        x = vector_to_array(F.col(self.features))
-        aggs = [F.count(F.lit(1)).alias("n")]
-        for i in range(d):
-            aggs.append(F.sum(x[i]).alias(f"s{i}"))
-            for j in range(i, d):
-                aggs.append(F.sum(x[i] * x[j]).alias(f"p{i}_{j}"))
-        rows = {int(r[self.label]): r for r in df.groupBy(self.label).agg(*aggs).collect()}
-        n_total = sum(r["n"] for r in rows.values())
-        means, scatter = {}, np.zeros((d, d))
-        for c, r in rows.items():
-            n = r["n"]
-            s = np.array([r[f"s{i}"] for i in range(d)])
-            g = np.zeros((d, d))
-            for i in range(d):
-                for j in range(i, d):
-                    g[i, j] = g[j, i] = r[f"p{i}_{j}"]
-            mu = s / n
-            means[c] = mu
-            scatter += g - n * np.outer(mu, mu)
-        cov = scatter / max(n_total - len(rows), 1)
+        rows = df.select(F.col(self.label).cast("int").alias("y"), F.col(self.features).alias("x"))
+        found = rows.groupBy("y").agg(Summarizer.mean(F.col("x")).alias("mean"), F.count(F.lit(1)).alias("n")).limit(3).collect()
+        n = {r["y"]: r["n"] for r in found}
+        if set(n) != {0, 1}:
+            raise ValueError(f"classes 0 and 1 expected, got {sorted(map(str, n))}")
+        m0, m1 = (next(r["mean"].toArray() for r in found if r["y"] == c) for c in (0, 1))
+        mean = F.when(F.col("y") == 1, F.array(*[F.lit(float(v)) for v in m1])).otherwise(
+            F.array(*[F.lit(float(v)) for v in m0]))
+        centred = rows.select(array_to_vector(F.zip_with(vector_to_array("x"), mean, lambda v, m: v - m)).alias("c"))
+        total = n[0] + n[1]
+        # the centred columns have mean 0: correlation and variance give the scatter
+        spread = np.sqrt(centred.agg(Summarizer.variance(F.col("c")).alias("v")).first()["v"].toArray() * (total - 1))
+        corr = np.nan_to_num(Correlation.corr(centred, "c").first()[0].toArray())  # a constant column has none
+        cov = corr * np.outer(spread, spread) / max(total - 2, 1)
         inv = np.linalg.pinv(cov)
-        m0, m1 = means[0], means[1]
         w = inv @ (m1 - m0)
-        prior = np.log(rows[1]["n"] / rows[0]["n"])
-        b = -0.5 * (m1 @ inv @ m1 - m0 @ inv @ m0) + prior
+        b = -0.5 * (m1 @ inv @ m1 - m0 @ inv @ m0) + np.log(n[1] / n[0])
         return LinearDiscriminantModel(w, float(b), self.features)

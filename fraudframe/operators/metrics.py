@@ -8,6 +8,7 @@ computed for class 1 (see README, "Metrics").
 """
 from __future__ import annotations
 
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,6 +84,13 @@ def binary_metrics(df: DataFrame, label: str = "label", prediction: str = "predi
     return metrics_from_counts(confusion_counts(df, label, prediction), convention)
 
 
+def score_auc(df: DataFrame, label: str = "label", score: str = "positive_probability") -> float:
+    """Area under the ROC curve of the scores, every score a point of the curve
+    (``ROCAUC`` of the metrics table is that of the 0/1 predictions)."""
+    rows = df.select(F.col(label).cast("double").alias("label"), F.col(score).cast("double").alias("score"))
+    return BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label", numBins=0).evaluate(rows)
+
+
 def metrics_sql(src: str, label: str, prediction: str, convention: str = "standard") -> str:
     """The same metrics as SQL text (used as the oracle)."""
     def div(a, b):

@@ -42,7 +42,8 @@ def split_train_test(df: DataFrame, key: str, test_size: float = 0.25, seed: int
 
 
 def class_counts(df: DataFrame, label: str) -> dict[int, int]:
-    return {int(r[0]): r[1] for r in df.groupBy(label).count().collect()}
+    """Rows of each class, of at most three: two are expected."""
+    return {int(r[0]): r[1] for r in df.groupBy(label).count().limit(3).collect()}
 
 
 def _minority_majority(counts: dict[int, int]) -> tuple[int, int]:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from fraudframe.operators.classify import make_classifier, with_probabilities
 from fraudframe.operators.encode import ENTITY, US, EncoderModel, fit_encoder
 from fraudframe.operators.lookback import LookbackSpec, add_lookback_features
-from fraudframe.operators.metrics import binary_metrics
+from fraudframe.operators.metrics import binary_metrics, score_auc
 from fraudframe.operators.resample import over_sample, split_train_test, under_sample
 from fraudframe.operators.scale import ScalerModel, fit_scaler
 from fraudframe.operators.select import SelectorModel, fit_selector
@@ -185,4 +185,5 @@ def fit_job(raw: DataFrame, plan: EncodingPlan, job: TrainJob, rfecv_args: dict
                           info={"model": MODELS[job.model], "train_rows": n, "selected": selector.n_out})
     scored = bundle.score(test)
     bundle.metrics = binary_metrics(scored, label, "prediction")
+    bundle.info["score_auc"] = score_auc(scored, label)
     return bundle

@@ -91,3 +91,34 @@ def test_metrics_zero_denominators(spark):
     m = binary_metrics(_frame(spark, 10, 0, 0, 0)).first().asDict()
     assert set(m) == set(METRIC_COLUMNS)
     assert m["prec"] == 0.0 and m["recall"] == 0.0 and m["MCC"] == 0.0 and m["f1"] == 0.0
+
+
+def test_score_auc_counts_pairs(spark):
+    import numpy as np
+
+    from fraudframe.operators.metrics import score_auc
+    rng = np.random.default_rng(4)
+    y, x = rng.integers(0, 2, 300), rng.integers(0, 40, 300) / 40
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, x)], "label int, positive_probability double")
+    pos, neg = x[y == 1][:, None], x[y == 0][None, :]
+    assert math.isclose(score_auc(df), float(((pos > neg) + 0.5 * (pos == neg)).mean()))
+
+
+def test_discriminant_equals_the_closed_form(spark):
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    from fraudframe.operators.classify import LinearDiscriminant
+    rng = np.random.default_rng(5)
+    y = (rng.random(400) < 0.3).astype(int)
+    x = rng.normal(size=(400, 3)) @ rng.normal(size=(3, 3)) + y[:, None] * [1.0, -2.0, 0.5]
+    moved = x + [1e6, -1e6, 0]  # an offset that sums of squares would lose
+    df = spark.createDataFrame([(int(a), Vectors.dense(v)) for a, v in zip(y, moved)], ["label", "features"])
+    got = LinearDiscriminant().fit(df)
+    m0, m1 = x[y == 0].mean(0), x[y == 1].mean(0)
+    r = x - np.where(y[:, None] == 1, m1, m0)
+    want = np.linalg.solve(r.T @ r / (len(y) - 2), m1 - m0)
+    assert np.allclose(got.weights, want, rtol=1e-5)
+    out = [row["prediction"] for row in got.transform(df).collect()]
+    score = (x - (m0 + m1) / 2) @ want + np.log(y.sum() / (1 - y).sum())
+    assert [int(p) for p in out] == (score > 0).astype(int).tolist()
