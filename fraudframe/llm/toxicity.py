@@ -45,6 +45,8 @@ _SPANS = [(a, b, c) for a in range(1, 4) for b in range(1, 4) for c in range(1,
 _END = np.zeros(256, bool)
 _END[[10, 33, 46, 63]] = True
 TABLE = 1 << 20
+#: Bytes of text and units worked on at once: a symbol takes some hundred bytes of arrays.
+PART_BYTES, PART_UNITS = 1 << 20, 8_000
 
 
 class Units:
@@ -191,7 +193,7 @@ def platt(value: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 def _values(batch_text, table: np.ndarray, bias: float) -> np.ndarray:
     """The highest unit value of each text; -1 for texts without units."""
     out = np.full(len(batch_text), -1.0)
-    for lo, _, raw, offsets in bw.text_slices(batch_text):
+    for lo, _, raw, offsets in bw.text_slices(batch_text, PART_BYTES):
         units = Units(raw, offsets)
         _, index, inverse = np.unique(units.hash, return_index=True, return_inverse=True)
         length = units.size[index] + 2
@@ -199,9 +201,8 @@ def _values(batch_text, table: np.ndarray, bias: float) -> np.ndarray:
         symbols = units.symbols[flat_at + np.repeat(units.begin[index], length)]
         value = np.empty(len(index))
         ends = np.cumsum(length)
-        step = 40_000
-        for a in range(0, len(index), step):
-            b = min(len(index), a + step)
+        for a in range(0, len(index), PART_UNITS):
+            b = min(len(index), a + PART_UNITS)
             s = ends[a] - length[a]
             value[a:b] = decide(symbols[s:ends[b - 1]], ends[a:b] - length[a:b] - s, length[a:b], table)
         value = np.where(units.size[index] > 0, value + bias, -1.0)[inverse]
@@ -213,7 +214,7 @@ def _unit_rows(batches):
     """(unit, sentence, label) of each distinct unit of each sentence of each labelled text."""
     for batch in batches:
         label = batch.column(2).to_numpy()
-        for lo, _, raw, offsets in bw.text_slices(batch.column(1)):
+        for lo, _, raw, offsets in bw.text_slices(batch.column(1), PART_BYTES):
             units = Units(raw, offsets)
             if not len(units.doc):
                 continue
