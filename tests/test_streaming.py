@@ -162,3 +162,32 @@ def test_rejects_are_written_with_their_reason(spark, tmp_path):
     start_rejects(stream, {"amount": "int"}, str(tmp_path / "bad"), str(tmp_path / "ck")).awaitTermination()
     bad = {r["id"]: r["reject_reason"] for r in spark.read.parquet(str(tmp_path / "bad")).collect()}
     assert 1 not in bad and 2 in bad and all("amount" in x for x in bad.values())
+
+
+def test_every_model_is_scored_and_its_rows_appended(spark):
+    from fraudframe.plans.fit_job import fit_job
+    from fraudframe.plans.spec import EncodingPlan, FeatureParams, TrainJob
+    from fraudframe.streaming.lookback_state import write_seed
+    from fraudframe.streaming.score import ModelRegistry, start_every_model
+    tx = event_transactions(spark, SF001)
+    plan = EncodingPlan("events", "ts", {"card_number": "float", "ts": "julian", "vendor_code": "int", "event_type": "omit",
+                                         "fraud": "fraud_type"}, FeatureParams("amount", (3,)), entity="card_number", key="id")
+    bundle = fit_job(tx, plan, TrainJob("p", model=2, selector=2, scaler=1, sampler=1))
+    old, new = tx.filter("id % 4 != 0"), tx.filter("id % 4 = 0")
+    base = scratch_dir(spark, "test-score")
+    write_time_slices(new, "ts", os.path.join(base, "src"), 2)
+    seed = os.path.join(base, "seed")
+    write_seed(bundle.encoder.transform(old), bundle.lookback, seed, lateness="40 days")
+    src = spark.readStream.schema(tx.schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(base, "src"))
+    past = os.path.join(base, "past")
+    for q in start_every_model(src, ModelRegistry({"m": bundle}), os.path.join(base, "out"), os.path.join(base, "ck"),
+                               seeds={"m": seed}, history_path=past, lateness="40 days"):
+        q.awaitTermination()
+    n = new.count()
+    assert spark.read.option("recursiveFileLookup", "true").parquet(os.path.join(base, "out")).count() == n
+    got = spark.read.parquet(past)
+    assert got.count() == n and got.filter("fraud is not null").count() == 0
+    # all old rows are in the seed, so the last slice's features are the batch's
+    want = add_lookback_features(bundle.encoder.transform(tx), bundle.lookback)
+    last = got.filter("batch_id = 1").select("id")
+    _compare(got.join(last, "id"), want.join(last, "id"), feature_names("amount", (3,)), "id")
