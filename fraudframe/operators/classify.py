@@ -32,6 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Depth of the single tree and of the forest's trees, the most that Spark builds.
+TREE_DEPTH = FOREST_DEPTH = 30
+
+
 def make_classifier(code: int, n_rows: int, seed: int = 0, label: str = "label", features: str = "features"):
     common = dict(labelCol=label, featuresCol=features)
     if code == 1:
@@ -43,19 +47,15 @@ def make_classifier(code: int, n_rows: int, seed: int = 0, label: str = "label",
         from fraudframe.operators.knn import KNNClassifier
         return KNNClassifier(k=5, label=label, features=features)
     if code == 4:
-        return DecisionTreeClassifier(maxDepth=30, seed=seed, **common)
+        return DecisionTreeClassifier(maxDepth=TREE_DEPTH, seed=seed, **common)
     if code == 5:
         return NaiveBayes(modelType="gaussian", **common)
     if code == 6:
-        return RandomForestClassifier(numTrees=100, seed=seed, **common)
+        return RandomForestClassifier(numTrees=100, maxDepth=FOREST_DEPTH, seed=seed, **common)
     if code == 7:
         return GBTClassifier(maxIter=100, stepSize=0.1, maxDepth=5, seed=seed, **common)
     if code == 8:
-        try:  # optional: the real library when it is installed
-            from xgboost.spark import SparkXGBClassifier  # type: ignore
-            return SparkXGBClassifier(label_col=label, features_col=features, n_estimators=100)
-        except ImportError:
-            return GBTClassifier(maxIter=100, stepSize=0.3, maxDepth=6, seed=seed, **common)
+        return GBTClassifier(maxIter=100, stepSize=0.3, maxDepth=6, seed=seed, **common)
     raise ValueError(f"unknown model code {code}")
 
 

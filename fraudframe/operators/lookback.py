@@ -26,9 +26,11 @@ Three profiles (see README):
   window, the daily median is taken over calendar (Julian) days.
 
 Skew: an entity with more rows than ``SkewPolicy.rows_per_task`` is cut into
-time chunks; each chunk carries the last ``max(K)`` days of the previous chunk
-as read-only context rows, and the newest row before the chunk comes from a
-small per-chunk aggregate, so no task ever holds a whole hot entity
+time chunks; each chunk carries the ``max(K)`` days before it as read-only
+context rows (a row is copied to every later chunk it reaches, at most
+``SkewPolicy.max_copies``, so chunks may be shorter than the interval), and the
+newest row before the chunk comes from a per-chunk aggregate, so no task ever
+holds a whole hot entity
 (``canonical`` and ``serve``; ``train`` needs every prior row of the entity
 for its unbounded gap median and stays per entity).
 """
@@ -92,13 +94,14 @@ class SkewPolicy:
     """When and how to split an entity that would not fit one task.
 
     ``rows_per_task``: an entity with more rows is cut into time chunks of
-    about this many rows.  ``max_split_entities`` bounds the broadcast list
-    of split entities; when more entities qualify, the threshold is raised
-    (then they are not skewed, only numerous, and hashing spreads them).
+    about this many rows.  A list of at most ``max_split_entities`` split
+    entities is broadcast; a longer one is joined by a shuffle.  A row is
+    copied as context to at most ``max_copies`` later chunks.
     """
 
     rows_per_task: int = 4_000_000
     max_split_entities: int = 200_000
+    max_copies: int = 8
     enabled: bool = True
 
 
@@ -356,56 +359,50 @@ def _apply(df: DataFrame, stages, keep: list[str], names: list[str], tail: list[
 # ---------------------------------------------------------------------------
 
 def _split_plan(base: DataFrame, entity: str, context_us: int, policy: SkewPolicy):
-    """Entities to cut into time chunks: (entity, first us, chunk length).
+    """Entities to cut into time chunks: (entity, first us, chunk length, last
+    chunk).
 
     Returns None when no entity exceeds ``rows_per_task``.  The list is
-    bounded by ``max_split_entities`` before it is broadcast.
+    broadcast only when it has at most ``max_split_entities`` rows.
     """
     stats = (base.select(entity, _US).groupBy(entity)
              .agg(F.count(F.lit(1)).alias("__n"), F.min(_US).alias("__lo"), F.max(_US).alias("__hi")))
     span = F.col("__hi") - F.col("__lo") + 1
-    threshold = policy.rows_per_task
-    while True:
-        # one job: per-entity counts (map-side combined), only hot rows come
-        # back, at most max_split_entities + 1 of them
-        chunk = F.greatest(F.lit(context_us), F.ceil(span * F.lit(policy.rows_per_task) / F.col("__n")).cast("bigint"))
-        plan = (stats.filter(F.col("__n") > threshold)
-                .select(entity, F.col("__lo").alias("__lb_lo"), chunk.alias("__lb_len")))
-        rows = plan.limit(policy.max_split_entities + 1).collect()
-        if len(rows) <= policy.max_split_entities:
-            break
-        threshold *= 4
+    shortest = -(-context_us // policy.max_copies)
+    chunk = F.greatest(F.lit(shortest), F.ceil(span * F.lit(policy.rows_per_task) / F.col("__n")).cast("bigint"))
+    plan = (stats.filter(F.col("__n") > policy.rows_per_task)
+            .select(entity, F.col("__lo").alias("__lb_lo"), chunk.alias("__lb_len"), "__hi")
+            .withColumn("__lb_last", F.floor((F.col("__hi") - F.col("__lb_lo")) / F.col("__lb_len"))).drop("__hi"))
+    # one job: per-entity counts (map-side combined), only hot rows come
+    # back, at most max_split_entities + 1 of them
+    rows = plan.limit(policy.max_split_entities + 1).collect()
     if not rows:
         return None
-    return base.sparkSession.createDataFrame(rows, plan.schema)
+    if len(rows) > policy.max_split_entities:
+        return plan
+    return F.broadcast(base.sparkSession.createDataFrame(rows, plan.schema))
 
 
 def _with_chunks(base: DataFrame, entity: str, context_us: int, plan: DataFrame, with_prev: bool) -> DataFrame:
-    joined = base.join(F.broadcast(plan), on=entity, how="left")
+    joined = base.join(plan, on=entity, how="left")
     is_hot = F.col("__lb_len").isNotNull()
     chunk = F.when(is_hot, F.floor((F.col(_US) - F.col("__lb_lo")) / F.col("__lb_len"))).otherwise(F.lit(0)).cast("bigint")
     joined = joined.withColumn(_CHUNK, chunk)
-    next_start = F.col("__lb_lo") + (F.col(_CHUNK) + 1) * F.col("__lb_len")
-    copy_next = is_hot & (F.col(_US) > next_start - F.lit(context_us))
-    copies = F.filter(
-        F.array(
-            F.struct(F.col(_CHUNK).alias("c"), F.lit(False).alias("x")),
-            F.when(copy_next, F.struct((F.col(_CHUNK) + 1).alias("c"), F.lit(True).alias("x"))),
-        ),
-        lambda s: s.isNotNull(),
-    )
-    rows = (joined.withColumn("__lb_copy", F.explode(copies))
-            .withColumn(_CHUNK, F.col("__lb_copy.c"))
-            .withColumn(_CTX, F.col("__lb_copy.x"))
+    # the last chunk that starts less than the context after this row
+    reach = F.floor((F.col(_US) + F.lit(context_us - 1) - F.col("__lb_lo")) / F.col("__lb_len"))
+    last = F.when(is_hot, F.greatest(F.col(_CHUNK), F.least(reach, F.col("__lb_last")))).otherwise(F.lit(0)).cast("bigint")
+    rows = (joined.withColumn("__lb_copy", F.explode(F.sequence(F.col(_CHUNK), last)))
+            .withColumn(_CTX, F.col("__lb_copy") != F.col(_CHUNK))
+            .withColumn(_CHUNK, F.col("__lb_copy"))
             .drop("__lb_copy"))
     if with_prev:
         # newest row of the entity before each chunk, from a per-chunk aggregate
         per_chunk = (joined.filter(is_hot).groupBy(entity, _CHUNK).agg(F.max(_US).alias("__mx")))
         wc = Window.partitionBy(entity).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
         prev = per_chunk.select(entity, _CHUNK, F.max("__mx").over(wc).alias(_PREV))
-        # one row per split chunk: bounded by rows / rows_per_task (+ split entities)
-        rows = rows.join(F.broadcast(prev), on=[entity, _CHUNK], how="left")
-    return rows.drop("__lb_lo", "__lb_len")
+        # a join on the keys of the windows; Spark decides from the size how
+        rows = rows.join(prev, on=[entity, _CHUNK], how="left")
+    return rows.drop("__lb_lo", "__lb_len", "__lb_last")
 
 
 # ---------------------------------------------------------------------------

@@ -1,8 +1,10 @@
 """Train/test split and class resampling (survey 2.E).
 
-Every random choice is a seeded hash of the row key (``xxhash64``), ranked
-with a distributed sort, so results are exact in size and do not move with
-partitioning or executor loss (``randomSplit`` / ``sample`` would).
+Every random choice is a seeded hash of the row key (``xxhash64``; keys are
+unique and not NULL), so results do not move with partitioning or executor
+loss (``randomSplit`` / ``sample`` would).  Sizes are exact: the hash and key
+at the wanted rank are found on the key column alone, and the rows are then
+filtered where they are, so wide rows are neither shuffled nor sorted.
 
 * ``split_train_test``: the ``ceil(n * test_size)`` rows with the smallest
   hash form the test part.
@@ -15,7 +17,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fraudframe.functions.ranking import index_sorted
@@ -31,14 +33,21 @@ def _hash(key: str, seed: int):
     return F.xxhash64(F.col(key), F.lit(seed))
 
 
+def _lowest(df: DataFrame, key: str, seed: int, n: int, cut: int) -> Column:
+    """Condition on the ``cut`` of ``n`` rows with the smallest (hash, key)."""
+    if cut <= 0 or cut >= n:
+        return F.lit(cut > 0)
+    keys = df.select(_hash(key, seed).alias("__h"), F.col(key).alias("__k"))
+    h, k = index_sorted(keys, ["__h", "__k"], "__r", n=n).filter(F.col("__r") == cut - 1).select("__h", "__k").first()
+    return (_hash(key, seed) < F.lit(h)) | ((_hash(key, seed) == F.lit(h)) & (F.col(key) <= F.lit(k)))
+
+
 def split_train_test(df: DataFrame, key: str, test_size: float = 0.25, seed: int = 0) -> DataFrame:
     """Adds ``is_test`` (boolean); exactly ``ceil(n * test_size)`` rows are test rows."""
     if not 0.0 < test_size < 1.0:
         raise ValueError("test_size must be strictly between 0 and 1")
     n = df.count()
-    n_test = math.ceil(n * test_size)
-    ranked = index_sorted(df.withColumn("__h", _hash(key, seed)), ["__h", key], "__r", n=n)
-    return ranked.withColumn("is_test", F.col("__r") < n_test).drop("__h", "__r")
+    return df.withColumn("is_test", _lowest(df, key, seed, n, math.ceil(n * test_size)))
 
 
 def class_counts(df: DataFrame, label: str) -> dict[int, int]:
@@ -59,9 +68,9 @@ def under_sample(df: DataFrame, label: str, key: str, ratio: float = SAMPLING_RA
     if counts[mino] / counts[majo] > ratio:
         raise RatioAlreadyReached(f"minority/majority is already {counts[mino] / counts[majo]:.3f} > {ratio}")
     keep = int(counts[mino] / ratio)
-    maj = df.filter(F.col(label) == majo).withColumn("__h", _hash(key, seed))
-    kept = index_sorted(maj, ["__h", key], "__r", n=counts[majo]).filter(F.col("__r") < keep).drop("__h", "__r")
-    return df.filter(F.col(label) == mino).unionByName(kept)
+    maj = df.filter(F.col(label) == majo)
+    low = _lowest(maj, key, seed, counts[majo], keep)
+    return df.filter((F.col(label) == mino) | ((F.col(label) == majo) & low))
 
 
 def over_sample(df: DataFrame, label: str, key: str, ratio: float = SAMPLING_RATIO, seed: int = 0) -> DataFrame:

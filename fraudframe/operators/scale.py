@@ -6,7 +6,7 @@ column) is replaced by 1, so a constant column maps to 0.
 standard   (x - mean) / population deviation
 min_max    (x - min) / (max - min)
 max_abs    x / max |x|
-robust     (x - median) / (q75 - q25), exact quantiles from a sort
+robust     (x - median) / (q75 - q25), exact quantiles of all columns at once
 normalizer row / L2 norm of the row (no fit)
 quantile_uniform / quantile_normal: x mapped through its empirical CDF on
            a grid of up to 1000 exact quantiles, then (normal) through the
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fraudframe.functions.ranking import exact_quantiles
+from fraudframe.functions.ranking import exact_quantiles_of
 
 KINDS = ("standard", "min_max", "max_abs", "robust", "normalizer", "quantile_uniform", "quantile_normal")
 N_QUANTILES = 1000
@@ -78,16 +78,15 @@ def fit_scaler(df: DataFrame, columns: list[str], kind: str) -> ScalerModel:
                 params[c] = (0.0, _nz(r[f"a{i}"]))
         return ScalerModel(kind, columns, params)
     if kind == "robust":
-        for c in columns:
-            q25, q50, q75 = exact_quantiles(df, c, [0.25, 0.5, 0.75])
+        for c, (q25, q50, q75) in exact_quantiles_of(df, columns, [0.25, 0.5, 0.75]).items():
             params[c] = (q50 or 0.0, _nz(None if q25 is None else q75 - q25))
         return ScalerModel(kind, columns, params)
     # quantile transformer: grid of exact quantiles at evenly spaced levels
     n = df.count()
     nq = max(2, min(N_QUANTILES, n))
     refs = list(np.linspace(0.0, 1.0, nq))
-    for c in columns:
-        params[c] = (exact_quantiles(df, c, refs), refs)
+    for c, grid in exact_quantiles_of(df, columns, refs).items():
+        params[c] = (grid, refs)
     return ScalerModel(kind, columns, params)
 
 

@@ -60,9 +60,8 @@ def fit_pca95(df: DataFrame, features: str = "features") -> SelectorModel:
 
 
 def fit_svd2(df: DataFrame, features: str = "features") -> SelectorModel:
-    from pyspark.mllib.linalg import Vectors as MV
-    rows = df.select(features).rdd.map(lambda r: MV.dense(r[0].toArray()))
-    svd = RowMatrix(rows).computeSVD(SVD_COMPONENTS, computeU=False)
+    from pyspark.mllib.util import MLUtils
+    svd = RowMatrix(MLUtils.convertVectorColumnsFromML(df.select(features), features)).computeSVD(SVD_COMPONENTS, computeU=False)
     v = svd.V.toArray()
     return SelectorModel("truncated_svd_2", matrix=v, n_out=v.shape[1])
 
@@ -71,14 +70,16 @@ def _folds(df: DataFrame, key: str, folds: int, seed: int) -> DataFrame:
     return df.withColumn("__fold", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds)))
 
 
-def _rf(num_trees: int, seed: int, label: str, feats: str):
-    return RandomForestClassifier(numTrees=num_trees, seed=seed, labelCol=label, featuresCol=feats)
+def _rf(num_trees: int, max_depth: int, seed: int, label: str, feats: str):
+    return RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, seed=seed, labelCol=label, featuresCol=feats)
 
 
 def fit_rfecv(df: DataFrame, key: str, label: str = "label", features: str = "features", folds: int = 5,
-              step: int = 1, num_trees: int = 100, seed: int = 0, min_features: int = 1) -> SelectorModel:
+              step: int = 1, num_trees: int = 100, seed: int = 0, min_features: int = 1,
+              max_depth: int = 5) -> SelectorModel:
     """Recursive feature elimination with cross-validated accuracy.  The
-    vectors are persisted once; each fit is a distributed Spark ML job."""
+    vectors are persisted once; each fit is a distributed Spark ML job.
+    ``max_depth`` bounds the trees of these rankings, not of any model."""
     d = len(df.select(features).first()[0])
     data = _folds(df.select(key, label, features), key, folds, seed).persist()
     try:
@@ -88,7 +89,7 @@ def fit_rfecv(df: DataFrame, key: str, label: str = "label", features: str = "fe
             kept = list(range(d))
             while True:
                 sl = VectorSlicer(inputCol=features, outputCol="__sel", indices=kept)
-                m = _rf(num_trees, seed, label, "__sel").fit(sl.transform(train))
+                m = _rf(num_trees, max_depth, seed, label, "__sel").fit(sl.transform(train))
                 pred = m.transform(sl.transform(val))
                 acc = pred.agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0] or 0.0
                 scores.setdefault(len(kept), []).append(acc)
@@ -103,7 +104,7 @@ def fit_rfecv(df: DataFrame, key: str, label: str = "label", features: str = "fe
         kept = list(range(d))
         while len(kept) > best_n:
             sl = VectorSlicer(inputCol=features, outputCol="__sel", indices=kept)
-            imp = _rf(num_trees, seed, label, "__sel").fit(sl.transform(data)).featureImportances.toArray()
+            imp = _rf(num_trees, max_depth, seed, label, "__sel").fit(sl.transform(data)).featureImportances.toArray()
             drop = min(step, len(kept) - best_n)
             weakest = set(sorted(range(len(kept)), key=lambda i: (imp[i], i))[:drop])
             kept = [c for i, c in enumerate(kept) if i not in weakest]

@@ -12,7 +12,6 @@ import json
 import os
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +23,10 @@ from fraudframe.operators.metrics import binary_metrics, score_auc
 from fraudframe.operators.resample import over_sample, split_train_test, under_sample
 from fraudframe.operators.scale import ScalerModel, fit_scaler
 from fraudframe.operators.select import SelectorModel, fit_selector
-from fraudframe.session import ensure_checkpoint_dir
-from fraudframe.plans.spec import MODELS, SAMPLERS, SCALERS, SELECTORS, EncodingPlan, TrainJob
+from fraudframe.operators.profile import profile_table
+from fraudframe.operators.validate import validate_plan
+from fraudframe.plans.spec import MODELS, SAMPLERS, SCALERS, SELECTORS, EncodingPlan, PlanError, TrainJob
+from fraudframe.sources.replay import scratch_dir
 
 
 @dataclass
@@ -142,26 +143,53 @@ def model_features(columns: list[str], label: str, drop: tuple[str, ...] = ()) -
     return [c for c in columns if c not in skip]
 
 
-def fit_job(raw: DataFrame, plan: EncodingPlan, job: TrainJob, rfecv_args: dict | None = None) -> FittedBundle:
+def validate_input(raw: DataFrame, plan: EncodingPlan) -> None:
+    """The plan against the profile of the labelled rows; no row, labelled or
+    not, may lack its entity, time or key."""
+    validate_plan(profile_table(raw.filter(F.col(plan.label).isNotNull()), plan.key), plan)
+    needed = list(dict.fromkeys([plan.entity, plan.time_base, plan.key]))
+    for c, n in raw.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in needed]).first().asDict().items():
+        if n:
+            raise PlanError(f"column {c!r} is NULL in {n} rows")
+
+
+def fit_job(raw: DataFrame, plan: EncodingPlan, job: TrainJob, rfecv_args: dict | None = None, store=None,
+            input_id: str | None = None, validate: bool = True) -> FittedBundle:
+    """With a ``store`` and the ``input_id`` of the data, jobs of one plan share
+    the stored encoded and feature tables; otherwise the feature table is
+    written to a scratch folder of its own."""
     job.validate()
-    ensure_checkpoint_dir(raw.sparkSession)
     label = plan.label
     if label is None:
         raise ValueError("plan has no single fraud_type column")
+    if plan.key is None:
+        raise ValueError("plan has no key column, which split and resampling order rows by")
+    if store is not None and input_id is None:
+        raise ValueError("a store needs the input's id")
+    if validate:
+        validate_input(raw, plan)
     encoder = fit_encoder(raw, plan)
     encoded = encoder.transform(raw)
+    if store is not None:
+        encoded = store.derived("encoded", plan.to_json(), input_id, lambda: encoder.transform(raw))
     spec = None
     data = encoded
     if plan.features is not None:
         spec = LookbackSpec(ENTITY, US, plan.features.chosen_feature_field, tuple(plan.features.intervals),
                             label=label, profile=plan.profile, tie=plan.key)
         data = add_lookback_features(encoded, spec)
-    key = plan.key or ENTITY
-    # cut the lineage once: the feature table is computed one time and every
-    # later pass (split ranks, resampling, scaler, selector, model) reads it
+    key = plan.key
     # rows without a label (appended by scoring) are history only
-    data = data.withColumn(label, F.col(label).cast("int")).filter(F.col(label).isNotNull()).checkpoint()
-    data = split_train_test(data, key, job.test_size, job.seed).persist(StorageLevel.MEMORY_AND_DISK)
+    labelled = data.withColumn(label, F.col(label).cast("int")).filter(F.col(label).isNotNull())
+    # the feature table is written once as parquet and every later pass (split,
+    # resampling, scaler, selector, model) reads the columns it needs from there
+    if store is not None:
+        data = store.derived("features", plan.to_json(), input_id, lambda: labelled)
+    else:
+        path = scratch_dir(raw.sparkSession, "features")
+        labelled.write.parquet(path)
+        data = raw.sparkSession.read.schema(labelled.schema).parquet(path)
+    data = split_train_test(data, key, job.test_size, job.seed)
     train, test = data.filter(~F.col("is_test")).drop("is_test"), data.filter("is_test").drop("is_test")
     sampler = SAMPLERS[job.sampler]
     if sampler == "random_under_sampler":

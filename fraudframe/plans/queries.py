@@ -207,6 +207,24 @@ def q_reject_bad_rows(spark, sf_dir):
     return checked.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+# the same contract on rows that break it: cards missing for one kind of event,
+# vendor codes that are no numbers for another
+_DIRTY_SQL = f"""SELECT id, CASE WHEN event_type <> 'click' THEN card_number END AS card_number, ts, amount,
+  CASE WHEN event_type = 'error' THEN vendor_code || 'x' ELSE vendor_code END AS vendor_code, event_type
+FROM ({EVENT_TRANSACTIONS_SQL}) t"""
+
+
+@register("reject_dirty_rows", f"""
+SELECT id, coalesce(CASE WHEN card_number IS NULL THEN 'card_number: missing' END,
+                    CASE WHEN TRY_CAST(vendor_code AS BIGINT) IS NULL THEN 'vendor_code: not int' END) AS reject_reason
+FROM ({_DIRTY_SQL}) d""")
+def q_reject_dirty_rows(spark, sf_dir):
+    dirty = event_transactions(spark, sf_dir).withColumns({
+        "card_number": F.when(F.col("event_type") != "click", F.col("card_number")),
+        "vendor_code": F.when(F.col("event_type") == "error", F.concat("vendor_code", F.lit("x"))).otherwise(F.col("vendor_code"))})
+    return split_bad_rows(dirty, _CONTRACT).select("id", "reject_reason")
+
+
 # --------------------------------------------------------------------------
 # I: metrics of a rule-based prediction (amount above the card's 3-day mean)
 # --------------------------------------------------------------------------
@@ -339,16 +357,21 @@ def q_knn_topk(spark, sf_dir):
         .select("q_vec_id", "r_vec_id", "nn_rank")
 
 
-def _embedding_frame(spark, sf_dir, dims: int = 64):
+def _embedding_frame(spark, sf_dir):
+    """The frame and its vector columns, as many as every vector has components."""
     emb = table(spark, sf_dir, "embeddings")
+    least, most = emb.agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    if least != most:
+        raise ValueError(f"vectors have from {least} to {most} components")
+    cols = [f"e{i}" for i in range(most or 0)]
     return emb.select("vec_id", (F.col("label") == 0).cast("int").alias("y"),
-                      *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(dims)])
+                      *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)]), cols
 
 
 @register("smote_enn_counts")
 def q_smote_enn_counts(spark, sf_dir):
-    df = _embedding_frame(spark, sf_dir)
-    out = _knn.smote_enn(df, "vec_id", "y", [f"e{i}" for i in range(64)])
+    df, cols = _embedding_frame(spark, sf_dir)
+    out = _knn.smote_enn(df, "vec_id", "y", cols)
     return out.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -382,8 +405,7 @@ register("fit_smote_enn_logistic")(_fit_query(1, sampler=3))
 def _selector_query(kind: str):
     def run(spark, sf_dir):
         from pyspark.ml.feature import VectorAssembler
-        df = _embedding_frame(spark, sf_dir)
-        cols = [f"e{i}" for i in range(64)]
+        df, cols = _embedding_frame(spark, sf_dir)
         a = VectorAssembler(inputCols=cols, outputCol="features").transform(df)
         m = fit_selector(kind, a, "vec_id", "y")
         from pyspark.ml.functions import vector_to_array
@@ -473,7 +495,7 @@ def q_leaderboard(spark, sf_dir):
     for code in (1, 4, 5):
         job = TrainJob(pid, model=code, selector=2, scaler=1, sampler=1)
         jid = st.save_job(job)
-        st.save_estimator(jid, fit_job(tx, FIT_PLAN, job))
+        st.save_estimator(jid, fit_job(tx, FIT_PLAN, job, store=st, input_id="events"))
     return st.leaderboard().select("model", *[snap(c).alias(c) for c in ("MCC", "f1", "accuracy")])
 
 

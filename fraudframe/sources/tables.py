@@ -45,13 +45,20 @@ def field_types(df: DataFrame) -> list[tuple[str, str]]:
 
 
 def keyed_scan(df: DataFrame, key: str) -> DataFrame:
-    """A4: full scan keyed by ``key``; a repeated key keeps one row."""
-    return df.dropDuplicates([key])
+    """A4: full scan keyed by ``key``; of the rows that repeat a key the
+    smallest is kept, whatever the partitioning (columns must be orderable)."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.groupBy(key).agg(F.min(whole).alias("__row")).select("__row.*")
 
 
-def page(df: DataFrame, key: str, limit: int, offset: int = 0, ts_format: str = PAGE_TS_FORMAT) -> DataFrame:
-    """A5: ``limit`` rows after ``offset`` in key order, timestamps as text."""
-    out = df.orderBy(key).offset(offset).limit(limit)
+def page(df: DataFrame, key: str, limit: int, offset: int = 0, ts_format: str = PAGE_TS_FORMAT, after=None) -> DataFrame:
+    """A5: ``limit`` rows after ``offset`` in key order, timestamps as text.
+
+    ``after``: the last key of the page before.  Its rows are skipped by a
+    filter that reaches the scan, so a deep page costs as much as the first.
+    """
+    rows = df if after is None else df.filter(F.col(key) > F.lit(after))
+    out = rows.orderBy(key).offset(offset).limit(limit)
     ts_cols = [f.name for f in df.schema.fields if f.dataType.typeName() in ("timestamp", "timestamp_ntz")]
     return out.select(*[F.date_format(c, ts_format).alias(c) if c in ts_cols else F.col(c) for c in df.columns])
 

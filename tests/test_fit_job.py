@@ -35,3 +35,28 @@ def test_fit_job_rfecv_small(spark):
     b = fit_job(raw, plan, TrainJob("p", model=5, selector=1, scaler=1, sampler=1),
                 rfecv_args={"folds": 2, "num_trees": 5})
     assert 1 <= b.selector.n_out <= 4
+
+
+def test_fit_job_shares_stored_tables_and_validates(spark):
+    from dataclasses import replace
+
+    from fraudframe.plans.spec import EncodingNotApplicable, PlanError
+    from fraudframe.plans.store import Store
+    from fraudframe.sources.replay import scratch_dir
+    raw = event_transactions(spark, SF001)
+    raw = raw.withColumn("fraud", F.when(F.col("id") % 50 != 0, F.col("fraud")))  # rows that scoring appended
+    store = Store(spark, scratch_dir(spark, "store"))
+    bundles = [fit_job(raw, PLAN, TrainJob("p", model=m, selector=2, scaler=1, sampler=1), store=store, input_id="v1") for m in (1, 5)]
+    labelled = raw.filter("fraud is not null").count()
+    for b in bundles:
+        m = b.metrics.first()
+        assert m["TP"] + m["FP"] + m["TN"] + m["FN"] == -(-labelled // 4)
+    import glob
+    assert len(glob.glob(f"{store.root}/derived/*/*/_SUCCESS")) == 2
+    job = TrainJob("p", model=1, selector=2, scaler=1, sampler=1)
+    with pytest.raises(ValueError):
+        fit_job(raw, replace(PLAN, key=None), job)
+    with pytest.raises(PlanError):
+        fit_job(raw.withColumn("card_number", F.when(F.col("id") != 3, F.col("card_number"))), PLAN, job)
+    with pytest.raises(EncodingNotApplicable):
+        fit_job(raw, replace(PLAN, encoding=PLAN.encoding | {"event_type": "int"}), job)

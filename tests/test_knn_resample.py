@@ -79,3 +79,14 @@ def test_knn_ties_go_to_the_lowest_id(spark, block, monkeypatch):
     for r in K.knn(df, df, 3, "id", "id", "vec", exclude_same_id=True).collect():
         got.setdefault(r["q_id"], []).append((r["nn_rank"], r["r_id"]))
     assert {q: [i for _, i in sorted(v)] for q, v in got.items()} == {q: [i for i in range(12) if i != q][:3] for q in range(12)}
+
+
+def test_split_and_under_sample_take_the_smallest_hashes(spark):
+    df = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") % 10 == 0).cast("int").alias("y"), F.lit("x").alias("wide"))
+    order = [r["k"] for r in df.orderBy(F.xxhash64("k", F.lit(7)), "k").collect()]
+    s = split_train_test(df, "k", 0.301, 7)
+    assert s.columns == ["k", "y", "wide", "is_test"]
+    assert {r["k"] for r in s.filter("is_test").collect()} == set(order[:301])
+    assert "Sort" not in s._jdf.queryExecution().executedPlan().toString()
+    u = {r["k"] for r in under_sample(df, "y", "k", seed=7).collect()}
+    assert u == {k for k in range(0, 1000, 10)} | set([k for k in order if k % 10][:200])

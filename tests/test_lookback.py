@@ -153,3 +153,20 @@ def test_train_ties_do_not_follow_the_input_order(spark, tie):
         spark.createDataFrame(part, SCHEMA).coalesce(1), spec).collect()} for part in (rows, rows[::-1])]
     assert outs[0] == outs[1]
     assert sorted(outs[0]) == [2, 3, 4, 5]
+
+
+@pytest.mark.parametrize("profile", ["canonical", "serve"])
+@pytest.mark.parametrize("listed", [200_000, 0])  # the split list broadcast, or joined by a shuffle
+def test_chunks_shorter_than_the_interval(spark, profile, listed):
+    """All rows of a hot card inside the longest interval: they still get many chunks."""
+    from datetime import datetime, timedelta
+
+    from fraudframe.operators import lookback as L
+    t0 = datetime(2024, 3, 1)
+    data = [(i, "hot" if i % 3 else f"c{i % 5}", t0 + timedelta(minutes=37 * i), float(i * 7 % 11)) for i in range(120)]
+    df = spark.createDataFrame(data, "id long, card string, ts timestamp, amount double")
+    policy = SkewPolicy(rows_per_task=10, max_split_entities=listed, max_copies=16)
+    base = df.withColumn(L._US, epoch_micros("ts", df.schema["ts"].dataType))
+    chunks = L._with_chunks(base, "card", 5 * L.D, L._split_plan(base, "card", 5 * L.D, policy), with_prev=False)
+    assert chunks.filter(f"card = 'hot' and not {L._CTX}").select(L._CHUNK).distinct().count() >= 8
+    _check(spark, df, LookbackSpec("card", "ts", "amount", (1, 5), profile=profile), skew=policy)

@@ -21,6 +21,10 @@ def test_page_and_scans(spark):
                                 (2, "a", datetime(2024, 1, 3)), (2, "z", datetime(2024, 1, 4))],
                                "id long, card string, ts timestamp")
     assert T.keyed_scan(df, "id").count() == 3
+    kept = [T.keyed_scan(df.orderBy(order), "id").filter("id = 2").first()["card"]
+            for order in (F.col("ts"), F.col("ts").desc())]
+    assert kept == ["a", "a"]
+    assert [r["id"] for r in T.page(df, "id", limit=5, after=1).collect()] == [2, 2, 3]
     p = T.page(df.dropDuplicates(["id"]), "id", limit=1, offset=2).collect()
     assert p[0]["id"] == 3 and p[0]["ts"] == "2024-01-02 03:04:05:000006"
     assert [r["id"] for r in T.newest_first(df, "ts").collect()][0] == 2
