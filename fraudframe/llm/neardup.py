@@ -36,8 +36,8 @@ from .storage import Scratch
 SLOTS, BANDS, AGREE = 240, 40, 0.68
 #: Levels that are tried on all documents of a slice, before the small ones go on alone.
 SHARED_LEVELS = 6
-#: Most classes that are compared in one tile.
-TILE = 256
+#: Most classes that are compared in one tile, and shingles at a time.
+TILE, COLUMNS = 256, 1 << 16
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, marks binary"
 _SALT = 0xA0761D6478BD642F
 
@@ -189,9 +189,15 @@ def _tile_links(percent: int):
         names, place, times = np.unique(value, return_inverse=True, return_counts=True)
         column = np.cumsum(times > 1) - 1
         has = times[place] > 1
-        shared = np.zeros((len(sets), int(column[-1]) + 1), np.float32)
-        shared[row[has], column[place[has]]] = 1
-        common = (shared @ shared.T).astype(np.int64)
+        row, column = row[has], column[place[has]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        common = np.zeros((len(sets), len(sets)), np.int64)
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            a, b = np.searchsorted(column, [lo, lo + COLUMNS])
+            shared = np.zeros((len(sets), COLUMNS), np.float32)
+            shared[row[a:b], column[a:b] - lo] = 1
+            common += (shared @ shared.T).astype(np.int64)
         alike = 100 * common >= percent * (size[:, None] + size[None, :] - common)
         parent: dict[int, int] = {}
 
