@@ -41,6 +41,8 @@ BUCKETS = CLASSES * MEMBERS
 BLOCK_TOKENS, BATCH, ROUNDS, RATE, SMOOTH = 4_000_000, 1 << 16, 2, 0.05, 100.0
 #: Trainers of a round: about one for each TRAINER_TOKENS tokens, but so many at least and at most.
 TRAINER_TOKENS, MIN_TRAINERS, MAX_TRAINERS, SLICES = 4_000_000, 6, 4096, 256
+#: Most (word, block) rows of a counting task, on average.
+TASK_ROWS = 4_000_000
 END, START = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)
 BLOCKS = ("kind int, block long, hash long, place int, n int, tokens long, doc_ids array<long>, held array<boolean>, "
           "lengths array<int>, hashes binary, sequence binary")
@@ -300,7 +302,10 @@ def log_probabilities(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     staged = scratch.keep(source.mapInArrow(_blocks, BLOCKS), "blocks")
     rows = staged.filter("kind = 0").select("hash", "block", "place", "n")
     blocks = staged.filter("kind = 1").drop("hash", "place", "n")
-    sums = scratch.keep(rows.repartition("hash").mapInArrow(_totals, TOTALS), "totals")
+    # a task holds its words' rows, so their number a partition stays bounded as the input grows
+    parts = -(-rows.count() // TASK_ROWS)
+    spread = rows.repartition(parts, "hash") if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else rows.repartition("hash")
+    sums = scratch.keep(spread.mapInArrow(_totals, TOTALS), "totals")
     bucket_tokens, bucket_words = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for r in sums.filter("kind = 2").groupBy("bucket").agg(F.sum("tokens").alias("t"), F.sum("words").alias("w")).collect():
         bucket_tokens[r["bucket"]], bucket_words[r["bucket"]] = r["t"], r["w"]
