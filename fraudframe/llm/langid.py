@@ -87,11 +87,12 @@ def _judged(rows: DataFrame, models: dict[str, bytes], text: str, block: int, mi
             close.append(z.ZstdCompressor(compression_params=fine, dict_data=d))
 
         def judge(value):
-            s = normalise(value).encode("utf-8", "replace") if value else b""
-            if not s or not names:
+            s = normalise(value) if value else ""
+            if not any(map(str.isalpha, s)) or not names:
                 return UNKNOWN, 0.0, False
             if len(names) == 1:
                 return names[0], 1.0, True
+            s = s.encode("utf-8", "replace")
             parts = [s[i:i + block] for i in range(0, len(s), block)]
             for tier in (coders, close):
                 sizes = [sum(len(c.compress(p)) for p in parts) for c in tier]

@@ -13,7 +13,7 @@ LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGE = [
     (9001, None, None), (9002, "", "en"), (9003, " \n\t ", "en"), (9004, "One", "en"), (9004, "One", "en"), (None, "Some words here", None),
-    (9005, "x" * 50_000, "en"), (9006, "word " * 20_000, "en"), (9007, "ÉÀ ß 中文 don't <|endoftext|> 12½ ×", "fr"), (9008, "12 34!", "de"),
+    (9005, "x" * 50_000, "en"), (9006, "word " * 20_000, "en"), (9007, "ÉÀ ß 中文 don't <|endoftext|> 12½ ×", "fr"), (9008, "12 34!", "de"), (9009, "² ½ Ⅳ ٣", "de"),
 ]
 
 
@@ -69,8 +69,7 @@ def test_language(docs, empty, rows):
     text = {i: t for i, t, _ in rows}
     for r in out:
         assert 0 <= r.score <= 1
-        letters = re.search(r"[^\W\d_]", text[r.doc_id] or "")
-        assert (r.lang_pred == "und") == (letters is None)
+        assert (r.lang_pred == "und") == (not any(map(str.isalpha, text[r.doc_id] or "")))
         assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
     held = [r for r in out if r.held_out and r.doc_id < 9000]
     assert sum(lang[r.doc_id] == r.lang_pred for r in held) >= 0.9 * len(held)
@@ -303,3 +302,31 @@ def test_pipeline(spark):
     twice = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
     kept = corpus_pipeline.near_duplicates(spark, twice.unionByName(twice), SF)
     assert kept.count() == kept.select("doc_id").distinct().count()
+
+
+def test_tile_links_by_parts(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from fraudframe.llm import neardup
+
+    rng = np.random.default_rng(8)
+    sets = [np.sort(rng.choice(400, size=int(rng.integers(150, 390)), replace=False)).astype(np.uint64) for _ in range(30)]
+    sets += [np.delete(x, [3, 50]) for x in sets[:10]]
+    rows = pa.RecordBatch.from_arrays(
+        [pa.array([1] * 40), pa.array([2] * 40), pa.array([3] * 40), pa.array(range(40)), pa.array(range(40)), pa.array([x.tobytes() for x in sets])],
+        ["tile_a", "tile_b", "tile_c", "rep", "root", "shingles"])
+
+    def joined():
+        parent = list(range(40))
+        for batch in neardup._tile_links(80)([rows]):
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x, y = sorted((parent[a], parent[b]))
+                parent = [x if p == y else p for p in parent]
+        return parent
+
+    whole = joined()
+    alike = [(a, b) for a in range(40) for b in range(a) if 100 * (c := len(np.intersect1d(sets[a], sets[b]))) >= 80 * (len(sets[a]) + len(sets[b]) - c)]
+    assert all(whole[a] == whole[b] for a, b in alike) and all(whole[i] == whole[30 + i] for i in range(10)) and len(set(whole)) > 1
+    monkeypatch.setattr(neardup, "COLUMNS", 37)
+    assert joined() == whole
