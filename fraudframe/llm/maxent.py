@@ -41,6 +41,8 @@ BUCKETS = CLASSES * MEMBERS
 BLOCK_TOKENS, BATCH, ROUNDS, RATE, SMOOTH = 4_000_000, 1 << 16, 2, 0.05, 100.0
 #: Trainers of a round: about one for each TRAINER_TOKENS tokens, but so many at least and at most.
 TRAINER_TOKENS, MIN_TRAINERS, MAX_TRAINERS, SLICES = 4_000_000, 6, 4096, 256
+#: Bytes of text, and tokens of a block, worked on at once.
+PART_BYTES, PART_TOKENS = 1 << 20, 1 << 18
 #: Most (word, block) rows of a counting task, on average.
 TASK_ROWS = 4_000_000
 END, START = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)
@@ -76,12 +78,14 @@ def _blocks(batches):
     def flush():
         nonlocal ids, hashes, lengths, held, block
         h, n = np.concatenate(hashes), np.concatenate(lengths)
+        hashes = []
         words, inverse = np.unique(h, return_inverse=True)
+        del h
         out = np.array([_held(i) for i in ids])
         learnt = np.repeat(~out & np.array([i is not None for i in ids]), n)
         count = np.bincount(inverse[learnt], minlength=len(words))
         order = np.argsort(-np.bincount(inverse, minlength=len(words)), kind="stable")  # frequent words: small places
-        rank = np.empty(len(words), np.int64)
+        rank = np.empty(len(words), np.uint32)
         rank[order] = np.arange(len(words))
         words, count = words[order], count[order]
         names = [f.split()[0] for f in BLOCKS.split(", ")]
@@ -93,7 +97,7 @@ def _blocks(batches):
             cols = [pa.array(np.zeros(hi - lo, np.int32)), pa.array(np.full(hi - lo, block)), pa.array(words[lo:hi].view(np.int64)),
                     pa.array(np.arange(lo, hi, dtype=np.int32)), pa.array(count[lo:hi].astype(np.int32))]
             yield pa.RecordBatch.from_arrays(cols + [pa.nulls(hi - lo, k) for k in kinds[5:]], names)
-        whole = [[1], [block], [None], [None], [None], [len(h)], [ids], [out.tolist()], [n.tolist()], [words.tobytes()],
+        whole = [[1], [block], [None], [None], [None], [len(inverse)], [ids], [out.tolist()], [n.tolist()], [words.tobytes()],
                  [_packed(rank[inverse])]]
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(whole, kinds)], names)
         ids, hashes, lengths, held = [], [], [], 0
@@ -101,7 +105,7 @@ def _blocks(batches):
 
     for batch in batches:
         keys = batch.column(0).to_pylist()
-        for lo, hi, raw, offsets in bw.text_slices(batch.column(1)):
+        for lo, hi, raw, offsets in bw.text_slices(batch.column(1), PART_BYTES):
             words = bw.split_words(raw, offsets)
             hashes.append(np.insert(words.hash, words.first[1:], END))
             lengths.append(np.diff(words.first) + 1)
@@ -200,18 +204,18 @@ def _features(hashes: np.ndarray, seq: np.ndarray, lengths: np.ndarray):
     second[begin[lengths > 1] + 1] = True
     s = int(START)
     edge = [int(bw.mix(np.array([(s + k) % 2 ** 64], np.uint64))[0]) for k in (1, 2)]
-    h1 = np.empty(len(seq), np.uint64)
-    h1[1:] = hashes[seq[:-1]]
-    h1[first] = START
-    h2 = np.empty(len(seq), np.uint64)
-    h2[1:] = h1[:-1]
-    h2[first] = START
+    before = np.concatenate([np.zeros(2, seq.dtype), seq])
     f = np.empty((3, len(seq)), np.int32)
     f[0, 1:] = one[seq[:-1]]
     f[0, first] = edge[0] % ROWS
     f[1, 2:] = two[seq[:-2]]
     f[1, first | second] = edge[1] % ROWS + ROWS
-    f[2] = (bw.mix(h1 * np.uint64(0xBF58476D1CE4E5B9) + h2) % np.uint64(ROWS)).astype(np.int32) + 2 * ROWS
+    for lo in range(0, len(seq), PART_TOKENS):
+        hi = min(len(seq), lo + PART_TOKENS)
+        h1, h2 = hashes[before[lo + 1:hi + 1]], hashes[before[lo:hi]]
+        h1[first[lo:hi]] = START
+        h2[first[lo:hi] | second[lo:hi]] = START
+        f[2, lo:hi] = (bw.mix(h1 * np.uint64(0xBF58476D1CE4E5B9) + h2) % np.uint64(ROWS)).astype(np.int32) + 2 * ROWS
     return f, (hashes.view(np.int64) % BUCKETS).astype(np.int32)[seq]
 
 
@@ -285,8 +289,12 @@ def _score(shared, tokens: int, words: int, bucket_tokens: np.ndarray, bucket_wo
                 base = np.log10((count + 1) / (tokens + words + 1))
                 inside = np.log10((count + 1) / (bucket_tokens[home] + bucket_words[home] + 1))
                 logs = np.concatenate([model.score(f[:, lo:lo + BATCH], bucket[lo:lo + BATCH]) for lo in range(0, len(seq), BATCH)])
+                del f, bucket
+                logs /= np.log(10)
+                logs += inside[seq]
                 begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                per = [np.add.reduceat(x, begin) for x in ((count > 0)[seq].astype(np.int64), base[seq], logs / np.log(10) + inside[seq])]
+                per = [np.add.reduceat((count > 0)[seq], begin, dtype=np.int64), np.add.reduceat(base[seq], begin), np.add.reduceat(logs, begin)]
+                del logs
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(lengths), *map(pa.array, per)],
                     ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
