@@ -73,14 +73,16 @@ def _blocks(batches):
     """Texts to blocks: a row for each distinct word (kind 0) and one for the block (kind 1)."""
     task = TaskContext.get()
     block = (task.partitionId() if task else 0) << 24
-    ids, hashes, lengths, held = [], [], [], 0
+    ids, hashes, places, lengths, held = [], [], [], [], 0
 
     def flush():
-        nonlocal ids, hashes, lengths, held, block
-        h, n = np.concatenate(hashes), np.concatenate(lengths)
-        hashes = []
-        words, inverse = np.unique(h, return_inverse=True)
-        del h
+        nonlocal ids, hashes, places, lengths, held, block
+        n = np.concatenate(lengths)
+        # each slice's distinct words, named by their place among the block's
+        words, at = np.unique(np.concatenate(hashes), return_inverse=True)
+        cut = np.cumsum([0, *map(len, hashes)])
+        inverse = np.concatenate([at[a:b].astype(np.uint32)[p] for a, b, p in zip(cut, cut[1:], places)])
+        hashes, places = [], []
         out = np.array([_held(i) for i in ids])
         learnt = np.repeat(~out & np.array([i is not None for i in ids]), n)
         count = np.bincount(inverse[learnt], minlength=len(words))
@@ -100,17 +102,19 @@ def _blocks(batches):
         whole = [[1], [block], [None], [None], [None], [len(inverse)], [ids], [out.tolist()], [n.tolist()], [words.tobytes()],
                  [_packed(rank[inverse])]]
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(whole, kinds)], names)
-        ids, hashes, lengths, held = [], [], [], 0
+        ids, lengths, held = [], [], 0
         block += 1
 
     for batch in batches:
         keys = batch.column(0).to_pylist()
         for lo, hi, raw, offsets in bw.text_slices(batch.column(1), PART_BYTES):
             words = bw.split_words(raw, offsets)
-            hashes.append(np.insert(words.hash, words.first[1:], END))
+            distinct, place = np.unique(np.insert(words.hash, words.first[1:], END), return_inverse=True)
+            hashes.append(distinct)
+            places.append(place.astype(np.uint32))
             lengths.append(np.diff(words.first) + 1)
             ids += keys[lo:hi]
-            held += len(hashes[-1])
+            held += len(place)
             if held >= BLOCK_TOKENS:
                 yield from flush()
     if held:
