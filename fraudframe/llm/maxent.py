@@ -102,6 +102,7 @@ def _blocks(batches):
         whole = [[1], [block], [None], [None], [None], [len(inverse)], [ids], [out.tolist()], [n.tolist()], [words.tobytes()],
                  [_packed(rank[inverse])]]
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(whole, kinds)], names)
+        pa.default_memory_pool().release_unused()  # the worker stays for later stages
         ids, lengths, held = [], [], 0
         block += 1
 
