@@ -12,10 +12,11 @@ with c the word's training count, N_b the bucket's tokens and V_b its distinct w
 Every text is read once.  Runs of texts of about ``BLOCK_TOKENS`` tokens become a block:
 the distinct words' hashes and counts and the sequence of their places, compressed.
 Counts meet by a shuffle of (word, block) rows, so a frequent word has one row a
-block.  Biases start at the counts' logarithms; weights are then trained in ROUNDS of
-distributed gradient updates: each trainer runs over its blocks with its own copy, the
-copies' changes are summed on the executors in slices and averaged by tokens.  The
-weights have a fixed size (a few megabytes), so they are broadcast.  Blocks are scored
+block.  Biases start at the counts' logarithms; weights are then trained in rounds of
+distributed gradient updates: in every round each trainer runs over all its blocks with
+its own copy, the copies' changes are summed on the executors in slices and averaged by
+tokens.  There are ROUNDS at least, and more as long as a round lowers the training loss
+by the share STILL.  The weights have a fixed size (a few megabytes), so they are broadcast.  Blocks are scored
 in numpy batches.
 
 Texts whose id's crc32 modulo 7 is 2 are held out; so are, without the mark, texts with
@@ -39,6 +40,8 @@ from .storage import Scratch
 CLASSES, MEMBERS, ROWS = 16, 16, 1024
 BUCKETS = CLASSES * MEMBERS
 BLOCK_TOKENS, BATCH, ROUNDS, RATE, SMOOTH = 4_000_000, 1 << 16, 2, 0.05, 100.0
+#: Share of the loss a round has to win for another one to follow; least updates a block.
+STILL, STEPS = 0.002, 64
 #: Trainers of a round: about one for each TRAINER_TOKENS tokens, but so many at least and at most.
 TRAINER_TOKENS, MIN_TRAINERS, MAX_TRAINERS, SLICES = 4_000_000, 6, 4096, 256
 #: Bytes of text, and tokens of a block, worked on at once.
@@ -182,10 +185,11 @@ class Model:
         i = np.arange(len(bucket))
         return a[i, cls].astype(np.float64) + b[i, bucket % MEMBERS]
 
-    def update(self, f: np.ndarray, bucket: np.ndarray, past_a: np.ndarray, past_b: np.ndarray) -> None:
-        """One gradient step (Adagrad) on a batch."""
+    def update(self, f: np.ndarray, bucket: np.ndarray, past_a: np.ndarray, past_b: np.ndarray) -> float:
+        """One gradient step (Adagrad) on a batch; returns its loss before the step."""
         a, b, cls, at = self.forward(f, bucket)
         i = np.arange(len(bucket))
+        loss = -float(a[i, cls].sum(dtype=np.float64) + b[i, bucket % MEMBERS].sum(dtype=np.float64))
         a, b = np.exp(a), np.exp(b)
         a[i, cls] -= 1
         b[i, bucket % MEMBERS] -= 1
@@ -196,6 +200,7 @@ class Model:
                 g = np.bincount(where, np.tile(grad[:, k], 3), minlength=n)
                 past[:, k] += g * g
                 weights[:, k] -= RATE * g / np.sqrt(past[:, k] + SMOOTH)
+        return loss
 
 
 def _features(hashes: np.ndarray, seq: np.ndarray, lengths: np.ndarray):
@@ -229,11 +234,15 @@ def _open(row: dict):
     return hashes, _unpacked(row["sequence"]), np.array(row["lengths"], np.int64)
 
 
+CHANGES = "slice int, change binary, tokens long, loss double"
+CHANGE_NAMES = [f.split()[0] for f in CHANGES.split(", ")]
+
+
 def _train(shared):
     def run(batches):
         model, start = Model(shared.value), shared.value
         past_a, past_b = np.zeros_like(model.classes), np.zeros_like(model.members)
-        tokens = 0
+        tokens, loss = 0, 0.0
         for batch in batches:
             for i in range(len(batch)):
                 row = {n: batch.column(n)[i].as_py() for n in ("hashes", "sequence", "lengths", "held", "doc_ids")}
@@ -241,15 +250,16 @@ def _train(shared):
                 f, bucket = _features(hashes, seq, lengths)
                 learn = np.repeat(~np.array(row["held"]) & np.array([d is not None for d in row["doc_ids"]]), lengths)
                 at = np.flatnonzero(learn)
-                for lo in range(0, len(at), BATCH):
-                    k = at[lo:lo + BATCH]
-                    model.update(f[:, k], bucket[k], past_a, past_b)
+                size = min(BATCH, max(1, -(-len(at) // STEPS)))
+                for lo in range(0, len(at), size):
+                    k = at[lo:lo + size]
+                    loss += model.update(f[:, k], bucket[k], past_a, past_b)
                 tokens += len(at)
         if tokens:
             change = np.array_split(((model.weights() - start) * tokens).astype(np.float32), SLICES)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(SLICES, dtype=np.int32)), pa.array([c.tobytes() for c in change], pa.binary()),
-                 pa.array(np.full(SLICES, tokens))], ["slice", "change", "tokens"])
+                 pa.array(np.full(SLICES, tokens)), pa.array(np.full(SLICES, loss))], CHANGE_NAMES)
 
     return run
 
@@ -258,15 +268,16 @@ def _add(batches):
     """Sums the changes slice by slice, one at a time."""
     sums: dict[int, list] = {}
     for batch in batches:
-        for s, change, tokens in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            have = sums.setdefault(s, [0.0, 0])
+        for s, change, tokens, loss in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            have = sums.setdefault(s, [0.0, 0, 0.0])
             have[0] = have[0] + np.frombuffer(change, np.float32).astype(np.float64)
             have[1] += tokens
+            have[2] += loss
     if sums:
         keys = list(sums)
         yield pa.RecordBatch.from_arrays(
             [pa.array(keys, pa.int32()), pa.array([sums[k][0].tobytes() for k in keys], pa.binary()),
-             pa.array([sums[k][1] for k in keys], pa.int64())], ["slice", "change", "tokens"])
+             pa.array([sums[k][1] for k in keys], pa.int64()), pa.array([sums[k][2] for k in keys], pa.float64())], CHANGE_NAMES)
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -329,15 +340,16 @@ def log_probabilities(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     start[-1, CLASSES:] = np.log(share / share.sum(axis=1, keepdims=True)).ravel()
     weights = start.ravel().astype(np.float32)
     trainers = min(MAX_TRAINERS, max(MIN_TRAINERS, tokens // TRAINER_TOKENS))
-    for k in range(rounds if tokens else 0):
+    done, before, loss = 0, np.inf, np.inf
+    while tokens and (done < rounds or loss < (1 - STILL) * before):
         shared = spark.sparkContext.broadcast(weights)
-        part = blocks.filter(F.pmod(F.xxhash64("block"), F.lit(rounds)) == k).coalesce(trainers)
-        changes = part.mapInArrow(_train(shared), "slice int, change binary, tokens long")
-        summed = changes.repartition("slice").mapInArrow(_add, "slice int, change binary, tokens long").collect()
-        if summed:
-            total = sum(r["tokens"] for r in summed) / len(summed)
-            ordered = sorted(summed, key=lambda r: r["slice"])
-            weights = (weights + np.concatenate([np.frombuffer(r["change"], np.float64) for r in ordered]) / total).astype(np.float32)
+        changes = blocks.coalesce(trainers).mapInArrow(_train(shared), CHANGES)
+        summed = changes.repartition("slice").mapInArrow(_add, CHANGES).collect()
+        shared.unpersist()
+        total = sum(r["tokens"] for r in summed) / len(summed)
+        ordered = sorted(summed, key=lambda r: r["slice"])
+        weights = (weights + np.concatenate([np.frombuffer(r["change"], np.float64) for r in ordered]) / total).astype(np.float32)
+        done, before, loss = done + 1, loss, ordered[0]["loss"] / total
     shared = spark.sparkContext.broadcast(weights)
     tagged = sums.filter("kind = 0").select("kind", "block", "places", "totals").unionByName(
         blocks.drop("tokens"), allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "kind")

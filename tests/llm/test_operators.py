@@ -330,3 +330,14 @@ def test_tile_links_by_parts(monkeypatch):
     assert all(whole[a] == whole[b] for a, b in alike) and all(whole[i] == whole[30 + i] for i in range(10)) and len(set(whole)) > 1
     monkeypatch.setattr(neardup, "COLUMNS", 37)
     assert joined() == whole
+
+
+def test_lm_training_rounds(spark, monkeypatch):
+    """The word before decides the next one, so a fitted model is far above the counts; every round reads every block."""
+    from fraudframe.llm import maxent
+
+    made = [(i, " ".join(f"w{(i + j * (1 + i % 2)) % 40}" for j in range(120))) for i in range(400)]
+    monkeypatch.setattr(maxent, "BLOCK_TOKENS", 6_000)
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(2)
+    held = [r for r in maxent.log_probabilities(docs).collect() if r.held_out]
+    assert sum(r.score for r in held) > 0.7 * sum(r.base_score for r in held)
