@@ -341,3 +341,17 @@ def test_lm_training_rounds(spark, monkeypatch):
     docs = spark.createDataFrame(made, "doc_id long, text string").repartition(2)
     held = [r for r in maxent.log_probabilities(docs).collect() if r.held_out]
     assert sum(r.score for r in held) > 0.7 * sum(r.base_score for r in held)
+
+
+def test_decontamination_without_windows(spark):
+    from fraudframe.llm import decontam
+
+    items = [(1, "What is 12 + 34 - 5 * 6 / 7"), (2, "Name the capital"), (3, "水的沸点是多少度"), (None, "A null id is still an item of the benchmark"),
+             (4, "Which river flows through the town"), (5, "Sum 1 2 3 4 5 6 7 8 9 10")]
+    texts = ["They asked: what is 12 + 34 - 5 * 6 / 7?", "Please name the capital now", "请问水的沸点是多少度呢", "here a null id is still an item of the benchmark too",
+             "he wondered Which river flows through the town and left", "so sum 1 2 3 4 5 6 7 8 9 10 up", "what is 12 + 34 - 5 * 6 / 8", "sum 1 2 3 4 5 6 7 8 9 11"]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()}
+    assert got == {(0, 1), (1, 2), (2, 3), (3, None), (4, 4), (5, 5)}
+    assert {r.doc_id for r in decontam.clean(docs, bench).collect()} == {6, 7}
