@@ -355,3 +355,20 @@ def test_decontamination_without_windows(spark):
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()}
     assert got == {(0, 1), (1, 2), (2, 3), (3, None), (4, 4), (5, 5)}
     assert {r.doc_id for r in decontam.clean(docs, bench).collect()} == {6, 7}
+
+
+def test_decontamination_conflicting_slots_and_case(spark):
+    from fraudframe.llm import decontam
+
+    item = ("A farmer in Kent sells 12 baskets of ripe apples on the first day of the long summer market and on the last evening of the "
+            "same market gives away 12 more to the children of Dover who helped to carry the heavy wooden boxes home")
+    pair = ("A baker mixes 3 bowls of brown flour with the water from the old stone well behind the house and later in the same week adds 5 "
+            "spoons of the finest salt before the dough goes into the oven")
+    bench = spark.createDataFrame([(1, item), (2, pair)], "item_id long, text string")
+    texts = [item.replace("away 12", "away 13"), pair.replace("3", "4").replace("5", "4"), item.lower(), item.upper(), "a farmer in kent sells apples"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.verbatim for r in decontam.contaminated(docs, bench).collect()}
+    assert got == {(0, 1): False, (1, 2): False, (2, 1): True, (3, 1): True}
+    few = spark.createDataFrame([(3, "when Anna met Boris in Paris with Clara from Delhi they walked along")], "item_id long, text string")
+    lower = spark.createDataFrame([(7, "when anna met boris in paris with clara from delhi they walked along")], "doc_id long, text string")
+    assert decontam.clean(lower, few).count() == 0
