@@ -3,7 +3,8 @@
 Kinds: email, ip, card, phone (the base) and iban.  A pattern's matches are taken from
 the left without overlap; matches that fail their validator (IP parts at most 255,
 12 to 19 digits and Luhn for cards, 9 to 15 digits for phones, modulo 97 for IBANs)
-are dropped and not searched again.  A span's score is its kind's prior, raised when
+are dropped and not searched again.  An IBAN is matched in its country's length, so
+words and digits after it don't belong to it.  A span's score is its kind's prior, raised when
 one of the kind's context words stands in the 48 characters before it.
 
 Everything is built-in column functions.  ``split`` gives the text between matches and
@@ -18,6 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Characters of an IBAN, and the countries that use so many.
+IBANS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV",
+    22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG",
+    25: "AO|CV|GW|LY|PT|ST", 26: "DZ|IR|IS|TR", 27: "BI|CF|CG|CM|DJ|FR|GA|GQ|GR|IT|KM|MC|MG|MR|SM|TD",
+    28: "AL|AZ|BF|BJ|BY|CI|CY|DO|GT|HN|HU|LB|MA|ML|NE|NI|PL|SN|SV|TG", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+_IBAN = "|".join(rf"(?:{countries})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{size - 4}}}" for size, countries in IBANS.items())
 #: Pattern, cheap necessary condition, prior in percent, context words.
 KINDS = {
     "email": (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 90,
@@ -25,7 +34,7 @@ KINDS = {
     "ip": (r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 60, "ip|server|host|address|login"),
     "card": (r"[0-9](?:[\x20-]?+[0-9])++", None, 75, "card|visa|credit|payment|paid"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+", 60, "phone|tel|call|mobile|fax"),
-    "iban": (r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9_])", None, 95,
+    "iban": (rf"(?<![A-Za-z0-9_])(?:{_IBAN})(?![A-Za-z0-9_])", None, 95,
              "iban|account|bank|transfer"),
 }
 BASE, MASK = ("email", "ip", "card", "phone"), ("email", "iban", "card", "phone", "ip")

@@ -372,3 +372,15 @@ def test_decontamination_conflicting_slots_and_case(spark):
     few = spark.createDataFrame([(3, "when Anna met Boris in Paris with Clara from Delhi they walked along")], "item_id long, text string")
     lower = spark.createDataFrame([(7, "when anna met boris in paris with clara from delhi they walked along")], "doc_id long, text string")
     assert decontam.clean(lower, few).count() == 0
+
+
+def test_iban_before_upper_case_words(spark):
+    from fraudframe.llm import pii
+
+    texts = ["DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "pay DE89370400440532013000 EUR 50", "NO93 8601 1117 947 AND GB29 NWBK 6016 1331 9268 19 NOW",
+             "DE88 3704 0044 0532 0130 00 BIC", "MT84MALT011000012345MTLCAST001S 7"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("iban")] for r in pii.report(docs).collect()}
+    assert spans == {0: ["iban:0:27"], 1: ["iban:4:26"], 2: ["iban:0:18", "iban:23:50"], 3: [], 4: ["iban:0:31"]}
+    masked = {r.doc_id: r.text for r in pii.mask(docs).collect()}
+    assert masked[0] == "[IBAN] BIC COBADEFFXXX" and masked[1] == "pay [IBAN] EUR 50" and masked[2] == "[IBAN] AND [IBAN] NOW"
