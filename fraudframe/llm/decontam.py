@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from . import bytewords as bw
 
 WINDOW, COVERAGE, MIN_TOKENS, BLOCK_BYTES = 8, 0.5, 5, 32 << 20
+#: Bytes of documents worked on at once: a byte takes some tens of bytes of arrays.
+PART_BYTES = 1 << 20
 KINDS = [pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()]
 SCHEMA = "doc_id long, item_id long, coverage double, n_windows long, n_slots long, verbatim boolean"
 #: Units that become a placeholder after a number.
@@ -275,7 +277,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
             block = Benchmark.of(shared.value)
             for batch in batches:
                 keys = batch.column(0).to_numpy()
-                for lo, hi, raw, offsets in bw.text_slices(batch.column(1)):
+                for lo, hi, raw, offsets in bw.text_slices(batch.column(1), PART_BYTES):
                     rows = list(block.search(raw, offsets, coverage))
                     if rows:
                         d, *rest = zip(*rows)
@@ -304,7 +306,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text:
             block = Benchmark.of(shared.value)
             for batch in batches:
                 keep = np.ones(len(batch), bool)
-                for lo, _, raw, offsets in bw.text_slices(batch.column(place).cast(pa.string())):
+                for lo, _, raw, offsets in bw.text_slices(batch.column(place).cast(pa.string()), PART_BYTES):
                     for row in block.search(raw, offsets, coverage):
                         keep[lo + row[0]] = False
                 yield batch.filter(pa.array(keep))
