@@ -190,7 +190,7 @@ def test_secrets(spark, rows):
     clean = secrets.redact(docs)
     assert clean.columns == docs.columns
     masked = {r.doc_id: r.text for r in clean.collect()}
-    assert masked[20_000] == '[SECRET]" and' and masked[1] is None and masked[2] == "" and masked[20_007] == SECRETS[7]
+    assert masked[20_000] == '[SECRET]" and' and masked[9001] is None and masked[9002] == "" and masked[20_007] == SECRETS[7]
     assert secrets.find(clean).filter("size(spans) > 0").count() == 0
 
 
