@@ -201,7 +201,7 @@ def test_entropy_kind(spark):
     letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
     data = [(i, "key " + "".join(rng.choice(letters, 32))) for i in range(300)]
     found = secrets.report(frame(spark, data)).filter("n_entropy = 1").count()
-    assert found >= 294
+    assert found >= 285      # a candidate needs two digits, which 1 in 40 of these lacks
 
 
 def test_sql(spark, tmp_path, rows):
