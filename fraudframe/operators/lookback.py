@@ -31,8 +31,9 @@ context rows (a row is copied to every later chunk it reaches, at most
 ``SkewPolicy.max_copies``, so chunks may be shorter than the interval), and the
 newest row before the chunk comes from a per-chunk aggregate, so no task ever
 holds a whole hot entity
-(``canonical`` and ``serve``; ``train`` needs every prior row of the entity
-for its unbounded gap median and stays per entity).
+(``train`` also needs the median of all earlier gaps of the entity: each chunk
+starts with the earlier gaps at the ranks its medians can fall on, from
+``prefix_slices``).
 """
 from __future__ import annotations
 
@@ -45,10 +46,12 @@ from pyspark.sql.types import AtomicType
 from fraudframe.functions.columns import (
     MICROS_PER_DAY,
     array_median,
-    drop_first,
     epoch_micros,
     safe_div,
 )
+from fraudframe.operators.frames import add_frame_statistics
+from fraudframe.operators.prefix_slices import prefix_slices
+from fraudframe.session import ensure_checkpoint_dir
 
 D = MICROS_PER_DAY
 PROFILES = ("canonical", "train", "serve")
@@ -99,7 +102,7 @@ class SkewPolicy:
     copied as context to at most ``max_copies`` later chunks.
     """
 
-    rows_per_task: int = 4_000_000
+    rows_per_task: int = 1_000_000
     max_split_entities: int = 200_000
     max_copies: int = 8
     enabled: bool = True
@@ -128,16 +131,25 @@ def feature_names(value: str, intervals) -> list[str]:
     return out
 
 
-def _frame(w, lo: int | None, hi: int):
-    return w.rangeBetween(Window.unboundedPreceding if lo is None else lo, hi)
+def _prior(w, days: int, inclusive: bool) -> Column:
+    """Rows of the partition at most (or less than) t - days; such a count grows row by row."""
+    return F.count(_US).over(w.rangeBetween(Window.unboundedPreceding, -days * D - (0 if inclusive else 1)))
 
 
-def _bucket_counts(w, max_k: int) -> list[Column]:
-    """Row counts in the open day buckets (t-(i+1)d, t-i d), i < max_k."""
-    return [
-        F.count(_US).over(_frame(w, -(i + 1) * D + 1, -i * D - 1))
-        for i in range(max_k)
-    ]
+def _counts(w, intervals, buckets: bool) -> dict[str, Column]:
+    """``__p{i}`` rows before t - i days, ``__q{i}`` rows up to it.  Their differences are the
+    sizes of open frames: (t - k days, t) holds ``__p0 - __q{k}`` rows."""
+    most = max(intervals)
+    before = range(most) if buckets else [0]
+    upto = range(1, most + 1) if buckets else sorted({1, *intervals})
+    return {**{f"__p{i}": _prior(w, i, False) for i in before}, **{f"__q{i}": _prior(w, i, True) for i in upto}}
+
+
+def _sizes(intervals, buckets: bool) -> dict[str, Column]:
+    out = {f"__n{k}": _c("__p0") - _c(f"__q{k}") for k in intervals}
+    if buckets:
+        out.update({f"__b{i}": _c(f"__p{i}") - _c(f"__q{i + 1}") for i in range(max(intervals))})
+    return out
 
 
 def _count_features(n_today: Column, avg_nr: Column, med_nr: Column) -> list[Column]:
@@ -153,205 +165,138 @@ def _days(us_diff: Column) -> Column:
 
 
 # ---------------------------------------------------------------------------
-# profiles.  Each returns three stages evaluated one after the other:
-#   1. window aggregates (each frame aggregate exactly once, named),
-#   2. per-row intermediates from those columns (array medians, gaps),
-#   3. the features, plain arithmetic on stage 1-2 columns.
-# Naming every window aggregate matters: an ``.over()`` used in several
-# expressions would otherwise be evaluated once per use.
+# profiles.  Four steps, one after the other:
+#   1. window columns (prefix counts, each named and so evaluated once),
+#   2. frame sizes from them,
+#   3. order statistics and moments of the frames (operators/frames.py),
+#   4. the features, plain arithmetic on the columns of 1-3.
 # ---------------------------------------------------------------------------
 
 def _c(name: str) -> Column:
     return F.col(name)
 
 
-def _bucket_stage(w, max_k: int) -> dict[str, Column]:
-    return {f"__b{i}": b for i, b in enumerate(_bucket_counts(w, max_k))}
-
-
-def _bucket_intermediates(k: int) -> dict[str, Column]:
+def _bucket_median(k: int) -> dict[str, Column]:
     total = sum((_c(f"__b{i}") for i in range(1, k)), _c("__b0"))
     return {f"__avgnr{k}": total.cast("double") / k,
             f"__mednr{k}": array_median(F.array(*[_c(f"__b{i}") for i in range(k)]))}
 
 
-# Window-0 columns shared by the profiles (same partitioning and order as
-# the main window, so Spark adds no exchange and no sort for them):
-#   __gp  gap to the previous row of the entity in us, -1 for the first row
-#         (the sentinel is always the first element of any frame holding it)
-#   __day calendar Julian day number of the row
+# Columns shared by the profiles, from the window order of rows:
+#   __first  the row is the first of its partition
+#   __gp     gap to the previous row of the entity in us, -1 for the first row
+#   __day    calendar Julian day number of the row
 _GP = "__gp"
 _DAY = "__day"
+_FIRST = "__first"
 
 
-def _window0(w) -> dict[str, Column]:
+def _row_columns(w, split: bool = False) -> dict[str, Column]:
     us = _c(_US)
-    return {_GP: F.coalesce(us - F.lag(us).over(w), F.lit(-1).cast("bigint"))}
+    before = F.lag(us).over(w)
+    # an own row that leads its chunk; rows that are there as context only have no such gap
+    gap = F.coalesce(us - before, F.when(~_c(_CTX), us - _c(_PREV))) if split else us - before
+    return {_FIRST: F.lag(F.lit(1)).over(w).isNull(), _GP: F.coalesce(gap, F.lit(-1).cast("bigint"))}
 
 
-def _canonical(spec: LookbackSpec, w, split: bool):
+def _canonical(spec: LookbackSpec, split: bool):
     v = _c(_V).cast("double")
     us = _c(_US)
-    max_k = max(spec.intervals)
-    prior = _frame(w, None, -1)
-    s1: dict[str, Column] = {"__newest": F.max(us).over(prior), **_bucket_stage(w, max_k)}
-    for k in spec.intervals:
-        fk = _frame(w, -k * D + 1, -1)
-        s1[f"__n{k}"] = F.count(us).over(fk)
-        s1[f"__lo{k}"] = F.min(us).over(fk)
-        s1[f"__hi{k}"] = F.max(us).over(fk)
-        s1[f"__avg{k}"] = F.coalesce(F.avg(v).over(fk), F.lit(0.0))
-        s1[f"__med{k}"] = F.coalesce(F.percentile(v, F.lit(0.5)).over(fk), F.lit(0.0))
-        s1[f"__dev{k}"] = F.coalesce(F.stddev_samp(v).over(fk), F.lit(0.0))
-        # gaps between neighbours inside the frame: each row's gap to its
-        # predecessor, minus the frame's first row (whose predecessor is outside)
-        s1[f"__gl{k}"] = F.collect_list(_c(_GP)).over(fk)
     newest = F.coalesce(_c("__newest"), _c(_PREV)) if split else _c("__newest")
-    s2: dict[str, Column] = {
+    mid: dict[str, Column] = {
         "__has_prior": newest.isNotNull(),
         "__g": F.coalesce(_days(us - newest), F.lit(0.0)),
     }
     for k in spec.intervals:
         n = _c(f"__n{k}")
-        s2[f"__avggap{k}"] = F.when(n >= 2, _days(_c(f"__hi{k}") - _c(f"__lo{k}")) / (n - 1)).otherwise(F.lit(0.0))
-        s2[f"__sgaps{k}"] = F.sort_array(drop_first(_c(f"__gl{k}")))
-        s2.update(_bucket_intermediates(k))
-    s2b = {f"__medgap{k}": array_median(_c(f"__sgaps{k}"), is_sorted=True) / F.lit(float(D))
-           for k in spec.intervals}
+        # the newest row of a frame with two rows is the newest row before t
+        mid[f"__avggap{k}"] = F.when(n >= 2, _days(_c("__newest") - _c(f"__lo{k}")) / (n - 1)).otherwise(F.lit(0.0))
+        mid.update(_bucket_median(k))
     n_today = (_c("__b0") + 1).cast("double")
-    names = feature_names(spec.value, spec.intervals)
-    s3: dict[str, Column] = {}
-    i = 0
+    out: list[Column] = []
     for k in spec.intervals:
         avg, med, dev = _c(f"__avg{k}"), _c(f"__med{k}"), _c(f"__dev{k}")
         cols = [
             safe_div(v, avg), v - avg, safe_div(v, med), v - med,
             safe_div(v - avg, dev), v - avg - dev,
             *_count_features(n_today, _c(f"__avgnr{k}"), _c(f"__mednr{k}")),
-            *_gap_features(_c(f"__avggap{k}"), _c(f"__medgap{k}"), _c("__g")),
+            *_gap_features(_c(f"__avggap{k}"), _c(f"__medgap{k}") / F.lit(float(D)), _c("__g")),
         ]
-        for c in cols:
-            s3[names[i]] = F.when(_c("__has_prior"), c).otherwise(F.lit(0.0))
-            i += 1
-    return s1, s2, s2b, s3
+        out += [F.when(_c("__has_prior"), c).otherwise(F.lit(0.0)) for c in cols]
+    return mid, out
 
 
-def _serve(spec: LookbackSpec, w):
+def _serve(spec: LookbackSpec):
     """History of the last k days plus the current row ("combined")."""
     v = _c(_V).cast("double")
     us = _c(_US)
-    s1: dict[str, Column] = {"__day_n": F.count(us).over(_frame(w, -D + 1, -1))}
-    for k in spec.intervals:
-        fk = _frame(w, -k * D + 1, -1)
-        s1[f"__h{k}"] = F.count(us).over(fk)
-        s1[f"__lo{k}"] = F.min(us).over(fk)
-        s1[f"__hi{k}"] = F.max(us).over(fk)
-        s1[f"__ha{k}"] = F.avg(v).over(fk)
-        s1[f"__hd{k}"] = F.stddev_samp(v).over(fk)
-        s1[f"__vl{k}"] = F.collect_list(v).over(fk)
-        s1[f"__gl{k}"] = F.collect_list(_c(_GP)).over(fk)
-        s1[f"__dl{k}"] = F.collect_list(_c(_DAY)).over(fk)
-    s2: dict[str, Column] = {}
-    for k in spec.intervals:
-        h = _c(f"__h{k}")
-        n = h + 1
-        ha = F.coalesce(_c(f"__ha{k}"), F.lit(0.0))
-        mean = (ha * h + v) / n
-        # one Welford step: the frame's moments plus the current value
-        m2 = F.coalesce(_c(f"__hd{k}"), F.lit(0.0)) ** 2 * F.greatest(h - 1, F.lit(0)) + (v - ha) * (v - mean)
-        days = F.concat(_c(f"__dl{k}"), F.array(_c(_DAY)))  # ascending: the frame is in time order
-        s2[f"__avg{k}"] = mean
-        s2[f"__dev{k}"] = F.when(n >= 2, F.sqrt(F.greatest(m2, F.lit(0.0)) / (n - 1))).otherwise(F.lit(0.0))
-        s2[f"__svals{k}"] = F.sort_array(F.concat(_c(f"__vl{k}"), F.array(v)))
-        s2[f"__sgaps{k}"] = F.sort_array(F.concat(drop_first(_c(f"__gl{k}")), F.array(us - _c(f"__hi{k}"))))
-        s2[f"__days{k}"] = days
-        s2[f"__g{k}"] = _days(us - _c(f"__hi{k}"))
-        s2[f"__avggap{k}"] = _days(us - _c(f"__lo{k}")) / F.greatest(h, F.lit(1))
-        s2[f"__avgnr{k}"] = n.cast("double") / k
-    s2b: dict[str, Column] = {}
-    for k in spec.intervals:
-        days = _c(f"__days{k}")
-        m = F.size(days)
-        distinct = F.array_distinct(days)
-        # rows per calendar day of a sorted array: distance between first positions
-        per_day = F.transform(distinct, lambda d, j: F.coalesce(
-            F.array_position(days, F.try_element_at(distinct, j + 2)), m + 1) - F.array_position(days, d))
-        s2b[f"__med{k}"] = array_median(_c(f"__svals{k}"), is_sorted=True)
-        s2b[f"__medgap{k}"] = array_median(_c(f"__sgaps{k}"), is_sorted=True) / F.lit(float(D))
-        s2b[f"__mednr{k}"] = array_median(per_day)
-    n_today = (_c("__day_n") + 1).cast("double")
-    names = feature_names(spec.value, spec.intervals)
-    s3: dict[str, Column] = {}
-    i = 0
+    n_today = (_c("__p0") - _c("__q1") + 1).cast("double")
+    out: list[Column] = []
     for k in spec.intervals:
+        h = _c(f"__n{k}")
         avg, med, dev = _c(f"__avg{k}"), _c(f"__med{k}"), _c(f"__dev{k}")
+        avg_gap = _days(us - _c(f"__lo{k}")) / F.greatest(h, F.lit(1))
         cols = [
             safe_div(v, avg), v - avg, safe_div(v, med), v - med,
             safe_div(v - avg, dev), v - avg - dev,
-            *_count_features(n_today, _c(f"__avgnr{k}"), _c(f"__mednr{k}")),
-            *_gap_features(_c(f"__avggap{k}"), _c(f"__medgap{k}"), _c(f"__g{k}")),
+            *_count_features(n_today, (h + 1).cast("double") / k, _c(f"__mednr{k}")),
+            *_gap_features(avg_gap, _c(f"__medgap{k}") / F.lit(float(D)), _days(us - _c(f"__hi{k}"))),
         ]
-        for c in cols:
-            s3[names[i]] = F.when(_c(f"__h{k}") > 0, c).otherwise(F.lit(0.0))
-            i += 1
-    return s1, s2, s2b, s3
+        out += [F.when(h > 0, c).otherwise(F.lit(0.0)) for c in cols]
+    return {}, out
 
 
-def _train(spec: LookbackSpec, w):
+def _train(spec: LookbackSpec, split: bool):
     """Columns of the original batch trainer."""
     us = _c(_US)
-    gp = _c(_GP)
-    # equal timestamps keep one value (the first of the tie in row order)
-    v_one = F.when(gp != 0, _c(_V)).cast("double")
-    prior = _frame(w, None, -1)
-    max_k = max(spec.intervals)
-    s1: dict[str, Column] = {
-        "__n_prior": F.count(us).over(prior),
-        "__newest": F.max(us).over(prior),
-        "__oldest": F.min(us).over(prior),
-        "__medgap_all": F.percentile(F.when(gp >= 0, gp), F.lit(0.5)).over(prior),
-        **_bucket_stage(w, max_k),
-    }
-    for k in spec.intervals:
-        fk = _frame(w, -k * D + 1, -1)
-        s1[f"__avg{k}"] = F.coalesce(F.avg(v_one).over(fk), F.lit(0.0))
-        s1[f"__med{k}"] = F.coalesce(F.percentile(v_one, F.lit(0.5)).over(fk), F.lit(0.0))
-        s1[f"__dev{k}"] = F.coalesce(F.stddev_samp(v_one).over(fk), F.lit(0.0))
-    n_prior = _c("__n_prior")
-    s2: dict[str, Column] = {
+    n_prior, newest, oldest, first_v = _c("__p0"), _c("__newest"), _c("__oldest"), _c("__first_v")
+    if split:
+        hot = _c("__lb_oldest").isNotNull()
+        n_prior = F.when(hot, n_prior - _c("__n_ctx") + _c("__lb_rows")).otherwise(n_prior)
+        newest = F.coalesce(newest, _c(_PREV))
+        oldest = F.when(hot, _c("__lb_oldest")).otherwise(oldest)
+        first_v = F.when(hot, _c("__lb_first_v")).otherwise(first_v)
+    mid: dict[str, Column] = {
         # the "current" value the trainer used: the oldest prior value, own value without history
-        "__cur": F.when(n_prior > 0, _c("__first_v").cast("double")).otherwise(_c(_V).cast("double")),
-        "__g": F.coalesce(_days(us - _c("__newest")), F.lit(0.0)),
-        "__avggap": F.when(n_prior >= 2, _days(_c("__newest") - _c("__oldest")) / (n_prior - 1)).otherwise(F.lit(0.0)),
-        "__medgap": F.coalesce(_c("__medgap_all") / F.lit(float(D)), F.lit(0.0)),
+        "__cur": F.when(n_prior > 0, first_v.cast("double")).otherwise(_c(_V).cast("double")),
+        "__g": F.coalesce(_days(us - newest), F.lit(0.0)),
+        "__avggap": F.when(n_prior >= 2, _days(newest - oldest) / (n_prior - 1)).otherwise(F.lit(0.0)),
     }
     for k in spec.intervals:
-        s2.update(_bucket_intermediates(k))
+        mid.update(_bucket_median(k))
     n_today = (_c("__b0") + 1).cast("double")
     v = _c("__cur")
-    names = feature_names(spec.value, spec.intervals)
-    s3: dict[str, Column] = {}
-    i = 0
+    out: list[Column] = []
     for k in spec.intervals:
         avg, med, dev = _c(f"__avg{k}"), _c(f"__med{k}"), _c(f"__dev{k}")
-        cols = [
+        out += [
             safe_div(v, avg), v - avg, safe_div(v, med), v - med,
             safe_div(v, dev), v - dev,
             *_count_features(n_today, _c(f"__avgnr{k}"), _c(f"__mednr{k}")),
-            *_gap_features(_c("__avggap"), _c("__medgap"), _c("__g")),
+            *_gap_features(_c("__avggap"), _c("__medgap") / F.lit(float(D)), _c("__g")),
         ]
-        for c in cols:
-            s3[names[i]] = c
-            i += 1
-    return s1, s2, s3
+    return mid, out
 
 
-def _apply(df: DataFrame, stages, keep: list[str], names: list[str], tail: list[str], extra: list[str]) -> DataFrame:
-    """Add the stages as columns, then project the final selection."""
-    *inner, last = stages
-    for st in inner:
-        df = df.withColumns(st)
-    return df.select(*keep, *[last[n].alias(n) for n in names], *tail, *extra)
+def _features(rows: DataFrame, spec: LookbackSpec, partition: list[str], keep: list[str], extra: list[str], split: bool) -> DataFrame:
+    """The features of rows that carry __first, __gp and the profile's split columns."""
+    w = Window.partitionBy(*partition).orderBy(_US)
+    prior = w.rangeBetween(Window.unboundedPreceding, -1)
+    buckets = spec.profile != "serve"
+    columns = _counts(w, spec.intervals, buckets)
+    if spec.profile != "serve":
+        columns["__newest"] = F.max(_US).over(prior)
+    if spec.profile == "train":
+        columns["__oldest"] = F.min(_US).over(prior)
+        if split:
+            columns["__n_ctx"] = F.count(F.when(_c(_CTX), _c(_US))).over(prior)
+    df = rows.withColumns(columns).withColumns(_sizes(spec.intervals, buckets))
+    df = add_frame_statistics(df, spec.profile, spec.intervals)
+    mid, out = {"canonical": lambda: _canonical(spec, split), "serve": lambda: _serve(spec), "train": lambda: _train(spec, split)}[spec.profile]()
+    if mid:
+        df = df.withColumns(mid)
+    tail = [spec.label] if spec.label else []
+    return df.select(*keep, *[c.alias(n) for c, n in zip(out, feature_names(spec.value, spec.intervals))], *tail, *extra)
 
 
 # ---------------------------------------------------------------------------
@@ -396,15 +341,21 @@ def _with_chunks(base: DataFrame, entity: str, context_us: int, plan: DataFrame,
             .withColumn(_CHUNK, F.col("__lb_copy"))
             .drop("__lb_copy"))
     if with_prev:
-        # newest row of the entity before each chunk, from a per-chunk aggregate
-        per_chunk = (joined.filter(is_hot).groupBy(entity, _CHUNK).agg(F.max(_US).alias("__mx")))
-        wc = Window.partitionBy(entity).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-        prev = per_chunk.select(entity, _CHUNK, F.max("__mx").over(wc).alias(_PREV))
+        # what lies before each chunk, from a per-chunk aggregate
+        per_chunk = chunk_totals(joined.filter(is_hot), entity)
         # a join on the keys of the windows; Spark decides from the size how
-        rows = rows.join(prev, on=[entity, _CHUNK], how="left")
+        rows = rows.join(per_chunk.select(entity, _CHUNK, _PREV, "__lb_rows"), on=[entity, _CHUNK], how="left")
     return rows.drop("__lb_lo", "__lb_len", "__lb_last")
 
 
+def chunk_totals(hot: DataFrame, entity: str) -> DataFrame:
+    """(entity, chunk, own rows, rows before the chunk, newest time before it) of split entities."""
+    wc = Window.partitionBy(entity).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    totals = hot.groupBy(entity, _CHUNK).agg(F.max(_US).alias("__mx"), F.count(F.lit(1)).alias("__lb_own"))
+    return totals.select(entity, _CHUNK, "__lb_own", F.coalesce(F.sum("__lb_own").over(wc), F.lit(0)).alias("__lb_rows"),
+                         F.max("__mx").over(wc).alias(_PREV))
+
+
 # ---------------------------------------------------------------------------
 # public operator
 # ---------------------------------------------------------------------------
@@ -426,30 +377,57 @@ def add_lookback_features(df: DataFrame, spec: LookbackSpec, skew: SkewPolicy |
     tail = [spec.label] if spec.label else []
     context_us = max(spec.intervals) * D
 
-    if spec.profile == "train":
-        # rows in one total order, so ties don't follow the input's order; the
-        # frames by time below reuse that sort
-        plain = [f.name for f in df.schema.fields if isinstance(f.dataType, AtomicType)]
-        tie = [F.col(spec.tie)] if spec.tie else [F.col(_V), F.xxhash64(*plain)]
-        rows_w = Window.partitionBy(spec.entity).orderBy(_US, *tie)
-        base = base.withColumns({**_window0(rows_w), "__lb_rn": F.row_number().over(rows_w), "__first_v": F.first(_V).over(
-            rows_w.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
-        w = Window.partitionBy(spec.entity).orderBy(_US)
-        out = _apply(base, _train(spec, w), keep, names, tail, ["__lb_rn"])
-        # the trainer drops the oldest row of every entity (and so single-row entities)
-        return out.filter(F.col("__lb_rn") > 1).drop("__lb_rn")
-
-    half_day = D // 2
-    base = base.withColumn(_DAY, F.floor((F.col(_US) + F.lit(half_day)) / F.lit(D)))
-    make = _canonical if spec.profile == "canonical" else _serve
     plan = _split_plan(base, spec.entity, context_us, skew) if skew.enabled else None
-    if plan is None:
-        w = Window.partitionBy(spec.entity).orderBy(_US)
-        return _apply(base.withColumns(_window0(w)), make(spec, w, False) if make is _canonical
-                      else make(spec, w), keep, names, tail, [])
-
+    split = plan is not None
+    partition = [spec.entity] + [_CHUNK] * split
+    if spec.profile == "train":
+        return _train_features(base, spec, plan, context_us, keep, skew)
+    if spec.profile == "serve":
+        base = base.withColumn(_DAY, F.floor((F.col(_US) + F.lit(D // 2)) / F.lit(D)))
+    if not split:
+        return _features(base.withColumns(_row_columns(Window.partitionBy(spec.entity).orderBy(_US))), spec, partition, keep, [], False)
     rows = _with_chunks(base, spec.entity, context_us, plan, with_prev=spec.profile == "canonical")
-    w = Window.partitionBy(spec.entity, _CHUNK).orderBy(_US)
-    stages = make(spec, w, True) if make is _canonical else make(spec, w)
-    out = _apply(rows.withColumns(_window0(w)), stages, keep, names, tail, [_CTX])
+    rows = rows.withColumns(_row_columns(Window.partitionBy(*partition).orderBy(_US)))
+    out = _features(rows, spec, partition, keep, [_CTX], spec.profile == "canonical")
     return out.filter(~F.col(_CTX)).drop(_CTX)
+
+
+def _train_features(base: DataFrame, spec: LookbackSpec, plan: DataFrame | None, context_us: int, keep: list[str], skew: SkewPolicy) -> DataFrame:
+    # rows in one total order, so ties don't follow the input's order; the frames
+    # by time reuse that sort
+    plain = [f.name for f in base.schema.fields if isinstance(f.dataType, AtomicType) and f.name not in (_US, _V)]
+    tie = [F.col(spec.tie)] if spec.tie else [F.col(_V), F.xxhash64(*plain)]
+    base = base.withColumns({f"__lb_tie{i}": c for i, c in enumerate(tie)})
+    tie = [f"__lb_tie{i}" for i in range(len(tie))]
+    partition = [spec.entity]
+    if plan is not None:
+        partition.append(_CHUNK)
+        oldest = (base.join(plan, on=spec.entity, how="left_semi").groupBy(spec.entity)
+                  .agg(F.min(_US).alias("__lb_oldest"), F.min_by(_V, F.struct(_US, *tie)).alias("__lb_first_v")))
+        rows = _with_chunks(base, spec.entity, context_us, plan, with_prev=True).join(oldest, on=spec.entity, how="left")
+        rows = rows.unionByName(_slices(base, spec.entity, context_us, plan, skew), allowMissingColumns=True)
+    else:
+        rows = base
+    order = Window.partitionBy(*partition).orderBy(_US, *tie)
+    rows = rows.withColumns({**_row_columns(order, split=plan is not None), "__first_v": F.first(_V).over(
+        order.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+    extra = [_GP] if plan is None else [_GP, _CTX, "__lb_sn"]
+    out = _features(rows, spec, partition, keep, extra, plan is not None)
+    if plan is not None:
+        out = out.filter(~F.col(_CTX) & F.col("__lb_sn").isNull())
+    # the trainer drops the oldest row of every entity (and so single-row entities)
+    return out.filter(F.col(_GP) >= 0).drop(*extra)
+
+
+def _slices(base: DataFrame, entity: str, context_us: int, plan: DataFrame, skew: SkewPolicy) -> DataFrame:
+    """Rows that lead each chunk of a split entity: the earlier gaps its medians can fall on."""
+    own = _with_chunks(base.select(entity, _US), entity, context_us, plan, with_prev=True).filter(F.col(_PREV).isNotNull() | (F.col("__lb_rows") == 0))
+    own = own.filter(~F.col(_CTX))
+    totals = own.groupBy(entity, _CHUNK).agg(F.count(F.lit(1)).alias("__lb_own"), F.max("__lb_rows").alias("__lb_rows"))
+    w = Window.partitionBy(entity, _CHUNK).orderBy(_US)
+    gap = F.coalesce(F.col(_US) - F.lag(_US).over(w), F.col(_US) - F.col(_PREV))
+    gaps = own.select(entity, _CHUNK, gap.alias("gap")).filter("gap is not null")
+    ensure_checkpoint_dir(base.sparkSession)
+    found = prefix_slices(gaps, totals.select(entity, _CHUNK, "__lb_own", F.greatest(F.col("__lb_rows") - 1, F.lit(0)).alias("__lb_gaps")),
+                          entity, _CHUNK, skew.rows_per_task)
+    return found.withColumn(_CTX, F.lit(False))

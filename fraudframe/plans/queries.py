@@ -537,15 +537,20 @@ _HOT_SRC = ("SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN -1 ELSE user
             "epoch_us(ts) AS us, value AS v FROM events")
 
 
-@register("lookback_hot_card", lookback_sql.canonical_sql(_HOT_SRC, "value", (3, 7), DIGITS))
-def q_lookback_hot_card(spark, sf_dir):
-    ev = table(spark, sf_dir, "events")
-    df = ev.select(F.col("event_id").alias("id"),
-                   F.when(F.col("event_id") % 3 == 0, F.lit(-1)).otherwise(F.col("user_id")).alias("user_id"),
-                   "ts", "value")
-    spec = LookbackSpec("user_id", "ts", "value", (3, 7))
-    out = add_lookback_features(df, spec, skew=SkewPolicy(rows_per_task=1000))
-    return _rounded(out, ["id"], feature_names("value", (3, 7)))
+def _hot_query(profile):
+    def run(spark, sf_dir):
+        ev = table(spark, sf_dir, "events")
+        df = ev.select(F.col("event_id").alias("id"),
+                       F.when(F.col("event_id") % 3 == 0, F.lit(-1)).otherwise(F.col("user_id")).alias("user_id"),
+                       "ts", "value")
+        spec = LookbackSpec("user_id", "ts", "value", (3, 7), profile=profile, tie="id")
+        out = add_lookback_features(df, spec, skew=SkewPolicy(rows_per_task=1000))
+        return _rounded(out, ["id"], feature_names("value", (3, 7)))
+    return run
+
+
+register("lookback_hot_card", lookback_sql.canonical_sql(_HOT_SRC, "value", (3, 7), DIGITS))(_hot_query("canonical"))
+register("lookback_hot_card_train", lookback_sql.train_sql(_HOT_SRC, "value", (3, 7), DIGITS))(_hot_query("train"))
 
 
 # --------------------------------------------------------------------------
@@ -586,12 +591,4 @@ def q_numeric_string_fit(spark, sf_dir):
     return p.filter(F.col("type") == "varchar").select("name", "all_digits", "fits_int")
 
 
-@register("lookback_hot_card_serve", lookback_sql.serve_sql(_HOT_SRC, "value", (3, 7), DIGITS))
-def q_lookback_hot_card_serve(spark, sf_dir):
-    ev = table(spark, sf_dir, "events")
-    df = ev.select(F.col("event_id").alias("id"),
-                   F.when(F.col("event_id") % 3 == 0, F.lit(-1)).otherwise(F.col("user_id")).alias("user_id"),
-                   "ts", "value")
-    spec = LookbackSpec("user_id", "ts", "value", (3, 7), profile="serve")
-    out = add_lookback_features(df, spec, skew=SkewPolicy(rows_per_task=1000))
-    return _rounded(out, ["id"], feature_names("value", (3, 7)))
+register("lookback_hot_card_serve", lookback_sql.serve_sql(_HOT_SRC, "value", (3, 7), DIGITS))(_hot_query("serve"))

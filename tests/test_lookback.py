@@ -47,7 +47,7 @@ def test_edge_rows(spark, profile):
     assert out.columns[:4] == ["id", "card", "ts", "amount"]
 
 
-@pytest.mark.parametrize("profile", ["canonical", "serve"])
+@pytest.mark.parametrize("profile", ["canonical", "serve", "train"])
 def test_edge_rows_split(spark, profile):
     """Tiny rows_per_task forces every multi-row card through the time-chunk path."""
     df = spark.createDataFrame(edge_rows(), SCHEMA)
@@ -70,12 +70,68 @@ def test_events_split_matches_unsplit(spark):
     _check(spark, df, spec, skew=SkewPolicy(rows_per_task=3))
 
 
-def test_one_exchange(spark):
+@pytest.mark.parametrize("profile", ["canonical", "serve", "train"])
+def test_one_exchange_and_no_lists(spark, profile):
     ev = spark.read.parquet(f"{SF001}/events.parquet")
-    spec = LookbackSpec("user_id", "ts", "value", (3, 7))
+    spec = LookbackSpec("user_id", "ts", "value", (3, 7), profile=profile)
     out = add_lookback_features(ev, spec)
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1, plan
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("+- Sort") == 1, plan
+    assert "collect_list" not in plan and "percentile" not in plan
+
+
+def _hot_events(spark, sf):
+    ev = spark.read.parquet(f"{sf}/events.parquet")
+    return ev.select(F.col("event_id").alias("id"),
+                     F.when(F.col("event_id") % 3 == 0, F.lit(-1)).otherwise(F.col("user_id")).alias("user_id"), "ts", "value")
+
+
+@pytest.mark.parametrize("rows_per_task", [7, 60])
+def test_hot_card_train_is_split_and_exact(spark, rows_per_task):
+    """Prefix medians of a card cut into chunks equal the ones over all its rows, and no
+    chunk gets more earlier gaps than about its own rows."""
+    from fraudframe.operators import lookback as L
+
+    df = _hot_events(spark, SF001)
+    policy = SkewPolicy(rows_per_task=rows_per_task)
+    spec = LookbackSpec("user_id", "ts", "value", (1, 2), profile="train")
+    _check(spark, df, spec, skew=policy)
+    base = df.withColumn(L._US, epoch_micros("ts", df.schema["ts"].dataType)).withColumn(L._V, F.col("value"))
+    plan = L._split_plan(base, "user_id", 2 * L.D, policy)
+    slices = L._slices(base, "user_id", 2 * L.D, plan, policy)
+    own = {(r["user_id"], r[L._CHUNK]): r["count"] for r in L._with_chunks(base, "user_id", 2 * L.D, plan, True).filter(f"not {L._CTX}")
+           .groupBy("user_id", L._CHUNK).count().collect()}
+    sent = slices.groupBy("user_id", L._CHUNK).agg(F.sum("__lb_sn").alias("n")).collect()
+    assert sent and all(r["n"] <= own[r["user_id"], r[L._CHUNK]] + 2 for r in sent)
+
+
+def test_hot_card_train_with_equal_gaps(spark):
+    """Most gaps equal: counts stand for the copies."""
+    from datetime import datetime, timedelta
+    t, data = datetime(2024, 3, 1), []
+    for i in range(600):
+        t += timedelta(minutes=30 if i % 5 else i % 7)
+        data.append((i, "hot" if i % 4 else "cold", t, float(i % 9)))
+    df = spark.createDataFrame(data, "id long, card string, ts timestamp, amount double")
+    _check(spark, df, LookbackSpec("card", "ts", "amount", (1, 2), profile="train"), skew=SkewPolicy(rows_per_task=20))
+
+
+@pytest.mark.parametrize("profile", ["canonical", "serve", "train"])
+def test_missing_values_times_and_cards(spark, profile):
+    """NULL values take no part; a row without a time has no history; NULL cards are one card; empty tables pass."""
+    from datetime import datetime, timedelta
+    t0 = datetime(2024, 3, 1)
+    data = [(i, None if i % 3 == 0 else "c", None if i == 7 else t0 + timedelta(hours=5 * i), None if i % 4 == 1 else float(i)) for i in range(30)]
+    df = spark.createDataFrame(data, "id long, card string, ts timestamp, amount double")
+    spec = LookbackSpec("card", "ts", "amount", (1, 2), profile=profile, tie="id")
+    out = {r["id"]: r for r in add_lookback_features(df, spec).collect()}
+    assert len(out) == (30 if profile != "train" else 27)
+    if profile == "canonical":
+        r = out[20]      # history inside two days: 11, 13, 14, 16, 17, 19 of card c, of which 13 and 17 have no value
+        assert r["amount_current_per_average_2"] == pytest.approx(20 / ((11 + 14 + 16 + 19) / 4))
+        assert r["amount_current_per_median_2"] == pytest.approx(20 / 15)
+    assert add_lookback_features(df.limit(0), spec).count() == 0
+    assert add_lookback_features(df.limit(0), spec, skew=SkewPolicy(rows_per_task=1)).count() == 0
 
 
 def test_bad_spec():
@@ -116,7 +172,7 @@ def test_property_random_tables(spark, rows, profile, split):
     data = [(i, str(c), t0 + timedelta(hours=h), float(v)) for i, (c, h, v) in enumerate(rows)]
     df = spark.createDataFrame(data, "id long, card string, ts timestamp, amount double")
     spec = LookbackSpec("card", "ts", "amount", (1, 2), profile=profile)
-    skew = SkewPolicy(rows_per_task=3) if split and profile != "train" else None
+    skew = SkewPolicy(rows_per_task=3) if split else None
     _check(spark, df, spec, skew=skew)
 
 
