@@ -10,9 +10,10 @@ Most are ``pyspark.ml`` estimators configured like the original catalog:
 4 decision tree        maxDepth 30 (Spark's largest)
 5 gaussian naive Bayes
 6 random forest        100 trees
-7 gradient boosting    100 rounds, step 0.1, depth 5  (LightGBM's family)
-8 gradient boosting    100 rounds, step 0.3, depth 6  (XGBoost's family;
-                       xgboost.spark is used instead when installed)
+7 gradient boosting    100 trees of 31 leaves, the best leaf split next, step 0.1
+                       (``operators.boost.LEAF_WISE``)
+8 gradient boosting    100 trees of depth 6, weight penalty 1, step 0.3, a learnt
+                       side for missing values (``operators.boost.REGULARISED``)
 
 Every fitted model exposes ``transform(df)`` adding ``prediction`` and
 ``probability``; ``with_probabilities`` adds the two probability columns
@@ -24,13 +25,14 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LogisticRegression, NaiveBayes, RandomForestClassifier,
+    DecisionTreeClassifier, LogisticRegression, NaiveBayes, RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fraudframe.operators.boost import LEAF_WISE, REGULARISED, BoostedTrees
 
 #: Depth of the single tree and of the forest's trees, the most that Spark builds.
 TREE_DEPTH = FOREST_DEPTH = 30
@@ -52,10 +54,8 @@ def make_classifier(code: int, n_rows: int, seed: int = 0, label: str = "label",
         return NaiveBayes(modelType="gaussian", **common)
     if code == 6:
         return RandomForestClassifier(numTrees=100, maxDepth=FOREST_DEPTH, seed=seed, **common)
-    if code == 7:
-        return GBTClassifier(maxIter=100, stepSize=0.1, maxDepth=5, seed=seed, **common)
-    if code == 8:
-        return GBTClassifier(maxIter=100, stepSize=0.3, maxDepth=6, seed=seed, **common)
+    if code in (7, 8):
+        return BoostedTrees(LEAF_WISE if code == 7 else REGULARISED, label, features)
     raise ValueError(f"unknown model code {code}")
 
 

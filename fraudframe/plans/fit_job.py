@@ -68,6 +68,8 @@ class FittedBundle:
             self.model.write().overwrite().save(os.path.join(path, "model"))
         elif model_kind == "LinearDiscriminantModel":
             extra["lda"] = {"weights": list(map(float, self.model.weights)), "bias": self.model.bias}
+        elif model_kind == "BoostedTreesModel":
+            extra["boosted"] = self.model.to_json()
         elif model_kind == "KNNModel":
             self.model.train.write.mode("overwrite").parquet(os.path.join(path, "knn_train"))
             extra["knn"] = {"k": self.model.k, "label": self.model.label, "features": self.model.features,
@@ -94,6 +96,7 @@ class FittedBundle:
     def load(spark, path: str) -> "FittedBundle":
         import numpy as np
         from pyspark.ml.feature import PCAModel, StandardScalerModel, VectorSlicer
+        from fraudframe.operators.boost import BoostedTreesModel
         from fraudframe.operators.classify import LinearDiscriminantModel
         from fraudframe.operators.knn import KNNModel
         from fraudframe.plans.spec import FeatureParams
@@ -122,6 +125,8 @@ class FittedBundle:
         kind = meta["model_kind"]
         if kind == "LinearDiscriminantModel":
             model = LinearDiscriminantModel(np.asarray(meta["lda"]["weights"]), meta["lda"]["bias"])
+        elif kind == "BoostedTreesModel":
+            model = BoostedTreesModel.from_json(meta["boosted"])
         elif kind == "KNNModel":
             kn = meta["knn"]
             model = KNNModel(spark.read.parquet(os.path.join(path, "knn_train")), kn["k"], kn["label"],
