@@ -38,7 +38,8 @@ from fraudframe.operators.boost import LEAF_WISE, REGULARISED, BoostedTrees
 TREE_DEPTH = FOREST_DEPTH = 30
 
 
-def make_classifier(code: int, n_rows: int, seed: int = 0, label: str = "label", features: str = "features"):
+def make_classifier(code: int, n_rows: int, seed: int = 0, label: str = "label", features: str = "features",
+                    key: str | None = None):
     common = dict(labelCol=label, featuresCol=features)
     if code == 1:
         return LogisticRegression(regParam=1.0 / max(n_rows, 1), elasticNetParam=0.0, standardization=False,
@@ -47,7 +48,7 @@ def make_classifier(code: int, n_rows: int, seed: int = 0, label: str = "label",
         return LinearDiscriminant(label, features)
     if code == 3:
         from fraudframe.operators.knn import KNNClassifier
-        return KNNClassifier(k=5, label=label, features=features)
+        return KNNClassifier(k=5, label=label, features=features, key=key)
     if code == 4:
         return DecisionTreeClassifier(maxDepth=TREE_DEPTH, seed=seed, **common)
     if code == 5:

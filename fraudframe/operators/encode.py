@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from fraudframe.functions.columns import epoch_micros, julian_date
 from fraudframe.functions.ranking import index_sorted
 from fraudframe.operators.profile import TableProfile, type_category
-from fraudframe.plans.spec import FLOAT, FRAUD_TYPE, INT, JULIAN, LABEL_ENCODER, OMIT, EncodingPlan
+from fraudframe.plans.spec import FLOAT, FRAUD_TYPE, INT, JULIAN, LABEL_ENCODER, OMIT, EncodingPlan, content_id
 
 ENTITY = "_entity"
 US = "_us"
@@ -61,6 +61,7 @@ class EncoderModel:
     columns: list[str]
     types: dict[str, str]
     dictionaries: dict[str, DataFrame] = field(default_factory=dict)
+    _content_id: str | None = field(default=None, repr=False, compare=False)
 
     @property
     def output_names(self) -> list[str]:
@@ -115,16 +116,27 @@ class EncoderModel:
                           .cast("double")).otherwise(parsed.cast("double"))
         return col.cast("double")
 
-    # persistence: plan JSON + one parquet table per dictionary
+    def content_id(self) -> str:
+        """Equal for encoders that encode alike, whichever objects or folders hold them: the encoding
+        part of the plan, the columns and the dictionaries' entries (their number and the sum of
+        their hashes, one aggregate a dictionary, kept after the first call)."""
+        if self._content_id is None:
+            entry = F.xxhash64
+            found = {c: list(map(str, d.agg(F.count(F.lit(1)), F.sum(entry(F.col(c), F.col("code").cast("long")).cast("decimal(38,0)"))).first()))
+                     for c, d in sorted(self.dictionaries.items())}
+            self._content_id = content_id("encoder", self.plan.encoding_json(), self.columns, self.types, found)
+        return self._content_id
+
+    # persistence: one parquet table per dictionary, then the plan JSON
     def save(self, path: str) -> None:
         import json
         spark = SparkSession.getActiveSession()
+        for c, d in self.dictionaries.items():
+            d.write.mode("overwrite").parquet(os.path.join(path, "dict", c))
         meta = {"plan": json.loads(self.plan.to_json()), "columns": self.columns, "types": self.types,
                 "dictionaries": sorted(self.dictionaries)}
         spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(
             os.path.join(path, "meta"))
-        for c, d in self.dictionaries.items():
-            d.write.mode("overwrite").parquet(os.path.join(path, "dict", c))
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "EncoderModel":

@@ -1,19 +1,20 @@
-"""Exact k nearest neighbours without a cross join (survey H3, E5).
-
-1. Pivots: the reference rows with the smallest seeded hash (their number
-   grows with the data but is capped at ``MAX_PIVOTS``; collected, checked).
-2. Every reference row goes to its nearest pivot's cell (mapInPandas).
-   Per cell: row count and radius (max distance to its pivot).  A cell
-   larger than ``BLOCK`` is cut into hash blocks of at most ~BLOCK rows.
-3. For a query q, any row x of cell c is at least
-   ``max(0, d(q, p_c) - radius_c)`` away, and every row of c is at most
-   ``d(q, p_c) + radius_c`` away.  The smallest upper bound that covers k
-   rows bounds the k-th neighbour distance; only cells whose lower bound
-   does not exceed it can hold a neighbour.  The result is exact.
-4. Queries are sent to the blocks of their candidate cells, in chunks of at
-   most ``QBLOCK`` queries per block; each (block, chunk) group computes its
-   distance matrix with numpy and keeps a local top k.
-5. A window per query keeps the global top k (ties by reference id).
+"""Exact k nearest neighbours, best cells first (survey H3, E5).
+
+1. Pivots: the reference rows with the smallest seeded hash, one for about ``BLOCK`` rows, at
+   most ``MAX_PIVOTS`` of them (they go to every task; with more rows cells grow).
+2. Every reference row goes to its nearest pivot's cell; the assigned rows are stored.  A
+   cell has a count and the least and largest distance to its pivot, and is cut into hash
+   blocks of about ``BLOCK`` rows, so a vector that repeats fills many blocks, not one task.
+3. A row of a cell is at least ``max(0, d - far, near - d)`` away from a query whose distance
+   to the pivot is d.  Each query visits cells by rising lower bound, in rounds of 1, 4, 16, ...
+   cells, and stops when the next bound is above the distance of its k-th row so far.  No
+   row left unvisited can be nearer, so the result is exact.
+4. In a round the queries go to the blocks of their cells, in chunks of at most ``QBLOCK`` queries
+   a block; each (block, chunk) group computes its distances with one matrix product and
+   keeps a local top k.  A window per query merges them with the rows found so far.
+
+Ties go to the lower reference id.  Queries need unique ids.  Every round's visits and results are
+stored in the shared folder, so lost executors cost one round's tasks at most.
 """
 from __future__ import annotations
 
@@ -26,10 +27,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql import types as T
 
+from fraudframe.sources.replay import scratch_dir
+
 BLOCK = 2048
 QBLOCK = 2048
 MAX_PIVOTS = 4096
 MAX_BROADCAST_BLOCKS = 1_000_000
+#: Rows whose distances to all pivots are held together.
+SLICE = 1024
 
 
 def _vec(df: DataFrame, cols: list[str] | str) -> DataFrame:
@@ -42,11 +47,28 @@ def _mat(series: pd.Series) -> np.ndarray:
     return np.stack(series.to_numpy()) if len(series) else np.zeros((0, 0))
 
 
+def _squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squared distances of all rows by one matrix product, and a bound on their rounding."""
+    a, b = (x * x).sum(1), (y * y).sum(1)
+    return a[:, None] + b[None, :] - 2 * x @ y.T, 1e-12 * float(a.max(initial=0) + b.max(initial=0))
+
+
+def _exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(((x - y) ** 2).sum(1))
+
+
 def knn(queries: DataFrame, refs: DataFrame, k: int, q_id: str, r_id: str, vec: list[str] | str,
-        exclude_same_id: bool = False, seed: int = 0, carry: list[str] = ()) -> DataFrame:
+        exclude_same_id: bool = False, seed: int = 0, carry: list[str] = (), report: dict | None = None) -> DataFrame:
     """(q_id, r_id, dist, nn_rank, *carry) of the k nearest reference rows of
-    every query row (Euclidean).  ``carry`` columns come from ``refs``."""
+    every query row (Euclidean).  ``carry`` columns come from ``refs``.  ``report`` takes the number
+    of ``rounds`` and the ``visited`` share of all (query, reference row) pairs."""
     spark = refs.sparkSession
+    folder = scratch_dir(spark, "knn")
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
     R = _vec(refs, vec).select(F.col(r_id).alias("__rid"), "__vec", *[c for c in carry if c != "__vec"])
     Q = _vec(queries, vec).select(F.col(q_id).alias("__qid"), "__vec")
     n_r = R.count()
@@ -55,63 +77,73 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, q_id: str, r_id: str, vec:
     n_piv = max(1, min(MAX_PIVOTS, math.ceil(n_r / BLOCK)))
     piv_rows = (R.withColumn("__h", F.xxhash64("__rid", F.lit(seed))).orderBy("__h", "__rid")
                 .limit(n_piv).select("__vec").collect())
-    pivots = np.array([r[0] for r in piv_rows], dtype=float)
-    bp = spark.sparkContext.broadcast(pivots)
+    pivots = spark.sparkContext.broadcast(np.array([r[0] for r in piv_rows], dtype=float))
 
     def assign(it):
-        P = bp.value
-        for pdf in it:
-            X = _mat(pdf["__vec"])
-            if len(pdf) == 0:
-                yield pdf.assign(__cell=pd.Series(dtype="int64"), __dp=pd.Series(dtype="float64"))
-                continue
-            d = np.sqrt(((X[:, None, :] - P[None, :, :]) ** 2).sum(-1))
-            c = d.argmin(1)
-            yield pdf.assign(__cell=c.astype("int64"), __dp=d[np.arange(len(c)), c])
-
-    r_schema = T.StructType(R.schema.fields + [T.StructField("__cell", T.LongType()),
-                                               T.StructField("__dp", T.DoubleType())])
-    Ra = R.mapInPandas(assign, r_schema)
-    stats = {r["__cell"]: (r["n"], r["rad"]) for r in
-             Ra.groupBy("__cell").agg(F.count(F.lit(1)).alias("n"), F.max("__dp").alias("rad")).collect()}
-    cells = sorted(stats)
-    counts = np.array([stats[c][0] for c in cells], dtype=float)
-    radius = np.array([stats[c][1] for c in cells], dtype=float)
-    # cells: one row per pivot (<= MAX_PIVOTS), with its number of blocks
-    cells_df = spark.createDataFrame([(int(c), max(1, math.ceil(stats[c][0] / BLOCK))) for c in cells],
-                                     "__cell long, __nsub long")
-    Ra = (Ra.join(F.broadcast(cells_df), "__cell")
-          .withColumn("__sub", F.pmod(F.xxhash64("__rid", F.lit(seed + 1)), F.col("__nsub"))).drop("__nsub"))
-    need = k + (1 if exclude_same_id else 0)
-    bc = spark.sparkContext.broadcast((pivots, np.array(cells), counts, radius))
-
-    def candidates(it):
-        P, C, N, RAD = bc.value
+        P = pivots.value
         for pdf in it:
-            if len(pdf) == 0:
-                continue
             X = _mat(pdf["__vec"])
-            d = np.sqrt(((X[:, None, :] - P[C][None, :, :]) ** 2).sum(-1))
-            lb = np.maximum(d - RAD[None, :], 0.0)
-            ub = d + RAD[None, :]
-            out_q, out_c = [], []
-            for i in range(len(pdf)):
-                order = np.argsort(ub[i], kind="stable")
-                cum = np.cumsum(N[order])
-                j = int(np.searchsorted(cum, need))
-                bound = ub[i][order[min(j, len(order) - 1)]]
-                sel = np.nonzero(lb[i] <= bound)[0]
-                out_q.append(np.full(len(sel), i))
-                out_c.append(C[sel])
-            qi = np.concatenate(out_q)
-            yield pd.DataFrame({"__qid": pdf["__qid"].to_numpy()[qi], "__vec": pdf["__vec"].to_numpy()[qi],
-                                "__cell": np.concatenate(out_c).astype("int64")})
-
-    Qc = Q.mapInPandas(candidates, T.StructType(Q.schema.fields + [T.StructField("__cell", T.LongType())]))
+            cell = np.concatenate([_squares(X[i:i + SLICE], P)[0].argmin(1) for i in range(0, len(X), SLICE)] or [np.zeros(0, int)])
+            yield pdf.assign(__cell=cell.astype("int64"), __dp=_exact(X, P[cell]) if len(X) else np.zeros(0))
+
+    assigned = R.mapInPandas(assign, T.StructType(R.schema.fields + [T.StructField("__cell", T.LongType()), T.StructField("__dp", T.DoubleType())]))
+    assigned = keep(assigned, "refs")
+    # one row for each pivot
+    cells = assigned.groupBy("__cell").agg(F.count(F.lit(1)).alias("n"), F.min("__dp").alias("near"), F.max("__dp").alias("far")).orderBy("__cell").collect()
+    bounds = spark.sparkContext.broadcast(tuple(np.array([r[c] for r in cells]) for c in ("__cell", "n", "near", "far")))
+    cells_df = spark.createDataFrame([(r["__cell"], max(1, math.ceil(r["n"] / BLOCK))) for r in cells], "__cell long, __nsub long")
+    blocked = (assigned.join(F.broadcast(cells_df), "__cell")
+               .withColumn("__sub", F.pmod(F.xxhash64("__rid", F.lit(seed + 1)), F.col("__nsub"))).drop("__nsub", "__dp"))
+
+    def cells_of(start: int, step: int):
+        """Rows (query, cell) that queries still have to visit among their cells start to start + step."""
+        def run(it):
+            C, N, near, far = bounds.value
+            P = pivots.value[C]
+            for pdf in it:
+                for i in range(0, len(pdf), SLICE):
+                    part = pdf.iloc[i:i + SLICE]
+                    sq, slack = _squares(_mat(part["__vec"]), P)
+                    d = np.sqrt(np.maximum(sq, 0.0))
+                    # bounds are loosened by what rounding can do to them
+                    least = np.maximum(np.maximum(d - far, near - d), 0.0) - np.sqrt(slack) - 1e-12 * d
+                    order = np.argsort(least, axis=1, kind="stable")[:, start:start + step]
+                    q, j = np.nonzero(np.take_along_axis(least, order, 1) <= part["__far"].to_numpy()[:, None])
+                    cell = order[q, j]
+                    yield pd.DataFrame({"__qid": part["__qid"].to_numpy()[q], "__vec": part["__vec"].to_numpy()[q],
+                                        "__cell": C[cell].astype("int64"), "__n": N[cell].astype("int64")})
+        return run
+
+    visit_schema = T.StructType(Q.schema.fields + [T.StructField("__cell", T.LongType()), T.StructField("__n", T.LongType())])
+    top, start, step, rounds, visited = None, 0, 1, 0, 0
+    state = Q.withColumn("__far", F.lit(float("inf")))
+    while start < len(cells):
+        visits = keep(state.mapInPandas(cells_of(start, step), visit_schema), f"visits{rounds}")
+        seen = visits.agg(F.sum("__n")).first()[0]
+        if not seen:
+            break
+        visited += seen
+        found = _compare(visits.drop("__n"), blocked, cells_df, k, exclude_same_id, seed, carry, sum(math.ceil(r["n"] / BLOCK) for r in cells))
+        if top is not None:
+            found = found.unionByName(top.drop("nn_rank"))
+        w = Window.partitionBy("__qid").orderBy("dist", "__rid")
+        top = keep(found.withColumn("nn_rank", F.row_number().over(w)).filter(F.col("nn_rank") <= k), f"top{rounds}")
+        last = top.filter(F.col("nn_rank") == k).select("__qid", F.col("dist").alias("__far"))
+        state = Q.join(last, "__qid", "left").withColumn("__far", F.coalesce("__far", F.lit(float("inf"))))
+        start, step, rounds = start + step, 4 * step, rounds + 1
+    if report is not None:
+        report.update(rounds=rounds, visited=visited / max(1, n_r * Q.count()))
+    if top is None:      # no query
+        top = _compare(visits.drop("__n"), blocked, cells_df, k, exclude_same_id, seed, carry, 1).withColumn("nn_rank", F.lit(0))
+    return (top.withColumnRenamed("__qid", q_id if q_id != r_id else "q_" + q_id)
+            .withColumnRenamed("__rid", r_id if q_id != r_id else "r_" + r_id))
+
+
+def _compare(visits: DataFrame, blocked: DataFrame, cells_df: DataFrame, k: int, exclude_same_id: bool, seed: int, carry, n_blocks: int) -> DataFrame:
+    """(__qid, __rid, dist, *carry): the nearest k rows of every block that a query visits."""
     subs = cells_df.select("__cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__nsub") - 1)).alias("__sub"))
     # one row per block (rows / BLOCK + cells): broadcast while that is small
-    n_blocks = sum(max(1, math.ceil(stats[c][0] / BLOCK)) for c in cells)
-    Qb = Qc.join(F.broadcast(subs) if n_blocks <= MAX_BROADCAST_BLOCKS else subs, "__cell")
+    Qb = visits.join(F.broadcast(subs) if n_blocks <= MAX_BROADCAST_BLOCKS else subs, "__cell")
     # queries per block, cut into chunks of at most QBLOCK; these tables have
     # one row per block (grows with rows / BLOCK): Spark picks the join kind
     blocks = (Qb.groupBy("__cell", "__sub").agg(F.count(F.lit(1)).alias("__n"))
@@ -120,38 +152,33 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, q_id: str, r_id: str, vec:
           .withColumn("__qc", F.pmod(F.xxhash64("__qid", F.lit(seed + 2)), F.col("__nq"))).drop("__nq"))
     chunks = blocks.select("__cell", "__sub",
                            F.explode(F.sequence(F.lit(0).cast("long"), F.col("__nq") - 1)).alias("__qc"))
-    Rb = Ra.join(chunks, ["__cell", "__sub"])
-    carry_schema = "".join(f", {f.simpleString().replace(':', ' ', 1)}" for f in R.select(*carry).schema.fields)
+    Rb = blocked.join(chunks, ["__cell", "__sub"])
+    carry_schema = "".join(f", {f.simpleString().replace(':', ' ', 1)}" for f in blocked.select(*carry).schema.fields)
 
     def local_topk(rk, qk):
         if len(rk) == 0 or len(qk) == 0:
             return pd.DataFrame({"__qid": [], "__rid": [], "dist": [], **{c: [] for c in carry}})
         X, Y = _mat(qk["__vec"]), _mat(rk["__vec"])
-        d2 = (X * X).sum(1)[:, None] + (Y * Y).sum(1)[None, :] - 2 * X @ Y.T
+        d2, slack = _squares(X, Y)
         rid = rk["__rid"].to_numpy()
         qid = qk["__qid"].to_numpy()
         if exclude_same_id:
             d2 = np.where(qid[:, None] == rid[None, :], np.inf, d2)
-        m = min(need, d2.shape[1])
+        m = min(k, d2.shape[1])
         # everything within rounding of the k-th distance stays, so ties are cut
         # by the exact distance and the id below
         kth = np.partition(d2, m - 1, axis=1)[:, m - 1:m]
-        slack = 1e-12 * ((X * X).sum(1).max() + (Y * Y).sum(1).max())
-        qi, ri = np.nonzero((d2 <= kth + slack) & np.isfinite(d2))
-        out = {"__qid": qid[qi], "__rid": rid[ri], "dist": np.sqrt(((X[qi] - Y[ri]) ** 2).sum(1))}
+        qi, ri = np.nonzero((d2 <= kth + 2 * slack) & np.isfinite(d2))
+        out = {"__qid": qid[qi], "__rid": rid[ri], "dist": _exact(X[qi], Y[ri])}
         for c in carry:
             out[c] = rk[c].to_numpy()[ri]
         out = pd.DataFrame(out).sort_values(["__qid", "dist", "__rid"], kind="stable")
-        return out[out.groupby("__qid").cumcount() < need]
-
-    q_type = Q.schema["__qid"].dataType.simpleString()
-    r_type = R.schema["__rid"].dataType.simpleString()
-    pairs = (Rb.groupBy("__cell", "__sub", "__qc").cogroup(Qb.groupBy("__cell", "__sub", "__qc"))
-             .applyInPandas(local_topk, f"__qid {q_type}, __rid {r_type}, dist double{carry_schema}"))
-    w = Window.partitionBy("__qid").orderBy("dist", "__rid")
-    return (pairs.withColumn("nn_rank", F.row_number().over(w)).filter(F.col("nn_rank") <= k)
-            .withColumnRenamed("__qid", q_id if q_id != r_id else "q_" + q_id)
-            .withColumnRenamed("__rid", r_id if q_id != r_id else "r_" + r_id))
+        return out[out.groupby("__qid").cumcount() < k]
+
+    q_type = visits.schema["__qid"].dataType.simpleString()
+    r_type = blocked.schema["__rid"].dataType.simpleString()
+    return (Rb.groupBy("__cell", "__sub", "__qc").cogroup(Qb.groupBy("__cell", "__sub", "__qc"))
+            .applyInPandas(local_topk, f"__qid {q_type}, __rid {r_type}, dist double{carry_schema}"))
 
 
 # ---------------------------------------------------------------------------
@@ -184,18 +211,22 @@ class KNNModel:
 
 
 class KNNClassifier:
-    def __init__(self, k: int = 5, label: str = "label", features: str = "features"):
-        self.k, self.label, self.features = k, label, features
+    """Neighbours at equal distance are taken by ``key``, without one by a hash of the row's content
+    (rows that share it are alike), never by the partition they are in."""
+
+    def __init__(self, k: int = 5, label: str = "label", features: str = "features", key: str | None = None):
+        self.k, self.label, self.features, self.key = k, label, features, key
 
     def fit(self, df: DataFrame) -> KNNModel:
         from pyspark.ml.functions import vector_to_array
         from fraudframe.session import ensure_checkpoint_dir
         ensure_checkpoint_dir(df.sparkSession)
-        train = (df.select(F.monotonically_increasing_id().alias("__tid"),
+        order = F.col(self.key) if self.key else F.xxhash64(vector_to_array(F.col(self.features)), F.col(self.label))
+        train = (df.select(order.alias("__tid"),
                            vector_to_array(F.col(self.features)).alias("__f"),
                            F.col(self.label).alias("__y"))
                  .checkpoint())
-        return KNNModel(train, self.k, self.label, self.features)
+        return KNNModel(train, self.k, self.label, self.features, self.key)
 
 
 # ---------------------------------------------------------------------------

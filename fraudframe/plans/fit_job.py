@@ -160,8 +160,8 @@ def validate_input(raw: DataFrame, plan: EncodingPlan) -> None:
 
 def fit_job(raw: DataFrame, plan: EncodingPlan, job: TrainJob, rfecv_args: dict | None = None, store=None,
             input_id: str | None = None, validate: bool = True) -> FittedBundle:
-    """With a ``store`` and the ``input_id`` of the data, jobs of one plan share
-    the stored encoded and feature tables; otherwise the feature table is
+    """With a ``store`` and the ``input_id`` of the data, jobs of one plan share the stored feature
+    table, and plans of one encoding the stored dictionaries and encoded table; otherwise the feature table is
     written to a scratch folder of its own."""
     job.validate()
     label = plan.label
@@ -173,10 +173,12 @@ def fit_job(raw: DataFrame, plan: EncodingPlan, job: TrainJob, rfecv_args: dict
         raise ValueError("a store needs the input's id")
     if validate:
         validate_input(raw, plan)
-    encoder = fit_encoder(raw, plan)
-    encoded = encoder.transform(raw)
-    if store is not None:
-        encoded = store.derived("encoded", plan.to_json(), input_id, lambda: encoder.transform(raw))
+    if store is None:
+        encoder = fit_encoder(raw, plan)
+        encoded = encoder.transform(raw)
+    else:       # shared by all plans that differ in their look-back features only
+        encoder = store.encoder(plan, input_id, lambda: fit_encoder(raw, plan))
+        encoded = store.derived("encoded", plan.encoding_json(), input_id, lambda: encoder.transform(raw))
     spec = None
     data = encoded
     if plan.features is not None:
@@ -211,9 +213,7 @@ def fit_job(raw: DataFrame, plan: EncodingPlan, job: TrainJob, rfecv_args: dict
     selector = fit_selector(SELECTORS[job.selector], assembled, key, label, **(rfecv_args or {}))
     selected = selector.transform(assembled).select(key, label, "features")
     n = selected.count()
-    model = make_classifier(job.model, n, job.seed, label=label).fit(selected)
-    if hasattr(model, "key"):
-        model.key = key
+    model = make_classifier(job.model, n, job.seed, label=label, key=key).fit(selected)
     bundle = FittedBundle(plan, job, encoder, spec, feats, scaler, selector, model,
                           info={"model": MODELS[job.model], "train_rows": n, "selected": selector.n_out})
     scored = bundle.score(test)

@@ -357,6 +357,20 @@ def q_knn_topk(spark, sf_dir):
         .select("q_vec_id", "r_vec_id", "nn_rank")
 
 
+# vectors in steps of a half, so that very many distances are equal
+@register("knn_topk_ties", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: round(4 * x::DOUBLE) / 2)[1:12] AS e FROM embeddings)
+SELECT q_vec_id, r_vec_id, nn_rank, dist FROM (
+  SELECT a.vec_id AS q_vec_id, b.vec_id AS r_vec_id, list_distance(a.e, b.e) AS dist,
+         row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.e, b.e), b.vec_id) AS nn_rank
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id) r
+WHERE nn_rank <= 7""")
+def q_knn_topk_ties(spark, sf_dir):
+    emb = table(spark, sf_dir, "embeddings")
+    half = emb.select("vec_id", F.slice(F.transform("embedding", lambda x: F.round(4 * x.cast("double")) / 2), 1, 12).alias("e"))
+    return _knn.knn(half, half, 7, "vec_id", "vec_id", "e", exclude_same_id=True).select("q_vec_id", "r_vec_id", "nn_rank", "dist")
+
+
 def _embedding_frame(spark, sf_dir):
     """The frame and its vector columns, as many as every vector has components."""
     emb = table(spark, sf_dir, "embeddings")

@@ -113,6 +113,11 @@ class EncodingPlan:
         d = asdict(self)
         return canonical_json(d)
 
+    def encoding_json(self) -> str:
+        """What an encoded table depends on: everything but the look-back features."""
+        d = asdict(self)
+        return canonical_json({k: d[k] for k in ("table", "time_base", "encoding", "entity", "key")})
+
     def same_as(self, other: "EncodingPlan") -> bool:
         return (self.table, self.time_base, self.encoding, self.features) == \
             (other.table, other.time_base, other.encoding, other.features)

@@ -12,10 +12,12 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fraudframe.operators.encode import EncoderModel
 from fraudframe.operators.metrics import METRIC_COLUMNS
 from fraudframe.plans.spec import EncodingPlan, FeatureParams, PlanExists, JobNotValid, TrainJob, content_id
 
@@ -52,6 +54,14 @@ class Store:
             build().write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
+    def encoder(self, plan: EncodingPlan, input_id: str, fit: Callable[[], EncoderModel]) -> EncoderModel:
+        """The stored encoder of (encoding, input), fitted and stored if there is none; its
+        plan is the given one, whose features may be others."""
+        path = os.path.join(self.root, "derived", "encoder", content_id("encoder", plan.encoding_json(), input_id))
+        if not _exists(self.spark, os.path.join(path, "meta", "_SUCCESS")):
+            fit().save(path)
+        return replace(EncoderModel.load(self.spark, path), plan=plan)
+
     # K3 -------------------------------------------------------------------
     PLAN_SCHEMA = "plan_id string, table_name string, plan string"
 

@@ -47,11 +47,12 @@ class ModelRegistry:
         return out
 
     def by_steps(self) -> list[ModelRegistry]:
-        """One registry for the models of each encoder and look-back spec."""
+        """One registry for the models of each encoding and look-back spec; encoders that encode
+        alike are one, also if each model was loaded with its own."""
         groups: dict[tuple, ModelRegistry] = {}
         for mid in self.ids():
             b = self.models[mid]
-            groups.setdefault((id(b.encoder), b.lookback), ModelRegistry()).register(mid, b)
+            groups.setdefault((b.encoder.content_id(), b.lookback), ModelRegistry()).register(mid, b)
         return list(groups.values())
 
 

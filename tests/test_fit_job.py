@@ -53,6 +53,10 @@ def test_fit_job_shares_stored_tables_and_validates(spark):
         assert m["TP"] + m["FP"] + m["TN"] + m["FN"] == -(-labelled // 4)
     import glob
     assert len(glob.glob(f"{store.root}/derived/*/*/_SUCCESS")) == 2
+    # another interval: new features, the stored dictionaries and encoded table
+    other = fit_job(raw, replace(PLAN, features=FeatureParams("amount", (2,))), TrainJob("p", model=5, selector=2, scaler=1, sampler=1), store=store, input_id="v1")
+    assert other.lookback.intervals == (2,) and other.encoder.plan.features.intervals == (2,)
+    assert {k: len(glob.glob(f"{store.root}/derived/{k}/*")) for k in ("encoded", "encoder", "features")} == {"encoded": 1, "encoder": 1, "features": 2}
     job = TrainJob("p", model=1, selector=2, scaler=1, sampler=1)
     with pytest.raises(ValueError):
         fit_job(raw, replace(PLAN, key=None), job)

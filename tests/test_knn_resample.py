@@ -33,6 +33,38 @@ def test_knn_exact_embeddings(spark, block, monkeypatch):
     assert got == want
 
 
+def test_best_first_visits_few_rows(spark, monkeypatch):
+    """Rows in clusters: exact, with ties by id, while most cells are never visited."""
+    monkeypatch.setattr(K, "BLOCK", 20)
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 3)) * 20
+    X = np.round(centres[rng.integers(0, 40, 1200)] + rng.normal(size=(1200, 3)) * 0.5, 1)
+    X[100:160] = X[100]      # copies
+    df = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(X)], "id long, v array<double>, c int").repartition(4)
+    report = {}
+    got = {}
+    for r in K.knn(df, df, 4, "id", "id", "v", exclude_same_id=True, carry=["c"], report=report).collect():
+        got.setdefault(r["q_id"], []).append((r["nn_rank"], r["r_id"], r["c"]))
+    assert {q: [i for _, i, _ in sorted(v)] for q, v in got.items()} == _brute(X, range(1200), X, range(1200), 4, True)
+    assert all(c == i % 3 for v in got.values() for _, i, c in v)
+    assert report["visited"] < 0.2 and report["rounds"] >= 2
+    assert K.knn(df.limit(0), df, 4, "id", "id", "v").count() == 0
+    few = K.knn(df.filter("id < 5"), df.filter("id in (7, 8)"), 4, "id", "id", "v").collect()
+    assert len(few) == 10 and all(r["nn_rank"] <= 2 for r in few)
+
+
+@pytest.mark.parametrize("key", ["id", None])
+def test_classifier_ties_do_not_follow_the_partitions(spark, key):
+    from pyspark.ml.functions import array_to_vector
+    rows = [(i, [float(i % 4), float(i // 4 % 3)], i % 2) for i in range(60)]      # five copies of each point, of both classes
+    outs = []
+    for parts, order in ((1, rows), (5, rows[::-1])):
+        df = spark.createDataFrame(order, "id long, v array<double>, y int").repartition(parts).select("id", "y", array_to_vector("v").alias("features"))
+        model = K.KNNClassifier(k=3, label="y", key=key).fit(df)
+        outs.append({r["id"]: r["probability"][1] for r in model.transform(df, key="id").select("id", "probability").collect()})
+    assert outs[0] == outs[1]
+
+
 def test_split_exact_size(spark):
     tx = event_transactions(spark, SF001)
     n = tx.count()

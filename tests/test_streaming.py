@@ -145,13 +145,58 @@ def test_models_are_grouped_by_their_steps():
     from types import SimpleNamespace
 
     from fraudframe.streaming.score import ModelRegistry
-    enc = object()
+
+    def enc(content):
+        return SimpleNamespace(content_id=lambda: content)
+
     a, b = (LookbackSpec("card", "ts", "amount", k) for k in ((3,), (7,)))
-    reg = ModelRegistry({"m1": SimpleNamespace(encoder=enc, lookback=a), "m2": SimpleNamespace(encoder=enc, lookback=b),
-                         "m3": SimpleNamespace(encoder=enc, lookback=a), "m4": SimpleNamespace(encoder=object(), lookback=a)})
+    reg = ModelRegistry({"m1": SimpleNamespace(encoder=enc("x"), lookback=a), "m2": SimpleNamespace(encoder=enc("x"), lookback=b),
+                         "m3": SimpleNamespace(encoder=enc("x"), lookback=a), "m4": SimpleNamespace(encoder=enc("y"), lookback=a)})
     assert [g.ids() for g in reg.by_steps()] == [["m1", "m3"], ["m2"], ["m4"]]
 
 
+def test_loaded_models_of_one_plan_share_a_state(spark):
+    """Three stored models, two of one plan: loaded again, they make two groups and two queries."""
+    from dataclasses import replace
+
+    from fraudframe.plans.fit_job import fit_job
+    from fraudframe.plans.spec import EncodingPlan, FeatureParams, TrainJob
+    from fraudframe.plans.store import Store
+    from fraudframe.streaming.score import ModelRegistry, start_every_model
+    tx = event_transactions(spark, SF001)
+    plan = EncodingPlan("events", "ts", {"card_number": "float", "ts": "julian", "vendor_code": "int", "event_type": "label_encoder",
+                                         "fraud": "fraud_type"}, FeatureParams("amount", (3,)), entity="card_number", key="id")
+    store = Store(spark, scratch_dir(spark, "test-groups"))
+    for p, code in ((plan, 2), (plan, 5), (replace(plan, features=FeatureParams("amount", (2,))), 2)):
+        job = TrainJob(p.to_json(), model=code, selector=2, scaler=1, sampler=1)
+        store.save_estimator(store.save_job(job), fit_job(tx, p, job, store=store, input_id="v1"))
+    reg = ModelRegistry.from_store(store)
+    assert sorted(len(g.ids()) for g in reg.by_steps()) == [1, 2]
+    base = scratch_dir(spark, "test-groups-stream")
+    write_time_slices(tx, "ts", os.path.join(base, "src"), 1)
+    src = spark.readStream.schema(tx.schema).parquet(os.path.join(base, "src"))
+    queries = start_every_model(src, reg, os.path.join(base, "out"), os.path.join(base, "ck"))
+    for q in queries:
+        q.awaitTermination()
+    assert len(queries) == 2
+    out = spark.read.option("recursiveFileLookup", "true").parquet(os.path.join(base, "out"))
+    assert out.count() == 3 * tx.count() and out.select("model_id").distinct().count() == 3
+
+
+def test_encoders_that_encode_alike_have_one_id(spark):
+    from fraudframe.operators.encode import EncoderModel, fit_encoder
+    from fraudframe.plans.spec import EncodingPlan, FeatureParams
+    tx = event_transactions(spark, SF001)
+    plan = EncodingPlan("events", "ts", {"card_number": "float", "ts": "julian", "vendor_code": "int", "event_type": "label_encoder",
+                                         "fraud": "fraud_type"}, FeatureParams("amount", (3,)), entity="card_number", key="id")
+    a = fit_encoder(tx, plan)
+    path = os.path.join(scratch_dir(spark, "test-encoder"), "e")
+    a.save(path)
+    assert EncoderModel.load(spark, path).content_id() == fit_encoder(tx.repartition(7), plan).content_id() == a.content_id()
+    other = tx.withColumn("event_type", F.when(F.col("event_type") == "error", "failure").otherwise(F.col("event_type")))
+    assert fit_encoder(other, plan).content_id() != a.content_id()
+
+
 def test_rejects_are_written_with_their_reason(spark, tmp_path):
     from pyspark.sql import functions as F
 
