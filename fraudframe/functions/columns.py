@@ -52,30 +52,3 @@ def array_median(arr: Column, empty: float = 0.0, is_sorted: bool = False) -> Co
     lo = F.try_element_at(s, F.greatest(F.floor((n + 1) / 2).cast("int"), F.lit(1)))
     hi = F.try_element_at(s, F.greatest(F.floor(n / 2).cast("int") + 1, F.lit(1)))
     return F.when(n > 0, (lo.cast("double") + hi.cast("double")) / 2).otherwise(F.lit(empty))
-
-
-def drop_first(arr: Column) -> Column:
-    """All elements but the first (empty for an empty array)."""
-    return F.slice(arr, 2, F.greatest(F.size(arr) - 1, F.lit(0)))
-
-
-def array_mean(arr: Column, empty: float = 0.0) -> Column:
-    n = F.size(arr)
-    total = F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
-    return F.when(n > 0, total / n).otherwise(F.lit(empty))
-
-
-def array_stddev_samp(arr: Column, mean: Column, empty: float = 0.0) -> Column:
-    """Sample standard deviation (two-pass, numerically stable); ``empty`` for n<2."""
-    n = F.size(arr)
-    ss = F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + (x.cast("double") - mean) * (x.cast("double") - mean))
-    return F.when(n >= 2, F.sqrt(ss / (n - 1))).otherwise(F.lit(empty))
-
-
-def consecutive_gaps(sorted_arr: Column) -> Column:
-    """Differences between neighbours of an ascending array (n-1 values)."""
-    n = F.size(sorted_arr)
-    return F.when(
-        n >= 2,
-        F.zip_with(F.slice(sorted_arr, 2, n - 1), F.slice(sorted_arr, 1, n - 1), lambda a, b: a - b),
-    ).otherwise(F.array().cast("array<bigint>"))

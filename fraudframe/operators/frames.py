@@ -116,11 +116,11 @@ def serve_statistics(table: pa.Table, intervals) -> dict[str, np.ndarray]:
         out[f"__medgap{k}"] = gaps.median_with(np.minimum(lo + 1, hi), hi, f.us - last)
         out[f"__lo{k}"], out[f"__hi{k}"] = f.us[np.minimum(lo, f.rows - 1)], last
         out[f"__mednr{k}"] = np.concatenate([
-            _median_of_days(lo[s:s + ROWS], hi[s:s + ROWS], run[s:s + ROWS], begins, ends, k) for s in range(0, f.rows, ROWS)] or [np.zeros(0)])
+            median_of_days(lo[s:s + ROWS], hi[s:s + ROWS], run[s:s + ROWS], begins, ends, k) for s in range(0, f.rows, ROWS)] or [np.zeros(0)])
     return out
 
 
-def _median_of_days(lo, hi, run, begins, ends, k: int) -> np.ndarray:
+def median_of_days(lo, hi, run, begins, ends, k: int) -> np.ndarray:
     """Median rows per calendar day that has any, the current row counted on its own day."""
     counts = np.zeros((len(lo), k + 2))
     for back in range(k + 2):

@@ -474,6 +474,68 @@ def q_stream_lookback(spark, sf_dir):
     return _rounded(spark.read.parquet(os.path.join(base, "out")), ["id"], feature_names("amount", (3, 7)))
 
 
+# The rows of the first half of the time fill the state from storage; only the others stream.
+@register("stream_seeded", f"""
+WITH m AS (SELECT (min(epoch_us(ts)) + max(epoch_us(ts))) // 2 AS mid FROM ({EVENT_TRANSACTIONS_SQL}) t)
+SELECT q.* FROM ({_lookback_oracle(lookback_sql.canonical_sql, (3, 7))}) q
+JOIN (SELECT id, epoch_us(ts) AS us FROM ({EVENT_TRANSACTIONS_SQL}) t) e ON e.id = q.id JOIN m ON e.us > m.mid""")
+def q_stream_seeded(spark, sf_dir):
+    from fraudframe.functions.columns import epoch_micros
+    from fraudframe.streaming.lookback_state import write_seed
+    tx = event_transactions(spark, sf_dir).select("id", "card_number", "ts", "amount")
+    us = epoch_micros("ts", tx.schema["ts"].dataType)
+    lo, hi = tx.agg(F.min(us), F.max(us)).first()
+    new = us > F.lit((lo + hi) // 2)
+    base = scratch_dir(spark, "stream-seeded")
+    spec = LookbackSpec("card_number", "ts", "amount", (3, 7))
+    write_seed(tx.filter(~new), spec, os.path.join(base, "seed"))
+    write_time_slices(tx.filter(new), "ts", os.path.join(base, "src"), 3)
+    src = spark.readStream.schema(tx.schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(base, "src"))
+    q = (stream_lookback(src, spec, "id", seed=os.path.join(base, "seed")).writeStream.format("parquet")
+         .option("path", os.path.join(base, "out")).option("checkpointLocation", os.path.join(base, "ck")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return _rounded(spark.read.parquet(os.path.join(base, "out")), ["id"], feature_names("amount", (3, 7)))
+
+
+# Every ninth event comes in the slice after its own, every fiftieth in the last: with an
+# allowed lateness of four days some of them are too late.  The oracle deals them by SQL.
+_SLICES, _LATENESS = 4, 4 * 86_400_000_000
+
+_LATE_SQL = f"""
+WITH t AS (SELECT id, amount, epoch_us(ts) AS us FROM ({EVENT_TRANSACTIONS_SQL}) e),
+w AS (SELECT min(us) AS lo, (max(us) - min(us) + {_SLICES}) // {_SLICES} AS width FROM t),
+s AS (
+  SELECT id, amount, us, CASE WHEN id % 50 = 0 THEN {_SLICES - 1} WHEN id % 9 = 0 THEN least((us - lo) // width + 1, {_SLICES - 1})
+                              ELSE (us - lo) // width END AS slice FROM t, w),
+n AS (SELECT slice, max(max(us)) OVER (ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM s GROUP BY slice)
+SELECT id, amount, coalesce(us < newest - {_LATENESS}, false) AS late, CASE WHEN us < newest - {_LATENESS} THEN newest - us END AS late_by_us
+FROM s JOIN n USING (slice)"""
+
+
+@register("stream_late_rows", _LATE_SQL)
+def q_stream_late_rows(spark, sf_dir):
+    """Accepted and late rows of a replayed stream; together they are the input."""
+    from fraudframe.functions.columns import epoch_micros
+    from fraudframe.streaming.late import accepted_stream, late_rows, start_late_router
+    tx = event_transactions(spark, sf_dir).select("id", "card_number", "ts", "amount")
+    us = epoch_micros("ts", tx.schema["ts"].dataType)
+    lo, hi = tx.agg(F.min(us), F.max(us)).first()
+    own = F.floor((us - F.lit(lo)) / F.lit((hi - lo + _SLICES) // _SLICES)).cast("int")
+    last = F.lit(_SLICES - 1)
+    slices = tx.withColumn("slice", F.when(F.col("id") % 50 == 0, last).when(F.col("id") % 9 == 0, F.least(own + 1, last)).otherwise(own))
+    base = scratch_dir(spark, "stream-late")
+    src, accepted, late = (os.path.join(base, n) for n in ("src", "accepted", "late"))
+    for i in range(_SLICES):      # each slice is a micro-batch of its own: the query goes on where it was
+        slices.filter(F.col("slice") == i).drop("slice").write.mode("append").parquet(src)
+        start_late_router(spark.readStream.schema(tx.schema).parquet(src), "ts", accepted, late, os.path.join(base, "ck"), "4 days").awaitTermination()
+    # the accepted rows are read by a stateful query that drops none
+    feats = stream_lookback(accepted_stream(spark, accepted, tx.schema), LookbackSpec("card_number", "ts", "amount", (3,)), "id", lateness="4 days")
+    (feats.writeStream.format("parquet").option("path", os.path.join(base, "out")).option("checkpointLocation", os.path.join(base, "ck2"))
+     .trigger(availableNow=True).start().awaitTermination())
+    kept = spark.read.parquet(os.path.join(base, "out")).select("id", "amount", F.lit(False).alias("late"), F.lit(None).cast("long").alias("late_by_us"))
+    return kept.unionByName(late_rows(spark, late).select("id", "amount", F.lit(True).alias("late"), "late_by_us"))
+
+
 @register("stream_score_all_models")
 def q_stream_score(spark, sf_dir):
     """Fit two models on all rows, then score the replayed stream with both

@@ -12,7 +12,6 @@ keeps one number, the newest time, for the gap to the previous row).
 """
 from __future__ import annotations
 
-import statistics
 from collections.abc import Iterator
 from dataclasses import replace
 
@@ -24,6 +23,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fraudframe.functions.columns import epoch_micros
+from fraudframe.functions.ranges import RangeOrder, midpoint, range_moments
+from fraudframe.operators.frames import ROWS, median_of_days
 from fraudframe.operators.lookback import LookbackSpec, feature_names
 
 D = 86_400_000_000
@@ -36,124 +37,6 @@ STATE_SCHEMA = T.StructType([
 ])
 
 
-def _div(a: float, b: float) -> float:
-    return a / b if b != 0 else 0.0
-
-
-def _median(xs) -> float:
-    return float(statistics.median(xs)) if len(xs) else 0.0
-
-
-def features_for(us_all: np.ndarray, v_all: np.ndarray, newest_before: int | None, t: int, v: float,
-                 intervals, profile: str) -> list[float]:
-    """Features of one row at time ``t`` from the entity's rows ``us_all``
-    (sorted ascending, all strictly before ``t``) and values ``v_all``;
-    ``newest_before`` is the newest earlier time even if it is no longer
-    kept in ``us_all``."""
-    out: list[float] = []
-    hi = len(us_all)
-    n_today = 1 + hi - int(np.searchsorted(us_all, t - D, side="right"))
-    if profile == "canonical":
-        if newest_before is None:
-            return [0.0] * (14 * len(intervals))
-        g = (t - newest_before) / D
-        for k in intervals:
-            lo = int(np.searchsorted(us_all, t - k * D, side="right"))
-            w, u = v_all[lo:hi], us_all[lo:hi]
-            a = float(np.mean(w)) if len(w) else 0.0
-            m = _median(w)
-            s = float(np.std(w, ddof=1)) if len(w) >= 2 else 0.0
-            out += [_div(v, a), v - a, _div(v, m), v - m, _div(v - a, s), v - a - s]
-            buckets = [int(np.searchsorted(us_all, t - i * D, side="left") -
-                           np.searchsorted(us_all, t - (i + 1) * D, side="right")) for i in range(k)]
-            an, mn = float(np.mean(buckets)), _median(buckets)
-            out += [_div(n_today, an), n_today - an, _div(n_today, mn), n_today - mn]
-            gaps = np.diff(u) / D
-            ag = float((u[-1] - u[0]) / D / len(gaps)) if len(gaps) else 0.0
-            mg = _median(gaps)
-            out += [_div(ag, g), ag - g, _div(mg, g), mg - g]
-        return out
-    # serve: history of the interval plus the current row
-    for k in intervals:
-        lo = int(np.searchsorted(us_all, t - k * D, side="right"))
-        if hi - lo == 0:
-            out += [0.0] * 14
-            continue
-        w = np.append(v_all[lo:hi], v)
-        u = np.append(us_all[lo:hi], t)
-        a = float(np.mean(w))
-        m = _median(w)
-        s = float(np.std(w, ddof=1)) if len(w) >= 2 else 0.0
-        out += [_div(v, a), v - a, _div(v, m), v - m, _div(v - a, s), v - a - s]
-        avg_nr = len(u) / k
-        _, per_day = np.unique((u + D // 2) // D, return_counts=True)
-        mn = _median(per_day)
-        out += [_div(n_today, avg_nr), n_today - avg_nr, _div(n_today, mn), n_today - mn]
-        gaps = np.diff(u) / D
-        g = (t - u[-2]) / D
-        ag = float((u[-1] - u[0]) / D / len(gaps))
-        mg = _median(gaps)
-        out += [_div(ag, g), ag - g, _div(mg, g), mg - g]
-    return out
-
-
-def _window_matrix(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Rows i = values[lo[i]:hi[i]], NaN-padded to the widest window."""
-    width = int((hi - lo).max()) if len(lo) else 0
-    if width <= 0:
-        return np.full((len(lo), 1), np.nan)
-    idx = lo[:, None] + np.arange(width)[None, :]
-    inside = idx < hi[:, None]
-    return np.where(inside, values[np.clip(idx, 0, max(len(values) - 1, 0))] if len(values) else np.nan, np.nan)
-
-
-def _nan_stats(m: np.ndarray):
-    """Per row of a NaN-padded matrix: count, mean, median, sample deviation
-    (0 where undefined).  Masked sums and one row-wise sort: numpy's
-    nan-aware reductions are far slower on many small rows."""
-    mask = ~np.isnan(m)
-    n = mask.sum(1)
-    x = np.where(mask, m, 0.0)
-    mean = x.sum(1) / np.maximum(n, 1)
-    ss = (np.where(mask, m - mean[:, None], 0.0) ** 2).sum(1)
-    dev = np.where(n >= 2, np.sqrt(ss / np.maximum(n - 1, 1)), 0.0)
-    srt = np.sort(m, axis=1)  # NaN sorts last
-    rows = np.arange(len(m))
-    med = (srt[rows, np.maximum((n - 1) // 2, 0)] + srt[rows, np.maximum(n // 2, 0)]) / 2
-    return n, np.where(n > 0, mean, 0.0), np.where(n > 0, med, 0.0), dev
-
-
-def _day_count_median(all_us: np.ndarray, lo: np.ndarray, hi: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Median number of rows per calendar Julian day of (window + current
-    row), per row: run lengths of the (sorted) day numbers."""
-    n = len(t)
-    width = int((hi - lo).max()) + 1 if n else 1
-    idx = lo[:, None] + np.arange(width)[None, :]
-    inwin = idx < hi[:, None]
-    us = np.where(inwin, all_us[np.clip(idx, 0, max(len(all_us) - 1, 0))] if len(all_us) else 0, 0)
-    last = (hi - lo)[:, None] == np.arange(width)[None, :]  # the current row goes after the window
-    us = np.where(last, t[:, None], us)
-    valid = inwin | last
-    day = (us + D // 2) // D
-    change = valid.copy()
-    change[:, 1:] &= day[:, 1:] != day[:, :-1]
-    run = np.cumsum(change, axis=1) - 1
-    counts = np.zeros((n, width))
-    r, c = np.nonzero(valid)
-    np.add.at(counts, (r, run[r, c]), 1.0)
-    runs = change.sum(1)
-    counts = np.where(np.arange(width)[None, :] < runs[:, None], counts, np.nan)
-    srt = np.sort(counts, axis=1)
-    rows = np.arange(n)
-    return (srt[rows, np.maximum((runs - 1) // 2, 0)] + srt[rows, np.maximum(runs // 2, 0)]) / 2
-
-
-def _row_median(m: np.ndarray) -> np.ndarray:
-    srt = np.sort(m, axis=1)
-    w = m.shape[1]
-    return (srt[:, (w - 1) // 2] + srt[:, w // 2]) / 2
-
-
 def _sdiv(a, b):
     b = np.asarray(b, dtype=float)
     with np.errstate(all="ignore"):
@@ -162,8 +45,9 @@ def _sdiv(a, b):
 
 def features_block(all_us: np.ndarray, all_v: np.ndarray, newest_state: int | None, t: np.ndarray,
                    v: np.ndarray, intervals, profile: str) -> np.ndarray:
-    """Vectorised ``features_for`` for many rows of one entity: ``all_us``
-    (sorted) holds the kept history and the rows themselves."""
+    """Features (rows x columns) of the rows (t, v) of one entity: ``all_us`` (sorted) and ``all_v``
+    hold the kept history and the rows themselves.  Windows are ranges of positions, so
+    memory follows the rows and not rows x window."""
     n = len(t)
     hi = np.searchsorted(all_us, t, side="left")
     prev = np.where(hi > 0, all_us[np.maximum(hi - 1, 0)], np.iinfo(np.int64).min)
@@ -171,40 +55,48 @@ def features_block(all_us: np.ndarray, all_v: np.ndarray, newest_state: int | No
         prev = np.where(newest_state < t, np.maximum(prev, newest_state), prev)
     has_prior = prev > np.iinfo(np.int64).min
     n_today = 1 + hi - np.searchsorted(all_us, t - D, side="right")
-    gp = np.diff(all_us).astype(float) / D if len(all_us) > 1 else np.zeros(0)
+    has_value = ~np.isnan(all_v)
+    at, all_v = np.r_[0, np.cumsum(has_value)], all_v[has_value]
+    values, gaps = RangeOrder(all_v), RangeOrder(np.diff(all_us))
+    day = (all_us + D // 2) // D
+    begins = np.flatnonzero(np.r_[True, day[1:] != day[:-1]]) if len(day) else np.zeros(0, np.int64)
+    ends = np.r_[begins[1:], len(day)]
+    run = np.searchsorted(begins, np.searchsorted(all_us, t, side="right") - 1, side="right") - 1
+    first = all_us[np.minimum(hi, len(all_us) - 1)]
     cols = []
     for k in intervals:
         lo = np.searchsorted(all_us, t - k * D, side="right")
+        cnt = hi - lo
+        lo_v, hi_v = at[lo], at[hi]
+        n_v = hi_v - lo_v
+        a, m2 = range_moments(all_v, lo_v, hi_v)
+        oldest = np.where(cnt > 0, all_us[np.minimum(lo, len(all_us) - 1)], first)
         if profile == "canonical":
-            _, a, m, s = _nan_stats(_window_matrix(all_v, lo, hi))
-            buckets = np.stack([np.searchsorted(all_us, t - i * D, side="left") -
-                                np.searchsorted(all_us, t - (i + 1) * D, side="right") for i in range(k)], 1)
-            an, mn = buckets.mean(1), _row_median(buckets)
+            m = values.median(lo_v, hi_v)
+            s = np.where(n_v >= 2, np.sqrt(m2 / np.maximum(n_v - 1, 1)), 0.0)
+            buckets = np.sort(np.stack([np.searchsorted(all_us, t - i * D, side="left") -
+                                        np.searchsorted(all_us, t - (i + 1) * D, side="right") for i in range(k)], 1), axis=1)
+            an, mn = buckets.mean(1), midpoint(buckets[:, (k - 1) // 2], buckets[:, k // 2])
             g = np.where(has_prior, (t - prev) / D, 0.0)
-            cnt = hi - lo
-            ag = np.where(cnt >= 2, (all_us[np.maximum(hi - 1, 0)] - all_us[np.minimum(lo, len(all_us) - 1)])
-                          / D / np.maximum(cnt - 1, 1), 0.0)
-            _, _, mg, _ = _nan_stats(_window_matrix(gp, lo, np.maximum(hi - 1, lo)))
-            block = [_sdiv(v, a), v - a, _sdiv(v, m), v - m, _sdiv(v - a, s), v - a - s,
-                     _sdiv(n_today, an), n_today - an, _sdiv(n_today, mn), n_today - mn,
-                     _sdiv(ag, g), ag - g, _sdiv(mg, g), mg - g]
-            cols += [np.where(has_prior, c, 0.0) for c in block]
+            ag = np.where(cnt >= 2, (all_us[np.maximum(hi - 1, 0)] - oldest) / D / np.maximum(cnt - 1, 1), 0.0)
+            mg = gaps.median(lo, np.maximum(hi - 1, lo)) / D
+            known = has_prior
         else:
-            wv = _window_matrix(all_v, lo, hi)
-            cnt = hi - lo
-            vals = np.concatenate([wv, v[:, None]], 1)
-            _, a, m, s = _nan_stats(vals)
-            newest_k = all_us[np.maximum(hi - 1, 0)] if len(all_us) else t
-            g = (t - newest_k) / D
-            ag = (t - all_us[np.minimum(lo, len(all_us) - 1)]) / D / np.maximum(cnt, 1)
-            wg = _window_matrix(gp, lo, np.maximum(hi - 1, lo))
-            _, _, mg, _ = _nan_stats(np.concatenate([wg, g[:, None]], 1))
-            avg_nr = (cnt + 1) / k
-            mn = _day_count_median(all_us, lo, hi, t)
-            block = [_sdiv(v, a), v - a, _sdiv(v, m), v - m, _sdiv(v - a, s), v - a - s,
-                     _sdiv(n_today, avg_nr), n_today - avg_nr, _sdiv(n_today, mn), n_today - mn,
-                     _sdiv(ag, g), ag - g, _sdiv(mg, g), mg - g]
-            cols += [np.where(cnt > 0, c, 0.0) for c in block]
+            own = a + (v - a) / (n_v + 1)
+            m2 = m2 + (v - a) * (v - own)
+            m = values.median_with(lo_v, hi_v, v)
+            s = np.where(n_v > 0, np.sqrt(np.maximum(m2, 0.0) / np.maximum(n_v, 1)), 0.0)
+            a = own
+            gap = t - all_us[np.maximum(hi - 1, 0)]
+            g, ag = gap / D, (t - oldest) / D / np.maximum(cnt, 1)
+            mg = gaps.median_with(lo, np.maximum(hi - 1, lo), gap) / D
+            an = (cnt + 1) / k
+            mn = np.concatenate([median_of_days(lo[i:i + ROWS], hi[i:i + ROWS], run[i:i + ROWS], begins, ends, k) for i in range(0, n, ROWS)])
+            known = cnt > 0
+        block = [_sdiv(v, a), v - a, _sdiv(v, m), v - m, _sdiv(v - a, s), v - a - s,
+                 _sdiv(n_today, an), n_today - an, _sdiv(n_today, mn), n_today - mn,
+                 _sdiv(ag, g), ag - g, _sdiv(mg, g), mg - g]
+        cols += [np.where(known, c, 0.0) for c in block]
     return np.stack(cols, 1) if cols else np.zeros((n, 0))
 
 
@@ -277,7 +169,8 @@ def stream_lookback(stream: DataFrame, spec: LookbackSpec, key_col: str, latenes
     ``lateness`` is the watermark delay on the event time.  The history kept
     follows the watermark, so every row that the engine accepts sees its whole
     window; rows older than the watermark are dropped by the engine and counted
-    in ``numRowsDroppedByWatermark`` of the query's progress.  ``seed`` is a
+    in ``numRowsDroppedByWatermark`` of the query's progress (``streaming.late`` writes them
+    to a table of their own).  ``seed`` is a
     folder of ``write_seed``: its rows fill the state in the first micro-batch
     and are not returned; they must not come again in the stream."""
     if spec.profile == "train":

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import statistics
 
+import numpy as np
+
 D = 86_400_000_000
 
 
@@ -112,3 +114,68 @@ def train(rows, intervals, tie_value=None):
             feats += _gapf(_mean(gaps), _median(gaps), g)
         out[rid] = feats
     return out
+
+
+# ---------------------------------------------------------------------------
+# one row against an entity's earlier rows, as the stream sees them
+# ---------------------------------------------------------------------------
+
+def _ratio(a: float, b: float) -> float:
+    return a / b if b != 0 else 0.0
+
+
+def _middle(xs) -> float:
+    return float(statistics.median(xs)) if len(xs) else 0.0
+
+
+def features_for(us_all: np.ndarray, v_all: np.ndarray, newest_before: int | None, t: int, v: float,
+                 intervals, profile: str) -> list[float]:
+    """Features of one row at time ``t`` from the entity's rows ``us_all``
+    (sorted ascending, all strictly before ``t``) and values ``v_all``;
+    ``newest_before`` is the newest earlier time even if it is no longer
+    kept in ``us_all``."""
+    out: list[float] = []
+    hi = len(us_all)
+    n_today = 1 + hi - int(np.searchsorted(us_all, t - D, side="right"))
+    if profile == "canonical":
+        if newest_before is None:
+            return [0.0] * (14 * len(intervals))
+        g = (t - newest_before) / D
+        for k in intervals:
+            lo = int(np.searchsorted(us_all, t - k * D, side="right"))
+            w, u = v_all[lo:hi], us_all[lo:hi]
+            a = float(np.mean(w)) if len(w) else 0.0
+            m = _middle(w)
+            s = float(np.std(w, ddof=1)) if len(w) >= 2 else 0.0
+            out += [_ratio(v, a), v - a, _ratio(v, m), v - m, _ratio(v - a, s), v - a - s]
+            buckets = [int(np.searchsorted(us_all, t - i * D, side="left") -
+                           np.searchsorted(us_all, t - (i + 1) * D, side="right")) for i in range(k)]
+            an, mn = float(np.mean(buckets)), _middle(buckets)
+            out += [_ratio(n_today, an), n_today - an, _ratio(n_today, mn), n_today - mn]
+            gaps = np.diff(u) / D
+            ag = float((u[-1] - u[0]) / D / len(gaps)) if len(gaps) else 0.0
+            mg = _middle(gaps)
+            out += [_ratio(ag, g), ag - g, _ratio(mg, g), mg - g]
+        return out
+    # serve: history of the interval plus the current row
+    for k in intervals:
+        lo = int(np.searchsorted(us_all, t - k * D, side="right"))
+        if hi - lo == 0:
+            out += [0.0] * 14
+            continue
+        w = np.append(v_all[lo:hi], v)
+        u = np.append(us_all[lo:hi], t)
+        a = float(np.mean(w))
+        m = _middle(w)
+        s = float(np.std(w, ddof=1)) if len(w) >= 2 else 0.0
+        out += [_ratio(v, a), v - a, _ratio(v, m), v - m, _ratio(v - a, s), v - a - s]
+        avg_nr = len(u) / k
+        _, per_day = np.unique((u + D // 2) // D, return_counts=True)
+        mn = _middle(per_day)
+        out += [_ratio(n_today, avg_nr), n_today - avg_nr, _ratio(n_today, mn), n_today - mn]
+        gaps = np.diff(u) / D
+        g = (t - u[-2]) / D
+        ag = float((u[-1] - u[0]) / D / len(gaps))
+        mg = _middle(gaps)
+        out += [_ratio(ag, g), ag - g, _ratio(mg, g), mg - g]
+    return out

@@ -51,7 +51,8 @@ def test_stream_equals_batch_edge_rows(spark):
 @pytest.mark.parametrize("profile", ["canonical", "serve"])
 def test_block_matches_row_formulas(profile):
     import numpy as np
-    from fraudframe.streaming.lookback_state import features_block, features_for
+    from fraudframe.streaming.lookback_state import features_block
+    from tests.bruteforce import features_for
     rng = np.random.default_rng(3)
     D = 86_400_000_000
     us = np.sort(rng.integers(0, 9 * D, 60))
@@ -236,3 +237,30 @@ def test_every_model_is_scored_and_its_rows_appended(spark):
     want = add_lookback_features(bundle.encoder.transform(tx), bundle.lookback)
     last = got.filter("batch_id = 1").select("id")
     _compare(got.join(last, "id"), want.join(last, "id"), feature_names("amount", (3,)), "id")
+
+
+def test_late_rows_are_written_with_their_delay(spark):
+    """Accepted plus late rows are the input; a batch that is run again changes nothing."""
+    from datetime import datetime, timedelta
+
+    from fraudframe.streaming.late import accepted_stream, late_rows, start_late_router
+    t0 = datetime(2024, 5, 1)
+    batches = [[(0, t0), (1, t0 + timedelta(days=3))], [(2, t0 + timedelta(days=2)), (3, t0 + timedelta(days=1, hours=23)), (4, t0 + timedelta(days=9))],
+               [(5, t0 + timedelta(days=8)), (6, t0), (7, None)], [(8, t0 + timedelta(days=8, microseconds=-1)), (9, t0 + timedelta(days=20))]]
+    base = scratch_dir(spark, "test-late")
+    src, accepted, late, ck = (os.path.join(base, n) for n in ("src", "accepted", "late", "ck"))
+    schema = "id long, ts timestamp"
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        start_late_router(spark.readStream.schema(schema).parquet(src), "ts", accepted, late, ck, "1 day").awaitTermination()
+    got = {r["id"]: r["late_by_us"] for r in late_rows(spark, late).collect()}
+    day = 86_400_000_000
+    assert got == {3: day + 3_600_000_000, 6: 9 * day, 7: None, 8: day + 1}
+    kept = spark.read.parquet(accepted)
+    assert sorted(r["id"] for r in kept.collect()) == [0, 1, 2, 4, 5, 9]
+    # the last micro-batch again, as after a failure before its commit
+    for name in ("3", ".3.crc"):
+        os.rename(os.path.join(ck, "commits", name), os.path.join(base, f"commit{name}"))
+    start_late_router(spark.readStream.schema(schema).parquet(src), "ts", accepted, late, ck, "1 day").awaitTermination()
+    assert spark.read.parquet(accepted).count() == 6 and late_rows(spark, late).count() == 4
+    assert [f.name for f in accepted_stream(spark, accepted, kept.drop("batch_id").schema).schema.fields][:2] == ["id", "ts"]
