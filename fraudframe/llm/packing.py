@@ -17,6 +17,7 @@ name do no harm.
 from __future__ import annotations
 
 import os
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +29,11 @@ from . import bytewords as bw
 
 LENGTH, END_ID, GROUP_TOKENS = 4096, 2, 1 << 20
 #: Distinct pre-tokens whose ids a Python worker remembers.
-CACHE = 400_000
-SCHEMA = ("doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, "
-          "sequence_length long, cost double, ids binary")
+CACHE = 300_000
+#: Slots of the table that finds them (it grows if one part of the texts needs more), and a part's bytes.
+TABLE, PART_BYTES = 1 << 20, 1 << 20
+COLUMNS = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, sequence_length long, cost double"
+SCHEMA = COLUMNS + ", ids binary"
 
 # byte classes: 0 space, 1 letter, 2 digit, 3 other ASCII, 4 other non-ASCII
 _CLASS = np.full(256, 3, np.uint8)
@@ -71,12 +74,39 @@ class IdCoder:
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.known = 0
+        self._table(TABLE)
         self.start, self.len = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
 
-    def _add(self, hashes: list[int], ids: list[list[int]]) -> None:
-        n = len(self.slot)
+    def _table(self, size: int) -> None:
+        """An open-addressed table of ``size`` (a power of two): hash, place of its ids (-1: free)."""
+        self.keys, self.places = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
+        self.shift = np.uint64(65 - size.bit_length())
+
+    def _home(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> self.shift).astype(np.int64)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The places of the hashes, -1 for those not in the table."""
+        found = np.full(len(hashes), -1, np.int32)
+        todo, at = np.arange(len(hashes)), self._home(hashes)
+        while len(todo):
+            place = self.places[at]
+            hit = (self.keys[at] == hashes[todo]) & (place >= 0)
+            found[todo[hit]] = place[hit]
+            on = ~hit & (place >= 0)
+            todo, at = todo[on], (at[on] + 1) & (len(self.keys) - 1)
+        return found
+
+    def _insert(self, hashes: np.ndarray, places) -> None:
+        for h, at, place in zip(hashes, self._home(hashes).tolist(), places):
+            while self.places[at] >= 0:
+                at = (at + 1) & (len(self.keys) - 1)
+            self.keys[at], self.places[at] = h, place
+
+    def _add(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
+        n = self.known
         need, total = n + len(ids), self.used + sum(map(len, ids))
         if need > len(self.start):
             grow = max(need, 2 * len(self.start)) - len(self.start)
@@ -87,8 +117,12 @@ class IdCoder:
         self.len[n:need] = lens
         self.start[n:need] = self.used + np.concatenate([[0], np.cumsum(lens)[:-1]])
         self.pool[self.used:total] = np.fromiter((i for x in ids for i in x), np.uint32, total - self.used)
-        self.used = total
-        self.slot.update(zip(hashes, range(n, need)))
+        self.used, self.known = total, need
+        if 2 * need > len(self.keys):       # more pre-tokens than a part usually has
+            old, places = self.keys[self.places >= 0], self.places[self.places >= 0].tolist()
+            self._table(1 << (4 * need - 1).bit_length())
+            self._insert(old, places)
+        self._insert(hashes, range(n, need))
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each text) of a slice of texts."""
@@ -109,12 +143,13 @@ class IdCoder:
         odd[:-1] |= (raw[:-1] == 60) & (raw[1:] == 124)
         whole = np.logical_or.reduceat(odd, ws)
         # a pre-token starts at a word's start, at a change of class and at every digit
-        word_of = np.zeros(len(raw) + 1, np.int32)
-        np.add.at(word_of, ws, 1)
-        word_of = np.cumsum(word_of)[:-1] - 1
+        begins = np.zeros(len(raw), bool)
+        begins[ws] = True
+        word_of = np.cumsum(begins, dtype=np.int32) - 1
         inner = np.flatnonzero((kind[1:] > 0) & (kind[:-1] > 0) & ((kind[1:] != kind[:-1]) | (kind[1:] == 2))) + 1
         inner = inner[~whole[word_of[inner]]]
-        start = np.union1d(ws, inner)
+        begins[inner] = True
+        start = np.flatnonzero(begins)
         word = word_of[start]
         last = np.append(word[1:] != word[:-1], True)
         end = np.where(last, we[word], np.append(start[1:], 0))
@@ -122,16 +157,15 @@ class IdCoder:
         hashes = bw.run_hashes(low, start, end)
         if special.any():
             hashes[special] = bw.mix(bw.run_hashes(raw, start[special], end[special]) + np.uint64(1))
-        unique, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.slot) + len(unique) > CACHE + len(unique) // 2 and len(self.slot) > CACHE // 2:
-            self.clear()
-        listed = unique.tolist()
-        missing = [i for i, h in enumerate(listed) if h not in self.slot]
-        if missing:
+        slots = self._find(hashes)
+        if (slots < 0).any():
+            if self.known > CACHE:
+                self.clear()
+            unknown = np.flatnonzero(self._find(hashes) < 0)
+            new, first = np.unique(hashes[unknown], return_index=True)
             model, data, rawdata = self.tokenizer.model, low.tobytes(), raw.tobytes()
             ids = []
-            for i in missing:
-                k = at[i]
+            for k in unknown[first].tolist():
                 s, e = start[k], end[k]
                 if special[k]:
                     text = rawdata[s:e].decode("utf-8", "replace")
@@ -139,8 +173,8 @@ class IdCoder:
                 else:
                     text = data[s:e].decode("latin-1").translate(_ALPHABET)
                     ids.append([t.id for t in model.tokenize(text)])
-            self._add([listed[i] for i in missing], ids)
-        slots = np.fromiter(map(self.slot.__getitem__, listed), np.int64, len(listed))[inverse]
+            self._add(new, ids)
+            slots = self._find(hashes)
         lens, begin = self.len[slots], self.start[slots]
         out = self.pool[np.repeat(begin - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(int(lens.sum()))]
         per_text = np.add.reduceat(np.append(lens, 0), np.minimum(np.searchsorted(start, offsets[:-1]), len(lens)))
@@ -206,8 +240,9 @@ def assign(lengths: np.ndarray, length: int, linear: float, quadratic: float):
 
 def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH,
          end_id: int = END_ID, group_tokens: int = GROUP_TOKENS, linear: float = 1.0,
-         quadratic: float = 1 / 1024) -> DataFrame:
-    """One row per piece of a document, with its ids (little-endian unsigned 32-bit).
+         quadratic: float = 1 / 1024, digest: bool = False) -> DataFrame:
+    """One row per piece of a document, with its ids (little-endian unsigned 32-bit), or with
+    their checksum, ids_crc32, if only a ``digest`` is asked for: the ids then stay in the task.
 
     ``tokenizer_path`` is read on the driver and broadcast: a vocabulary file, a few
     megabytes whatever the data.  Sequence ids are unique, by partition.
@@ -232,18 +267,19 @@ def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id: str =
             rows = pa.array(names, pa.int64())
             for lo in range(0, len(d), 4096):
                 s = slice(lo, lo + 4096)
-                blobs = [ids[a:a + n].tobytes() for a, n in zip((first[d[s]] + start[s]).tolist(), size[s].tolist())]
+                own = (ids[a:a + n].tobytes() for a, n in zip((first[d[s]] + start[s]).tolist(), size[s].tolist()))
+                last = pa.array([zlib.crc32(x) for x in own], pa.int64()) if digest else pa.array(list(own), pa.binary())
                 yield pa.RecordBatch.from_arrays([
                     rows.take(pa.array(d[s])), pa.array(start[s]), pa.array(size[s]), pa.array(lengths[d[s]]),
                     pa.array(base + seq[s]), pa.array(offset[s]), pa.array(np.array(sizes, np.int64)[seq[s]]),
-                    pa.array(cost[seq[s]]), pa.array(blobs, pa.binary())],
-                    ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "sequence_length", "cost", "ids"])
+                    pa.array(cost[seq[s]]), last],
+                    ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "sequence_length", "cost", "ids_crc32" if digest else "ids"])
             base += len(sizes)
             names, parts, counts, held = [], [], [], 0
 
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for lo, hi, raw, offsets in bw.text_slices(batch.column(1)):
+            for lo, hi, raw, offsets in bw.text_slices(batch.column(1), PART_BYTES):
                 ids, n = with_end(*ids_of.encode(raw, offsets), end_id)
                 names += keys[lo:hi]
                 parts.append(ids)
@@ -251,14 +287,14 @@ def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id: str =
                 held += len(ids)
                 if held >= group_tokens:
                     yield from flush()
+            pa.default_memory_pool().release_unused()  # the worker stays for later tasks
         if held:
             yield from flush()
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(run, SCHEMA)
+    return source.mapInArrow(run, COLUMNS + ", ids_crc32 long" if digest else SCHEMA)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """The pieces with a checksum in place of their ids."""
-    return pack(docs, tokenizer_path).select(
-        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pack(docs, tokenizer_path, digest=True).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

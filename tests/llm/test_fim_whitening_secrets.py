@@ -217,3 +217,26 @@ def test_sql(spark, tmp_path, rows):
         cur = con.execute(queries.ORACLE[name])
         assert [c[0] for c in cur.description] == got.columns
         assert collections.Counter(cur.fetchall()) == collections.Counter(map(tuple, got.collect()))
+
+
+def test_packing_with_a_small_table(monkeypatch):
+    """Ids from a table of pre-tokens that is emptied and outgrown, against the tokenizer."""
+    import pyarrow as pa
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from fraudframe.llm import bytewords, packing
+
+    monkeypatch.setattr(packing, "TABLE", 16)
+    monkeypatch.setattr(packing, "CACHE", 40)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        coder = packing.IdCoder(f.read())
+    plain = Tokenizer.from_file(path)
+    texts = [" ".join(f"word{i}x{i * 7919 % 1000} don't é{i}" for i in range(n, n + 30)) for n in range(0, 600, 20)] + ["", "a"]
+    for _, _, raw, offsets in bytewords.text_slices(pa.array(texts), 2000):
+        ids, counts = coder.encode(raw, offsets)
+        got = np.split(ids, np.cumsum(counts)[:-1])
+        for k, part in enumerate(got):
+            text = raw[offsets[k]:offsets[k + 1]].tobytes().decode()
+            assert part.tolist() == plain.encode(text, add_special_tokens=False).ids
