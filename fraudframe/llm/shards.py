@@ -1,17 +1,18 @@
 """Sharding by virtual slots and a versioned slot-to-shard map.
 
-A record (id and text) is hashed to one of ``slots`` virtual slots, for good.  Bytes
-and rows are aggregated by slot; that histogram, ``slots`` rows whatever the data, is
-all that reaches the driver.  Version 0 of the map deals out the slots evenly.  A
-rebalancing edits the last version: it moves, from the fullest shard to the emptiest,
+A record (id and text) is hashed to one of ``slots`` virtual slots, for good.  The copies of a row
+are numbered and hashed with their number, so they spread over the slots however many
+there are.  Bytes and rows are aggregated by slot; that histogram, ``slots`` rows whatever the
+data, is all that reaches the driver.  Version 0 of the map deals out the slots evenly.  A
+rebalancing edits the newest stored version: it moves, from the fullest shard to the emptiest,
 the slot that closes the gap between them best, until no move helps, and stores the
 edited map as the next version beside the old ones.  Records of slots that did not
-move stay where they are.
+move stay where they are, also in a later run on the same map.
 
 Rows are numbered inside their shard without gaps: a slot's first number follows from
 the histogram, so only rows of one slot are sorted together.  A null text has size 1
-and the checksum of no bytes; null ids hash by their text; copies of a row share a
-slot; an empty table gives an empty map and no rows.  Only the named columns are read.
+and the checksum of no bytes; null ids hash by their text; an empty table gives an even map and
+no rows.  Only the named columns are read.
 Nothing but DataFrame operations runs on the records.
 """
 from __future__ import annotations
@@ -28,10 +29,24 @@ MAP = "slot int, shard int, bytes bigint, n bigint, first bigint"
 
 
 def sized(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", slots: int = SLOTS) -> DataFrame:
-    body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"),
+    """doc_id, size, text_crc32 and virtual_slot of every row; the narrow rows are stored once on the way."""
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary")
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"),
                        F.crc32(body).alias("text_crc32"))
-    return rows.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int"))
+    rows = rows.select("*", F.xxhash64("doc_id", "text_crc32").alias("record"), F.monotonically_increasing_id().alias("row"))
+    rows = Scratch(docs.sparkSession, "records").keep(rows, "sized")
+    repeated = rows.groupBy("record").count().filter("count > 1").select("record")
+    # copies are numbered part by part of the table, so no task holds all copies of a row
+    copies = rows.join(repeated, "record", "left_semi").withColumn("part", F.shiftright("row", 33))
+    before = Window.partitionBy("record").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = copies.groupBy("record", "part").agg(F.count("*").alias("n")).select("record", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    at = F.row_number().over(Window.partitionBy("record", "part").orderBy("row")) - 1
+    numbered = copies.withColumn("at", at).join(parts, ["record", "part"]).withColumn("copy", F.col("first") + F.col("at"))
+    alone = rows.join(repeated, "record", "left_anti")
+    spread = F.when(F.col("copy") > 0, F.xxhash64("record", "copy")).otherwise(F.col("record"))
+    whole = alone.withColumn("copy", F.lit(0).cast("long")).select("doc_id", "size", "text_crc32", "record", "copy").unionByName(
+        numbered.select("doc_id", "size", "text_crc32", "record", F.col("copy").cast("long")))
+    return whole.select("doc_id", "size", "text_crc32", F.pmod(spread, F.lit(slots)).cast("int").alias("virtual_slot"))
 
 
 def loads(rows: DataFrame) -> dict[int, tuple[int, int]]:
@@ -80,10 +95,23 @@ def store_map(spark: SparkSession, path: str, version: int, current: dict[int, i
         rows.append({"slot": slot, "shard": shard, "bytes": size, "n": n, "first": base.get(shard, 0)})
         base[shard] = base.get(shard, 0) + n
     table = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{MAP.replace(' ', ':').replace(',:', ',')}>>")).alias("x")).select("x.*")
-    table.coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={version}")
+    # a version is never rewritten once it is whole
+    table.coalesce(1).write.mode("errorifexists" if version in versions(spark, path) else "overwrite").parquet(f"{path}/version={version}")
     return read_map(spark, path, version)
 
 
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The whole versions stored at ``path``, rising."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return []
+    names = [f.getPath().getName() for f in files.listStatus(root)]
+    found = [int(n.removeprefix("version=")) for n in names if n.startswith("version=")]
+    return sorted(v for v in found if files.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/version={v}/_SUCCESS")))
+
+
 def read_map(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.schema(MAP).parquet(f"{path}/version={version}")
 
@@ -102,9 +130,16 @@ def assign(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, map_path:
     path = map_path or Scratch(spark, "slotmap").path("map")
     rows = sized(docs, slots=slots)
     load = loads(rows)
-    first = even_map(slots, shards)
-    store_map(spark, path, 0, first, load)
-    edited = store_map(spark, path, 1, rebalance(first, load, shards), load)
+    known = versions(spark, path)
+    if known:
+        current = {r["slot"]: r["shard"] for r in read_map(spark, path, known[-1]).collect()}
+        if len(current) != slots or max(current.values()) >= shards:
+            raise ValueError(f"the stored map has {len(current)} slots on {max(current.values()) + 1} shards, asked for are {slots} on {shards}")
+    else:
+        known, current = [0], even_map(slots, shards)
+        store_map(spark, path, 0, current, load)
+    version = known[-1] + 1
+    edited = store_map(spark, path, version, rebalance(current, load, shards), load)
     return place(rows, edited).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(1).alias("map_version"))
+        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(version).alias("map_version"))

@@ -118,6 +118,40 @@ def test_shards(spark, docs, empty, rows, tmp_path):
     assert shards.assign(empty).count() == 0
 
 
+def test_shards_spread_copies_and_edit_the_stored_map(spark, tmp_path):
+    from fraudframe.llm import shards
+
+    path = str(tmp_path / "map")
+    data = [(i, "text " * 40) for i in range(1000)] + [(5000, "copy " * 40)] * 400 + [(None, "copy " * 40)] * 500
+    docs = spark.createDataFrame([(*r, "x", 1) for r in data], "doc_id long, text string, record string, copy int").repartition(7)
+
+    def run(rows, count=8):
+        return shards.assign(rows, shards=count, slots=256, map_path=path).collect()
+
+    first = run(docs)
+    total = collections.Counter()
+    for r in first:
+        total[r.shard] += r.size
+    assert max(total.values()) - min(total.values()) <= 0.02 * sum(total.values()) / 8 and len(total) == 8
+    assert {r.map_version for r in first} == {1}
+    # the same rows in other partitions: the slots of a record's copies are the same, no slot moves
+    again = run(docs.repartition(3))
+    assert {r.map_version for r in again} == {2} and shards.versions(spark, path) == [0, 1, 2]
+    key = lambda rows: collections.Counter((r.doc_id, r.virtual_slot, r.shard) for r in rows)
+    assert key(first) == key(again)
+    # more rows: few slots move
+    more = run(docs.unionByName(spark.createDataFrame([(9000 + i, "new " * 50, "x", 1) for i in range(60)], docs.schema)))
+    old, new = ({r.slot: r.shard for r in shards.read_map(spark, path, v).collect()} for v in (2, 3))
+    assert len(more) == 1960 and sum(old[s] != new[s] for s in old) <= 40
+    for s in range(8):
+        assert sorted(r.slot for r in more if r.shard == s) == list(range(sum(r.shard == s for r in more)))
+    # two shards more: they take slots from the others; fewer shards than the map has are refused
+    grown = run(docs, 10)
+    assert len({r.shard for r in grown}) == 10
+    with pytest.raises(ValueError):
+        run(docs, 4)
+
+
 def _luhn(s):
     t = 0
     for i, c in enumerate(reversed(s)):
