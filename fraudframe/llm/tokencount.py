@@ -5,8 +5,10 @@ the longest pieces of a vocabulary.  The pieces are never built: the vocabulary
 trie, and every node carries a failure link and a count.  When the next byte has no
 branch, the greedy pieces at the front of the node's string are popped; the count says
 how many those are and the link is the node of what remains.  So a word costs time
-linear in its length.  The pieces are the vocabulary's strings as bytes, end-of-word
-marks stripped, and all single bytes, so every word can be cut.
+linear in its length.  A word's last byte is a symbol of its own (256 + the byte), and so is
+that of a vocabulary string with an end-of-word mark: a piece that ends words matches at
+the end of a word only, the others match anywhere else.  All single bytes, last or not, are
+pieces, so every word can be cut.
 
 Each distinct word of a slice of texts is counted once, all of them side by side, byte
 by byte.  Null and empty texts count 0; a null doc_id and repeated rows are returned
@@ -27,29 +29,35 @@ from .packing import _ALPHABET
 SCHEMA = "doc_id long, n_words long, n_tokens long"
 
 
-def pieces_of(tokenizer_path: str, end_mark: str = "</w>") -> set[bytes]:
-    """The vocabulary of a byte-level tokenizer file as byte strings."""
+#: Symbols: the bytes, and the bytes as a word's last.
+SYMBOLS = 512
+
+
+def pieces_of(tokenizer_path: str, end_mark: str = "</w>") -> set[str]:
+    """The vocabulary of a byte-level tokenizer file as strings of symbols."""
     byte_of = {chr(c): b for b, c in _ALPHABET.items()}
     with open(tokenizer_path, encoding="utf-8") as f:
         names = json.load(f)["model"]["vocab"]
-    out = {bytes([b]) for b in range(256)}
+    out = {chr(c) for c in range(SYMBOLS)}
     for name in names:
-        name = name.removesuffix(end_mark)
-        if name and all(c in byte_of for c in name):
-            out.add(bytes(byte_of[c] for c in name))
+        bare = name.removesuffix(end_mark)
+        if bare and all(c in byte_of for c in bare):
+            codes = [byte_of[c] for c in bare]
+            codes[-1] += 256 * (bare != name)
+            out.add("".join(map(chr, codes)))
     return out
 
 
 class Automaton:
     """Trie edges as one sorted array, failure links and popped-piece counts."""
 
-    def __init__(self, pieces: set[bytes]):
+    def __init__(self, pieces: set[str]):
         child: list[dict[int, int]] = [{}]
         final = [False]
         parent: list[tuple[int, int]] = [(0, 0)]
         for piece in sorted(pieces):
             node = 0
-            for c in piece:
+            for c in map(ord, piece):
                 if c not in child[node]:
                     child[node][c] = len(child)
                     child.append({})
@@ -65,10 +73,10 @@ class Automaton:
                 continue
             u, c = parent[v]
             n, z = popped[u], fail[u]
-            while c not in child[z]:  # all single bytes are pieces, so the root has every branch
+            while c not in child[z]:  # all single symbols are pieces, so the root has every branch
                 n, z = n + popped[z], fail[z]
             fail[v], popped[v] = child[z][c], n
-        keys = [v * 256 + c for v, row in enumerate(child) for c in row]
+        keys = [v * SYMBOLS + c for v, row in enumerate(child) for c in row]
         goto = [to for row in child for to in row.values()]
         order = np.argsort(keys)
         self.key, self.to = np.array(keys, np.int64)[order], np.array(goto, np.int32)[order]
@@ -81,26 +89,26 @@ class Automaton:
         vars(out).update(arrays)
         return out
 
-    def step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
-        """The branch of each node by its byte, or -1."""
-        key = node.astype(np.int64) * 256 + byte
+    def step(self, node: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The branch of each node by its symbol, or -1."""
+        key = node.astype(np.int64) * SYMBOLS + symbol
         at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
         return np.where(self.key[at] == key, self.to[at], -1)
 
     def count(self, buf: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Greedy pieces of each run of bytes."""
+        """Greedy pieces of each word, a run of bytes."""
         order = np.argsort(-length, kind="stable")
         start, length = start[order], length[order]
         node, total = np.zeros(len(start), np.int32), np.zeros(len(start), np.int64)
         for p in range(int(length[0]) if len(length) else 0):
             n = int(np.searchsorted(-length, -p, side="left"))  # words longer than p
-            byte = buf[start[:n] + p]
-            to = self.step(node[:n], byte)
+            symbol = buf[start[:n] + p] + 256 * (length[:n] == p + 1)
+            to = self.step(node[:n], symbol)
             stuck = np.flatnonzero(to < 0)
             while len(stuck):
                 total[stuck] += self.popped[node[stuck]]
                 node[stuck] = self.fail[node[stuck]]
-                to[stuck] = self.step(node[stuck], byte[stuck])
+                to[stuck] = self.step(node[stuck], symbol[stuck])
                 stuck = stuck[to[stuck] < 0]
             node[:n] = to
         left = np.flatnonzero(node)
