@@ -14,10 +14,12 @@ the distinct words' hashes and counts and the sequence of their places, compress
 Counts meet by a shuffle of (word, block) rows, so a frequent word has one row a
 block.  Biases start at the counts' logarithms; weights are then trained in rounds of
 distributed gradient updates: in every round each trainer runs over all its blocks with
-its own copy, the copies' changes are summed on the executors in slices and averaged by
-tokens.  There are ROUNDS at least, and more as long as a round lowers the training loss
-by the share STILL.  The weights have a fixed size (a few megabytes), so they are broadcast.  Blocks are scored
-in numpy batches.
+its own copy, and the copies' changes are averaged by tokens on the executors in slices.  One
+training text in PROBES lends its words' counts but no gradients: its loss tells how well the
+model fits.  There are ROUNDS at least, and more as long as a round lowers that loss
+by the share STILL.  The rows of a kind of feature grow with the square root of the number of
+distinct words (``feature_rows``), so the weights that are broadcast have about 2 kB times that
+root: 20 MB for a hundred million words.  Blocks are scored in numpy batches.
 
 Texts whose id's crc32 modulo 7 is 2 are held out; so are, without the mark, texts with
 a null id.  Null and empty texts are one end.  Repeated rows count and are scored as
@@ -26,6 +28,7 @@ often as they occur.  Without training tokens every count is 0.  Words are told
 """
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -37,21 +40,25 @@ from pyspark.sql import functions as F
 from . import bytewords as bw
 from .storage import Scratch
 
-CLASSES, MEMBERS, ROWS = 16, 16, 1024
+#: Classes, members of each (both powers of two) and least rows of a kind of feature.
+CLASSES, MEMBERS, MIN_ROWS = 16, 16, 1024
 BUCKETS = CLASSES * MEMBERS
-BLOCK_TOKENS, BATCH, ROUNDS, RATE, SMOOTH = 4_000_000, 1 << 16, 2, 0.05, 100.0
-#: Share of the loss a round has to win for another one to follow; least updates a block.
-STILL, STEPS = 0.002, 64
-#: Trainers of a round: about one for each TRAINER_TOKENS tokens, but so many at least and at most.
-TRAINER_TOKENS, MIN_TRAINERS, MAX_TRAINERS, SLICES = 4_000_000, 6, 4096, 256
-#: Bytes of text, and tokens of a block, worked on at once.
-PART_BYTES, PART_TOKENS = 1 << 20, 1 << 18
+BLOCK_TOKENS, BATCH, ROUNDS, RATE, SMOOTH = 4_000_000, 1 << 15, 2, 0.2, 30.0
+#: Share of the loss a round has to win for another one to follow; least updates a block, of the classes and of each class's members.
+STILL, STEPS, MEMBER_STEPS = 0.002, 64, 8
+#: One training text in so many is set aside to measure the fit.
+PROBES = 16
+#: Widest range of a batch's logits under which one shift serves all its tokens.
+FLAT = 60.0
+#: Trainers of a round: about one for each TRAINER_TOKENS tokens, but so many at least.
+TRAINER_TOKENS, MIN_TRAINERS, SLICES = 4_000_000, 6, 256
+#: Bytes of text worked on at once.
+PART_BYTES = 1 << 20
 #: Most (word, block) rows of a counting task, on average.
 TASK_ROWS = 4_000_000
 END, START = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)
 BLOCKS = ("kind int, block long, hash long, place int, n int, tokens long, doc_ids array<long>, held array<boolean>, "
           "lengths array<int>, hashes binary, sequence binary")
-_WIDTH = CLASSES + BUCKETS
 
 
 def _packed(a: np.ndarray) -> bytes:
@@ -72,6 +79,10 @@ def _held(doc_id) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
 
 
+def _probe(doc_id) -> bool:
+    return zlib.crc32(str(doc_id).encode()) // 7 % PROBES == 0
+
+
 def _blocks(batches):
     """Texts to blocks: a row for each distinct word (kind 0) and one for the block (kind 1)."""
     task = TaskContext.get()
@@ -156,77 +167,126 @@ def _totals(batches):
         ["kind", "block", "places", "totals", "bucket", "tokens", "words"])
 
 
+def feature_rows(words: int) -> int:
+    """Rows of each kind of feature for a corpus of so many distinct words: the power of two next
+    above half their square root."""
+    return max(MIN_ROWS, 1 << math.ceil(math.log2(math.sqrt(max(4, words)) / 2)))
+
+
+class Softmax:
+    """Weights of three kinds of hashed features and, last, a bias, for WIDTH outcomes."""
+
+    def __init__(self, weights: np.ndarray):
+        self.w = weights
+        self.rows = len(weights) // 3
+        self.kinds = [weights[k * self.rows:(k + 1) * self.rows] for k in range(3)]
+        self.past = None
+
+    def forward(self, f: np.ndarray):
+        """Logits less a shift, their exponentials and the exponentials' sums."""
+        x = self.kinds[0].take(f[0], axis=0)
+        x += self.kinds[1].take(f[1], axis=0)
+        x += self.kinds[2].take(f[2], axis=0)
+        x += self.w[-1]
+        top = x.max()
+        x -= top if top - x.min() < FLAT else x.max(axis=1, keepdims=True)
+        p = np.exp(x)
+        return x, p, p @ np.ones(p.shape[1], np.float32)
+
+    def logs(self, f: np.ndarray, outcome: np.ndarray) -> np.ndarray:
+        """Natural log-probability of each outcome."""
+        x, _, total = self.forward(f)
+        return x.ravel().take(np.arange(0, x.size, x.shape[1]) + outcome).astype(np.float64) - np.log(total)
+
+    def update(self, f: np.ndarray, outcome: np.ndarray) -> float:
+        """One gradient step (Adagrad) on the rows that a batch touches; returns its loss before the step."""
+        if self.past is None:
+            self.past = np.zeros_like(self.w)
+        x, p, total = self.forward(f)
+        is_it = np.arange(0, x.size, x.shape[1]) + outcome
+        loss = float(np.log(total).sum(dtype=np.float64) - x.ravel().take(is_it).sum(dtype=np.float64))
+        p *= (1 / total)[:, None]
+        p.ravel()[is_it] -= 1
+        pairs = p.view(np.complex64)  # sums two columns at a time
+        for k in range(3):
+            order = np.argsort(f[k], kind="stable")
+            row = f[k][order]
+            first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            g = np.add.reduceat(pairs.take(order, axis=0), first, axis=0).view(np.float32)
+            at = row[first].astype(np.intp) + k * self.rows
+            past = self.past[at] + g * g
+            self.past[at] = past
+            self.w[at] -= RATE * g / np.sqrt(past + SMOOTH)
+        return loss
+
+
 class Model:
-    """Weights of 3 * ROWS features and a bias: first the classes, then class by class the members."""
+    """A softmax over the classes and, for each class, one over its members.
+
+    Their weights are apart from one another, so each is trained on batches of its own."""
 
     def __init__(self, weights: np.ndarray):
-        self.w = weights.astype(np.float32).reshape(3 * ROWS + 1, _WIDTH)
-        self.classes = np.ascontiguousarray(self.w[:, :CLASSES])
-        self.members = np.ascontiguousarray(self.w[:, CLASSES:]).reshape(-1, MEMBERS)
-
-    def weights(self) -> np.ndarray:
-        return np.concatenate([self.classes, self.members.reshape(len(self.w), BUCKETS)], axis=1).ravel()
-
-    def forward(self, f: np.ndarray, bucket: np.ndarray):
-        """Log-softmax over classes and over the class's members, and the rows used."""
-        cls = bucket // MEMBERS
-        bias = 3 * ROWS
-        a = self.classes[bias] + self.classes[f[0]] + self.classes[f[1]] + self.classes[f[2]]
-        at = [x * CLASSES + cls for x in f]
-        b = self.members[bias * CLASSES + cls] + self.members[at[0]] + self.members[at[1]] + self.members[at[2]]
-        for x in (a, b):
-            x -= x.max(axis=1, keepdims=True)
-            x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-        return a, b, cls, at
+        self.w = weights.astype(np.float32).reshape(1 + CLASSES, -1, MEMBERS)
+        self.parts = [Softmax(w) for w in self.w]
+        self.rows = self.parts[0].rows
+
+    def by_class(self, f: np.ndarray, bucket: np.ndarray):
+        """Places, features and members of the tokens of each class."""
+        cls = (bucket // MEMBERS).astype(np.uint8)
+        order = np.argsort(cls, kind="stable")
+        cut = np.cumsum([0, *np.bincount(cls, minlength=CLASSES)])
+        for c in range(CLASSES):
+            at = order[cut[c]:cut[c + 1]]
+            yield self.parts[1 + c], at, f[:, at], bucket[at] % MEMBERS
 
     def score(self, f: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         """Natural log-probability of each bucket."""
-        a, b, cls, _ = self.forward(f, bucket)
-        i = np.arange(len(bucket))
-        return a[i, cls].astype(np.float64) + b[i, bucket % MEMBERS]
-
-    def update(self, f: np.ndarray, bucket: np.ndarray, past_a: np.ndarray, past_b: np.ndarray) -> float:
-        """One gradient step (Adagrad) on a batch; returns its loss before the step."""
-        a, b, cls, at = self.forward(f, bucket)
-        i = np.arange(len(bucket))
-        loss = -float(a[i, cls].sum(dtype=np.float64) + b[i, bucket % MEMBERS].sum(dtype=np.float64))
-        a, b = np.exp(a), np.exp(b)
-        a[i, cls] -= 1
-        b[i, bucket % MEMBERS] -= 1
-        for rows, grad, weights, past in ((list(f), a, self.classes, past_a), (at, b, self.members, past_b)):
-            n = len(weights)
-            where = np.concatenate(rows)
-            for k in range(grad.shape[1]):
-                g = np.bincount(where, np.tile(grad[:, k], 3), minlength=n)
-                past[:, k] += g * g
-                weights[:, k] -= RATE * g / np.sqrt(past[:, k] + SMOOTH)
+        out = np.empty(len(bucket))
+        for lo in range(0, len(bucket), BATCH):
+            out[lo:lo + BATCH] = self.parts[0].logs(f[:, lo:lo + BATCH], bucket[lo:lo + BATCH] // MEMBERS)
+        for part, at, g, member in self.by_class(f, bucket):
+            for lo in range(0, len(at), BATCH):
+                out[at[lo:lo + BATCH]] += part.logs(g[:, lo:lo + BATCH], member[lo:lo + BATCH])
+        return out
+
+    def train(self, f: np.ndarray, bucket: np.ndarray) -> float:
+        """One pass over a block's tokens; returns their loss."""
+        n, loss = len(bucket), 0.0
+        size = min(BATCH, max(1, -(-n // STEPS)))
+        for lo in range(0, n, size):
+            loss += self.parts[0].update(f[:, lo:lo + size], bucket[lo:lo + size] // MEMBERS)
+        for part, at, g, member in self.by_class(f, bucket):
+            size = min(BATCH, max(1, -(-len(at) // MEMBER_STEPS)))
+            for lo in range(0, len(at), size):
+                loss += part.update(g[:, lo:lo + size], member[lo:lo + size])
         return loss
 
 
-def _features(hashes: np.ndarray, seq: np.ndarray, lengths: np.ndarray):
+def _features(hashes: np.ndarray, seq: np.ndarray, lengths: np.ndarray, rows: int):
     """Feature rows (3 x tokens) and bucket of each token of a block."""
-    one = (bw.mix(hashes + np.uint64(1)) % np.uint64(ROWS)).astype(np.int32)
-    two = (bw.mix(hashes + np.uint64(2)) % np.uint64(ROWS)).astype(np.int32) + ROWS
+    mask, kind = np.uint64(rows - 1), np.uint16 if rows <= 1 << 16 else np.uint32
+    one = (bw.mix(hashes + np.uint64(1)) & mask).astype(kind)
+    two = (bw.mix(hashes + np.uint64(2)) & mask).astype(kind)
     begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     first = np.zeros(len(seq), bool)
     first[begin] = True
     second = np.zeros(len(seq), bool)
     second[begin[lengths > 1] + 1] = True
     s = int(START)
-    edge = [int(bw.mix(np.array([(s + k) % 2 ** 64], np.uint64))[0]) for k in (1, 2)]
+    edge = [bw.mix(np.array([(s + k) % 2 ** 64], np.uint64))[0] & mask for k in (1, 2)]
     before = np.concatenate([np.zeros(2, seq.dtype), seq])
-    f = np.empty((3, len(seq)), np.int32)
+    f = np.empty((3, len(seq)), kind)
     f[0, 1:] = one[seq[:-1]]
-    f[0, first] = edge[0] % ROWS
+    f[0, first] = edge[0]
     f[1, 2:] = two[seq[:-2]]
-    f[1, first | second] = edge[1] % ROWS + ROWS
-    for lo in range(0, len(seq), PART_TOKENS):
-        hi = min(len(seq), lo + PART_TOKENS)
+    f[1, first | second] = edge[1]
+    for lo in range(0, len(seq), BATCH):
+        hi = min(len(seq), lo + BATCH)
         h1, h2 = hashes[before[lo + 1:hi + 1]], hashes[before[lo:hi]]
         h1[first[lo:hi]] = START
         h2[first[lo:hi] | second[lo:hi]] = START
-        f[2, lo:hi] = (bw.mix(h1 * np.uint64(0xBF58476D1CE4E5B9) + h2) % np.uint64(ROWS)).astype(np.int32) + 2 * ROWS
-    return f, (hashes.view(np.int64) % BUCKETS).astype(np.int32)[seq]
+        f[2, lo:hi] = bw.mix(h1 * np.uint64(0xBF58476D1CE4E5B9) + h2) & mask
+    return f, (hashes & np.uint64(BUCKETS - 1)).astype(np.uint8)[seq]
 
 
 def _open(row: dict):
@@ -234,50 +294,86 @@ def _open(row: dict):
     return hashes, _unpacked(row["sequence"]), np.array(row["lengths"], np.int64)
 
 
-CHANGES = "slice int, change binary, tokens long, loss double"
+def _learnt(batches, rows: int, probes: bool):
+    """Features and buckets of each block's training texts: those that lend gradients, or those that only measure the fit."""
+    for batch in batches:
+        for i in range(len(batch)):
+            row = {n: batch.column(n)[i].as_py() for n in ("hashes", "sequence", "lengths", "held", "doc_ids")}
+            hashes, seq, lengths = _open(row)
+            texts = np.array([d is not None and not h and _probe(d) == probes for d, h in zip(row["doc_ids"], row["held"])])
+            if texts.any():
+                yield _features(hashes, seq[np.repeat(texts, lengths)], lengths[texts], rows)
+
+
+CHANGES = "slice int, change binary, tokens long"
 CHANGE_NAMES = [f.split()[0] for f in CHANGES.split(", ")]
 
 
 def _train(shared):
     def run(batches):
-        model, start = Model(shared.value), shared.value
-        past_a, past_b = np.zeros_like(model.classes), np.zeros_like(model.members)
-        tokens, loss = 0, 0.0
-        for batch in batches:
-            for i in range(len(batch)):
-                row = {n: batch.column(n)[i].as_py() for n in ("hashes", "sequence", "lengths", "held", "doc_ids")}
-                hashes, seq, lengths = _open(row)
-                f, bucket = _features(hashes, seq, lengths)
-                learn = np.repeat(~np.array(row["held"]) & np.array([d is not None for d in row["doc_ids"]]), lengths)
-                at = np.flatnonzero(learn)
-                size = min(BATCH, max(1, -(-len(at) // STEPS)))
-                for lo in range(0, len(at), size):
-                    k = at[lo:lo + size]
-                    loss += model.update(f[:, k], bucket[k], past_a, past_b)
-                tokens += len(at)
+        model, start, tokens = Model(shared.value), shared.value, 0
+        for f, bucket in _learnt(batches, model.rows, False):
+            model.train(f, bucket)
+            tokens += len(bucket)
         if tokens:
-            change = np.array_split(((model.weights() - start) * tokens).astype(np.float32), SLICES)
+            change = np.array_split((model.w.ravel() - start) * np.float32(tokens), SLICES)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(SLICES, dtype=np.int32)), pa.array([c.tobytes() for c in change], pa.binary()),
-                 pa.array(np.full(SLICES, tokens)), pa.array(np.full(SLICES, loss))], CHANGE_NAMES)
+                 pa.array(np.full(SLICES, tokens))], CHANGE_NAMES)
 
     return run
 
 
-def _add(batches):
-    """Sums the changes slice by slice, one at a time."""
+def _average(batches):
+    """The trainers' changes, averaged by tokens slice by slice."""
     sums: dict[int, list] = {}
     for batch in batches:
-        for s, change, tokens, loss in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            have = sums.setdefault(s, [0.0, 0, 0.0])
+        for s, change, tokens in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            have = sums.setdefault(s, [0.0, 0])
             have[0] = have[0] + np.frombuffer(change, np.float32).astype(np.float64)
             have[1] += tokens
-            have[2] += loss
     if sums:
         keys = list(sums)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.int32()), pa.array([sums[k][0].tobytes() for k in keys], pa.binary()),
-             pa.array([sums[k][1] for k in keys], pa.int64()), pa.array([sums[k][2] for k in keys], pa.float64())], CHANGE_NAMES)
+            [pa.array(keys, pa.int32()), pa.array([(sums[k][0] / sums[k][1]).astype(np.float32).tobytes() for k in keys], pa.binary()),
+             pa.array([sums[k][1] for k in keys], pa.int64())], CHANGE_NAMES)
+
+
+def _measure(shared):
+    """Tokens of the texts set aside and their loss."""
+    def run(batches):
+        model, tokens, loss = Model(shared.value), 0, 0.0
+        for f, bucket in _learnt(batches, model.rows, True):
+            tokens += len(bucket)
+            loss -= float(model.score(f, bucket).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([loss], pa.float64())], ["tokens", "loss"])
+
+    return run
+
+
+def _fit(blocks: DataFrame, weights: np.ndarray, trainers: int, rounds: int) -> np.ndarray:
+    """Weights after so many rounds as lower the loss of the texts set aside."""
+    context = blocks.sparkSession.sparkContext
+    done, best = 0, np.inf
+    while True:
+        shared = context.broadcast(weights)
+        changes = blocks.coalesce(trainers).mapInArrow(_train(shared), CHANGES)
+        slices = sorted(changes.repartition("slice").mapInArrow(_average, CHANGES).collect(), key=lambda r: r["slice"])
+        shared.unpersist()
+        if not slices:
+            return weights
+        after = weights + np.concatenate([np.frombuffer(r["change"], np.float32) for r in slices])
+        shared = context.broadcast(after)
+        fit = blocks.mapInArrow(_measure(shared), "tokens long, loss double").agg(F.sum("tokens").alias("n"), F.sum("loss").alias("loss")).first()
+        shared.unpersist()
+        done += 1
+        loss = fit["loss"] / fit["n"] if fit["n"] else 0.0
+        if done > rounds and loss >= best:
+            return weights
+        weights, enough = after, loss > (1 - STILL) * best
+        if done >= rounds and enough:
+            return weights
+        best = loss
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -300,11 +396,11 @@ def _score(shared, tokens: int, words: int, bucket_tokens: np.ndarray, bucket_wo
                 hashes, seq, lengths = _open(row)
                 count = np.zeros(len(hashes), np.int64)
                 count[np.concatenate(places)] = np.concatenate(totals)
-                f, bucket = _features(hashes, seq, lengths)
+                f, bucket = _features(hashes, seq, lengths, model.rows)
                 home = (hashes.view(np.int64) % BUCKETS)
                 base = np.log10((count + 1) / (tokens + words + 1))
                 inside = np.log10((count + 1) / (bucket_tokens[home] + bucket_words[home] + 1))
-                logs = np.concatenate([model.score(f[:, lo:lo + BATCH], bucket[lo:lo + BATCH]) for lo in range(0, len(seq), BATCH)])
+                logs = model.score(f, bucket)
                 del f, bucket
                 logs /= np.log(10)
                 logs += inside[seq]
@@ -334,24 +430,15 @@ def log_probabilities(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     for r in sums.filter("kind = 2").groupBy("bucket").agg(F.sum("tokens").alias("t"), F.sum("words").alias("w")).collect():
         bucket_tokens[r["bucket"]], bucket_words[r["bucket"]] = r["t"], r["w"]
     tokens, words = int(bucket_tokens.sum()), int(bucket_words.sum())
-    start = np.zeros((3 * ROWS + 1, _WIDTH))
+    start = np.zeros((1 + CLASSES, 3 * feature_rows(words) + 1, MEMBERS))
     share = bucket_tokens.reshape(CLASSES, MEMBERS) + 1.0
-    start[-1, :CLASSES] = np.log(share.sum(axis=1) / share.sum())
-    start[-1, CLASSES:] = np.log(share / share.sum(axis=1, keepdims=True)).ravel()
+    start[0, -1] = np.log(share.sum(axis=1) / share.sum())
+    start[1:, -1] = np.log(share / share.sum(axis=1, keepdims=True))
     weights = start.ravel().astype(np.float32)
-    trainers = min(MAX_TRAINERS, max(MIN_TRAINERS, tokens // TRAINER_TOKENS))
-    done, before, loss = 0, np.inf, np.inf
-    while tokens and (done < rounds or loss < (1 - STILL) * before):
-        shared = spark.sparkContext.broadcast(weights)
-        changes = blocks.coalesce(trainers).mapInArrow(_train(shared), CHANGES)
-        summed = changes.repartition("slice").mapInArrow(_add, CHANGES).collect()
-        shared.unpersist()
-        total = sum(r["tokens"] for r in summed) / len(summed)
-        ordered = sorted(summed, key=lambda r: r["slice"])
-        weights = (weights + np.concatenate([np.frombuffer(r["change"], np.float64) for r in ordered]) / total).astype(np.float32)
-        done, before, loss = done + 1, loss, ordered[0]["loss"] / total
+    weights = _fit(blocks, weights, max(MIN_TRAINERS, tokens // TRAINER_TOKENS), rounds) if tokens else weights
     shared = spark.sparkContext.broadcast(weights)
+    tasks = max(blocks.count(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     tagged = sums.filter("kind = 0").select("kind", "block", "places", "totals").unionByName(
-        blocks.drop("tokens"), allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "kind")
+        blocks.drop("tokens"), allowMissingColumns=True).repartition(tasks, "block").sortWithinPartitions("block", "kind")
     scored = tagged.mapInArrow(_score(shared, tokens, words, bucket_tokens, bucket_words), SCORES)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
