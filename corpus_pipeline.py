@@ -3,7 +3,10 @@
 Each stage reads all rows that the one before it wrote.  ``STAGES`` lists them;
 ``run`` writes every stage as Parquet in the shared folder and returns the last.
 Rows with a null id or text: a null text is rejected by the language stage; a row with
-a null id is kept by the near-duplicate stage.
+a null id is kept by the near-duplicate stage.  Of rows that repeat an id, the one that comes
+first as JSON stays.  Empty texts have no letter and go with the language stage; ties between
+documents go to the smaller id.  Other columns, whatever their names and types, pass unchanged
+up to the packing stage.  Empty tables give empty results.
 """
 from __future__ import annotations
 
@@ -24,14 +27,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of every group; of rows that repeat an id, one."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     found = neardup.near_duplicates(docs, k=SHINGLE, percent=SIMILARITY)
-    kept = docs.join(found.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(found.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(columns)
     repeated = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
     if repeated.isEmpty():
         return kept
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(whole).alias("row")).select("row.*")
-    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(one)
+    whole = F.struct(*columns)
+    one = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(whole, F.to_json(whole)).alias("row")).select("row.*")
+    return kept.join(repeated, "doc_id", "left_anti").select(columns).unionByName(one)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
