@@ -154,10 +154,14 @@ def _replaced(kind: str):
 def mask(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every confirmed span of the text replaced by its kind in brackets."""
     cols = docs.columns
-    df = docs.withColumn("_t", F.col(text).cast("string"))
+    free = "_mask"
+    while any(c.lower().startswith(free) for c in cols):
+        free += "_"
+    t, m, b = f"{free}t", f"{free}m", f"{free}b"
+    df = docs.withColumn(t, F.col(f"`{text}`").cast("string"))
     for kind in MASK:
-        df = df.withColumn("_m", F.coalesce(_found(kind, F.col("_t")), F.array().cast("array<string>")))
-        df = df.withColumn("_b", _between(kind, F.col("_t"), F.col("_m")))
-        pieces = F.transform(F.arrays_zip(F.slice("_b", F.lit(1), F.size("_m")).alias("b"), F.col("_m").alias("m")), _replaced(kind))
-        df = df.withColumn("_t", F.when(F.size("_m") > 0, F.concat(F.array_join(pieces, ""), F.element_at("_b", -1))).otherwise(F.col("_t")))
-    return df.select(*[F.col("_t").alias(text) if c == text else F.col(f"`{c}`") for c in cols])
+        df = df.withColumn(m, F.coalesce(_found(kind, F.col(t)), F.array().cast("array<string>")))
+        df = df.withColumn(b, _between(kind, F.col(t), F.col(m)))
+        pieces = F.transform(F.arrays_zip(F.slice(b, F.lit(1), F.size(m)).alias("b"), F.col(m).alias("m")), _replaced(kind))
+        df = df.withColumn(t, F.when(F.size(m) > 0, F.concat(F.array_join(pieces, ""), F.element_at(b, -1))).otherwise(F.col(t)))
+    return df.select(*[F.col(t).alias(text) if c == text else F.col(f"`{c}`") for c in cols])

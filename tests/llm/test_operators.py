@@ -457,3 +457,18 @@ def test_lm_softmax_against_dense_formulas():
     assert np.allclose(got.w, dense - maxent.RATE * g / np.sqrt(g * g + maxent.SMOOTH), atol=1e-4)
     assert (got.w[[rows - 1, 2 * rows - 1, 3 * rows - 1]] == w[0][[rows - 1, 2 * rows - 1, 3 * rows - 1]]).all()
     assert maxent.feature_rows(0) == maxent.MIN_ROWS and maxent.feature_rows(64_000_000) == 4096
+
+
+def test_mask_and_near_duplicates_keep_other_columns(spark):
+    import corpus_pipeline
+    from fraudframe.llm import pii
+
+    text = "write to ann@example.org now about the seven things that we talked of on the long way home"
+    rows = [(1, text, "x", [1], "y", {"k": 1}, "z"), (1, text, "x", [1], "y", {"k": 1}, "z"), (2, text, "u", None, None, None, None), (None, None, "v", [2], "w", {}, "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _t string, _m array<int>, _b string, m map<string,int>, `a.b` string")
+    got = {(r["doc_id"], r["_t"], str(r["_m"]), r["_b"], r["a.b"]): r["text"] for r in pii.mask(docs).collect()}
+    assert set(got) == {(r[0], r[2], str(r[3]), r[4], r[6]) for r in rows}
+    assert got[(1, "x", "[1]", "y", "z")] == text.replace("ann@example.org", "[EMAIL]") and got[(None, "v", "[2]", "w", "q")] is None
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["_t"], r["m"], r["a.b"]) for r in kept.collect()) == [("1", "x", {"k": 1}, "z"), ("None", "v", {}, "q")]
