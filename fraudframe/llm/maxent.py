@@ -52,8 +52,8 @@ PROBES = 16
 FLAT = 60.0
 #: Trainers of a round: about one for each TRAINER_TOKENS tokens, but so many at least.
 TRAINER_TOKENS, MIN_TRAINERS, SLICES = 4_000_000, 6, 256
-#: Bytes of text worked on at once.
-PART_BYTES = 1 << 20
+#: Bytes of text, and tokens of a block to score, worked on at once.
+PART_BYTES, PART_TOKENS = 1 << 20, 1 << 19
 #: Most (word, block) rows of a counting task, on average.
 TASK_ROWS = 4_000_000
 END, START = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)
@@ -376,6 +376,14 @@ def _fit(blocks: DataFrame, weights: np.ndarray, trainers: int, rounds: int) ->
         best = loss
 
 
+def _runs(lengths: np.ndarray):
+    """Runs of whole texts of about PART_TOKENS tokens: the first and last text, the first and last token."""
+    ends = np.cumsum(lengths)
+    cut = np.unique([0, *np.flatnonzero(np.diff(ends // PART_TOKENS, prepend=0)) + 1, len(lengths)])
+    at = np.append(0, ends)[cut]
+    return zip(cut, cut[1:], at, at[1:])
+
+
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -396,17 +404,17 @@ def _score(shared, tokens: int, words: int, bucket_tokens: np.ndarray, bucket_wo
                 hashes, seq, lengths = _open(row)
                 count = np.zeros(len(hashes), np.int64)
                 count[np.concatenate(places)] = np.concatenate(totals)
-                f, bucket = _features(hashes, seq, lengths, model.rows)
                 home = (hashes.view(np.int64) % BUCKETS)
                 base = np.log10((count + 1) / (tokens + words + 1))
                 inside = np.log10((count + 1) / (bucket_tokens[home] + bucket_words[home] + 1))
-                logs = model.score(f, bucket)
-                del f, bucket
-                logs /= np.log(10)
-                logs += inside[seq]
-                begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                per = [np.add.reduceat((count > 0)[seq], begin, dtype=np.int64), np.add.reduceat(base[seq], begin), np.add.reduceat(logs, begin)]
-                del logs
+                per = [[], [], []]
+                for first, last, lo, hi in _runs(lengths):
+                    part, n = seq[lo:hi], lengths[first:last]
+                    logs = model.score(*_features(hashes, part, n, model.rows)) / np.log(10) + inside[part]
+                    begin = np.cumsum(n) - n
+                    for sums, values in zip(per, ((count > 0)[part].astype(np.int64), base[part], logs)):
+                        sums.append(np.add.reduceat(values, begin))
+                per = [np.concatenate(x) for x in per]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(lengths), *map(pa.array, per)],
                     ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
