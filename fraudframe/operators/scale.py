@@ -11,6 +11,10 @@ normalizer row / L2 norm of the row (no fit)
 quantile_uniform / quantile_normal: x mapped through its empirical CDF on
            a grid of up to 1000 exact quantiles, then (normal) through the
            inverse standard normal CDF, clipped at 1e-7 / 1 - 1e-7.
+
+robust and the quantile kinds take their quantiles exactly, or with
+``quantiles="sketch"`` from mergeable sketches (one pass, no shuffle of values,
+ranks within ``functions.sketches.rank_error`` of the rows).
 """
 from __future__ import annotations
 
@@ -24,8 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fraudframe.functions.ranking import exact_quantiles_of
+from fraudframe.functions.sketches import sketch_quantiles_of
 
 KINDS = ("standard", "min_max", "max_abs", "robust", "normalizer", "quantile_uniform", "quantile_normal")
+QUANTILES = {"exact": exact_quantiles_of, "sketch": sketch_quantiles_of}
 N_QUANTILES = 1000
 BOUND = 1e-7
 
@@ -56,9 +62,12 @@ class ScalerModel:
         return df.withColumns(out)
 
 
-def fit_scaler(df: DataFrame, columns: list[str], kind: str) -> ScalerModel:
+def fit_scaler(df: DataFrame, columns: list[str], kind: str, quantiles: str = "exact") -> ScalerModel:
     if kind not in KINDS:
         raise ValueError(f"unknown scaler {kind!r}; one of {KINDS}")
+    if quantiles not in QUANTILES:
+        raise ValueError(f"unknown quantiles {quantiles!r}; one of {tuple(QUANTILES)}")
+    quantiles_of = QUANTILES[quantiles]
     params: dict[str, tuple] = {}
     if kind == "normalizer":
         return ScalerModel(kind, columns, params)
@@ -78,20 +87,20 @@ def fit_scaler(df: DataFrame, columns: list[str], kind: str) -> ScalerModel:
                 params[c] = (0.0, _nz(r[f"a{i}"]))
         return ScalerModel(kind, columns, params)
     if kind == "robust":
-        for c, (q25, q50, q75) in exact_quantiles_of(df, columns, [0.25, 0.5, 0.75]).items():
+        for c, (q25, q50, q75) in quantiles_of(df, columns, [0.25, 0.5, 0.75]).items():
             params[c] = (q50 or 0.0, _nz(None if q25 is None else q75 - q25))
         return ScalerModel(kind, columns, params)
-    # quantile transformer: grid of exact quantiles at evenly spaced levels
+    # quantile transformer: grid of quantiles at evenly spaced levels
     n = df.count()
     nq = max(2, min(N_QUANTILES, n))
     refs = list(np.linspace(0.0, 1.0, nq))
-    for c, grid in exact_quantiles_of(df, columns, refs).items():
+    for c, grid in quantiles_of(df, columns, refs).items():
         params[c] = (grid, refs)
     return ScalerModel(kind, columns, params)
 
 
-def scale(df: DataFrame, columns: list[str], kind: str) -> DataFrame:
-    return fit_scaler(df, columns, kind).transform(df)
+def scale(df: DataFrame, columns: list[str], kind: str, quantiles: str = "exact") -> DataFrame:
+    return fit_scaler(df, columns, kind, quantiles).transform(df)
 
 
 def quantile_map(x: np.ndarray, quantiles: np.ndarray, refs: np.ndarray, normal: bool) -> np.ndarray:

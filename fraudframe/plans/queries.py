@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fraudframe.functions.sketches import sketch_ranks
 from fraudframe.operators.lookback import LookbackSpec, add_lookback_features, feature_names
 from fraudframe.plans import lookback_sql
 from fraudframe.sources.testdata import EVENT_TRANSACTIONS_SQL, event_transactions
@@ -302,9 +303,47 @@ register("normalize_l2", f"""
 SELECT id, {snap_sql("x1 / n")} AS x1, {snap_sql("x2 / n")} AS x2
 FROM (SELECT id, x1, x2, CASE WHEN sqrt(x1 * x1 + x2 * x2) = 0 THEN 1 ELSE sqrt(x1 * x1 + x2 * x2) END AS n
       FROM ({_SC_SRC}) s) t""")(_scale_query("normalizer"))
-register("scale_quantile_uniform")(_scale_query("quantile_uniform"))
+
+
+def _quantile_map_sql() -> str:
+    """Both columns through their empirical distribution: the mean of interpolating from the last grid value that is not
+    above and from the first that is not below."""
+    grid = ", ".join(f"""
+d_{c} AS (SELECT {c} AS x, row_number() OVER (ORDER BY {c}) - 1 AS r, count(*) OVER () AS n FROM s),
+p_{c} AS (SELECT i, i / (k - 1.0) * (n - 1) AS pos, 1.0 / (k - 1) AS step FROM
+  (SELECT n, least(1000, n) AS k FROM (SELECT count(*) AS n FROM s) t) u, range(1000) r(i) WHERE i < k),
+g_{c} AS (SELECT p.i, p.step, lo.x + (hi.x - lo.x) * (p.pos - floor(p.pos)) AS q FROM p_{c} p
+  JOIN d_{c} lo ON lo.r = CAST(floor(p.pos) AS BIGINT) JOIN d_{c} hi ON hi.r = CAST(ceil(p.pos) AS BIGINT)),
+l_{c} AS (SELECT q, min(i) AS i0, max(i) AS i1, any_value(step) AS step FROM g_{c} GROUP BY q),
+n_{c} AS (SELECT q, i0, i1, step, lead(q) OVER (ORDER BY q) AS q2 FROM l_{c})""" for c in ("x1", "x2"))
+
+    def value(c):
+        a = f"a_{c}"
+        return (f"CASE WHEN s.{c} = {a}.q AND {a}.i0 = 0 THEN 0.0 WHEN s.{c} = {a}.q AND {a}.q2 IS NULL THEN 1.0 "
+                f"WHEN s.{c} = {a}.q THEN ({a}.i0 + {a}.i1) * {a}.step / 2 "
+                f"ELSE {a}.i1 * {a}.step + (s.{c} - {a}.q) / ({a}.q2 - {a}.q) * {a}.step END")
+
+    return f"""WITH s AS ({_SC_SRC}), {grid}
+SELECT s.id, {snap_sql(value("x1"))} AS x1, {snap_sql(value("x2"))} AS x2
+FROM s ASOF JOIN n_x1 a_x1 ON s.x1 >= a_x1.q ASOF JOIN n_x2 a_x2 ON s.x2 >= a_x2.q"""
+
+
+register("scale_quantile_uniform", _quantile_map_sql())(_scale_query("quantile_uniform"))
 register("scale_quantile_normal")(_scale_query("quantile_normal"))
 
+#: Levels at which the sketches' values are held against exact ranks, and the share of the rows that they may miss.
+SKETCH_LEVELS, SKETCH_OFF = (0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0), 0.001
+
+
+@register("quantile_sketch_ranks", f"""
+SELECT c.name AS "column", l.level AS level, c.n AS n, TRUE AS within
+FROM (SELECT 'x1' AS name, count(x1) AS n FROM ({_SC_SRC}) t UNION ALL SELECT 'x2', count(x2) FROM ({_SC_SRC}) t) c,
+     (SELECT unnest([{", ".join(f"CAST({p} AS DOUBLE)" for p in SKETCH_LEVELS)}]) AS level) l""")
+def quantile_sketch_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of two columns from sketches; their ranks counted exactly stay within the stated error."""
+    off = sketch_ranks(_scale_frame(spark, sf_dir), ["x1", "x2"], list(SKETCH_LEVELS))
+    return off.select("column", "level", "n", (F.col("rank_off") <= SKETCH_OFF).alias("within"))
+
 
 # --------------------------------------------------------------------------
 # E: split and resampling (exact counts), H3: k nearest neighbours
