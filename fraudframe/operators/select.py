@@ -5,20 +5,22 @@ pca_95          centre, fit PCA, keep the fewest components explaining at
 truncated_svd_2 project on the first two right singular vectors (no centring)
 rfecv           recursive elimination with a random forest: at each size,
                 score by cross-validated accuracy, drop the least important
-                feature; keep the best size (a driver loop of Spark ML fits)
+                feature; keep the best size (all folds in the same jobs,
+                ``operators/forests.py``)
 """
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fraudframe.operators.forests import blocks_of, eliminate
+
 VARIANCE_KEPT = 0.95
 SVD_COMPONENTS = 2
 
@@ -66,50 +68,17 @@ def fit_svd2(df: DataFrame, features: str = "features") -> SelectorModel:
     return SelectorModel("truncated_svd_2", matrix=v, n_out=v.shape[1])
 
 
-def _folds(df: DataFrame, key: str, folds: int, seed: int) -> DataFrame:
-    return df.withColumn("__fold", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds)))
-
-
-def _rf(num_trees: int, max_depth: int, seed: int, label: str, feats: str):
-    return RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, seed=seed, labelCol=label, featuresCol=feats)
-
-
 def fit_rfecv(df: DataFrame, key: str, label: str = "label", features: str = "features", folds: int = 5,
               step: int = 1, num_trees: int = 100, seed: int = 0, min_features: int = 1,
               max_depth: int = 5) -> SelectorModel:
-    """Recursive feature elimination with cross-validated accuracy.  The
-    vectors are persisted once; each fit is a distributed Spark ML job.
+    """Recursive feature elimination with cross-validated accuracy.  The rows are binned and stored
+    once; at each size the forests of all folds and of the whole table grow in the same jobs.
     ``max_depth`` bounds the trees of these rankings, not of any model."""
-    d = len(df.select(features).first()[0])
-    data = _folds(df.select(key, label, features), key, folds, seed).persist()
+    blocks, d = blocks_of(df, key, label, features, folds, seed)
     try:
-        scores: dict[int, list[float]] = {}
-        for f in range(folds):
-            train, val = data.filter(F.col("__fold") != f), data.filter(F.col("__fold") == f)
-            kept = list(range(d))
-            while True:
-                sl = VectorSlicer(inputCol=features, outputCol="__sel", indices=kept)
-                m = _rf(num_trees, max_depth, seed, label, "__sel").fit(sl.transform(train))
-                pred = m.transform(sl.transform(val))
-                acc = pred.agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0] or 0.0
-                scores.setdefault(len(kept), []).append(acc)
-                if len(kept) <= min_features:
-                    break
-                imp = m.featureImportances.toArray()
-                drop = min(step, len(kept) - min_features)
-                weakest = sorted(range(len(kept)), key=lambda i: (imp[i], i))[:drop]
-                kept = [c for i, c in enumerate(kept) if i not in set(weakest)]
-        mean = {n: float(np.mean(s)) for n, s in scores.items()}
-        best_n = max(sorted(mean), key=lambda n: mean[n])
-        kept = list(range(d))
-        while len(kept) > best_n:
-            sl = VectorSlicer(inputCol=features, outputCol="__sel", indices=kept)
-            imp = _rf(num_trees, max_depth, seed, label, "__sel").fit(sl.transform(data)).featureImportances.toArray()
-            drop = min(step, len(kept) - best_n)
-            weakest = set(sorted(range(len(kept)), key=lambda i: (imp[i], i))[:drop])
-            kept = [c for i, c in enumerate(kept) if i not in weakest]
+        kept, _ = eliminate(blocks, d, folds, step, num_trees, max_depth, seed, min_features)
     finally:
-        data.unpersist()
+        blocks.unpersist()
     slicer = VectorSlicer(inputCol="__raw", outputCol=features, indices=kept)
     return SelectorModel("rfecv_random_forest", [slicer], indices=kept, n_out=len(kept))
 
