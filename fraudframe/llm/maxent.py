@@ -18,8 +18,8 @@ its own copy, and the copies' changes are averaged by tokens on the executors in
 training text in PROBES lends its words' counts but no gradients: its loss tells how well the
 model fits.  There are ROUNDS at least, and more as long as a round lowers that loss
 by the share STILL.  The rows of a kind of feature grow with the square root of the number of
-distinct words (``feature_rows``), so the weights that are broadcast have about 2 kB times that
-root: 20 MB for a hundred million words.  Blocks are scored in numpy batches.
+distinct words (``feature_rows``), so the weights that are broadcast take at most 3.3 kB times that
+root, and 3.3 MB at least: 27 MB for a hundred million words.  Blocks are scored in numpy batches.
 
 Texts whose id's crc32 modulo 7 is 2 are held out; so are, without the mark, texts with
 a null id.  Null and empty texts are one end.  Repeated rows count and are scored as
