@@ -122,3 +122,37 @@ def test_split_and_under_sample_take_the_smallest_hashes(spark):
     assert "Sort" not in s._jdf.queryExecution().executedPlan().toString()
     u = {r["k"] for r in under_sample(df, "y", "k", seed=7).collect()}
     assert u == {k for k in range(0, 1000, 10)} | set([k for k in order if k % 10][:200])
+
+
+@pytest.mark.parametrize("group", [65536, 1600])
+def test_vectors_move_with_groups_and_not_with_the_cells_of_each_query(spark, group, monkeypatch):
+    """High-dimensional noise, where every query needs nearly every cell: exact, for a far origin and copies too."""
+    monkeypatch.setattr(K, "BLOCK", 40)
+    monkeypatch.setattr(K, "GROUP", group)
+    monkeypatch.setattr(K, "QBLOCK", min(K.QBLOCK, group))
+    moved = []
+    tiles = K._tiles
+    monkeypatch.setattr(K, "_tiles", lambda rows, *a: moved.append(rows.count()) or tiles(rows, *a))
+    rng = np.random.default_rng(5)
+    X = rng.normal(size=(1600, 12)) + 2.4e6
+    X[:40] = X[0]
+    X[40, 0] += 1e7
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(X)], "id long, v array<double>").repartition(3)
+    report, got = {}, {}
+    for r in K.knn(df, df, 3, "id", "id", "v", exclude_same_id=True, carry=["__vec"], report=report).collect():
+        got.setdefault(r["q_id"], []).append((r["nn_rank"], r["r_id"]))
+        assert np.array_equal(X[r["r_id"]], r["__vec"])
+    assert {q: [i for _, i in sorted(v)] for q, v in got.items()} == _brute(X, range(1600), X, range(1600), 3, True)
+    assert report["visited"] > 0.3      # little can be left out
+    assert sum(moved) < 1600 * 40 / 2      # each query with each of its cells would be 1600 x 40
+
+
+def test_knn_with_text_ids_and_vectors_without_numbers(spark):
+    X = np.random.default_rng(3).normal(size=(60, 2)).round(1)
+    rows = [(f"k{i:02d}", v.tolist()) for i, v in enumerate(X)] + [("nan", [float("nan"), 0.0]), ("inf", [float("inf"), 0.0])]
+    df = spark.createDataFrame(rows, "id string, v array<double>")
+    got = {}
+    for r in K.knn(df, df, 3, "id", "id", "v", exclude_same_id=True).collect():
+        got.setdefault(r["q_id"], []).append((r["nn_rank"], r["r_id"]))
+    ids = [r[0] for r in rows[:60]]
+    assert {q: [i for _, i in sorted(v)] for q, v in got.items()} == _brute(X, ids, X, ids, 3, True)
