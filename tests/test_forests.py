@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
@@ -81,3 +82,40 @@ def test_forest_without_training_rows(spark):
     forests.grow(blocks, fits, 2, 2, 0)
     assert min(len(f.trees[0].feature) for f in fits) == 1  # all rows are in one fold
     assert 0.0 in forests.accuracy(blocks, fits)
+
+
+@pytest.mark.parametrize("rows", [200, 40_000])
+def test_rows_that_are_alike_are_counted_once(spark, rows, monkeypatch):
+    """Counts of two columns' trees, from single rows and from merged ones, against a plain count."""
+    rng = np.random.default_rng(rows)
+    codes, y, fold = rng.integers(0, 33, (3, rows)).astype(np.uint8), rng.integers(0, 2, rows).astype(np.int8), rng.integers(0, 3, rows).astype(np.int32)
+    keys = rng.integers(-2 ** 62, 2 ** 62, rows)
+    tree = forests.Tree()
+    tree.split(0, 2, 9, True)
+    work = [(1, 4, tree, [1, 2], [[0, 2], [2, 0]]), (forests.ALL_ROWS, 5, forests.Tree(), [0], [[0, 2]])]
+    seen = []
+    add = forests._add
+    monkeypatch.setattr(forests, "_add", lambda *a: seen.append(a[1].shape[1]) or add(*a))
+    batch = pa.RecordBatch.from_arrays([pa.array([v.tobytes()]) for v in (codes, y, fold, keys)], ["codes", "label", "fold", "hash"])
+    found = {b.column(0)[0].as_py(): np.frombuffer(b.column(1)[0].as_py()) for b in forests._counts(work, 7)([batch])}
+    assert sum(seen) <= 2 * 2 * 33 ** 2 + (rows < 8 * 33 ** 2) * 2 * rows       # 80,000 rows are not counted one by one
+    for i, (left_out, number, t, nodes, features) in enumerate(work):
+        want = np.zeros((len(nodes), 2, forests.WIDTH, 2))
+        weight, at = forests.draws(keys, number, 7), t.nodes(codes)
+        for r in np.flatnonzero(fold != left_out):
+            for j, f in enumerate(features[nodes.index(at[r])] if at[r] in nodes else []):
+                want[nodes.index(at[r]), j, codes[f, r], y[r]] += weight[r]
+        assert np.array_equal(want.ravel(), found[i])
+
+
+def test_nodes_by_table_and_by_walk(monkeypatch):
+    from fraudframe.operators import boost
+    rng = np.random.default_rng(0)
+    codes = rng.integers(0, 200, (4, 3000)).astype(np.uint8)
+    tree, leaves = boost.Tree(), [0]
+    for _ in range(40):
+        node = leaves.pop(rng.integers(0, len(leaves)) if rng.random() < 0.5 else -1)
+        leaves += tree.split(node, int(rng.integers(0, 4)), int(rng.integers(1, 200)), bool(rng.integers(0, 2)))
+    table = tree.nodes(codes)
+    monkeypatch.setattr(boost, "TABLE_NODES", 0)
+    assert np.array_equal(table, tree.nodes(codes)) and len(set(table)) > 3
