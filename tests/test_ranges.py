@@ -34,3 +34,51 @@ def test_nothing():
     order = RangeOrder(np.zeros(0))
     assert len(order.median(none, none)) == 0 and order.median(np.zeros(2, int), np.zeros(2, int)).tolist() == [0, 0]
     assert len(range_moments(np.zeros(0), none, none)[0]) == 0
+
+
+def test_wide_ranges_by_what_they_share():
+    from fraudframe.functions.ranges import kth_of_ranges, moments_of_ranges
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=4000), 2)
+    lo = np.sort(rng.integers(0, 1500, 300))
+    hi = np.maximum(np.sort(rng.integers(0, 4001, 300)), lo)
+    hi[100:120] = lo[100:120]
+    n = hi - lo
+    for limit in (16, 300, 1 << 18):
+        a, b = kth_of_ranges(x, lo, hi, [(n - 1) // 2, n // 2], limit)
+        mean, m2 = moments_of_ranges(x, lo, hi, limit)
+        for i in np.flatnonzero(n > 0):
+            own = x[lo[i]:hi[i]]
+            assert (a[i] + b[i]) / 2 == np.median(own)
+            assert abs(mean[i] - own.mean()) < 1e-12 and abs(m2[i] - ((own - own.mean()) ** 2).sum()) < 1e-8
+        assert not mean[100:120].any() and not a[100:120].any()
+
+
+@pytest.mark.parametrize("profile", ["canonical", "serve", "train"])
+def test_frames_hold_what_later_rows_reach(profile):
+    """A long card in pieces: the same statistics as in one piece, and only one frame of rows is held."""
+    import pyarrow as pa
+
+    from fraudframe.operators.frames import Frames
+    rng = np.random.default_rng(6)
+    day, n = 86_400_000_000, 6000
+    us = np.sort(rng.integers(0, 120 * day, n) // 3_600_000_000 * 3_600_000_000)
+    us[n // 3:2 * n // 3] = np.sort(us[n // 3:2 * n // 3] % (40 * day))
+    first = np.isin(np.arange(n), [0, n // 3, 2 * n // 3])
+    group = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    counts = {k: np.zeros(n, np.int64) for k in (3, 7)}
+    for i in range(n):
+        own = us[group[i]:i + 1]
+        for k in counts:
+            counts[k][i] = ((own < us[i]) & (own > us[i] - k * day)).sum()
+    gap = np.where(first, -1, np.r_[0, np.diff(us)])
+    value = pa.array(np.round(rng.normal(size=n), 1), mask=rng.random(n) < 0.1)
+    table = pa.table({"__first": first, "__lb_us": us, "__gp": gap, "__lb_v": value, "__day": (us + day // 2) // day, **{f"__n{k}": c for k, c in counts.items()}})
+    whole = Frames(profile, (3, 7)).take(table)
+    frames, parts = Frames(profile, (3, 7), 64), []
+    for lo in range(0, n, 97):
+        parts.append(frames.take(table.slice(lo, 97)))
+        assert len(frames.held["us"]) <= counts[7].max() + 97 + 24
+    for name, values in whole.items():
+        some = counts[int(name[-1])] > 0 if name[-1] in "37" else np.ones(n, bool)      # of no meaning without a frame
+        assert np.allclose(np.concatenate([p[name] for p in parts])[some], values[some], rtol=1e-9, atol=1e-9), name
