@@ -264,3 +264,30 @@ def test_late_rows_are_written_with_their_delay(spark):
     start_late_router(spark.readStream.schema(schema).parquet(src), "ts", accepted, late, ck, "1 day").awaitTermination()
     assert spark.read.parquet(accepted).count() == 6 and late_rows(spark, late).count() == 4
     assert [f.name for f in accepted_stream(spark, accepted, kept.drop("batch_id").schema).schema.fields][:2] == ["id", "ts"]
+
+
+@pytest.mark.parametrize("profile", ["canonical", "serve"])
+def test_entities_of_a_bucket_are_worked_on_together(profile):
+    """Several entities at once against one after the other, also where their times don't fit one axis."""
+    import numpy as np
+    from fraudframe.streaming.lookback_state import D, NEVER, features_block, features_of_cards
+    rng = np.random.default_rng(1)
+    for span in (20 * D, 1 << 60):
+        card = np.sort(rng.integers(0, 9, 400))
+        us = rng.integers(0, 20 * D, 400) // (D // 8) * (D // 8) + np.where(card % 2, span, 0)
+        order = np.lexsort((us, card))
+        us, v = us[order], rng.normal(size=400).round(1)
+        newest = np.array([NEVER if c % 3 else int(us[card == c].min()) - D for c in range(9)])
+        rows = np.sort(rng.choice(400, 150, replace=False))
+        got = features_of_cards(card, us, v, newest, card[rows], us[rows], v[rows], (1, 3), profile)
+        for c in range(9):
+            own = rows[card[rows] == c]
+            want = features_block(us[card == c], v[card == c], None if newest[c] == NEVER else int(newest[c]), us[own], v[own], (1, 3), profile)
+            assert np.allclose(got[card[rows] == c], want, rtol=1e-12, atol=1e-12)
+
+
+def test_calls_follow_the_buckets_and_not_the_entities(spark):
+    df = spark.readStream.format("rate").load().selectExpr("value AS id", "CAST(value AS STRING) AS card", "timestamp AS ts", "CAST(value AS DOUBLE) AS amount")
+    out = stream_lookback(df, LookbackSpec("card", "ts", "amount", (3,)), "id")
+    grouping = next(x for x in out._jdf.queryExecution().analyzed().toString().splitlines() if "FlatMapGroups" in x)
+    assert "__bucket" in grouping
