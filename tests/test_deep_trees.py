@@ -92,3 +92,26 @@ def test_saved_model_and_classes(spark, monkeypatch):
     assert DeepTrees(1, 5).fit(_frame(spark, x, y * 0 + 1)).shares(x).min() == 1
     with pytest.raises(ValueError):
         DeepTrees(1, 5).fit(_frame(spark, x, y * 0))
+
+
+def test_a_model_that_the_driver_does_not_hold(spark, monkeypatch):
+    """Trees finished in waves and stored in pieces give the shares of the trees that are held; repeated rows keep their number."""
+    x, y = _xy(3000)
+    other = _frame(spark, *_xy(2000, 9)).withColumn("id", F.col("id") % 1500)
+    held = DeepTrees(8, 30, 5, key="id").fit(_frame(spark, x, y))
+    one = DeepTrees(1, 30, key="id").fit(_frame(spark, x, y))
+    for name, value in (("SMALL", 300), ("WAVE_ROWS", 7000), ("HELD_NODES", 100), ("SHELF_NODES", 900), ("SENT_BYTES", 1)):
+        monkeypatch.setattr(deep_trees, name, value)
+    stored = DeepTrees(8, 30, 5, key="id").fit(_frame(spark, x, y, 5))
+    assert held.pieces is None and stored.pieces and sum(len(t.feature) for t in stored.trees) < sum(len(t.feature) for t in held.trees) / 10
+    path = scratch_dir(spark, "deep-trees-test")
+    stored.save(spark, path)
+    again = DeepTreesModel.load(spark, path, [e.tolist() for e in stored.edges], "features", True)
+
+    def rows(model):
+        return sorted((r[0], r[1], round(r[2], 9), r[3]) for r in model.transform(other).select("id", "label", vector_to_array("probability")[1], "prediction").collect())
+
+    want = rows(held)
+    assert len(want) == 2000 and rows(stored) == want and rows(again) == want
+    assert stored.transform(other.limit(0)).count() == 0 and stored.transform(other).columns == held.transform(other).columns
+    assert rows(DeepTrees(1, 30, key="id").fit(_frame(spark, x, y))) == rows(one)
