@@ -156,3 +156,57 @@ def test_knn_with_text_ids_and_vectors_without_numbers(spark):
         got.setdefault(r["q_id"], []).append((r["nn_rank"], r["r_id"]))
     ids = [r[0] for r in rows[:60]]
     assert {q: [i for _, i in sorted(v)] for q, v in got.items()} == _brute(X, ids, X, ids, 3, True)
+
+
+@pytest.mark.parametrize("one_table", [True, False])
+def test_what_is_moved_and_stored_is_bounded(spark, monkeypatch, one_table):
+    """Batches and waves give the exact neighbours; none moves more than its share, and only the result stays on disk."""
+    import os
+    rng = np.random.default_rng(5)
+    X = rng.normal(size=(600, 3))
+    X[200:260] = X[200]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(X)], "id long, v array<double>").repartition(3)
+    q = df if one_table else df.filter("id % 3 = 0")
+    for name, value in (("BLOCK", 25), ("QBLOCK", 256), ("GROUP", 60), ("PART", 200), ("MOVED", 88 * 900)):
+        monkeypatch.setattr(K, name, value)
+    moved, tiles = [], K._tiles
+    monkeypatch.setattr(K, "_tiles", lambda rows, *a: moved.append(rows.count()) or tiles(rows, *a))
+    report, got = {}, {}
+    for r in K.knn(q, df, 4, "id", "id", "v", exclude_same_id=True, report=report).collect():
+        got.setdefault(r["q_id"], []).append((r["nn_rank"], r["r_id"]))
+    ids = range(600) if one_table else range(0, 600, 3)
+    assert {i: [r for _, r in sorted(v)] for i, v in got.items()} == _brute(X, range(600), X[list(ids)], ids, 4, True)
+    assert report["waves"] > 2 and max(moved) < sum(moved) / 2 and max(moved) < 1800
+    assert os.listdir(report["folder"].removeprefix("file:")) == ["top"]
+
+
+def test_smote_enn_stores_only_its_result(spark, monkeypatch):
+    import os
+    rng = np.random.default_rng(6)
+    X = rng.normal(size=(600, 3))
+    df = spark.createDataFrame([(i, int(i % 6 == 0), *map(float, v)) for i, v in enumerate(X)], "id long, y int, a double, b double, c double").repartition(3)
+    rows = lambda: sorted(tuple(r) for r in K.smote_enn(df, "id", "y", ["a", "b", "c"]).collect())
+    want, folders, scratch = rows(), [], K.scratch_dir
+    monkeypatch.setattr(K, "scratch_dir", lambda s, name: folders.append(scratch(s, name)) or folders[-1])
+    monkeypatch.setattr(K, "MOVED", 20_000)
+    assert rows() == want and 300 < len(want) < 750
+    left = {f.rsplit("/", 1)[1].rsplit("-", 1)[0]: os.listdir(f.removeprefix("file:")) for f in folders if os.path.isdir(f.removeprefix("file:"))}
+    assert left == {"smote-enn": ["rows"]}
+    # every synthetic row lies between two minority rows
+    over = {r["id"]: np.array([r["a"], r["b"], r["c"]]) for r in K.smote(df, "id", "y", ["a", "b", "c"]).collect()}
+    minority = X[::6]
+    near = [[j for _, j in sorted((np.linalg.norm(x - z), j) for j, z in enumerate(minority))[1:6]] for x in minority]
+    new = [v for i, v in over.items() if i < 0]
+    assert len(new) == 150
+    for v in new:
+        assert any(abs(np.linalg.norm(v - x) + np.linalg.norm(v - minority[j]) - np.linalg.norm(x - minority[j])) < 1e-9 for x, js in zip(minority, near) for j in js)
+
+
+def test_smote_enn_of_many_computed_columns(spark):
+    """Conditions on vectors of computed columns are not multiplied by the planner."""
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(i, int(i % 6 == 0), v.tolist()) for i, v in enumerate(rng.normal(size=(60, 40)))], "id long, y int, v array<float>")
+    cols = [f"e{i}" for i in range(40)]
+    df = df.select("id", "y", *[F.col("v")[i].cast("double").alias(c) for i, c in enumerate(cols)])
+    assert 0 < K.smote_enn(df, "id", "y", cols).count() <= 75
+    assert spark.conf.get(K.CONSTRAINTS) == "true"
